@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 
@@ -180,3 +181,60 @@ def kept(df: DataFrame) -> DataFrame:
 def partitions_of(spark: SparkSession) -> int:
     """Shuffle partitions of the session; it is the deployment's measure of the data's size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def parts_of(spark: SparkSession) -> int:
+    """Groups into which documents are dealt for cogroups: a few for each shuffle partition, so that one is a small piece of memory."""
+    return 4 * partitions_of(spark)
+
+
+def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The group of each document id; the same as the column ``part`` of ``dealt_texts``."""
+    return (mix(ids.astype(np.int64).view(np.uint64), 3) % np.uint64(parts)).astype(np.int32)
+
+
+def _with_part(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = pa.array(part_of(ids_of(batch.column(0)), parts), pa.int32())
+            yield pa.RecordBatch.from_arrays([part, *batch.columns], ["part", *batch.schema.names])
+
+    return run
+
+
+def plain_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``__id``, ``__text`` of the rows that have an id; other columns are left out, whatever their names."""
+    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__id is not null")
+
+
+def dealt_texts(own: DataFrame) -> DataFrame:
+    """The rows of ``plain_texts`` with ``part``, the key of the cogroups that bring findings back to their documents.
+
+    A plan that cogroups by ``part`` several times exchanges the texts once
+    (equal exchanges are reused within a query).
+    """
+    return own.mapInArrow(_with_part(parts_of(own.sparkSession)), "part int, __id long, __text string")
+
+
+def column_of(table: pa.Table, name: str) -> pa.Array:
+    """A table's column as one array."""
+    x = table.column(name).combine_chunks()
+    return pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+
+
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in columns that are sorted together."""
+    n = len(columns[0])
+    if not n:
+        return np.empty(0, np.int64)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def pieces(keys: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cut sorted keys into slices of about ``most`` rows; a key's rows may span slices."""
+    for a in range(0, len(keys), most):
+        yield a, min(a + most, len(keys))

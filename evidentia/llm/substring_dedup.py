@@ -9,8 +9,8 @@ words, which are removed.
 Scale.  All windows are shuffled once, as packed arrays of eight bytes a window
 (a row of its own would take three times that).  A hot window is combined
 before the shuffle: of the documents in a block that share it only the one with
-the smallest id is sent, the others are already known to repeat it.  A second,
-co-partitioned shuffle brings the hits of a document to its text.  A bucket
+the smallest id is sent, the others are already known to repeat it.  Findings are packed by part of the documents
+and meet the texts in a cogroup.  A bucket
 holds about 1/partitions of the windows; the bucket number adds its own bits to
 the 64 of the hash, so the chance that any window meets a false partner stays
 below 10^-12 at any size if partitions grow with the data.
@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, ids_of, lists, mix, partitions_of, prefix_hashes, span_hashes, text_blocks, word_windows, words_of
+from .blocks import Block, column_of, dealt_texts, ids_of, lists, part_of, partitions_of, parts_of, pieces, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, word_windows, words_of
 
 WIDTH = 13
+_PACKED = "bucket int, ids array<long>, counts array<int>, hashes array<long>, hit boolean"
 
 
 def _block_windows(block: Block, width: int, both: bool = False) -> tuple[np.ndarray, ...]:
@@ -48,17 +49,21 @@ def _first_equal(values: np.ndarray, wanted: np.ndarray, starts: np.ndarray) ->
 
 
 def _hits(bucket: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """Rows of (bucket, ids, counts, hashes), one for each document, from flat columns sorted by id."""
-    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (bucket[1:] != bucket[:-1])]))
+    """Rows of (bucket, ids, counts, hashes), one for each bucket, from flat columns sorted by bucket and id."""
+    run_at, row_at = starts_of(bucket, ids), starts_of(bucket)
+    cuts = np.append(np.searchsorted(run_at, row_at), len(run_at))
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[new], pa.int32()), lists(ids[new], np.arange(len(new) + 1), pa.int64()), lists(np.diff([*new, len(ids)]), np.arange(len(new) + 1), pa.int32()), lists(hashes.view(np.int64), np.append(new, len(ids)), pa.int64()), pa.array(np.ones(len(new), bool))],
+        [
+            pa.array(bucket[row_at].astype(np.int32), pa.int32()),
+            lists(ids[run_at], cuts, pa.int64()),
+            lists(np.diff(np.append(run_at, len(ids))), cuts, pa.int32()),
+            lists(hashes.view(np.int64), np.append(row_at, len(ids)), pa.int64()),
+            pa.array(np.ones(len(row_at), bool)),
+        ],
         ["bucket", "ids", "counts", "hashes", "hit"],
     )
 
 
-_PACKED = "bucket int, ids array<long>, counts array<int>, hashes array<long>, hit boolean"
-
-
 def _deal(width: int, buckets: int):
     """Mapper: the windows of each block by bucket; hits that the block itself shows are marked as such."""
 
@@ -80,13 +85,13 @@ def _deal(width: int, buckets: int):
                     starts = np.concatenate([[0], np.cumsum(times[times > 1])[:-1]])
                     smallest = np.minimum.reduceat(some, starts)
                     known = some > np.repeat(smallest, times[times > 1])
-                    o = np.lexsort((hashes[many][known], some[known]))
-                    a, h = some[known][o], hashes[many][known][o]
-                    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (h[1:] != h[:-1])])[: len(a)]
-                    a, h = a[fresh], h[fresh]
-                    for at in range(0, len(a), 1 << 18):
-                        x = a[at : at + (1 << 18)]
-                        yield _hits((mix(x.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), x, h[at : at + (1 << 18)])
+                    a, h = some[known], hashes[many][known]
+                    to = part_of(a, buckets)
+                    o = np.lexsort((h, a, to))
+                    a, h, to = a[o], h[o], to[o]
+                    fresh = starts_of(a, h)
+                    if len(fresh):
+                        yield _hits(to[fresh], a[fresh], h[fresh])
                     first_of = doc[head]
                     first_of[times > 1] = doc[many][_first_equal(some, np.repeat(smallest, times[times > 1]), starts)]
                     hashes, doc, bucket = hashes[head], first_of, bucket[head]
@@ -109,97 +114,97 @@ def _deal(width: int, buckets: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reducer: windows of one bucket that a smaller document has too, by document."""
-    ids, hashes, own_hits = [], [], []
-    for batch in batches:
-        hit = batch.column(4).to_numpy(zero_copy_only=False)
-        for rows, into in ((batch.filter(pa.array(hit)), own_hits), (batch.filter(pa.array(~hit)), None)):
-            if not rows.num_rows:
-                continue
-            doc = np.repeat(rows.column(1).flatten().to_numpy(), rows.column(2).flatten().to_numpy())
-            h = rows.column(3).flatten().to_numpy()
-            if into is None:
-                ids.append(doc)
-                hashes.append(h)
-            else:
-                into.append((doc, h))
-    if ids:
-        doc, h = np.concatenate(ids), np.concatenate(hashes)
-        ids.clear(), hashes.clear()
-        order = np.argsort(h)
-        h, doc = h[order], doc[order]
-        equal = h[1:] == h[:-1]
-        member = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
-        h, doc = h[member], doc[member]
-        if len(h):
-            order = np.lexsort((doc, h))
+def _meet(parts: int):
+    """Reducer: windows of one bucket that a smaller document has too, packed for the documents' parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, hashes, found = [], [], []
+        for batch in batches:
+            hit = batch.column(4).to_numpy(zero_copy_only=False)
+            for rows, known in ((batch.filter(pa.array(hit)), True), (batch.filter(pa.array(~hit)), False)):
+                if rows.num_rows:
+                    doc = np.repeat(rows.column(1).flatten().to_numpy(), rows.column(2).flatten().to_numpy())
+                    h = rows.column(3).flatten().to_numpy()
+                    if known:
+                        found.append((doc, h))
+                    else:
+                        ids.append(doc)
+                        hashes.append(h)
+        if ids:
+            doc, h = np.concatenate(ids), np.concatenate(hashes)
+            ids.clear(), hashes.clear()
+            order = np.argsort(h)
             h, doc = h[order], doc[order]
-            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            smallest = np.repeat(doc[head], np.diff(np.append(head, len(h))))
-            own_hits.append((doc[doc > smallest], h[doc > smallest]))
-    if own_hits:
-        doc, h = (np.concatenate(x) for x in zip(*own_hits, strict=True))
-        order = np.argsort(doc, kind="stable")
-        doc, h = doc[order], h[order]
-        for at in range(0, len(doc), 1 << 18):  # a document cut here has two rows
-            d, x = doc[at : at + (1 << 18)], h[at : at + (1 << 18)]
-            new = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(d[new], pa.int64()), lists(x, np.append(new, len(d)), pa.int64())], ["__id", "__hashes"])
-
-
-def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """For each document, the hashes of its windows that also start in a document with a smaller id.
-
-    Returns ``__id``, ``__hashes``; a document may have several rows, and has
-    none if it repeats nothing.  Rows without an id are left out.
+            equal = h[1:] == h[:-1]
+            member = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
+            h, doc = h[member], doc[member]
+            if len(h):
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                head = starts_of(h)
+                smallest = np.repeat(doc[head], np.diff(np.append(head, len(h))))
+                found.append((doc[doc > smallest], h[doc > smallest]))
+        if found:
+            doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            to = part_of(doc, parts)
+            order = np.lexsort((doc, to))
+            doc, h, to = doc[order], h[order], to[order]
+            for a, b in pieces(to, 1 << 20):
+                yield _hits(to[a:b], doc[a:b], h[a:b]).drop_columns(["hit"]).rename_columns(["part", "ids", "counts", "hashes"])
+
+    return run
+
+
+def repeated_windows(own: DataFrame, width: int) -> DataFrame:
+    """The hashes of the windows that also start in a document with a smaller id, by document.
+
+    Takes the rows of ``plain_texts``.  A row holds findings of one ``part`` of
+    the documents: ``ids``, how many hashes each has (``counts``), ``hashes``.
     """
-    buckets = partitions_of(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__id is not null")
+    buckets = partitions_of(own.sparkSession)
     dealt = own.mapInArrow(_deal(width, buckets), _PACKED).repartitionById(buckets, F.col("bucket"))
-    return dealt.mapInArrow(_meet, "__id long, __hashes array<long>")
+    return dealt.mapInArrow(_meet(parts_of(own.sparkSession)), "part int, ids array<long>, counts array<int>, hashes array<long>")
 
 
 def _cut(width: int, with_text: bool):
-    """Drop the covered words; the rest is joined by single spaces."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in text_blocks(batch.column(1)):
-                n, removed, spans, digests, texts = [], [], [], [], []
-                hits = batch.column(2).slice(block.rows.start, block.rows.stop - block.rows.start)
-                flat, cut = hits.flatten().to_numpy(), np.concatenate([[0], np.cumsum(hits.value_lengths().fill_null(0).to_numpy())])
-                words = None
-                if len(flat):
-                    hashes, doc, at = _block_windows(block, width)
-                    words, begin = True, np.searchsorted(doc, np.arange(len(hits) + 1))
-                for i in range(len(hits)):
-                    own = block.doc_bytes(i).split()
-                    gone, count = 0, 0
-                    if own and words and cut[i + 1] > cut[i]:
-                        w = slice(begin[i], begin[i + 1])
-                        start = at[w][np.isin(hashes[w].view(np.int64), flat[cut[i] : cut[i + 1]])]
-                        edge = np.zeros(len(own) + 1, np.int32)
-                        edge[start] += 1
-                        np.subtract.at(edge, start + width, 1)
-                        stay = np.cumsum(edge[:-1]) == 0
-                        gone = len(own) - int(stay.sum())
-                        count = int((~stay[1:] & stay[:-1]).sum() + (not stay[0]))
-                        n.append(len(own))
-                        own = list(compress(own, stay.tolist()))
-                    else:
-                        n.append(len(own))
-                    left = b" ".join(own)
-                    removed.append(gone)
-                    spans.append(count)
-                    digests.append(hashlib.sha256(left).hexdigest())
-                    if with_text:
-                        texts.append(left.decode("utf-8", "replace"))
-                columns = [batch.column(0).slice(block.rows.start, len(n)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.int64())]
-                names = ["__id", "n_words", "n_removed", "kept_sha256", "n_spans"]
+    """Drop the covered words of one part's documents; the rest is joined by single spaces."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        keys = np.repeat(column_of(found, "ids").flatten().to_numpy(), column_of(found, "counts").flatten().to_numpy()) if found.num_rows else np.empty(0, np.int64)
+        values = column_of(found, "hashes").flatten().to_numpy() if found.num_rows else keys
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order]
+        ids, texts = column_of(docs, "__id"), column_of(docs, "__text")
+        own_ids = ids_of(ids)
+        low, high = np.searchsorted(keys, own_ids), np.searchsorted(keys, own_ids, "right")
+        n, removed, spans, digests, kept_texts = [], [], [], [], []
+        for block in text_blocks(texts):
+            lo, hi = low[block.rows], high[block.rows]
+            if (hi > lo).any():
+                hashes, doc, at = _block_windows(block, width)
+                begin = np.searchsorted(doc, np.arange(len(lo) + 1))
+            for i in range(len(lo)):
+                words = block.doc_bytes(i).split()
+                n.append(len(words))
+                gone, count = 0, 0
+                if hi[i] > lo[i]:
+                    w = slice(begin[i], begin[i + 1])
+                    start = at[w][np.isin(hashes[w].view(np.int64), values[lo[i] : hi[i]])]
+                    edge = np.zeros(len(words) + 1, np.int32)
+                    edge[start] += 1
+                    np.subtract.at(edge, start + width, 1)
+                    stay = np.cumsum(edge[:-1]) == 0
+                    gone = len(words) - int(stay.sum())
+                    count = int((~stay[1:] & stay[:-1]).sum() + (not stay[0]))
+                    words = compress(words, stay.tolist())
+                left = b" ".join(words)
+                removed.append(gone)
+                spans.append(count)
+                digests.append(hashlib.sha256(left).hexdigest())
                 if with_text:
-                    columns, names = [*columns, pa.array(texts, pa.string())], [*names, "kept_text"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    kept_texts.append(left.decode("utf-8", "replace"))
+        columns = {"__id": ids, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "n_spans": pa.array(spans, pa.int64())}
+        return pa.table(columns | ({"kept_text": pa.array(kept_texts, pa.string())} if with_text else {}))
 
     return run
 
@@ -220,7 +225,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     each other's words; each is returned.  Rows without an id are left out.
     Other columns are ignored, whatever their names.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__id is not null")
-    hits = repeated_windows(docs, id_col=id_col, text_col=text_col, width=width).groupBy("__id").agg(F.flatten(F.collect_list("__hashes")).alias("__hashes"))
+    own = plain_texts(docs, id_col, text_col)
     out = "__id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + ", kept_text string" * with_text
-    return own.join(hits, "__id", "left").select("__id", "__text", "__hashes").mapInArrow(_cut(width, with_text), out).withColumnRenamed("__id", id_col)
+    found = repeated_windows(own, width)
+    return dealt_texts(own).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width, with_text), out).withColumnRenamed("__id", id_col)
