@@ -37,3 +37,69 @@ kept AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(w
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(spans, 0) AS n_spans
 FROM worded LEFT JOIN kept USING (doc_id)
 """
+
+_CONTROL = r"\|turn\|>|\|text\|>|\|next\|>|\|end\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>"
+_ESCAPE = rf"regexp_replace({{x}}, '([<\[])(\\*)({_CONTROL})', '\1\\\2\3', 'g')"
+
+CHAT_FORMAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+marked AS (SELECT *, row_number() OVER o AS i, lag(role) OVER o AS before FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+sized AS (
+  SELECT *, length({_ESCAPE.format(x="text")}) + CASE
+    WHEN before = role THEN length('<|next|>')
+    ELSE length('<|turn|><|text|><|end|>') + length({_ESCAPE.format(x="role")}) END AS size FROM marked)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+MIXING = """
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(doc_id::VARCHAR) AS digest FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS nth FROM sources),
+placed AS (SELECT *, [5.0, 2.0, 1.0][nth + 1]::DOUBLE AS weight, [0.5, 0.0, -0.5][nth + 1]::DOUBLE AS bend, (3 * source_size)::DOUBLE AS cap FROM ranked),
+levels AS (
+  SELECT *, cap / weight AS filled,
+    (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM placed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+targets AS (
+  SELECT source, source_size, bend,
+    CASE WHEN filled <= level THEN cap ELSE weight * (min_by(level, filled) FILTER (filled > level) OVER ()) END AS target FROM levels),
+ordered AS (
+  SELECT d.*, t.source_size, t.target, t.bend, round(t.target)::BIGINT AS quota,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+taking AS (
+  SELECT *, (quota // greatest(source_size, 1)) * size + least(size, greatest(quota - (quota // greatest(source_size, 1)) * source_size - start, 0)) AS taken,
+    start / greatest(quota, 1)::DOUBLE AS used FROM ordered)
+SELECT doc_id, size::BIGINT AS size, source_size, target, taken::BIGINT AS taken,
+  CASE WHEN taken > 0 THEN round(2 * used / (1 + bend + sqrt(greatest((1 + bend) * (1 + bend) - 4 * bend * used, 0))), 6) END AS position
+FROM taking
+"""
+
+
+def _matches(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT doc_id, '{kind}' AS kind, {order} AS ord, start, stop FROM (
+  SELECT doc_id, part, size, sum(piece + size) OVER (PARTITION BY doc_id ORDER BY i) - size AS start, sum(piece + size) OVER (PARTITION BY doc_id ORDER BY i) AS stop
+  FROM (SELECT doc_id, generate_subscripts(m, 1) AS i, length(unnest(m)) AS size, length(unnest(g)) AS part, length(unnest(p[1:len(m)])) AS piece
+    FROM (SELECT doc_id, regexp_extract_all(text, {quoted}) AS m, regexp_extract_all(text, {quoted}, {group}) AS g, string_split_regex(text, {quoted}) AS p
+      FROM documents WHERE text IS NOT NULL AND regexp_matches(text, {quoted})))) WHERE part >= {least}"""
+
+
+def _secret_scan() -> str:
+    from .secret_scan import RULES
+
+    found = " UNION ALL ".join(_matches(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(RULES))
+    base = ", ".join(f"'{r.kind}'" for r in RULES if r.base)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in RULES if r.base)
+    said = "string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, ord)"
+    return f"""WITH found AS ({found})
+SELECT d.doc_id, {counts}, sha256(coalesce({said} FILTER (kind IN ({base})), '')) AS base_sha256, coalesce({said}, '') AS spans
+FROM documents d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id"""
+
+
+SECRET_SCAN = _secret_scan()

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
+from .chat_format import chat_digests
+from .mixing import in_training_order, mix_sources
 from .ngram_jaccard import ngram_jaccard
+from .quality_rules import quality_rules
+from .secret_scan import secret_digests
 from .substring_dedup import substring_dedup
 
 
@@ -19,16 +23,42 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat_digests(turns.union(more))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_training_order(mix_sources(_table(spark, sf_dir, "documents")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_chat_format": op7_chat_format,
+    "op8_mixing": op8_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": oracle.NGRAM_JACCARD,
+    "op4_secret_scan": oracle.SECRET_SCAN,
+    "op7_chat_format": oracle.CHAT_FORMAT,
+    "op8_mixing": oracle.MIXING,
     "op10_substring_dedup": oracle.SUBSTRING_DEDUP,
 }
