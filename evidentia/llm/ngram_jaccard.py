@@ -5,17 +5,20 @@ Token-group matrix.  Equal sets become one.  A first exchange of all tokens
 others name) finds those that two different sets hold; a set links with
 nothing unless such tokens make up the threshold's share of it, and only sets
 that pass go on.  They are partitioned into groups of similar sets: sorted by
-min-hashes over the cluster, each set joins the first of a few recent leaders
-that it links with, twice over with other min-hashes.  That gives most links
+min-hashes over the cluster, those of frequent tokens first, each set joins the
+first of a few recent leaders that it links with, several times over with other
+min-hashes.  That gives most links
 and, by connected components, what is linked already.
 
 The rest is exact.  Of two linked sets, the rarer tokens that precede the last
-``need - 1`` of each (its prefix, in one order for all) share at least one.  The
-matrix holds the union of the prefixes of each group.  A query is a set, a
-candidate a group of another component that holds a token of its prefix; the
-overlap of the whole query with the union of the whole group bounds that with
-any member, and only groups whose bound reaches the query's need are opened and
-their members compared.  Sets that are linked through others already are not
+``need - 1`` of each (its prefix, in one order for all) share at least one, and
+from the first that they share on, both have as many tokens left as their
+overlap must hold.  The matrix holds the union of the prefixes of each group,
+with the least size and the most that is left.  A query is a set, a candidate a
+group of another component that holds a token of its prefix with enough left;
+the overlap of the whole query with the union of the whole group bounds that
+with any member, and only groups whose bound reaches what the least member
+would need are opened and their members compared.  Sets that are linked through others already are not
 compared again, so a large group of near copies costs no square of its size;
 no link between components is missed.
 
@@ -40,7 +43,7 @@ from .components import components
 
 WIDTH, PERCENT = 5, 80
 #: How many leaders a set is compared with in each of the rounds that form groups.
-LEADERS, ROUNDS = 16, 2
+LEADERS, ROUNDS = 16, 3
 _DEALT = "bucket int, sids array<long>, sizes array<int>, counts array<int>, tokens array<int>"
 
 
@@ -192,8 +195,9 @@ def _candidates(percent: int):
         own = np.repeat(keep, held)
         keys, held = keys[own], held[keep]
         cuts = np.concatenate([[0], np.cumsum(held)])
+        grades = np.add.reduceat(keys >> 56, cuts[:-1]) * 256 // n[keep] if len(keys) else np.empty(0, np.int64)
         hashes = [np.minimum.reduceat(mix(keys.view(np.uint64), 20 + k), cuts[:-1]).view(np.int64) if len(keys) else np.empty(0, np.int64) for k in range(2 * ROUNDS)]
-        return pa.table({"sid": pa.array(known[keep], pa.int64()), "n": pa.array(n[keep], pa.int64()), "keys": lists(keys, cuts, pa.int64())} | {f"h{k}": pa.array(h, pa.int64()) for k, h in enumerate(hashes)})
+        return pa.table({"sid": pa.array(known[keep], pa.int64()), "n": pa.array(n[keep], pa.int64()), "keys": lists(keys, cuts, pa.int64()), "grade": pa.array(grades, pa.int64())} | {f"h{k}": pa.array(h, pa.int64()) for k, h in enumerate(hashes)})
 
     return run
 
@@ -211,44 +215,45 @@ def _led(percent: int):
                 own, n = flat[cuts[i] : cuts[i + 1]], int(sizes[i])
                 if heads[i] != at:
                     at, leaders = heads[i], []
-                for sid, m, other in reversed(leaders):
+                for k, (sid, m, other) in enumerate(leaders):
                     if min(n, m) * 100 >= percent * max(n, m):
                         both = np.concatenate([own, other])
                         both.sort()
                         overlap = int((both[1:] == both[:-1]).sum())
                         if 100 * overlap >= percent * (n + m - overlap):
                             to[i] = sid
+                            leaders.insert(0, leaders.pop(k))
                             break
                 else:
-                    leaders = [*leaders[1 - LEADERS :], (int(sids[i]), n, own.copy())]
+                    leaders = [(int(sids[i]), n, own.copy()), *leaders[: LEADERS - 1]]
                     to[i] = sids[i]
             yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(to)], ["a", "b"])
 
     return run
 
 
-def _needed(n: str, percent: int):
-    return F.ceil(F.col(n) * percent / 100)
-
-
 def _late_links(sets: DataFrame, groups: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different components: matrix, bound, opening.  ``groups``: a set and its leader (a, b)."""
-    placed = sets.select("sid", "n", F.slice("keys", F.lit(1), (F.size("keys") - _needed("n", percent) + 1).cast("int")).alias("prefix"))
-    placed = placed.join(groups.select(F.col("a").alias("sid"), F.col("b").alias("g")), "sid")
-    placed = placed.join(roots.select(F.col("node").alias("sid"), F.col("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    entries = kept(placed.select("sid", "n", "g", "root", F.explode("prefix").alias("key")))
-    mixed = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    entries = kept(entries.join(mixed, "key", "left_semi"))
-    matrix = entries.groupBy("key", "g", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    queries = entries.select("key", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("root").alias("rq"))
-    fits = (F.col("most") * 100 >= F.col("nq") * percent) & (F.col("least") * percent <= F.col("nq") * 100) & (F.col("rq") < F.col("root"))
-    found = kept(queries.join(matrix, "key").where(fits).select("q", "nq", "g").distinct())
-    asked = found.join(sets.select(F.col("sid").alias("q"), "keys"), "q").select("q", "nq", "g", F.explode("keys").alias("key"))
-    unions = sets.join(groups.select(F.col("a").alias("sid"), F.col("b").alias("g")), "sid").join(found.select("g").distinct(), "g", "left_semi").select("g", F.explode("keys").alias("key")).distinct()
-    opened = asked.join(unions, ["g", "key"]).groupBy("q", "nq", "g").count().where(F.col("count") >= _needed("nq", percent)).select("q", "nq", "g")
-    members = entries.select("key", "g", F.col("sid").alias("s"), F.col("n").alias("ns"))
-    close = (F.col("ns") * 100 >= F.col("nq") * percent) & (F.col("ns") * percent <= F.col("nq") * 100)
-    pairs = queries.join(opened.select("q", "g"), "q").join(members, ["key", "g"]).where(close & (F.col("q") != F.col("s"))).select("q", "s", "nq", "ns").distinct()
+    led = groups.select(F.col("a").alias("sid"), F.col("b").alias("g"))
+    reaches = lambda held, n, m: F.col(held) * (100 + percent) >= (F.col(n) + m) * percent
+    least = lambda n: F.ceil(F.col(n) * percent / 100)
+    placed = sets.select("sid", "n", F.size("keys").alias("held"), F.slice("keys", F.lit(1), (F.size("keys") - least("n") + 1).cast("int")).alias("prefix"))
+    placed = placed.join(led, "sid").join(roots.select(F.col("node").alias("sid"), F.col("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    entries = kept(placed.select("sid", "n", "held", "g", "root", F.posexplode("prefix").alias("at", "key")).withColumn("left", F.col("held") - F.col("at")).drop("held", "at"))
+    keys = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("n_least")).where("low != high").select("key", "n_least")
+    entries = kept(entries.join(keys, "key").where(reaches("left", "n", F.greatest("n_least", least("n")))).drop("n_least"))
+    matrix = entries.groupBy("key", "g", "root").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.max(F.col("left") * (100 + percent) - F.col("n") * percent).alias("slack"))
+    queries = entries.select("key", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("left").alias("lq"), F.col("root").alias("rq"))
+    fits = (F.col("rq") < F.col("root")) & (F.col("n_most") * 100 >= F.col("nq") * percent) & (F.col("n_least") * percent <= F.col("nq") * 100)
+    found = queries.join(matrix, "key").where(fits & (F.col("slack") >= F.col("nq") * percent) & reaches("lq", "nq", F.greatest("n_least", least("nq"))))
+    found = kept(found.groupBy("q", "nq", "g").agg(F.min("n_least").alias("n_least")))
+    asked = found.join(sets.select(F.col("sid").alias("q"), "keys"), "q").select("q", "nq", "g", "n_least", F.explode("keys").alias("key"))
+    unions = sets.join(led, "sid").join(found.select("g").distinct(), "g", "left_semi").select("g", F.explode("keys").alias("key")).distinct()
+    bounds = asked.join(unions, ["g", "key"]).groupBy("q", "nq", "g").agg(F.count(F.lit(1)).alias("most"), F.min("n_least").alias("n_least"))
+    opened = bounds.where(reaches("most", "nq", F.greatest("n_least", least("nq")))).select("q", "g")
+    members = entries.select("key", "g", F.col("sid").alias("s"), F.col("n").alias("ns"), F.col("left").alias("ls"))
+    close = (F.col("ns") * 100 >= F.col("nq") * percent) & (F.col("ns") * percent <= F.col("nq") * 100) & reaches("lq", "nq", F.col("ns")) & reaches("ls", "nq", F.col("ns"))
+    pairs = queries.join(opened, "q").join(members, ["key", "g"]).where(close & (F.col("q") != F.col("s"))).select("q", "s", "nq", "ns").distinct()
     compared = pairs.join(sets.select(F.col("sid").alias("q"), F.col("keys").alias("kq")), "q").join(sets.select(F.col("sid").alias("s"), F.col("keys").alias("ks")), "s")
     overlap = F.size(F.array_intersect("kq", "ks"))
     return compared.where(overlap * 100 >= (F.col("nq") + F.col("ns") - overlap) * percent).select(F.col("q").alias("a"), F.col("s").alias("b"))
@@ -272,17 +277,18 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     dealt = own.mapInArrow(_deal(width, buckets), _DEALT).repartitionById(buckets, F.col("bucket"))
     shared = dealt.mapInArrow(_shared(parts), _DEALT.replace("bucket", "part").replace("tokens array<int>", "tokens array<long>"))
     heads = [f"h{k}" for k in range(2 * ROUNDS)]
-    sets = kept(shared.groupBy("part").applyInArrow(_candidates(percent), "sid long, n long, keys array<long>" + "".join(f", {h} long" for h in heads)))
+    sets = kept(shared.groupBy("part").applyInArrow(_candidates(percent), "sid long, n long, keys array<long>, grade long" + "".join(f", {h} long" for h in heads)))
     rounds = []
     for k in range(ROUNDS):
-        order = [heads[2 * k], heads[2 * k + 1], "sid"]
-        spread = sets.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
-        rounds.append(kept(spread.select("sid", "n", "keys", order[0]).mapInArrow(_led(percent), "a long, b long")))
+        head, spread = heads[2 * k], heads[2 * k + 1]
+        near = sets.repartitionByRange(buckets, head, spread, "sid").sortWithinPartitions(head, F.desc("grade"), "sid")
+        rounds.append(kept(near.select("sid", "n", "keys", head).mapInArrow(_led(percent), "a long, b long")))
     links = rounds[0]
     for more in rounds[1:]:
         links = links.union(more)
-    late = kept(_late_links(sets, rounds[0], components(links), percent))
-    roots = components(links.union(late))
+    roots = components(links)
+    late = kept(_late_links(sets, rounds[0], roots, percent))
+    roots = components(links.union(late)) if not late.isEmpty() else roots
     of_set = sized.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     of_set = of_set.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = of_set.join(of_set.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
