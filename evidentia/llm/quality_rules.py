@@ -30,14 +30,14 @@ from .expressions import let, words
 WINDOW = 8
 #: Share of a group in each estimate, concentration steps, smallest group.
 SHARE, STEPS, LEAST = 0.75, 3, 60
-#: Squared Mahalanobis distance beyond which a document is rejected.
-CUTOFF = 150.0
+#: Squared Mahalanobis distance beyond which a document is rejected; of 10^7 normal vectors it would reject about one or two.
+CUTOFF = 40.0
 #: Chi-squared of five degrees: what makes the share's covariance that of all, and the limit of the reweighting step.
 _GROWN, _NEAR = 1.41, 12.83
 #: Grid of a statistic (cells a unit), its largest value in cells, and cells a unit of squared distance.
 GRID, CELLS, _FINE = 256, 8192, 16
 #: Least standard deviation of each statistic, in its own unit, so that one which hardly varies doesn't decide alone.
-STATISTICS = {"size": 0.5, "word": 0.05, "symbols": 0.35, "lines": 0.35, "repeats": 0.15}
+STATISTICS = {"size": 0.5, "word": 0.05, "symbols": 0.35, "lines": 0.5, "repeats": 0.4}
 _P = len(STATISTICS)
 
 
