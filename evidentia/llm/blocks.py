@@ -30,6 +30,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes that are no part of a word of letters and digits; all bytes of characters beyond ASCII are.
+NO_LETTER = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -113,11 +115,11 @@ class Words:
     first: np.ndarray
 
 
-def words_of(block: Block) -> Words:
-    """The runs of bytes other than space and 0x09-0x0D, which never cross documents."""
+def words_of(block: Block, between: np.ndarray = _SPACE) -> Words:
+    """The runs of bytes other than those marked in ``between`` (space and 0x09-0x0D), which never cross documents."""
     n = len(block.data)
     solid = np.zeros(n + 1, bool)
-    np.logical_not(_SPACE[block.data], out=solid[:n])
+    np.logical_not(between[block.data], out=solid[:n])
     heads = block.offsets[:-1][np.diff(block.offsets) > 0]
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
@@ -202,9 +204,10 @@ def _with_part(parts: int):
     return run
 
 
-def plain_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``__id``, ``__text`` of the rows that have an id; other columns are left out, whatever their names."""
-    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__id is not null")
+def plain_texts(docs: DataFrame, id_col: str, text_col: str, carry: str | None = None) -> DataFrame:
+    """``__id``, ``__text`` of the rows that have an id, and if asked all of the row as a struct; whatever the names of other columns."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(carry)] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *rest).where("__id is not null")
 
 
 def dealt_texts(own: DataFrame) -> DataFrame:
@@ -213,7 +216,8 @@ def dealt_texts(own: DataFrame) -> DataFrame:
     A plan that cogroups by ``part`` several times exchanges the texts once
     (equal exchanges are reused within a query).
     """
-    return own.mapInArrow(_with_part(parts_of(own.sparkSession)), "part int, __id long, __text string")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
+    return own.mapInArrow(_with_part(parts_of(own.sparkSession)), f"part int, {fields}")
 
 
 def column_of(table: pa.Table, name: str) -> pa.Array:

@@ -13,6 +13,7 @@ from .ngram_jaccard import ngram_jaccard
 from .quality_rules import quality_rules
 from .secret_scan import secret_digests
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
     "op7_chat_format": op7_chat_format,
