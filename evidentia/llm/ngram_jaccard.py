@@ -7,7 +7,7 @@ nothing unless such tokens make up the threshold's share of it, and only sets
 that pass go on.  They are partitioned into groups of similar sets: sorted by
 min-hashes over the cluster, those of frequent tokens first, each set joins the
 first of a few recent leaders that it links with, several times over with other
-min-hashes.  That gives most links
+min-hashes and, where one min-hash fills several tasks, other company.  That gives most links
 and, by connected components, what is linked already.
 
 The rest is exact.  Of two linked sets, the rarer tokens that precede the last
@@ -43,7 +43,7 @@ from .components import components
 
 WIDTH, PERCENT = 5, 80
 #: How many leaders a set is compared with in each of the rounds that form groups.
-LEADERS, ROUNDS = 16, 3
+LEADERS, ROUNDS = 24, 3
 _DEALT = "bucket int, sids array<long>, sizes array<int>, counts array<int>, tokens array<int>"
 
 
@@ -196,7 +196,7 @@ def _candidates(percent: int):
         keys, held = keys[own], held[keep]
         cuts = np.concatenate([[0], np.cumsum(held)])
         grades = np.add.reduceat(keys >> 56, cuts[:-1]) * 256 // n[keep] if len(keys) else np.empty(0, np.int64)
-        hashes = [np.minimum.reduceat(mix(keys.view(np.uint64), 20 + k), cuts[:-1]).view(np.int64) if len(keys) else np.empty(0, np.int64) for k in range(2 * ROUNDS)]
+        hashes = [np.minimum.reduceat(mix(keys.view(np.uint64), 20 + k), cuts[:-1]).view(np.int64) if len(keys) else np.empty(0, np.int64) for k in range(ROUNDS)]
         return pa.table({"sid": pa.array(known[keep], pa.int64()), "n": pa.array(n[keep], pa.int64()), "keys": lists(keys, cuts, pa.int64()), "grade": pa.array(grades, pa.int64())} | {f"h{k}": pa.array(h, pa.int64()) for k, h in enumerate(hashes)})
 
     return run
@@ -232,23 +232,23 @@ def _led(percent: int):
     return run
 
 
-def _late_links(sets: DataFrame, groups: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of different components: matrix, bound, opening.  ``groups``: a set and its leader (a, b)."""
-    led = groups.select(F.col("a").alias("sid"), F.col("b").alias("g"))
+def _late_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between sets of different groups (components so far): matrix, bound, opening."""
+    grouped = kept(sets.select("sid").join(roots.select(F.col("node").alias("sid"), F.col("root").alias("g")), "sid", "left").withColumn("g", F.coalesce("g", "sid")))
     reaches = lambda held, n, m: F.col(held) * (100 + percent) >= (F.col(n) + m) * percent
     least = lambda n: F.ceil(F.col(n) * percent / 100)
     placed = sets.select("sid", "n", F.size("keys").alias("held"), F.slice("keys", F.lit(1), (F.size("keys") - least("n") + 1).cast("int")).alias("prefix"))
-    placed = placed.join(led, "sid").join(roots.select(F.col("node").alias("sid"), F.col("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    entries = kept(placed.select("sid", "n", "held", "g", "root", F.posexplode("prefix").alias("at", "key")).withColumn("left", F.col("held") - F.col("at")).drop("held", "at"))
-    keys = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("n_least")).where("low != high").select("key", "n_least")
+    placed = placed.join(grouped, "sid")
+    entries = kept(placed.select("sid", "n", "held", "g", F.posexplode("prefix").alias("at", "key")).withColumn("left", F.col("held") - F.col("at")).drop("held", "at"))
+    keys = entries.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min("n").alias("n_least")).where("low != high").select("key", "n_least")
     entries = kept(entries.join(keys, "key").where(reaches("left", "n", F.greatest("n_least", least("n")))).drop("n_least"))
-    matrix = entries.groupBy("key", "g", "root").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.max(F.col("left") * (100 + percent) - F.col("n") * percent).alias("slack"))
-    queries = entries.select("key", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("left").alias("lq"), F.col("root").alias("rq"))
-    fits = (F.col("rq") < F.col("root")) & (F.col("n_most") * 100 >= F.col("nq") * percent) & (F.col("n_least") * percent <= F.col("nq") * 100)
+    matrix = entries.groupBy("key", "g").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.max(F.col("left") * (100 + percent) - F.col("n") * percent).alias("slack"))
+    queries = entries.select("key", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("left").alias("lq"), F.col("g").alias("gq"))
+    fits = (F.col("gq") < F.col("g")) & (F.col("n_most") * 100 >= F.col("nq") * percent) & (F.col("n_least") * percent <= F.col("nq") * 100)
     found = queries.join(matrix, "key").where(fits & (F.col("slack") >= F.col("nq") * percent) & reaches("lq", "nq", F.greatest("n_least", least("nq"))))
     found = kept(found.groupBy("q", "nq", "g").agg(F.min("n_least").alias("n_least")))
     asked = found.join(sets.select(F.col("sid").alias("q"), "keys"), "q").select("q", "nq", "g", "n_least", F.explode("keys").alias("key"))
-    unions = sets.join(led, "sid").join(found.select("g").distinct(), "g", "left_semi").select("g", F.explode("keys").alias("key")).distinct()
+    unions = sets.join(grouped, "sid").join(found.select("g").distinct(), "g", "left_semi").select("g", F.explode("keys").alias("key")).distinct()
     bounds = asked.join(unions, ["g", "key"]).groupBy("q", "nq", "g").agg(F.count(F.lit(1)).alias("most"), F.min("n_least").alias("n_least"))
     opened = bounds.where(reaches("most", "nq", F.greatest("n_least", least("nq")))).select("q", "g")
     members = entries.select("key", "g", F.col("sid").alias("s"), F.col("n").alias("ns"), F.col("left").alias("ls"))
@@ -276,18 +276,17 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sized = kept(own.mapInArrow(_sizes(width), "id long, n long, sid long"))
     dealt = own.mapInArrow(_deal(width, buckets), _DEALT).repartitionById(buckets, F.col("bucket"))
     shared = dealt.mapInArrow(_shared(parts), _DEALT.replace("bucket", "part").replace("tokens array<int>", "tokens array<long>"))
-    heads = [f"h{k}" for k in range(2 * ROUNDS)]
+    heads = [f"h{k}" for k in range(ROUNDS)]
     sets = kept(shared.groupBy("part").applyInArrow(_candidates(percent), "sid long, n long, keys array<long>, grade long" + "".join(f", {h} long" for h in heads)))
     rounds = []
     for k in range(ROUNDS):
-        head, spread = heads[2 * k], heads[2 * k + 1]
-        near = sets.repartitionByRange(buckets, head, spread, "sid").sortWithinPartitions(head, F.desc("grade"), "sid")
-        rounds.append(kept(near.select("sid", "n", "keys", head).mapInArrow(_led(percent), "a long, b long")))
+        near = sets.repartitionByRange(buckets, f"h{k}", F.xxhash64("sid", F.lit(k))).sortWithinPartitions(f"h{k}", F.desc("grade"), "sid")
+        rounds.append(kept(near.select("sid", "n", "keys", f"h{k}").mapInArrow(_led(percent), "a long, b long")))
     links = rounds[0]
     for more in rounds[1:]:
         links = links.union(more)
     roots = components(links)
-    late = kept(_late_links(sets, rounds[0], roots, percent))
+    late = kept(_late_links(sets, roots, percent))
     roots = components(links.union(late)) if not late.isEmpty() else roots
     of_set = sized.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     of_set = of_set.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
