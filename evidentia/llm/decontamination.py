@@ -81,13 +81,12 @@ class Index:
     block_most: np.ndarray
     tails: np.ndarray
     width: int
-    grams: list[tuple[np.ndarray, np.ndarray]]
+    grams: list[tuple[tuple[int, np.ndarray], ...]]
 
 
-def _trigrams(terms: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of three terms, or of all if there are fewer."""
-    n = min(3, len(terms))
-    if not n:
+def _runs(terms: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the different runs of n terms."""
+    if not 0 < n <= len(terms):
         return np.empty(0, np.uint64)
     total = terms[: len(terms) - n + 1].copy()
     for k in range(1, n):
@@ -95,7 +94,13 @@ def _trigrams(terms: np.ndarray) -> np.ndarray:
     return np.unique(total)
 
 
-def build_index(rows: list, n_items: int, mean: float, tail: float) -> Index:
+def _side(terms: list[int]) -> tuple[int, np.ndarray]:
+    """The length of the runs of a question or an answer (three, or all of fewer terms) and their hashes."""
+    n = min(3, len(terms))
+    return n, _runs(np.array(terms, np.int64).view(np.uint64), n)
+
+
+def build_index(rows: list, n_items: int, mean: float, longest: int, tail: float) -> Index:
     """``rows``: item id, question terms, answer terms, and for each different term of the item how many items have it."""
     ids = np.array([r["item"] for r in rows], np.int64)
     item, term, impact = [], [], []
@@ -128,9 +133,8 @@ def build_index(rows: list, n_items: int, mean: float, tail: float) -> Index:
     at = d[starts_of(n[d], block[d])]
     most = np.maximum.reduceat(impact[d], np.searchsorted(d, at)) if len(d) else np.empty(0)
     block_tails = np.maximum.reduceat(tails, np.arange(0, len(tails), BLOCK))
-    grams = [(_trigrams(np.array(r["question"], np.int64).view(np.uint64)), _trigrams(np.array(r["answer"], np.int64).view(np.uint64))) for r in rows]
-    width = max(max((len(r["question"]) + len(r["answer"]) for r in rows)), 16)
-    return Index(ids, term[head], np.append(head, len(term)), item, impact, np.searchsorted(n[at], np.arange(len(head) + 1)), block[at], most, block_tails, width, grams)
+    grams = [(_side(r["question"]), _side(r["answer"])) for r in rows]
+    return Index(ids, term[head], np.append(head, len(term)), item, impact, np.searchsorted(n[at], np.arange(len(head) + 1)), block[at], most, block_tails, max(longest, 16), grams)
 
 
 class _Finder:
@@ -196,9 +200,10 @@ def search_block(block: Block, index: Index, finder: _Finder, threshold: float)
         found = scores >= threshold
         if not found.any():
             continue
-        held = _trigrams(terms[max(a - 2, first[d]) : min(b + 2, first[d + 1])])
+        near = terms[max(a - 2, first[d]) : min(b + 2, first[d + 1])]
+        held = [_runs(near, k) for k in range(4)]
         for i, score in zip(items[found].tolist(), scores[found].tolist(), strict=True):
-            shares = [float(np.isin(g, held).mean()) if len(g) else 1.0 for g in index.grams[i]]
+            shares = [float(np.isin(g, held[k]).mean()) if k else 1.0 for k, g in index.grams[i]]
             old = best.get((d, i), (0.0, 0.0, 0.0))
             best[d, i] = max(old, (score, *shares), key=lambda x: (min(x[1:]), x[0]))
     for (d, i), x in sorted(best.items()):
@@ -226,7 +231,7 @@ def item_batches(items: DataFrame, *, item_col: str = "item_id", text_col: str =
     table = table.mapInArrow(_item_terms, "item long, question array<long>, answer array<long>").where(F.size("question") + F.size("answer") > 0)
     table = kept(table.withColumn("row", F.xxhash64("item", "question", "answer")))
     size = F.size("question") + F.size("answer")
-    about = table.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean"), F.sum(size).alias("terms")).first()
+    about = table.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean"), F.sum(size).alias("terms"), F.max(size).alias("longest")).first()
     if not about["n"]:
         return
     batches = max(-(-about["n"] // BATCH_ITEMS), -(-about["terms"] * 8 // BATCH_CHARS))
@@ -237,7 +242,7 @@ def item_batches(items: DataFrame, *, item_col: str = "item_id", text_col: str =
     full = kept(full.withColumn("batch", F.pmod(F.col("row"), F.lit(batches))))
     for k in range(batches):
         if rows := full.where(F.col("batch") == k).orderBy("item", "row").collect():
-            yield build_index(rows, about["n"], about["mean"], tail)
+            yield build_index(rows, about["n"], about["mean"], about["longest"], tail)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:

@@ -29,17 +29,17 @@ def score_all(docs, items):
 
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     bags = {i: words(t) for i, t in items}
-    n, mean = len(bags), sum(map(len, bags.values())) / len(bags)
+    count, mean = len(bags), sum(map(len, bags.values())) / len(bags)
     df = {}
     for b in bags.values():
         for w in set(b):
             df[w] = df.get(w, 0) + 1
     width = max(16, max(map(len, bags.values())))
-    grams = lambda w: {tuple(w[k : k + min(3, len(w))]) for k in range(len(w) - min(3, len(w)) + 1)} if w else set()
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
     found = set()
     for i, text in items:
         own = bags[i]
-        impact = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in set(own)}
+        impact = {w: math.log1p((count - df[w] + 0.5) / (df[w] + 0.5)) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in set(own)}
         total = sum(impact.values())
         m = re.match(r"(?s)^(.*[.!?])\s+(\S.*)$", text.strip())
         head = math.ceil(len(text.split()) * 2 / 3)
@@ -49,8 +49,9 @@ def score_all(docs, items):
             for s in range(0, max(len(w), 1), width):
                 window = w[s : s + 2 * width]
                 if sum(impact.get(x, 0) for x in set(window)) / total >= 0.5:
-                    held = grams(w[max(s - 2, 0) : s + 2 * width + 2])
-                    if all(not g or len(g & held) / len(g) >= 0.5 for g in (grams(words(q)), grams(words(a)))):
+                    near = w[max(s - 2, 0) : s + 2 * width + 2]
+                    sides = [(min(3, len(x)), grams(x, min(3, len(x)))) for x in (words(q), words(a))]
+                    if all(not g or len(g & grams(near, n)) / len(g) >= 0.5 for n, g in sides):
                         found.add((d, i))
     return found
 
