@@ -205,8 +205,8 @@ def _with_part(parts: int):
 
 
 def plain_texts(docs: DataFrame, id_col: str, text_col: str, carry: str | None = None) -> DataFrame:
-    """``__id``, ``__text`` of the rows that have an id, and if asked all of the row as a struct; whatever the names of other columns."""
-    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(carry)] if carry else []
+    """``__id``, ``__text`` of the rows that have an id, and if asked a struct of all columns but the text; whatever the names of other columns."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias(carry)] if carry else []
     return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *rest).where("__id is not null")
 
 

@@ -362,7 +362,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     a document with a smaller id, or above in the same; whether the earlier
     line is itself removed doesn't matter.  Returns one row for each input row:
     the id, ``n_lines``, ``n_removed``, ``kept_sha256`` (of the text left), if
-    asked ``kept_text``, and under the name ``carry`` the whole input row.
+    asked ``kept_text``, and under the name ``carry`` a struct of the row's other columns.
 
     A null text is one empty line, as an empty one is.  Rows with the same id
     are one place in the order: equal lines at equal places don't remove each

@@ -34,8 +34,8 @@ SHARE, STEPS, LEAST = 0.75, 3, 60
 CUTOFF = 40.0
 #: Chi-squared of five degrees: what makes the share's covariance that of all, and the limit of the reweighting step.
 _GROWN, _NEAR = 1.41, 12.83
-#: Grid of a statistic (cells a unit), its largest value in cells, and cells a unit of squared distance.
-GRID, CELLS, _FINE = 256, 8192, 16
+#: Grid of a statistic (cells a unit), number of cells of a statistic or distance, and cells a unit of distance.
+GRID, CELLS, _FINE = 256, 8192, 64
 #: Least standard deviation of each statistic, in its own unit, so that one which hardly varies doesn't decide alone.
 STATISTICS = {"size": 0.5, "word": 0.05, "symbols": 0.35, "lines": 0.5, "repeats": 0.4}
 _P = len(STATISTICS)
@@ -162,7 +162,7 @@ def robust_estimates(cells: DataFrame) -> DataFrame:
     """Reweighted minimum-covariance-determinant estimates of each group of at least ``LEAST`` rows."""
     estimate = kept(_start(cells))
     for _ in range(STEPS):
-        far = _distances(cells, estimate).withColumn("bin", F.least(F.floor(F.col("d2") * _FINE), F.lit(1 << 22)))
+        far = _distances(cells, estimate).withColumn("bin", F.least(F.floor(F.sqrt("d2") * _FINE), F.lit(CELLS)))
         edge = kept(_rank_cell(far.groupBy("group", "bin").count(), SHARE, ["group"], "bin", "count").withColumnRenamed("bin", "edge"))
         estimate = kept(_factored(_moments(far.join(edge, "group").where("bin <= edge")), _GROWN))
     return kept(_factored(_moments(_distances(cells, estimate).where(F.col("d2") <= _NEAR)), 1.0))
