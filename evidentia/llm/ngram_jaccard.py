@@ -7,7 +7,8 @@ nothing unless such tokens make up the threshold's share of it, and only sets
 that pass go on.  They are partitioned into groups of similar sets: sorted by
 min-hashes over the cluster, those of frequent tokens first, each set joins the
 first of a few recent leaders that it links with, several times over with other
-min-hashes and, where one min-hash fills several tasks, other company.  That gives most links
+min-hashes and, where one min-hash fills several tasks, other company; the most central set
+of such a min-hash is copied to all of them.  That gives most links
 and, by connected components, what is linked already.
 
 The rest is exact.  Of two linked sets, the rarer tokens that precede the last
@@ -44,6 +45,8 @@ from .components import components
 WIDTH, PERCENT = 5, 80
 #: How many leaders a set is compared with in each of the rounds that form groups.
 LEADERS, ROUNDS = 24, 3
+#: Sets with one min-hash for each copy of their hub.
+_HUB_EACH = 8
 _DEALT = "bucket int, sids array<long>, sizes array<int>, counts array<int>, tokens array<int>"
 
 
@@ -232,6 +235,13 @@ def _led(percent: int):
     return run
 
 
+def _with_hubs(sets: DataFrame, head: str) -> DataFrame:
+    """The sets and, for a min-hash that many share, copies of its most central set, which meet the others in all tasks they are dealt to."""
+    shared = sets.groupBy(head).agg(F.count(F.lit(1)).alias("times"), F.max_by("sid", F.struct("grade", "sid")).alias("sid")).where(F.col("times") > _HUB_EACH)
+    hubs = sets.drop(head).join(shared, "sid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("times") / _HUB_EACH).cast("int"))))
+    return sets.withColumn("copy", F.lit(0)).unionByName(hubs.select(*sets.columns, "copy"))
+
+
 def _late_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different groups (components so far): matrix, bound, opening."""
     grouped = kept(sets.select("sid").join(roots.select(F.col("node").alias("sid"), F.col("root").alias("g")), "sid", "left").withColumn("g", F.coalesce("g", "sid")))
@@ -280,7 +290,7 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sets = kept(shared.groupBy("part").applyInArrow(_candidates(percent), "sid long, n long, keys array<long>, grade long" + "".join(f", {h} long" for h in heads)))
     rounds = []
     for k in range(ROUNDS):
-        near = sets.repartitionByRange(buckets, f"h{k}", F.xxhash64("sid", F.lit(k))).sortWithinPartitions(f"h{k}", F.desc("grade"), "sid")
+        near = _with_hubs(sets, f"h{k}").repartitionByRange(buckets, f"h{k}", F.xxhash64("sid", "copy", F.lit(k))).sortWithinPartitions(f"h{k}", F.desc("grade"), "sid")
         rounds.append(kept(near.select("sid", "n", "keys", f"h{k}").mapInArrow(_led(percent), "a long, b long")))
     links = rounds[0]
     for more in rounds[1:]:
