@@ -103,3 +103,95 @@ FROM documents d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id"""
 
 
 SECRET_SCAN = _secret_scan()
+
+SUFFIX_DEDUP = """
+WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS (SELECT doc_id, b, octet_length(b) AS n FROM bytes),
+strings AS (SELECT doc_id, i, md5(b[i:i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS i FROM sized WHERE n >= 200)),
+hits AS (SELECT doc_id, i FROM strings WHERE h IN (SELECT h FROM strings GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, sum(CASE WHEN i > coalesce(before, -1000) + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hits)),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 199 AS z FROM marked GROUP BY 1, 2),
+edges AS (
+  SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, 0, 0 FROM sized),
+gaps AS (SELECT doc_id, z + 1 AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a) - 1, n) AS z, n, b FROM edges JOIN sized USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(CASE WHEN z >= a THEN hex(b[a:z]) ELSE '' END, '' ORDER BY a) AS h FROM gaps GROUP BY 1),
+counted AS (SELECT doc_id, sum(z - a + 1)::BIGINT AS r, count(*) AS k FROM runs GROUP BY 1)
+SELECT s.doc_id, n AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(k, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM sized s JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+
+def _quality_rules() -> str:
+    from . import quality_rules as q
+
+    names = list(q.STATISTICS)
+    both = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
+
+    def factored(source: str, grown: float) -> str:
+        out = [f"s_{a}::DOUBLE / n::DOUBLE / {q.GRID} AS m_{a}" for a in names]
+        for i, a in enumerate(names):
+            for j, b in enumerate(names[: i + 1]):
+                cov = f"((s_{b}_{a}::DOUBLE / n::DOUBLE / {q.GRID} / {q.GRID} - m_{a} * m_{b}) * {grown}::DOUBLE)"
+                if i == j:
+                    cov = f"(greatest({cov}, 0.0::DOUBLE) + {q.STATISTICS[a] ** 2!r}::DOUBLE)"
+                for k in range(j):
+                    cov = f"({cov} - l_{i}_{k} * l_{j}_{k})"
+                out.append(f"sqrt(greatest({cov}, 1e-6::DOUBLE)) AS l_{i}_{i}" if i == j else f"{cov} / l_{j}_{j} AS l_{i}_{j}")
+        return f"SELECT grp, {', '.join(out)} FROM ({source})"
+
+    def far(cells: str, estimate: str, how: str = "JOIN") -> str:
+        out = []
+        for i, a in enumerate(names):
+            z = f"({a}::DOUBLE / {q.GRID} - m_{a})"
+            for j in range(i):
+                z = f"({z} - l_{i}_{j} * z_{j})"
+            out.append(f"{z} / l_{i}_{i} AS z_{i}")
+        return f"SELECT c.*, {', '.join(out)}, {' + '.join(f'z_{i} * z_{i}' for i in range(len(names)))} AS d2 FROM {cells} c {how} {estimate} USING (grp)"
+
+    def rank(source: str, by: str, value: str, share: float) -> str:
+        return f"SELECT {by}, {value} FROM (SELECT {by}, {value}, row_number() OVER (PARTITION BY {by} ORDER BY {value}) AS r, count(*) OVER (PARTITION BY {by}) AS k FROM {source}) WHERE r = ceil(k * {share})"
+
+    moments = "count(*) AS n, " + ", ".join([f"sum({a}) AS s_{a}" for a in names] + [f"sum({a} * {b}) AS s_{b}_{a}" for a, b in both])
+    start = ", ".join([f"max(median) FILTER (name = '{a}') AS s_{a}, max(apart) FILTER (name = '{a}') AS d_{a}" for a in names])
+    squares = ", ".join(f"s_{a}::DOUBLE * s_{b}" + (f" + d_{a} * d_{a} * {1.4826**2!r}::DOUBLE" if a == b else "") + f" AS s_{b}_{a}" for a, b in both)
+    cell = lambda v: f"least(greatest(round(({v}) * {q.GRID}), {-q.CELLS / 2}), {q.CELLS / 2})::BIGINT"
+    steps = "".join(
+        f"""far{k} AS (SELECT *, least(floor(sqrt(d2) * {q._FINE}), {q.CELLS}) AS bin FROM ({far("cells", f"est{k}")})),
+est{k + 1} AS ({factored(f"SELECT grp, {moments} FROM far{k} JOIN ({rank(f'far{k}', 'grp', 'bin', q.SHARE)}) e USING (grp) WHERE far{k}.bin <= e.bin GROUP BY grp", q._GROWN)}),
+"""
+        for k in range(q.STEPS)
+    )
+    return f"""WITH worded AS (SELECT doc_id, coalesce('=' || lang, '-') AS lang, coalesce('=' || source, '-') AS source, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS w FROM documents),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM worded),
+windows AS (SELECT doc_id, i, count(*) OVER ahead AS n, string_agg(word, ' ') OVER ahead AS s FROM placed
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {q.WINDOW - 1} FOLLOWING)),
+twice AS (SELECT doc_id, i, n = {q.WINDOW} AND count(*) FILTER (n = {q.WINDOW}) OVER (PARTITION BY doc_id, s) > 1 AS hit FROM windows),
+repeats AS (SELECT doc_id, count(*) FILTER (c) AS n_repeat_words FROM (
+  SELECT doc_id, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {q.WINDOW - 1} PRECEDING AND CURRENT ROW) AS c FROM twice) GROUP BY 1),
+lined AS (SELECT doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM worded),
+counted AS (SELECT * EXCLUDE (ls), len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM lined LEFT JOIN repeats USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  {cell("ln(1 + n_words)")} AS size, {cell("ln((word_chars + 1) / greatest(n_words, 1))")} AS word, {cell("ln((n_symbols + 1) / (greatest(n_words, 1) + 20))")} AS symbols,
+  {cell("5 * n_dup_lines / greatest(n_lines, 1)")} AS lines, {cell("5 * n_repeat_words / greatest(n_words, 1)")} AS repeats FROM counted),
+sizes AS (SELECT lang, source, count(*) AS k FROM judged WHERE NOT base_failed GROUP BY 1, 2),
+groups AS (SELECT lang, source, CASE WHEN k >= {q.LEAST} THEN lang || '/' || source
+  WHEN sum(k) FILTER (k < {q.LEAST}) OVER (PARTITION BY lang) >= {q.LEAST} THEN lang || '//' ELSE '///' END AS grp FROM sizes),
+placed_cells AS (SELECT grp, {", ".join(names)} FROM judged JOIN groups USING (lang, source) WHERE NOT base_failed),
+cells AS (SELECT * FROM placed_cells WHERE grp IN (SELECT grp FROM placed_cells GROUP BY 1 HAVING count(*) >= {q.LEAST})),
+long AS (SELECT grp, name, cell FROM cells UNPIVOT (cell FOR name IN ({", ".join(names)}))),
+medians AS ({rank("long", "grp, name", "cell", 0.5)}),
+spreads AS ({rank("(SELECT l.grp, l.name, abs(l.cell - m.cell) AS apart FROM long l JOIN medians m ON l.grp = m.grp AND l.name = m.name)", "grp, name", "apart", 0.5)}),
+begun AS (SELECT grp, 1 AS n, {start} FROM (SELECT m.grp, m.name, cell AS median, apart FROM medians m JOIN spreads s ON m.grp = s.grp AND m.name = s.name) GROUP BY grp),
+est0 AS ({factored(f"SELECT *, {squares} FROM begun", 1.0)}),
+{steps}last_est AS ({factored(f"SELECT grp, {moments} FROM ({far('cells', f'est{q.STEPS}')}) WHERE d2 <= {q._NEAR} GROUP BY grp", 1.0)}),
+whole AS (SELECT * FROM judged LEFT JOIN groups USING (lang, source))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  CASE WHEN NOT base_failed THEN round(d2, 3) END AS distance, NOT base_failed AND NOT coalesce(d2 > {q.CUTOFF}, false) AS kept
+FROM ({far("whole", "last_est", "LEFT JOIN")})"""
+
+
+QUALITY_RULES = _quality_rules()

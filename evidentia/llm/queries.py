@@ -81,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": oracle.NGRAM_JACCARD,
+    "op2_suffix_dedup": oracle.SUFFIX_DEDUP,
     "op4_secret_scan": oracle.SECRET_SCAN,
+    "op5_quality_rules": oracle.QUALITY_RULES,
     "op7_chat_format": oracle.CHAT_FORMAT,
     "op8_mixing": oracle.MIXING,
     "op10_substring_dedup": oracle.SUBSTRING_DEDUP,
