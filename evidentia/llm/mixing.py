@@ -52,8 +52,9 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, schedul
     return placed.select("key", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * level).alias("target"), "bend")
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[tuple[float, float]] = SCHEDULES, most: int = MOST) -> DataFrame:
-    """For each row: the id, ``size`` (words), ``source_size``, ``target``, ``taken`` and ``position`` (from 0 to 1, of its first use; null if unused).
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[tuple[float, float]] = SCHEDULES, most: int = MOST, carry: Sequence[str] = ()) -> DataFrame:
+    """For each row: the id, ``size`` (words), ``source_size``, ``target``, ``taken`` and ``position`` (from 0 to 1, of its first use; null if unused),
+    and ``carried``, a struct of the columns in ``carry`` if there are any.
 
     A null or empty text has size 0 and is never taken.  A null source is a
     source, the last.  Rows with the same id, or without one, are ordered by
@@ -62,6 +63,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     source = F.col(source_col).cast("string")
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    more = [F.struct(*carry).alias("carried")] if carry else []
     sized = kept(
         docs.select(
             F.col(id_col).alias("id"),
@@ -69,6 +71,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("key"),
             F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             digest.alias("digest"),
+            *more,
         )
     ).withColumn("slice", F.substring("digest", 1, 3))
     targets = kept(source_targets(sized, weights, schedules, most))
@@ -84,7 +87,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     line = 1 + F.col("bend")
     moment = 2 * used / (line + F.sqrt(F.greatest(line * line - 4 * F.col("bend") * used, F.lit(0.0))))
     placed = placed.withColumn("taken", taken.cast("long"))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.round(moment, 6)).alias("position"))
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.round(moment, 6)).alias("position"), *(["carried"] if carry else []))
 
 
 def in_training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
