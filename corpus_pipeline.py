@@ -3,7 +3,8 @@
 Each stage takes the documents that the one before kept and, but for the last,
 returns documents with the same columns.  ``run`` writes each result to the
 folder that the cluster shares and reads it again, so that a lost executor
-costs at most the stage that runs.
+costs at most the stage that runs.  Rows without an id, which no other row can
+name, pass the stages that drop documents.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with how many words it takes of each, in the order of the training."""
-    mixed = kept(mix_sources(docs).where("taken > 0"))
-    return in_training_order(docs.select("doc_id", "text", "lang", "source").join(mixed, "doc_id"))
+    mixed = mix_sources(docs, carry=["text", "lang", "source"]).where("taken > 0")
+    return in_training_order(mixed).select("doc_id", "carried.*", "size", "source_size", "target", "taken", "position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
