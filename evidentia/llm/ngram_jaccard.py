@@ -15,11 +15,11 @@ The rest is exact.  Of two linked sets, the rarer tokens that precede the last
 ``need - 1`` of each (its prefix, in one order for all) share at least one, and
 from the first that they share on, both have as many tokens left as their
 overlap must hold.  The matrix holds the union of the prefixes of each group,
-with the least size and the most that is left.  A query is a set, a candidate a
-group of another component that holds a token of its prefix with enough left;
-the overlap of the whole query with the union of the whole group bounds that
-with any member, and only groups whose bound reaches what the least member
-would need are opened and their members compared.  Sets that are linked through others already are not
+the sets of one component and size, with the most that is left at each token.
+A query is a set, a candidate a group of another component that holds a token
+of its prefix with enough left; the overlap of the whole query with the union
+of the whole group bounds that with any member, and only groups whose bound
+reaches what its members need are opened and their members compared.  Sets that are linked through others already are not
 compared again, so a large group of near copies costs no square of its size;
 no link between components is missed.
 
@@ -243,7 +243,7 @@ def _with_hubs(sets: DataFrame, head: str) -> DataFrame:
 
 
 def _late_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of different groups (components so far): matrix, bound, opening."""
+    """Links between sets of different components so far: matrix, bound, opening.  A group is the sets of one component and size."""
     grouped = kept(sets.select("sid").join(roots.select(F.col("node").alias("sid"), F.col("root").alias("g")), "sid", "left").withColumn("g", F.coalesce("g", "sid")))
     reaches = lambda held, n, m: F.col(held) * (100 + percent) >= (F.col(n) + m) * percent
     least = lambda n: F.ceil(F.col(n) * percent / 100)
@@ -252,18 +252,17 @@ def _late_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     entries = kept(placed.select("sid", "n", "held", "g", F.posexplode("prefix").alias("at", "key")).withColumn("left", F.col("held") - F.col("at")).drop("held", "at"))
     keys = entries.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min("n").alias("n_least")).where("low != high").select("key", "n_least")
     entries = kept(entries.join(keys, "key").where(reaches("left", "n", F.greatest("n_least", least("n")))).drop("n_least"))
-    matrix = entries.groupBy("key", "g").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.max(F.col("left") * (100 + percent) - F.col("n") * percent).alias("slack"))
+    matrix = entries.groupBy("key", "g", F.col("n").alias("ng")).agg(F.max("left").alias("lg"))
     queries = entries.select("key", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("left").alias("lq"), F.col("g").alias("gq"))
-    fits = (F.col("gq") < F.col("g")) & (F.col("n_most") * 100 >= F.col("nq") * percent) & (F.col("n_least") * percent <= F.col("nq") * 100)
-    found = queries.join(matrix, "key").where(fits & (F.col("slack") >= F.col("nq") * percent) & reaches("lq", "nq", F.greatest("n_least", least("nq"))))
-    found = kept(found.groupBy("q", "nq", "g").agg(F.min("n_least").alias("n_least")))
-    asked = found.join(sets.select(F.col("sid").alias("q"), "keys"), "q").select("q", "nq", "g", "n_least", F.explode("keys").alias("key"))
-    unions = sets.join(grouped, "sid").join(found.select("g").distinct(), "g", "left_semi").select("g", F.explode("keys").alias("key")).distinct()
-    bounds = asked.join(unions, ["g", "key"]).groupBy("q", "nq", "g").agg(F.count(F.lit(1)).alias("most"), F.min("n_least").alias("n_least"))
-    opened = bounds.where(reaches("most", "nq", F.greatest("n_least", least("nq")))).select("q", "g")
-    members = entries.select("key", "g", F.col("sid").alias("s"), F.col("n").alias("ns"), F.col("left").alias("ls"))
-    close = (F.col("ns") * 100 >= F.col("nq") * percent) & (F.col("ns") * percent <= F.col("nq") * 100) & reaches("lq", "nq", F.col("ns")) & reaches("ls", "nq", F.col("ns"))
-    pairs = queries.join(opened, "q").join(members, ["key", "g"]).where(close & (F.col("q") != F.col("s"))).select("q", "s", "nq", "ns").distinct()
+    fits = (F.col("gq") < F.col("g")) & (F.col("ng") * 100 >= F.col("nq") * percent) & (F.col("ng") * percent <= F.col("nq") * 100)
+    found = kept(queries.join(matrix, "key").where(fits & reaches("lq", "nq", F.col("ng")) & reaches("lg", "nq", F.col("ng"))).select("q", "nq", "g", "ng").distinct())
+    asked = found.join(sets.select(F.col("sid").alias("q"), "keys"), "q").select("q", "nq", "g", "ng", F.explode("keys").alias("key"))
+    unions = sets.join(grouped, "sid").withColumnRenamed("n", "ng").join(found.select("g", "ng").distinct(), ["g", "ng"], "left_semi").select("g", "ng", F.explode("keys").alias("key")).distinct()
+    bounds = asked.join(unions, ["g", "ng", "key"]).groupBy("q", "nq", "g", "ng").agg(F.count(F.lit(1)).alias("most"))
+    opened = bounds.where(reaches("most", "nq", F.col("ng"))).select("q", "g", "ng")
+    members = entries.select("key", "g", F.col("sid").alias("s"), F.col("n").alias("ng"), F.col("left").alias("ls"))
+    close = reaches("lq", "nq", F.col("ng")) & reaches("ls", "nq", F.col("ng"))
+    pairs = queries.join(opened, "q").join(members, ["key", "g", "ng"]).where(close & (F.col("q") != F.col("s"))).select("q", "s", "nq", F.col("ng").alias("ns")).distinct()
     compared = pairs.join(sets.select(F.col("sid").alias("q"), F.col("keys").alias("kq")), "q").join(sets.select(F.col("sid").alias("s"), F.col("keys").alias("ks")), "s")
     overlap = F.size(F.array_intersect("kq", "ks"))
     return compared.where(overlap * 100 >= (F.col("nq") + F.col("ns") - overlap) * percent).select(F.col("q").alias("a"), F.col("s").alias("b"))
