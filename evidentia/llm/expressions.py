@@ -7,21 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.bind import let  # noqa: F401 - the operators take it from here
+
 #: White space of the word rule; every other character belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 _STEP = 512
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once for each row, however often the body uses it.
-
-    A column that an inner lambda refers to may be computed anew for each
-    element; the variable of a lambda is not.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")

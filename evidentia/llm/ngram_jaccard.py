@@ -19,9 +19,9 @@ the sets of one component and size, with the most that is left at each token.
 A query is a set, a candidate a group of another component that holds a token
 of its prefix with enough left; the overlap of the whole query with the union
 of the whole group bounds that with any member, and only groups whose bound
-reaches what its members need are opened and their members compared.  Sets that are linked through others already are not
-compared again, so a large group of near copies costs no square of its size;
-no link between components is missed.
+reaches what its members need are opened and their members compared.  Sets that
+are linked through others already are not compared again, so a large group of
+near copies costs no square of its size; no link between components is missed.
 
 Scale.  No text is exchanged.  A hot shingle comes last in the order and stays
 out of the prefixes; exact copies are one row after a partial aggregation.  No
