@@ -38,7 +38,7 @@ _PARTS = {
 }
 
 
-def write_xlsx(df: DataFrame, path: str, sheet: str = "Cell Markers", cap: int = 50_000) -> int:
+def write_xlsx(df: DataFrame, path: str, sheet: str = "Markers", cap: int = 50_000) -> int:
     """A workbook of one sheet on the driver's disk, at most ``cap`` rows, which pass the driver one partition at a time."""
     def line(values) -> str:
         return "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for v in values) + "</row>"
