@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_LETTER, Block, ids_of, kept, mix, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, words_of
+from .blocks import NO_LETTER, Block, ids_of, kept, mix, partitions_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, words_of
 
 #: Labelled documents that the scorer is fitted on, toxic documents a feature needs, features kept.
 TRAIN_ROWS, MIN_TOXIC, MAX_FEATURES = 40_000, 5, 1 << 18
@@ -43,19 +43,15 @@ BEGINNINGS = (4, 5, 6)
 _CLASSES = 64
 #: Signs and the letters they may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Signs that may stand between letters for nothing.
-_APART = "*._-~'` "
 #: Log probabilities that a letter is written by a sign that looks like it, that a mark is put between letters, and that a repeated letter was meant once.
 _SIGN, _MARK, _ONCE = -1.5, -0.7, -0.3
 #: Longer tokens are not words and are left as they are.
 LONGEST = 40
-_LETTER = r"[^\W\d_]"
-_SIGNS = re.escape("".join(LOOKS))
-_SUSPECT = re.compile(
-    rf"(?<!\S){_LETTER}(?:[ .*_~-]{{1,2}}{_LETTER}){{3,}}(?!\w)"  # letters set apart
-    rf"|(?<!\S)(?=\S*{_LETTER})\S*?[{_SIGNS}*._~`-](?=\S*{_LETTER})\S*"  # signs before a letter of the token
-    rf"|\S*?({_LETTER})\1\1\S*"  # a letter three times or more
-)
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_LETTERS = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
+#: Bytes of signs before a letter of a token that make it suspicious.
+_BEFORE = np.zeros(256, bool)
+_BEFORE[[b for x in [*LOOKS, *"*._~`-"] for b in x.encode()[-1:]]] = True
 
 
 def _class_of(code: np.ndarray) -> np.ndarray:
@@ -133,51 +129,102 @@ class Decoder:
             paths = after
         return max((score + self.model[a][b][0], text) for (a, b), (score, text) in paths.items())[1]
 
-    def restore(self, text: str) -> str:
-        """The text in lower case with suspicious tokens decoded; marks around a token stay."""
-
-        def one(match: re.Match) -> str:
-            token = match[0]
-            core = token.strip(".,;:?!*_-~\"'`()[]{}<>|&%#+=/\\")
-            if not core or len(core) > LONGEST or core.isalpha() and not re.search(rf"({_LETTER})\1\1", core):
-                return token
-            at = token.index(core)
-            return f"{token[:at]}{self.decode(core)}{token[at + len(core):]}"
-
-        return _SUSPECT.sub(one, text)
-
-
-def _features(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and beginnings of words of each document, and the document of each; every pair once."""
+    def token(self, token: str) -> str:
+        """A token as it was meant; marks around it stay."""
+        core = token.strip(".,;:?!*_-~\"'`()[]{}<>|&%#+=/\\")
+        if not core or len(core) > LONGEST or core.isalpha() and not _TRIPLE.search(core) or not any(c.isalpha() for c in core):
+            return token
+        at = token.index(core)
+        return f"{token[:at]}{self.decode(core)}{token[at + len(core):]}"
+
+    def restore(self, block: Block) -> Block:
+        """A block of lower-case texts with suspicious tokens decoded.
+
+        Suspicious are tokens with a sign before a letter or a letter three
+        times in a row, and four single letters or more in a row.
+        """
+        d, words = block.data, words_of(block)
+        if len(d) < 6 or not len(words.starts):
+            return block
+        letter = _LETTERS[d]
+        signs = np.flatnonzero(_BEFORE[d[:-1]] & letter[1:])
+        triples = np.flatnonzero((d[:-2] == d[1:-1]) & (d[1:-1] == d[2:]) & letter[:-2] & (d[:-2] < 128))
+        pairs = np.flatnonzero((d[:-5] >= 0xC3) & (d[:-5] < 0xE0) & (d[:-5] == d[2:-3]) & (d[2:-3] == d[4:-1]) & (d[1:-4] == d[3:-2]) & (d[3:-2] == d[5:]))
+        at = np.unique(np.searchsorted(words.starts, np.concatenate([signs, triples, pairs]), "right") - 1)
+        changes = [(int(words.starts[k]), int(words.ends[k])) for k in at[at >= 0]]
+        size = words.ends - words.starts
+        single = letter[words.starts] & ((size == 1) | (size == 2) & (d[words.starts] >= 0xC3))
+        doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+        head = starts_of(single, doc)
+        times = np.diff(np.append(head, len(single)))
+        changes += [(int(words.starts[k]), int(words.ends[k + n - 1])) for k, n in zip(head, times, strict=True) if n >= 4 and single[k]]
+        if not changes:
+            return block
+        pieces, last, grown = [], 0, np.zeros(len(block.offsets), np.int64)
+        raw = d.tobytes()
+        for a, b in sorted(changes):
+            if a < last:
+                continue
+            old = raw[a:b].decode("utf-8", "replace")
+            new = (self.decode(" ".join(old.split())) if " " in old.strip() or "\n" in old else self.token(old)).encode()
+            pieces += [raw[last:a], new]
+            grown[np.searchsorted(block.offsets, a, "right")] += len(new) - (b - a)
+            last = b
+        pieces.append(raw[last:])
+        return Block(block.rows, np.frombuffer(b"".join(pieces), np.uint8), block.offsets + np.cumsum(grown))
+
+
+class _Finder:
+    """Whether hashes are among the wanted ones, by a table of low bits first."""
+
+    def __init__(self, wanted: np.ndarray):
+        self.wanted, self.mask = wanted, np.uint64((1 << max(12, len(wanted).bit_length() + 3)) - 1)
+        self.some = np.zeros(int(self.mask) + 1, bool)
+        self.some[(wanted & self.mask).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``hashes``, and positions among the wanted."""
+        at = np.flatnonzero(self.some[(hashes & self.mask).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.wanted, hashes[at]), max(len(self.wanted) - 1, 0))
+        own = self.wanted[k] == hashes[at] if len(self.wanted) else np.zeros(len(at), bool)
+        return at[own], k[own]
+
+
+def _hashed(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words, and of their beginnings, with the document of each."""
     words = words_of(block, NO_LETTER)
     sums = prefix_hashes(block.data)
     doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    found, docs = [span_hashes(sums, words.starts, words.ends)], [doc]
+    yield span_hashes(sums, words.starts, words.ends), doc
     for n in BEGINNINGS:
         own = words.ends - words.starts >= n
-        found.append(mix(span_hashes(sums, words.starts[own], words.starts[own] + n), 50 + n))
-        docs.append(doc[own])
-    found, docs = np.concatenate(found), np.concatenate(docs)
+        yield mix(span_hashes(sums, words.starts[own], words.starts[own] + n), 50 + n), doc[own]
+
+
+def _features(block: Block, finder: _Finder | None) -> np.ndarray:
+    """Features of each document, every one once for a document; of the wanted ones if a finder is given."""
+    parts = []
+    for found, doc in _hashed(block):
+        own = slice(None) if finder is None else finder(found)[0]
+        parts.append((found[own], doc[own]))
+    found, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
     o = np.lexsort((found, docs))
-    o = o[starts_of(docs[o], found[o])]
-    return found[o], docs[o]
+    return found[o][starts_of(docs[o], found[o])]
 
 
 def _restored(batches: Iterator[pa.RecordBatch], decoder: Decoder, column: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
     for batch in batches:
         for block in text_blocks(batch.column(column)):
-            rows = batch.slice(block.rows.start, block.rows.stop - block.rows.start)
-            texts = [decoder.restore(block.doc_bytes(i).decode("utf-8", "replace")) for i in range(rows.num_rows)]
-            yield from ((rows.slice(b.rows.start, b.rows.stop - b.rows.start), b) for b in text_blocks(pa.array(texts, pa.large_string()), 1 << 40))
+            yield batch.slice(block.rows.start, block.rows.stop - block.rows.start), decoder.restore(block)
 
 
 def _count(model: np.ndarray, wanted: np.ndarray | None):
     """Number of documents with each feature; of the wanted ones if they are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = None if wanted is None else _Finder(wanted)
         for _, block in _restored(batches, Decoder(model), 0):
-            found, _ = _features(block)
-            found, n = np.unique(found if wanted is None else found[np.isin(found, wanted)], return_counts=True)
+            found, n = np.unique(_features(block, finder), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["feature", "n"])
 
     return run
@@ -187,7 +234,7 @@ def fit(texts: DataFrame, labels: DataFrame, model: np.ndarray, *, train_rows: i
     """A scorer fitted on labels ``id``, ``toxic``."""
     sample = labels.where("id is not null and toxic is not null").orderBy(F.xxhash64("id"), "id", "toxic").limit(train_rows)
     sample = kept(sample.withColumnRenamed("id", "__id"))
-    rows = kept(texts.join(F.broadcast(sample), "__id").select(F.lower("__text").alias("text"), "toxic").repartition(F.xxhash64("text")))
+    rows = kept(texts.join(F.broadcast(sample), "__id").select(F.lower("__text").alias("text"), "toxic").repartition(partitions_of(texts.sparkSession)))
     toxic, clean = rows.where("toxic > 0").select("text"), rows.where("toxic <= 0").select("text")
     n = {r["t"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = (n.get(True, 0) + 1) / (sum(n.values()) + 20)
@@ -231,11 +278,11 @@ class Scorer:
         self.shares = np.linspace(0, 1, STEPS + 1)
 
     def evidence(self, block: Block) -> np.ndarray:
-        found, doc = _features(block)
-        at = np.minimum(np.searchsorted(self.features, found), max(len(self.features) - 1, 0))
-        own = self.features[at] == found if len(self.features) else np.zeros(len(found), bool)
         best = np.zeros(len(block.offsets) - 1)
-        np.maximum.at(best, doc[own], self.limits[at[own]])
+        finder = _Finder(self.features)
+        for found, doc in _hashed(block):
+            at, k = finder(found)
+            np.maximum.at(best, doc[at], self.limits[k])
         return np.clip(best, 0, 1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:

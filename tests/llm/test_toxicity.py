@@ -2,7 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
+from evidentia.llm.blocks import text_blocks
 from evidentia.llm.toxicity import Decoder, character_model, rising_shares, score_toxicity
 
 
@@ -49,8 +51,11 @@ def test_without_labels_or_documents(spark):
 def test_decoder(spark):
     texts = [(" ".join(["scoundrel", "total", "letter", "apple"] * 5),)]
     decoder = Decoder(character_model(spark.createDataFrame(texts, "__text string")))
-    assert decoder.restore("sc0undr3l s.c.o.u.n.d.r.e.l tooootal l3tt3r appllle") == "scoundrel scoundrel total letter apple"
-    assert decoder.restore("plain words, 1234 and so on*** stay!!") == "plain words, 1234 and so on*** stay!!"
+    given = ["sc0undr3l s.c.o.u.n.d.r.e.l tooootal l3tt3r appllle", "", "plain words, 1234 and so on*** stay!!", "x s c o u n d r e l", "a b c", "l e t t e r"]
+    block = next(text_blocks(pa.array(given)))
+    done = decoder.restore(block)
+    got = [done.doc_bytes(i).decode() for i in range(len(given))]
+    assert got[:3] == ["scoundrel scoundrel total letter apple", "", given[2]] and got[3].endswith("scoundrel") and got[4:] == ["a b c", "letter"]
 
 
 def test_rising_shares():
