@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, Block, column_of, ids_of, kept, lists, mix, part_of, partitions_of, parts_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, word_windows, words_of
+from .blocks import LOWER, Block, column_of, kept, lists, mix, part_of, partitions_of, parts_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, word_windows, words_of
 from .components import components
 
 WIDTH, PERCENT = 5, 80

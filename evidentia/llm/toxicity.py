@@ -8,7 +8,7 @@ texts (by class of letter) and has the size of its alphabet.
 
 Scorer.  Words and beginnings of words are features.  Those that occur in at
 least ``MIN_TOXIC`` toxic documents of a bounded sample of labelled documents
-are kept, the ``MAX_FEATURES`` most frequent.  A text's evidence is the
+are kept, down to the count at which there would be more than ``MAX_FEATURES``.  A text's evidence is the
 largest lower confidence limit of the share of toxic documents among those with
 a feature of it, so that a feature seen a few times proves little; its score is
 the share of toxic documents in the sample at that evidence, made to rise with it.
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_LETTER, Block, ids_of, kept, mix, partitions_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, words_of
+from .blocks import NO_LETTER, Block, kept, mix, partitions_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, words_of
 
 #: Labelled documents that the scorer is fitted on, toxic documents a feature needs, features kept.
-TRAIN_ROWS, MIN_TOXIC, MAX_FEATURES = 40_000, 5, 1 << 18
+TRAIN_ROWS, MIN_TOXIC, MAX_FEATURES = 40_000, 8, 1 << 18
 #: Score from which a text is called toxic.
 LIMIT = 0.3
 #: Steps of evidence for which shares are counted.
@@ -239,8 +239,14 @@ def fit(texts: DataFrame, labels: DataFrame, model: np.ndarray, *, train_rows: i
     n = {r["t"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = (n.get(True, 0) + 1) / (sum(n.values()) + 20)
     schema = "feature long, n long"
-    counted = toxic.mapInArrow(_count(model, None), schema).groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TOXIC)
-    counted = counted.orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).toArrow()
+    counted = kept(toxic.mapInArrow(_count(model, None), schema).groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TOXIC))
+    least, total = 0, 0
+    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("features")).orderBy(F.desc("n")).collect():  # a row for each count up to TRAIN_ROWS
+        total += r["features"]
+        if total > MAX_FEATURES:
+            break
+        least = r["n"]
+    counted = counted.where(F.col("n") >= (least or train_rows + 1)).toArrow()
     features = counted.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(features)
     features, a = features[order], counted.column("n").to_numpy()[order].astype(float)
