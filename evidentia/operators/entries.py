@@ -31,6 +31,11 @@ def parsed(replies: DataFrame, json_col: str = "reply") -> DataFrame:
     return each.where(~truthy[0] & ~truthy[1]).select("pmcid", "pos", *[v.alias(f) for f, v in values.items()])
 
 
+def unreadable(replies: DataFrame, json_col: str = "reply") -> DataFrame:
+    """Replies that are no JSON object with a list ``markers``, to be set aside."""
+    return replies.where(F.col(json_col).isNull() | F.from_json(F.col(json_col), "markers array<string>")["markers"].isNull())
+
+
 def exploded(documents: DataFrame) -> DataFrame:
     """Entries of documents with an array ``markers``, numbered by place."""
     return documents.select("pmcid", F.posexplode("markers").alias("pos", "m")).select("pmcid", "pos", "m.*")

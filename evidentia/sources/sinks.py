@@ -31,6 +31,24 @@ def write_stage(df: DataFrame, folder: str, stage: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def append_raw(articles: DataFrame, path: str) -> None:
+    """Add downloaded articles (``pmcid``, ``xml``) to the raw table, whose ids are the ledger of what was fetched."""
+    articles.write.mode("append").parquet(path)
+
+
+def write_ranking_csv(ranking: DataFrame, path: str) -> int:
+    """A ranking as the client saves it, on the driver's disk: with a byte order mark, and quotes only around a cell type with a comma."""
+    n = 0
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", encoding="utf-8-sig", newline="") as out:
+        out.write(",".join(ranking.columns) + "\n")
+        for row in ranking.toLocalIterator():
+            values = ["" if v is None else str(v) for v in row]
+            out.write(",".join(f'"{v}"' if name == "cell_type" and "," in v else v for name, v in zip(ranking.columns, values, strict=True)) + "\n")
+            n += 1
+    return n
+
+
 _PARTS = {
     "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
     "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',

@@ -129,3 +129,27 @@ def test_small_texts(spark):
     row = spark.createDataFrame([("1" * 25, None)], "a string, n long")
     got = row.select(texts.short_label(F.col("a")), texts.shown_number(F.col("n")), texts.status_class(F.lit("corrected")), texts.link(F.lit("PMC1")), texts.cell(F.lit(" a|b  c ")), texts.cache_key(F.create_map(F.lit("b"), F.array(F.lit("2")), F.lit("a"), F.array(F.lit("1")))) == texts.cache_key(F.create_map(F.lit("a"), F.array(F.lit("1")), F.lit("b"), F.array(F.lit("2"))))).first()
     assert tuple(got) == ("1" * 18 + "…", "—", "warning", "https://www.ncbi.nlm.nih.gov/pmc/articles/PMC1/", "a/b c", True)
+
+
+def test_articles_to_star(spark, tmp_path):
+    from evidentia.plans.build import build_star
+
+    article = "<article><article-id pub-id-type='pmc'>{0}</article-id><article-id pub-id-type='pmid'>9{0}</article-id><article-title>T{0}</article-title><abstract>{1}</abstract></article>"
+    raw = spark.createDataFrame([(article.format(1, "one"),), (article.format(2, "two"),), ("junk",)], "xml string")
+    said = {
+        "one": [{"cell_type": "T cells", "marker": "T3D", "tissue": "PBMC"}, {"cell_type": "T cells", "marker": "cd3d", "tissue": "PBMC"}, {"cell_type": "CD8+ T cell", "marker": "CD8A"}],
+        "two": [{"cell_type": "T cell", "marker": "CD3D"}, "no object", {"cell_type": "Tumor cells", "marker": "X"}],
+    }
+
+    def model(prompt):
+        return json.dumps({"markers": said["one" if "one" in prompt else "two"]}), {"total_tokens": 1}
+
+    table = spark.createDataFrame([("CD3D", "Approved", "T3D", ""), ("CD8A", "Approved", "", "")], "symbol string, status string, alias_symbol string, prev_symbol string")
+    star = build_star(raw, model, table, str(tmp_path))
+    listed = {(r.marker, r.cell_type, r.cell_subtype, r.tissue, r.pmcid, r.marker_status) for r in star.search().collect()}
+    assert listed == {("CD3D", "T cell", None, "Blood", "1", "corrected"), ("CD8A", "T cell", "CD8+ T cell", "Not specified", "1", "approved"), ("CD3D", "T cell", None, "Not specified", "2", "approved")}
+    assert {r.symbol: r.citation_count for r in star.markers.collect()} == {"CD3D": 2, "CD8A": 1}
+
+
+def test_unreadable_replies(spark):
+    assert sorted(r.pmcid for r in entries.unreadable(spark.createDataFrame(replies(), "pmcid string, reply string")).collect()) == ["2", "4"]

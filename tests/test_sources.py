@@ -71,6 +71,12 @@ def test_tables_as_files(spark, tmp_path):
     sinks.write_tsv(df.select("marker"), f"{tmp_path}/tsv")
     assert list(csv.reader(open(glob.glob(f"{tmp_path}/tsv/*.csv")[0], encoding="utf-8"), delimiter="\t"))[1] == ["<c>"]
     assert sinks.write_stage(df, str(tmp_path), "stage").count() == 2
+    ranking = spark.createDataFrame([("a, b", "X", 2), ("c", None, 1)], "cell_type string, marker string, count int").coalesce(1)
+    assert sinks.write_ranking_csv(ranking, f"{tmp_path}/ranking.csv") == 2
+    assert open(f"{tmp_path}/ranking.csv", encoding="utf-8").read() == '\ufeffcell_type,marker,count\n"a, b",X,2\nc,,1\n'
+    for _ in range(2):
+        sinks.append_raw(df, f"{tmp_path}/raw")
+    assert spark.read.parquet(f"{tmp_path}/raw").count() == 4
     sinks.write_json(df, f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json").count() == 2
 
