@@ -122,7 +122,7 @@ def trigram_index(docs: DataFrame, trigrams: Sequence[str], *, id_col: str = "do
 def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Documents (``id``) with the ``kinds`` of the rules whose query their postings meet."""
     rows = [(rule.kind, k, len(grams), g) for rule in rules for k, grams in enumerate(trigram_query(rule.pattern)) for g in sorted(grams)]
-    asked = index.sparkSession.createDataFrame(rows, "kind string, option int, wanted int, trigram string")
+    asked = index.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("kind", "option", "wanted", "trigram"), row, strict=True)]) for row in rows])))
     met = index.join(F.broadcast(asked), "trigram").groupBy("id", "kind", "option", "wanted").agg(F.count_distinct("trigram").alias("n")).where("n = wanted")
     return met.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
