@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .blocks import NO_LETTER, Block, kept, mix, partitions_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, words_of
 
 #: Labelled documents that the scorer is fitted on, toxic documents a feature needs, features kept.
-TRAIN_ROWS, MIN_TOXIC, MAX_FEATURES = 40_000, 8, 1 << 18
+TRAIN_ROWS, MIN_TOXIC, MAX_FEATURES = 40_000, 5, 1 << 18
 #: Score from which a text is called toxic.
 LIMIT = 0.3
 #: Steps of evidence for which shares are counted.
@@ -45,13 +45,58 @@ _CLASSES = 64
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Log probabilities that a letter is written by a sign that looks like it, that a mark is put between letters, and that a repeated letter was meant once.
 _SIGN, _MARK, _ONCE = -1.5, -0.7, -0.3
-#: Longer tokens are not words and are left as they are.
-LONGEST = 40
+#: Letters set apart that make a phrase, and marks that may stand between two of them beside white space.
+_APART, _BETWEEN = 4, 2
+#: Tokens up to this length are decoded once and remembered; longer ones are decoded each time.
+_REMEMBERED = 64
+_OUTER = ".,;:?!*_-~\"'`()[]{}<>|&%#+=/\\"
+_OUTER_MARKS = "".join(c for c in _OUTER if c not in LOOKS)
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _LETTERS = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
-#: Bytes of signs before a letter of a token that make it suspicious.
-_BEFORE = np.zeros(256, bool)
-_BEFORE[[b for x in [*LOOKS, *"*._~`-"] for b in x.encode()[-1:]]] = True
+#: Bytes of ASCII signs that look like letters, of marks, and of what may stand between letters set apart.
+_SIGNS = np.array([chr(b) in LOOKS for b in range(256)])
+_MARKS = np.array([chr(b) in "*._~`-" for b in range(256)])
+_WHITE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+
+
+def _signs(d: np.ndarray) -> np.ndarray:
+    """Which bytes are, or end, a sign that looks like a letter."""
+    out = _SIGNS[d]
+    for sign in (c.encode() for c in LOOKS if not c.isascii()):
+        n = len(sign)
+        own = d[n - 1 :] == sign[-1]
+        for k in range(n - 1):
+            own &= d[k : len(d) - n + 1 + k] == sign[k]
+        out[n - 1 :] |= own
+    return out
+
+
+def _thrice(d: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """Where a letter of one to four bytes stands three times in a row."""
+    out = []
+    for n, low, high in ((1, 0, 0x80), (2, 0xC3, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        if len(d) < 3 * n:
+            continue
+        head, last = d[: len(d) - 3 * n + 1], len(d) - 3 * n + 1
+        at = np.flatnonzero((head >= low) & (head < high) & letter[:last] & (head == d[n : n + last]) & (head == d[2 * n : 2 * n + last]))
+        for k in range(1, n):
+            at = at[(d[at + k] == d[at + n + k]) & (d[at + k] == d[at + 2 * n + k])]
+        out.append(at)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def _runs(block: Block, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of the longest runs of marked bytes, which never cross documents."""
+    before, cut = np.zeros(len(solid), bool), np.zeros(len(solid) + 1, bool)
+    before[1:] = solid[:-1]
+    cut[block.offsets] = True
+    starts = np.flatnonzero(solid & (~before | cut[:-1]))
+    ends = np.flatnonzero(solid & (np.append(~solid[1:], True) | cut[1:])) + 1
+    return starts, ends, np.searchsorted(block.offsets, starts, "right")
+
+
+def _totals(flags: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(flags, dtype=np.int64))
 
 
 def _class_of(code: np.ndarray) -> np.ndarray:
@@ -90,7 +135,7 @@ class Decoder:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.decode = lru_cache(1 << 16)(self._decode)
+        self._known = lru_cache(1 << 16)(self._decode)
 
     @staticmethod
     def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -103,6 +148,10 @@ class Decoder:
                 while i + n < len(token) and token[i + n] == c:
                     n += 1
                 options = [(c * n, 0.0)] if n < 3 else [(c, _ONCE), (c * 2, _ONCE - 1.0)]
+            elif c.isspace():
+                while i + n < len(token) and token[i + n].isspace():
+                    n += 1
+                options = [("", _MARK)]
             elif c in LOOKS:
                 options = [(x, _SIGN) for x in LOOKS[c]]
                 if not c.isdigit():
@@ -113,10 +162,13 @@ class Decoder:
             i += n
         return out
 
+    def decode(self, token: str) -> str:
+        return self._known(token) if len(token) <= _REMEMBERED else self._decode(token)
+
     def _decode(self, token: str) -> str:
-        paths = {(0, 0): (0.0, "")}
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in self.lattice(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, text) in paths.items():
                 for letters, cost in options:
                     x, y, s = a, b, score + cost
@@ -125,53 +177,96 @@ class Decoder:
                         s += self.model[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = (s, text + letters)
+                        after[x, y] = (s, (text, letters))
             paths = after
-        return max((score + self.model[a][b][0], text) for (a, b), (score, text) in paths.items())[1]
-
-    def token(self, token: str) -> str:
-        """A token as it was meant; marks around it stay."""
-        core = token.strip(".,;:?!*_-~\"'`()[]{}<>|&%#+=/\\")
-        if not core or len(core) > LONGEST or core.isalpha() and not _TRIPLE.search(core) or not any(c.isalpha() for c in core):
-            return token
-        at = token.index(core)
-        return f"{token[:at]}{self.decode(core)}{token[at + len(core):]}"
+        text = max(((score + self.model[a][b][0], text) for (a, b), (score, text) in paths.items()), key=lambda x: x[0])[1]
+        out = []
+        while text is not None:
+            text, letters = text
+            out.append(letters)
+        return "".join(reversed(out))
+
+    def readings(self, token: str) -> list[str]:
+        """A token (or phrase of letters set apart) as it was meant, marks around it left; then with signs around it that look like letters read too."""
+        out = []
+        for outer in (_OUTER, _OUTER_MARKS):
+            core = token.strip(outer)
+            if not core or core.isalpha() and not _TRIPLE.search(core) or not any(c.isalpha() for c in core):
+                new = token
+            else:
+                at = token.index(core)
+                new = f"{token[:at]}{self.decode(core)}{token[at + len(core):]}"
+            if new not in out:
+                out.append(new)
+        return out
 
-    def restore(self, block: Block) -> Block:
-        """A block of lower-case texts with suspicious tokens decoded.
+    def changes(self, block: Block) -> list[tuple[int, int, list[str]]]:
+        """Start, end and readings of suspicious tokens and phrases of a block of lower-case texts, in order and apart.
 
-        Suspicious are tokens with a sign before a letter or a letter three
-        times in a row, and four single letters or more in a row.
+        Suspicious are tokens with a letter and a sign that looks like one, with
+        a mark before a letter or with a letter three times in a row, and four
+        letters (or signs for them) or more in a row that only white space and
+        up to two marks set apart.
         """
         d, words = block.data, words_of(block)
-        if len(d) < 6 or not len(words.starts):
-            return block
-        letter = _LETTERS[d]
-        signs = np.flatnonzero(_BEFORE[d[:-1]] & letter[1:])
-        triples = np.flatnonzero((d[:-2] == d[1:-1]) & (d[1:-1] == d[2:]) & letter[:-2] & (d[:-2] < 128))
-        pairs = np.flatnonzero((d[:-5] >= 0xC3) & (d[:-5] < 0xE0) & (d[:-5] == d[2:-3]) & (d[2:-3] == d[4:-1]) & (d[1:-4] == d[3:-2]) & (d[3:-2] == d[5:]))
-        at = np.unique(np.searchsorted(words.starts, np.concatenate([signs, triples, pairs]), "right") - 1)
-        changes = [(int(words.starts[k]), int(words.ends[k])) for k in at[at >= 0]]
-        size = words.ends - words.starts
-        single = letter[words.starts] & ((size == 1) | (size == 2) & (d[words.starts] >= 0xC3))
-        doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-        head = starts_of(single, doc)
-        times = np.diff(np.append(head, len(single)))
-        changes += [(int(words.starts[k]), int(words.ends[k + n - 1])) for k, n in zip(head, times, strict=True) if n >= 4 and single[k]]
-        if not changes:
-            return block
-        pieces, last, grown = [], 0, np.zeros(len(block.offsets), np.int64)
+        if not len(words.starts):
+            return []
+        letter, sign = _LETTERS[d], _signs(d)
+        letters, signs = _totals(letter), _totals(sign)
+        own = (signs[words.ends] > signs[words.starts]) & (letters[words.ends] > letters[words.starts])
+        places = np.concatenate([np.flatnonzero(_MARKS[d[:-1]] & letter[1:]), _thrice(d, letter)])
+        at = np.searchsorted(words.starts, places, "right") - 1
+        own[at[at >= 0]] = True
+        spans = [(int(words.starts[k]), int(words.ends[k])) for k in np.flatnonzero(own)]
+        spans = sorted([*spans, *self._phrases(block, letter, sign)])
+        out: list[tuple[int, int]] = []
+        for a, b in spans:
+            if out and a < out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
         raw = d.tobytes()
-        for a, b in sorted(changes):
-            if a < last:
-                continue
-            old = raw[a:b].decode("utf-8", "replace")
-            new = (self.decode(" ".join(old.split())) if " " in old.strip() or "\n" in old else self.token(old)).encode()
+        return [(a, b, self.readings(raw[a:b].decode("utf-8", "replace"))) for a, b in out]
+
+    @staticmethod
+    def _phrases(block: Block, letter: np.ndarray, sign: np.ndarray) -> list[tuple[int, int]]:
+        """Start and end of letters set apart, with the tokens that they begin and end in."""
+        starts, ends, doc = _runs(block, letter | sign)
+        if len(starts) < _APART:
+            return []
+        d = block.data
+        heads = _totals((d & 0xC0) != 0x80)
+        single = heads[ends] - heads[starts] == 1
+        other, marks, letters = _totals(~(_WHITE[d] | _MARKS[d])), _totals(_MARKS[d]), _totals(letter & ~sign)
+        joined = single[1:] & single[:-1] & (doc[1:] == doc[:-1]) & (other[starts[1:]] == other[ends[:-1]]) & (marks[starts[1:]] - marks[ends[:-1]] <= _BETWEEN)
+        edges = np.diff(np.concatenate([[0], joined.astype(np.int8), [0]]))
+        out = []
+        words = words_of(block)
+        for i, j in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
+            if j - i + 1 >= _APART and letters[ends[j]] > letters[starts[i]]:
+                a, b = np.searchsorted(words.starts, [starts[i], starts[j]], "right") - 1
+                out.append((int(words.starts[a]), int(words.ends[b])))
+        return out
+
+    def restore(self, block: Block) -> Block:
+        """A block of lower-case texts with suspicious tokens and phrases decoded."""
+        raw, pieces, last, grown = block.data.tobytes(), [], 0, np.zeros(len(block.offsets), np.int64)
+        for a, b, readings in self.changes(block):
+            new = readings[0].encode()
             pieces += [raw[last:a], new]
             grown[np.searchsorted(block.offsets, a, "right")] += len(new) - (b - a)
             last = b
         pieces.append(raw[last:])
-        return Block(block.rows, np.frombuffer(b"".join(pieces), np.uint8), block.offsets + np.cumsum(grown))
+        return Block(block.rows, np.frombuffer(b"".join(pieces), np.uint8), block.offsets + np.cumsum(grown)) if last else block
+
+    def both(self, block: Block) -> tuple[Block, Block]:
+        """A block of lower-case texts as given, and all readings of its suspicious tokens and phrases, one a line."""
+        pieces, size = [], np.zeros(len(block.offsets), np.int64)
+        for a, _, readings in self.changes(block):
+            new = ("\n".join(readings) + "\n").encode()
+            pieces.append(new)
+            size[np.searchsorted(block.offsets, a, "right")] += len(new)
+        return block, Block(block.rows, np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size))
 
 
 class _Finder:
@@ -201,10 +296,10 @@ def _hashed(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield mix(span_hashes(sums, words.starts[own], words.starts[own] + n), 50 + n), doc[own]
 
 
-def _features(block: Block, finder: _Finder | None) -> np.ndarray:
-    """Features of each document, every one once for a document; of the wanted ones if a finder is given."""
+def _features(blocks: tuple[Block, ...], finder: _Finder | None) -> np.ndarray:
+    """Features of each document in any of the blocks, every one once for a document; of the wanted ones if a finder is given."""
     parts = []
-    for found, doc in _hashed(block):
+    for found, doc in (x for block in blocks for x in _hashed(block)):
         own = slice(None) if finder is None else finder(found)[0]
         parts.append((found[own], doc[own]))
     found, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -212,10 +307,10 @@ def _features(block: Block, finder: _Finder | None) -> np.ndarray:
     return found[o][starts_of(docs[o], found[o])]
 
 
-def _restored(batches: Iterator[pa.RecordBatch], decoder: Decoder, column: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
+def _restored(batches: Iterator[pa.RecordBatch], decoder: Decoder, column: int) -> Iterator[tuple[pa.RecordBatch, tuple[Block, ...]]]:
     for batch in batches:
         for block in text_blocks(batch.column(column)):
-            yield batch.slice(block.rows.start, block.rows.stop - block.rows.start), decoder.restore(block)
+            yield batch.slice(block.rows.start, block.rows.stop - block.rows.start), (decoder.restore(block),)
 
 
 def _count(model: np.ndarray, wanted: np.ndarray | None):
@@ -223,8 +318,8 @@ def _count(model: np.ndarray, wanted: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = None if wanted is None else _Finder(wanted)
-        for _, block in _restored(batches, Decoder(model), 0):
-            found, n = np.unique(_features(block, finder), return_counts=True)
+        for _, blocks in _restored(batches, Decoder(model), 0):
+            found, n = np.unique(_features(blocks, finder), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["feature", "n"])
 
     return run
@@ -283,10 +378,10 @@ class Scorer:
         self.model, self.features, self.limits = model, features, limits
         self.shares = np.linspace(0, 1, STEPS + 1)
 
-    def evidence(self, block: Block) -> np.ndarray:
-        best = np.zeros(len(block.offsets) - 1)
+    def evidence(self, blocks: tuple[Block, ...]) -> np.ndarray:
+        best = np.zeros(len(blocks[0].offsets) - 1)
         finder = _Finder(self.features)
-        for found, doc in _hashed(block):
+        for found, doc in (x for block in blocks for x in _hashed(block)):
             at, k = finder(found)
             np.maximum.at(best, doc[at], self.limits[k])
         return np.clip(best, 0, 1)
@@ -298,16 +393,16 @@ class Scorer:
 
 def _judge(scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, block in _restored(batches, Decoder(scorer.model), 0):
-            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(scorer.evidence(block))], ["toxic", "evidence"])
+        for rows, blocks in _restored(batches, Decoder(scorer.model), 0):
+            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(scorer.evidence(blocks))], ["toxic", "evidence"])
 
     return run
 
 
 def _score(scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, block in _restored(batches, Decoder(scorer.model), 1):
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(scorer.score(scorer.evidence(block)))], ["__id", "held_out", "score"])
+        for rows, blocks in _restored(batches, Decoder(scorer.model), 1):
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(scorer.score(scorer.evidence(blocks)))], ["__id", "held_out", "score"])
 
     return run
 

@@ -61,3 +61,21 @@ def test_decoder(spark):
 def test_rising_shares():
     got = rising_shares(np.array([[10, 0], [0, 0], [2, 2], [3, 1], [0, 9]]), 0.2)
     assert len(got) == 5 and (np.diff(got) >= 0).all() and got[0] < 0.1 and got[-1] > 0.8
+
+
+def restored(texts, model_texts, spark):
+    decoder = Decoder(character_model(spark.createDataFrame([(" ".join(model_texts * 5),)], "__text string")))
+    done = decoder.restore(next(text_blocks(pa.array(texts))))
+    given, pieces = decoder.both(next(text_blocks(pa.array(texts))))
+    assert [given.doc_bytes(i).decode() for i in range(len(texts))] == texts
+    return [done.doc_bytes(i).decode() for i in range(len(texts))], [pieces.doc_bytes(i).decode().split() for i in range(len(texts))]
+
+
+def test_signs_at_the_end_long_words_and_letters_set_apart(spark):
+    words = ["scoundrel", "hate", "mass", "bass", "total", "letter"]
+    texts = ["hat3", "ma$$", "ma55 ba5s", "scoundr" + "e" * 60 + "l", "s. c. o. u. n. d. r. e. l", "s* c* o* u* n* d* r* e* l", "l -. e -. t -. t -. e -. r", "l 3 t t 3 r", "self-s. c. o. u. n. d. r. e. l", "(+otal"]
+    got, pieces = restored(texts, words, spark)
+    assert got[:8] == ["hate", "mass", "mass bass", "scoundrel", "scoundrel", "scoundrel", "letter", "letter"]
+    assert got[8].endswith("scoundrel") and "total" in " ".join(pieces[9])
+    wide = ["अच", "कख"]
+    assert restored([wide[0] + "च" * 5], wide, spark)[0][0] in (wide[0], wide[0] + "च")
