@@ -6,7 +6,8 @@ of the letters it looks like, or nothing.  The Viterbi path under a character
 trigram model gives the word that was meant.  The model is counted over all
 texts (by class of letter) and has the size of its alphabet.
 
-Scorer.  Words and beginnings of words are features.  Those that occur in at
+Scorer.  Words and beginnings of words, of the text as given and of what was
+decoded in it, are features.  Those that occur in at
 least ``MIN_TOXIC`` toxic documents of a bounded sample of labelled documents
 are kept, down to the count at which there would be more than ``MAX_FEATURES``.  A text's evidence is the
 largest lower confidence limit of the share of toxic documents among those with
@@ -43,8 +44,9 @@ BEGINNINGS = (4, 5, 6)
 _CLASSES = 64
 #: Signs and the letters they may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Log probabilities that a letter is written by a sign that looks like it, that a mark is put between letters, and that a repeated letter was meant once.
-_SIGN, _MARK, _ONCE = -1.5, -0.7, -0.3
+#: Log probabilities that a letter is written by a sign that looks like it, that a mark is put between letters, that a repeated
+#: letter was meant once, and that a mark, white space, two or more white space, or a sign that looks like a letter is meant itself.
+_SIGN, _MARK, _ONCE, _BREAK, _SPACE, _SPACES, _ITSELF = -1.5, -0.7, -0.3, -1.5, -1.5, -0.2, -3.0
 #: Letters set apart that make a phrase, and marks that may stand between two of them beside white space.
 _APART, _BETWEEN = 4, 2
 #: Tokens up to this length are decoded once and remembered; longer ones are decoded each time.
@@ -151,13 +153,14 @@ class Decoder:
             elif c.isspace():
                 while i + n < len(token) and token[i + n].isspace():
                     n += 1
-                options = [("", _MARK)]
+                options = [("", _MARK), (" ", _SPACE if n == 1 else _SPACES)]
             elif c in LOOKS:
                 options = [(x, _SIGN) for x in LOOKS[c]]
                 if not c.isdigit():
                     options.append(("", _MARK))
+                options.append((c, _ITSELF))
             else:
-                options = [("", _MARK)]
+                options = [("", _MARK), (c, _BREAK)]
             out.append(options)
             i += n
         return out
@@ -307,10 +310,10 @@ def _features(blocks: tuple[Block, ...], finder: _Finder | None) -> np.ndarray:
     return found[o][starts_of(docs[o], found[o])]
 
 
-def _restored(batches: Iterator[pa.RecordBatch], decoder: Decoder, column: int) -> Iterator[tuple[pa.RecordBatch, tuple[Block, ...]]]:
+def _restored(batches: Iterator[pa.RecordBatch], decoder: Decoder, column: int) -> Iterator[tuple[pa.RecordBatch, tuple[Block, Block]]]:
     for batch in batches:
         for block in text_blocks(batch.column(column)):
-            yield batch.slice(block.rows.start, block.rows.stop - block.rows.start), (decoder.restore(block),)
+            yield batch.slice(block.rows.start, block.rows.stop - block.rows.start), decoder.both(block)
 
 
 def _count(model: np.ndarray, wanted: np.ndarray | None):

@@ -79,3 +79,19 @@ def test_signs_at_the_end_long_words_and_letters_set_apart(spark):
     assert got[8].endswith("scoundrel") and "total" in " ".join(pieces[9])
     wide = ["अच", "कख"]
     assert restored([wide[0] + "च" * 5], wide, spark)[0][0] in (wide[0], wide[0] + "च")
+
+
+def test_marks_may_be_meant(spark):
+    words = ["u", "ran", "scoundrel", "you", "stop", "hating", "self", "letter"]
+    got, pieces = restored(["you-scoundrel", "stop.scoundrel", "self_hating", "l-e-t-t-e-r", "y o u  s c o u n d r e l", "", "plain"], words, spark)
+    assert got == ["you-scoundrel", "stop.scoundrel", "self_hating", "letter", "you scoundrel", "", "plain"]
+    assert pieces[5:] == [[], []]
+
+
+def test_words_after_marks_are_features(spark):
+    rows, labels = corpus()
+    hidden = [(5000, "ta re mi-scoundrel so"), (5001, "ta so.blockhead lo"), (5002, "mi na_nitwit"), (5003, "re s. c. o. u. n. d. r. e. l na"), (5004, "ta " + "blockh" + "e" * 50 + "ad"), (5005, "ta so-lo mi.re na_ta")]
+    docs = spark.createDataFrame(rows + hidden, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    by_id = {r.doc_id: r.predicted for r in score_toxicity(docs, marks).collect()}
+    assert [by_id[5000 + k] for k in range(6)] == [1, 1, 1, 1, 1, 0]
