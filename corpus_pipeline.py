@@ -52,9 +52,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with how many words it takes of each, in the order of the training."""
+    """Documents that the mix takes, with how many words it takes of each, a row for each use in the order of the training."""
     mixed = mix_sources(docs, carry=["text", "lang", "source"]).where("taken > 0")
-    return in_training_order(mixed).select("doc_id", "carried.*", "size", "source_size", "target", "taken", "position")
+    return in_training_order(mixed).select("doc_id", "carried.*", "size", "source_size", "target", "taken", "pass", "used", "position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -6,8 +6,8 @@ order by digest, are taken in whole passes and one partial pass until the share
 is reached.  A source's weight changes over the training from ``begins`` to
 ``ends`` times its mean; the integral of that line is the source's cumulative
 demand for words, and inverting it gives the moment at which the words that
-precede a document are used up, its position.  The training order is a range
-sort by position.
+precede a document are used up, its position, one for each pass that takes it.
+The training order is a range sort of all uses by position.
 
 Scale.  One aggregation by source; positions within a source come from sums of
 4096 slices of the digest's range and a window inside each slice, so that a
@@ -54,6 +54,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, schedul
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[tuple[float, float]] = SCHEDULES, most: int = MOST, carry: Sequence[str] = ()) -> DataFrame:
     """For each row: the id, ``size`` (words), ``source_size``, ``target``, ``taken`` and ``position`` (from 0 to 1, of its first use; null if unused),
+    ``positions`` (of all its uses, one a pass, a partial one included),
     and ``carried``, a struct of the columns in ``carry`` if there are any.
 
     A null or empty text has size 0 and is never taken.  A null source is a
@@ -83,13 +84,30 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     quota, total = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
     passes = F.floor(quota / total)
     taken = passes * F.col("size") + F.least("size", F.greatest(quota - passes * F.col("source_size") - F.col("start"), F.lit(0)))
-    used = F.col("start") / F.greatest(quota, F.lit(1))
     line = 1 + F.col("bend")
-    moment = 2 * used / (line + F.sqrt(F.greatest(line * line - 4 * F.col("bend") * used, F.lit(0.0))))
+
+    def moment(k):
+        used = (F.col("start") + k * F.col("source_size")) / F.greatest(quota, F.lit(1))
+        return F.round(2 * used / (line + F.sqrt(F.greatest(line * line - 4 * F.col("bend") * used, F.lit(0.0)))), 6)
+
     placed = placed.withColumn("taken", taken.cast("long"))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.round(moment, 6)).alias("position"), *(["carried"] if carry else []))
+    uses = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    positions = F.when(uses > 0, F.transform(F.sequence(F.lit(0), uses - 1), moment)).otherwise(F.array().cast("array<double>"))
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, moment(F.lit(0))).alias("position"), positions.alias("positions"), *(["carried"] if carry else []))
 
 
 def in_training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Range sort by position; what the mix doesn't take comes last."""
-    return mixed.orderBy(F.col("position").asc_nulls_last(), id_col)
+    """A row for each use of a document, with its ``position`` and the words it takes, ``used``; range sort by position.
+
+    ``taken`` stays the number of words of all uses.  What the mix doesn't take
+    has one row without a position, and comes last.
+    """
+    others = [c for c in mixed.columns if c not in ("position", "positions")]
+    each = mixed.select(*others, F.posexplode_outer("positions").alias("pass", "position"))
+    used = F.when(F.col("position").isNull(), F.lit(0)).otherwise(F.least("size", F.col("taken") - F.col("pass") * F.col("size"))).cast("long")
+    return each.withColumn("used", used).orderBy(F.col("position").asc_nulls_last(), id_col, "pass")
+
+
+def in_first_use_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A row for each document; range sort by the position of its first use."""
+    return mixed.drop("positions").orderBy(F.col("position").asc_nulls_last(), id_col)

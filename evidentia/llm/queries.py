@@ -11,7 +11,7 @@ from . import oracle
 from .chat_format import chat_digests
 from .decontamination import find_contamination
 from .line_dedup import line_dedup
-from .mixing import in_training_order, mix_sources
+from .mixing import in_first_use_order, mix_sources
 from .ngram_jaccard import ngram_jaccard
 from .quality_rules import quality_rules
 from .secret_scan import secret_digests
@@ -56,7 +56,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_training_order(mix_sources(_table(spark, sf_dir, "documents")))
+    return in_first_use_order(mix_sources(_table(spark, sf_dir, "documents")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

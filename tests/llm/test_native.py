@@ -125,3 +125,26 @@ def test_mixing(spark):
     known = [p for p in places if p is not None]
     assert known == sorted(known) and places[: len(known)] == known
     assert mix_sources(df.limit(0)).count() == 0
+
+
+def test_mixing_places_every_use(spark):
+    r = random.Random(6)
+    rows = [(i, "w " * r.randrange(1, 30), "a" if i < 20 else "b" if i < 420 else "c") for i in range(800)]
+    mixed = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    docs, uses = mixed.collect(), in_training_order(mixed).collect()
+    by_id = {i: s for i, _, s in rows}
+    bend = {"a": 0.5, "b": 0.0, "c": -0.5}
+    assert max(x.taken / x.size for x in docs) == 3
+    assert [x.position for x in uses if x.position is not None] == sorted(p for d in docs for p in d.positions)
+    for s in "abc":
+        own = sorted((x for x in uses if by_id[x.doc_id] == s and x.position is not None), key=lambda x: (x["pass"], x.position))
+        assert sum(x.used for x in own) == sum(d.taken for d in docs if by_id[d.doc_id] == s) == round(own[0].target)
+        before = 0
+        for x in own:
+            share = (1 + bend[s]) * x.position - bend[s] * x.position**2
+            assert abs(share - before / round(x.target)) < 1e-5
+            before += x.used
+    for d in docs:
+        own = [x for x in uses if x.doc_id == d.doc_id]
+        assert sum(x.used for x in own) == d.taken and [x.position for x in sorted(own, key=lambda x: x["pass"] or 0)] == (d.positions or [None])
+        assert d.position == (d.positions[0] if d.positions else None)
