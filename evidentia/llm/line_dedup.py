@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, column_of, dealt_texts, ids_of, lists, mix, part_of, partitions_of, parts_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks
 
-#: Edits (of bytes) within which lines are the same, and bytes that a line needs to be compared at all.
+#: Edits within which lines are the same, and the length from which on all of them are allowed.
 EDITS, LEAST = 2, 40
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -60,18 +60,39 @@ def segments(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarr
     return base * i + np.maximum(i - short, 0), base + (i >= short)
 
 
-def _keys(sums: np.ndarray, begin: np.ndarray, size: np.ndarray, edits: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Hashes of segments (role 0) and probes (role 1) with the lines they are of."""
-    for i in range(edits + 1):
-        for shorter in range(edits + 1):
-            length = size - shorter
-            at, n = segments(length, i, edits)
-            tag = mix((length * (edits + 1) + i).astype(np.uint64), 31)
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for move in range(low, high + 1):
-                own = np.flatnonzero((length >= least) & (at + move >= 0) & (at + move + n <= size))
-                start = (begin + at + move)[own]
-                yield mix(span_hashes(sums, start, start + n[own]) ^ tag[own], 32), own, int(shorter > 0 or move != 0)
+def tiers_of(edits: int, least: int, whole: bool) -> list[tuple[int, int, int]]:
+    """Edits allowed to pairs whose shorter line has a length from the one number to below the other."""
+    if not whole:
+        return [(edits, least, 1 << 62)]
+    starts = [-(-least * k // edits) for k in range(1, edits + 1)]
+    return [(k, low, high) for k, low, high in zip(range(1, edits + 1), starts, [*starts[1:], 1 << 62], strict=True) if low < high]
+
+
+def _keys(sums: np.ndarray, begin: np.ndarray, size: np.ndarray, tiers: list[tuple[int, int, int]], places: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Hashes of segments (role 0) and probes (role 1) with the lines they are of; begins and sizes are bytes, or characters that begin at ``places``."""
+    for edits, least, most in tiers:
+        for i in range(edits + 1):
+            for shorter in range(edits + 1):
+                length = size - shorter
+                at, n = segments(length, i, edits)
+                tag = mix((length * (edits + 1) + i).astype(np.uint64), 31 + 100 * edits)
+                low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
+                for move in range(low, high + 1):
+                    own = np.flatnonzero((length >= least) & (length < most) & (at + move >= 0) & (at + move + n <= size))
+                    start = (begin + at + move)[own]
+                    stop = start + n[own]
+                    if places is not None:
+                        start, stop = places[start], places[stop]
+                    yield mix(span_hashes(sums, start, stop) ^ tag[own], 32), own, int(shorter > 0 or move != 0)
+
+
+def _units(block: Block, begin: np.ndarray, size: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Begins and sizes in characters if the whole job is asked, and where characters begin; else as they are."""
+    if not whole:
+        return begin, size, None
+    heads = (block.data & 0xC0) != 0x80
+    before = np.append(0, np.cumsum(heads, dtype=np.int64))
+    return before[begin], before[begin + size] - before[begin], np.append(np.flatnonzero(heads), len(block.data))
 
 
 def _long_lines(block: Block, least: int) -> tuple[np.ndarray, ...]:
@@ -86,7 +107,7 @@ def _long_lines(block: Block, least: int) -> tuple[np.ndarray, ...]:
 _DEALT = "bucket int, lines array<long>, docs array<long>, numbers array<int>, parts array<int>, keys array<int>, key_parts array<int>"
 
 
-def _deal(edits: int, least: int, buckets: int, parts: int):
+def _deal(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: int, parts: int):
     """Mapper: different lines of a block with their first places, and the keys of their segments and probes, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +128,8 @@ def _deal(edits: int, least: int, buckets: int, parts: int):
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[row_at]), lists(line[head].view(np.int64), cuts, pa.int64()), lists(id_[head], cuts, pa.int64()), lists(number[head], cuts, pa.int32()), lists(part[head], cuts, pa.int32()), none, none], [x.split()[0] for x in _DEALT.split(", ")])
                 o = np.lexsort((number, id_, line))
                 once = o[starts_of(line[o])]
-                found = [((h & ~np.uint64(1)) | np.uint64(role), part[once][own]) for h, own, role in _keys(sums, begin[once], size[once], edits, least)]
+                units = _units(block, begin[once], size[once], whole)
+                found = [((h & ~np.uint64(1)) | np.uint64(role), part[once][own]) for h, own, role in _keys(sums, *units[:2], tiers, units[2])]
                 keys, part = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
                 bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 o = np.lexsort((part, bucket))
@@ -198,7 +220,7 @@ _SENT = "bucket int, keys array<int>, roles binary, lines array<long>, docs arra
 _SENT_TYPE = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.int32())), ("roles", pa.binary()), ("lines", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32())), ("part", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bytes", pa.binary())])
 
 
-def _send(edits: int, least: int, buckets: int):
+def _send(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: int):
     """One part: the bytes of lines in their first places, for each of their keys that something else meets."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -214,7 +236,8 @@ def _send(edits: int, least: int, buckets: int):
             once = o[starts_of(line[o])]
             once = once[~_later(line[once], id_[once], number[once], firsts) & ~np.isin(line[once], before)]
             before = np.concatenate([before, line[once]])
-            for h, own, role in _keys(sums, begin[once], size[once], edits, least):
+            units = _units(block, begin[once], size[once], whole)
+            for h, own, role in _keys(sums, *units[:2], tiers, units[2]):
                 to = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 key = (h & np.uint64(0xFFFFFFFE)).astype(np.int64)
                 hit = np.isin((to << 32) | key, wanted)
@@ -233,7 +256,7 @@ def _send(edits: int, least: int, buckets: int):
 _BITS = 64
 
 
-def within(a: bytes, b: bytes, edits: int) -> bool:
+def within(a: bytes | str, b: bytes | str, edits: int) -> bool:
     """Whether two strings are at most ``edits`` (under 30) insertions, deletions or replacements apart.
 
     Common ends are cut off.  For the rest the dynamic program is computed in a
@@ -244,20 +267,22 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
     """
     if abs(len(a) - len(b)) > edits:
         return False
+    wide = isinstance(a, str)
     n = min(len(a), len(b))
-    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    head = n - (x.bit_length() + 7) // 8
+    x = int.from_bytes(a[:n].encode("utf-32-be") if wide else a[:n], "big") ^ int.from_bytes(b[:n].encode("utf-32-be") if wide else b[:n], "big")
+    unit = 32 if wide else 8
+    head = n - (x.bit_length() + unit - 1) // unit
     a, b = a[head:], b[head:]
     n = min(len(a), len(b))
     if n:
-        x = int.from_bytes(a[-n:], "little") ^ int.from_bytes(b[-n:], "little")
-        tail = n - (x.bit_length() + 7) // 8
+        x = int.from_bytes(a[-n:].encode("utf-32-le") if wide else a[-n:], "little") ^ int.from_bytes(b[-n:].encode("utf-32-le") if wide else b[-n:], "little")
+        tail = n - (x.bit_length() + unit - 1) // unit
         a, b = a[: len(a) - tail], b[: len(b) - tail]
     if len(a) < len(b):
         a, b = b, a
     if len(a) <= edits:
         return True
-    places: dict[int, int] = {}
+    places: dict[int | str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     full, edge = (1 << _BITS) - 1, 1 << (_BITS - 1)
@@ -281,7 +306,20 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
     return value <= edits
 
 
-def _near(edits: int):
+def allowed(a: bytes | str, b: bytes | str, tiers: list[tuple[int, int, int]]) -> int:
+    """Edits allowed between two lines, by the length of the shorter; none (-1) if it is too short for any."""
+    n = min(len(a), len(b))
+    return next((edits for edits, low, high in tiers if low <= n < high), -1)
+
+
+def alike(a: bytes | str, b: bytes | str, tiers: list[tuple[int, int, int]]) -> bool:
+    if isinstance(a, str) != isinstance(b, str):
+        a, b = (x if isinstance(x, str) else x.decode("utf-8", "replace") for x in (a, b))
+    edits = allowed(a, b, tiers)
+    return edits >= 0 and within(a, b, edits)
+
+
+def _near(tiers: list[tuple[int, int, int]], whole: bool):
     """Reducer: of the lines that share a key, which are near an earlier one, and that one's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +328,8 @@ def _near(edits: int):
             for row in batch.to_pylist():
                 at = 0
                 for key, role, line, doc, number, size in zip(row["keys"], row["roles"], row["lines"], row["docs"], row["numbers"], row["sizes"], strict=True):
-                    groups.setdefault(key, []).append((doc, number, line, role, row["bytes"][at : at + size], row["part"]))
+                    text = row["bytes"][at : at + size]
+                    groups.setdefault(key, []).append((doc, number, line, role, text if not whole or text.isascii() else text.decode("utf-8", "replace"), row["part"]))
                     at += size
         done: dict[int, tuple] = {}
         for group in groups.values():
@@ -299,7 +338,7 @@ def _near(edits: int):
             for doc, number, line, role, text, part in group:
                 if line not in done:
                     for d, n, other, r, known in earlier:
-                        if (role == 0 or r == 0) and other != line and (d, n) < (doc, number) and within(known, text, edits):
+                        if (role == 0 or r == 0) and other != line and (d, n) < (doc, number) and alike(known, text, tiers):
                             done[line] = (part, line, d, n)
                             break
                 earlier.append((doc, number, line, role, text))
@@ -353,12 +392,15 @@ def _cut(least: int, with_text: bool, carry: str | None):
     return run
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, with_text: bool = True, carry: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, with_text: bool = True, carry: str | None = None, whole: bool = False) -> DataFrame:
     """Remove each line that is within ``edits`` edits of an earlier line of any document.
 
     Lines are cut at \\n and compared without white space around, as UTF-8
     bytes (an edit inserts, deletes or replaces one); those of fewer than
-    ``least`` bytes are neither removed nor compared.  Earlier is what stands in
+    ``least`` bytes are neither removed nor compared.  With ``whole``, edits are
+    of characters, and shorter lines are allowed as many as their share of
+    ``least`` gives, rounded down; exact copies of lines of every length but of
+    blank ones are removed.  Earlier is what stands in
     a document with a smaller id, or above in the same; whether the earlier
     line is itself removed doesn't matter.  Returns one row for each input row:
     the id, ``n_lines``, ``n_removed``, ``kept_sha256`` (of the text left), if
@@ -370,11 +412,12 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     own = plain_texts(docs, id_col, text_col, carry)
     buckets, parts = partitions_of(docs.sparkSession), parts_of(docs.sparkSession)
-    texts = dealt_texts(own)
-    dealt = own.select("__id", "__text").mapInArrow(_deal(edits, least, buckets, parts), _DEALT).repartitionById(buckets, F.col("bucket"))
+    texts, tiers = dealt_texts(own), tiers_of(edits, least, whole)
+    least = 1 if whole else least
+    dealt = own.select("__id", "__text").mapInArrow(_deal(tiers, least, whole, buckets, parts), _DEALT).repartitionById(buckets, F.col("bucket"))
     told = dealt.mapInArrow(_met, _TOLD)
-    sent = texts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_send(edits, least, buckets), _SENT).repartitionById(buckets, F.col("bucket"))
-    near = sent.mapInArrow(_near(edits), _TOLD)
+    sent = texts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_send(tiers, least, whole, buckets), _SENT).repartitionById(buckets, F.col("bucket"))
+    near = sent.mapInArrow(_near(tiers, whole), _TOLD)
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     out = "__id long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + (f", {carry} {kinds[carry]}" if carry else "")
     return texts.groupBy("part").cogroup(told.union(near).groupBy("part")).applyInArrow(_cut(least, with_text, carry), out).withColumnRenamed("__id", id_col)

@@ -45,7 +45,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents"), with_text=False)
+    return line_dedup(_table(spark, sf_dir, "documents"), with_text=False, whole=True)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

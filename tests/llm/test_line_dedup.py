@@ -75,3 +75,39 @@ def test_edges(spark):
     line = "x" * 50
     df = spark.createDataFrame([(None, line), (1, f"{line}\n{line}y\nshort\nshort"), (2, f" {line} ")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in line_dedup(df).collect()) == [(1, 1, f"{line}\nshort\nshort"), (2, 1, "")]
+
+
+def test_within_characters():
+    r = random.Random(5)
+    for _ in range(600):
+        a, b = ("".join(r.choice("aé漢") for _ in range(r.randrange(14))) for _ in range(2))
+        assert within(a, b, 2) == (distance(a, b) <= 2)
+
+
+def brute_whole(rows):
+    strip = lambda x: x.strip(" \t\n\r\x0b\x0c")
+    places = sorted({(i, k, strip(x)) for i, t in rows for k, x in enumerate((t or "").split("\n")) if strip(x)})
+    near = lambda a, b: abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, min(len(a), len(b)) * 2 // 40)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for k, x in enumerate(lines) if not strip(x) or not any(p[:2] < (i, k) and near(p[2], strip(x)) for p in places)]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_short_lines_and_characters(spark):
+    r = random.Random(9)
+    base = ["".join(r.choice("abcdé 漢字é") for _ in range(n)) for n in (1, 5, 18, 19, 20, 21, 30, 38, 39, 40, 41, 60)]
+    vary = lambda t, n: edited(r, t, n) if len(t) > 4 else t
+    rows = [(r.randrange(10**6), "\n".join(vary(r.choice(base), r.randrange(4)) for _ in range(r.randrange(1, 7)))) for _ in range(60)]
+    rows += [(5, None), (6, "\n \n"), (7, "x\nx"), (8, "漢" * 45), (9, "漢" * 43 + "字字")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, line_dedup(df, with_text=False, whole=True).collect())) == brute_whole(rows)
+
+
+def test_query_removes_short_copies(spark, tmp_path):
+    from evidentia.llm.queries import op6_line_dedup
+
+    spark.createDataFrame([(1, "All rights reserved."), (2, "All rights reserved.\nother")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((x.doc_id, x.n_removed) for x in op6_line_dedup(spark, str(tmp_path)).collect()) == [(1, 0), (2, 1)]
