@@ -329,6 +329,37 @@ def key_difference(spark, sf_dir):
     return keys(rows.where("l_shipdate < timestamp'1995-07-01'")).join(keys(rows.where("l_shipdate >= timestamp'2001-06-01'")), ["pmcid", "ct", "g"], "left_anti")
 
 
+_HALVES = _SIDES.replace("TIMESTAMP '1995-07-01'", "TIMESTAMP '1998-07-01'").replace("TIMESTAMP '2001-06-01'", "TIMESTAMP '1998-07-01'")
+
+
+def _halves(spark, sf_dir):
+    """All entries, before a date and from it on."""
+    rows = _entry_rows(spark, sf_dir)
+    return rows.where("l_shipdate < timestamp'1998-07-01'"), rows.where("l_shipdate >= timestamp'1998-07-01'")
+
+
+@_query("key_overlap_whole", ORACLE_SQL["key_overlap"].replace(_SIDES, _HALVES))
+def key_overlap_whole(spark, sf_dir):
+    return compare.compared(*_halves(spark, sf_dir)).drop("only_in_original", "only_in_reference")
+
+
+@_query("key_difference_whole", ORACLE_SQL["key_difference"].replace(_SIDES, _HALVES))
+def key_difference_whole(spark, sf_dir):
+    old, new = (df.select("pmcid", F.lower("cell_type").alias("ct"), F.upper("marker").alias("g")).distinct() for df in _halves(spark, sf_dir))
+    return old.join(new, ["pmcid", "ct", "g"], "left_anti")
+
+
+@_query("null_safe_dedup_whole", f"{_ENTRIES} SELECT marker, cell_type, cell_subtype, tissue, disease FROM e WHERE l_shipdate >= TIMESTAMP '1998-07-01' EXCEPT SELECT marker, cell_type, cell_subtype, tissue, disease FROM e WHERE l_shipdate < TIMESTAMP '1998-07-01'")
+def null_safe_dedup_whole(spark, sf_dir):
+    keys = ["marker", "cell_type", "cell_subtype", "tissue", "disease"]
+    old, new = _halves(spark, sf_dir)
+    old = old.select([F.col(k).alias(f"o_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    return new.select(keys).dropDuplicates().join(old, same, "left_anti")
+
+
 @_query(
     "gene_standard",
     """WITH a AS (SELECT DISTINCT p_brand AS symbol, upper(p_brand) AS key FROM part WHERE p_size > 25), x AS (SELECT DISTINCT p_brand AS symbol, upper(unnest(string_split(p_type || '|' || p_name, '|'))) AS key FROM part WHERE p_size > 25),

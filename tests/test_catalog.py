@@ -39,3 +39,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns[:2] == ["marker", "cell_type"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_halves_hold_all_entries(spark):
+    from evidentia import catalog
+
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    old, new = catalog._halves(spark, SF)
+    assert old.count() > 0 and new.count() > 0 and old.count() + new.count() == rows
+    keys = {tuple(r) for r in catalog.QUERIES["null_safe_dedup_whole"](spark, SF).collect()}
+    assert len({k[0] for k in keys}) > 1
