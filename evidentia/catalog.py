@@ -433,6 +433,16 @@ def assembled_texts(spark, sf_dir):
     return docs.select("doc_id", F.md5(texts.assembled(F.col("lang"), F.lit(""), F.col("text"), F.col("source"), budget=2000).cast("binary")).alias("digest"))
 
 
+@_query(
+    "assembled_texts_whole",
+    """WITH p AS (SELECT doc_id, CASE WHEN lang <> '' THEN '[Abstract]' || chr(10) || lang END AS a, CASE WHEN text <> '' THEN '[Results]' || chr(10) || text END AS r, CASE WHEN source <> '' THEN '[Methods]' || chr(10) || source END AS m FROM documents),
+c AS (SELECT *, 40000 - coalesce(length(a), 0) AS l1 FROM p), d AS (SELECT *, CASE WHEN r IS NULL THEN l1 WHEN length(r) <= l1 THEN l1 - length(r) ELSE 0 END AS l2, CASE WHEN length(r) <= l1 THEN r ELSE substr(r, 1, l1) || ' ...' END AS r2 FROM c)
+SELECT doc_id, md5(trim(concat_ws(chr(10) || chr(10), a, r2, CASE WHEN l2 > 200 THEN CASE WHEN length(m) <= l2 THEN m ELSE substr(m, 1, l2) || ' ...' END END), ' ' || chr(10) || chr(9))) AS digest FROM d""",
+)
+def assembled_texts_whole(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(texts.assembled(F.col("lang"), F.lit(""), F.col("text"), F.col("source")).cast("binary")).alias("digest"))
+
+
 @_query("props_json", "SELECT event_type, count(*) AS n, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1")
 def props_json(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]

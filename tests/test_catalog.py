@@ -49,3 +49,12 @@ def test_halves_hold_all_entries(spark):
     assert old.count() > 0 and new.count() > 0 and old.count() + new.count() == rows
     keys = {tuple(r) for r in catalog.QUERIES["null_safe_dedup_whole"](spark, SF).collect()}
     assert len({k[0] for k in keys}) > 1
+
+
+def test_assembled_texts_are_whole(spark, tmp_path):
+    from evidentia import catalog
+
+    rows = [(1, "x" * 3000 + "y", "en", "s"), (2, "x" * 3000 + "z", "en", "s"), (3, "", "en", "s"), (4, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["assembled_texts_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == 4 and len({r.digest for r in got}) == 4
