@@ -18,8 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 BLOCK_BYTES = 2 << 20
+#: Bytes of text that hashes are computed over at once; a longer text is hashed piece by piece.
+PIECE_BYTES = 4 << 20
+#: Bytes of text in one part of the documents (one task holds it in memory) and for which one more bucket of an exchange is made.
+PART_BYTES, BUCKET_BYTES = 8 << 20, 128 << 20
+#: The place of rows without an id in the order of ids: after all others.
+NO_ID = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -67,8 +74,9 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
-    """A column of whole numbers without nulls as int64."""
-    return column.cast(pa.int64()).to_numpy(zero_copy_only=False)
+    """A column of ids as int64; rows without an id come last."""
+    column = column.cast(pa.int64())
+    return (column.fill_null(NO_ID) if column.null_count else column).to_numpy(zero_copy_only=False)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,19 +101,55 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+def _inverse_powers(at: np.ndarray, upto: int) -> np.ndarray:
+    """Powers of the inverse of the hash base at places below ``upto``, from one table of a piece and one of pieces."""
+    down = powers(min(upto, PIECE_BYTES))[1]
+    if upto <= PIECE_BYTES:
+        return down[at]
+    far = np.full(upto // PIECE_BYTES + 1, down[-1:] * _INVERSE, np.uint64)
+    far[0] = 1
+    return down[at % PIECE_BYTES] * np.multiply.accumulate(far)[at // PIECE_BYTES]
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Sums of byte value times power up to each position; differences of two give the hash of what lies between."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(len(data))[0], out=sums[1:])
+    up = powers(min(len(data), PIECE_BYTES))[0]
+    scale = np.uint64(1)
+    for a in range(0, len(data), PIECE_BYTES):
+        piece = data[a : a + PIECE_BYTES]
+        part = sums[a + 1 : a + 1 + len(piece)]
+        np.cumsum(BYTE_VALUES[piece] * up[: len(piece)], out=part)
+        if a:
+            part *= scale
+            part += sums[a]
+        if a + PIECE_BYTES < len(data):
+            with np.errstate(over="ignore"):
+                scale = scale * up[-1] * _BASE
     return sums
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans, independent of where they lie."""
-    x = (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
+    x = (sums[ends] - sums[starts]) * _inverse_powers(starts, len(sums))
     return mix(x ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hashes`` of spans sorted by start, in pieces of the data, so that sums and powers don't grow with the longest text."""
+    if len(data) <= PIECE_BYTES:
+        return span_hashes(prefix_hashes(data), starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, low + PIECE_BYTES)))
+        high = int(ends[i:j].max())
+        out[i:j] = span_hashes(prefix_hashes(data[low:high]), starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
 @dataclass
 class Words:
     """Word i is ``data[starts[i]:ends[i]]``; document d has the words ``first[d]:first[d + 1]``."""
@@ -157,14 +201,20 @@ def lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values, kind))
 
 
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new folder in the shared place that the session names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests, one machine) a temporary folder is made
-    once and set as the session's checkpoint folder.
+    Where a local session lacks the setting (tests, one machine) a temporary
+    folder is made once and set.  A cluster's session must have it, because
+    other machines don't see this one's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -173,21 +223,43 @@ def shared_path(spark: SparkSession) -> str:
 def kept(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage.
 
-    Unlike a cached table it outlives the executors that made it.
+    Unlike a cached table it outlives the executors that made it.  It stays
+    until ``forget`` is called.
     """
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_so_far() -> int:
+    """How many tables this process has kept and not forgotten."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, since: int = 0, spare: int = 0) -> None:
+    """Delete kept tables, but for the first ``since`` and the last ``spare``; nothing that is still to be computed may read them."""
+    stop = len(_made) - spare
+    for path in _made[since:stop]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:stop]
+
+
 def partitions_of(spark: SparkSession) -> int:
-    """Shuffle partitions of the session; it is the deployment's measure of the data's size."""
+    """Shuffle partitions of the session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def parts_of(spark: SparkSession) -> int:
-    """Groups into which documents are dealt for cogroups: a few for each shuffle partition, so that one is a small piece of memory."""
-    return 4 * partitions_of(spark)
+def deal_of(own: DataFrame) -> tuple[int, int]:
+    """Buckets of an exchange of hashes, and parts into which documents are dealt for cogroups, by the bytes of the texts.
+
+    There are as many buckets as shuffle partitions, and more where one would
+    have to take over ``BUCKET_BYTES`` of text; a part has about ``PART_BYTES``
+    whatever the session's settings.
+    """
+    n = own.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    return max(partitions_of(own.sparkSession), -(-n // BUCKET_BYTES)), max(1, -(-n // PART_BYTES))
 
 
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -205,19 +277,25 @@ def _with_part(parts: int):
 
 
 def plain_texts(docs: DataFrame, id_col: str, text_col: str, carry: str | None = None) -> DataFrame:
-    """``__id``, ``__text`` of the rows that have an id, and if asked a struct of all columns but the text; whatever the names of other columns."""
+    """``__id``, ``__text``, and if asked a struct of all columns but the text; whatever the names of other columns.
+
+    Ids are whole numbers or null.
+    """
+    kind = docs.select(F.col(id_col)).schema[0].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{id_col} must be a whole number, not {kind.simpleString()}")
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias(carry)] if carry else []
-    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *rest).where("__id is not null")
+    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *rest)
 
 
-def dealt_texts(own: DataFrame) -> DataFrame:
+def dealt_texts(own: DataFrame, parts: int) -> DataFrame:
     """The rows of ``plain_texts`` with ``part``, the key of the cogroups that bring findings back to their documents.
 
     A plan that cogroups by ``part`` several times exchanges the texts once
     (equal exchanges are reused within a query).
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInArrow(_with_part(parts_of(own.sparkSession)), f"part int, {fields}")
+    return own.mapInArrow(_with_part(parts), f"part int, {fields}")
 
 
 def column_of(table: pa.Table, name: str) -> pa.Array:

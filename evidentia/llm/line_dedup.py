@@ -7,16 +7,22 @@ number of the segment, which the substrings of each line probe at the places
 that the difference in length leaves open.
 
 Hashes of lines, segments and probes are exchanged first.  They tell the first
-place of each different line, and which segments anything else meets.  Only
-first places of lines with such a segment then send their bytes, to the bucket
-of the segment, where pairs are verified by a bit-parallel edit distance in a
-band around the diagonal, after common ends and counts of characters have
-dismissed most.
-
-Scale.  Texts are exchanged once, copies of a line once for each block that
-holds them.  Lines that meet in a segment are compared in pairs, until one is
-known to be near an earlier line: the cost of a segment that many different
-lines share grows with the square of their number, in time and not in memory.
+place of each different line, and which segments a different line meets.  Only
+first places of lines with such a segment then send their bytes, to the task of
+the segment, where pairs are verified by a bit-parallel edit distance in a band
+around the diagonal, after common ends and counts of characters have dismissed
+most.
+
+Hot segments.  What is left of two lines without a segment that they share is
+within as many edits as they are.  So a segment that over ``HOT`` different
+lines share is not compared as one group: what is left of its lines is cut into
+segments again, and only lines that share one of those too meet.  This is done
+``LEVELS`` times, which leaves lines that agree in nearly all of their text.
+
+Scale.  Texts are exchanged once or, with hot segments, once more for each
+level; copies of a line once for each block that holds them.  Groups are sorted
+by Spark and pass a task one by one.  Lines that still share a segment after the
+last level are compared in pairs, until one is known to be near an earlier line.
 """
 
 from __future__ import annotations
@@ -29,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, column_of, dealt_texts, ids_of, lists, mix, part_of, partitions_of, parts_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks
+from .blocks import Block, column_of, deal_of, dealt_texts, ids_of, kept, lists, mix, part_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks
 
 #: Edits within which lines are the same, and the length from which on all of them are allowed.
 EDITS, LEAST = 2, 40
+#: Different lines with one segment that are compared with each other, and how often more of them are cut anew.
+HOT, LEVELS = 64, 2
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -68,43 +76,114 @@ def tiers_of(edits: int, least: int, whole: bool) -> list[tuple[int, int, int]]:
     return [(k, low, high) for k, low, high in zip(range(1, edits + 1), starts, [*starts[1:], 1 << 62], strict=True) if low < high]
 
 
-def _keys(sums: np.ndarray, begin: np.ndarray, size: np.ndarray, tiers: list[tuple[int, int, int]], places: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Hashes of segments (role 0) and probes (role 1) with the lines they are of; begins and sizes are bytes, or characters that begin at ``places``."""
-    for edits, least, most in tiers:
-        for i in range(edits + 1):
-            for shorter in range(edits + 1):
-                length = size - shorter
-                at, n = segments(length, i, edits)
-                tag = mix((length * (edits + 1) + i).astype(np.uint64), 31 + 100 * edits)
-                low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-                for move in range(low, high + 1):
-                    own = np.flatnonzero((length >= least) & (length < most) & (at + move >= 0) & (at + move + n <= size))
-                    start = (begin + at + move)[own]
-                    stop = start + n[own]
-                    if places is not None:
-                        start, stop = places[start], places[stop]
-                    yield mix(span_hashes(sums, start, stop) ^ tag[own], 32), own, int(shorter > 0 or move != 0)
-
-
-def _units(block: Block, begin: np.ndarray, size: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Begins and sizes in characters if the whole job is asked, and where characters begin; else as they are."""
-    if not whole:
-        return begin, size, None
-    heads = (block.data & 0xC0) != 0x80
-    before = np.append(0, np.cumsum(heads, dtype=np.int64))
-    return before[begin], before[begin + size] - before[begin], np.append(np.flatnonzero(heads), len(block.data))
+def _cuts(sums: np.ndarray, begin: np.ndarray, size: np.ndarray, tier: tuple[int, int, int], shorter: int, places: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Hashes of the segments of lines that are shorter by so much, where the lines may hold them, and whether at another place than their own.
+
+    Yields hash, line, start and stop in bytes, and the last.  Begins and sizes
+    are bytes, or characters that begin at ``places``.
+    """
+    edits, least, most = tier
+    length = size - shorter
+    for i in range(edits + 1):
+        at, n = segments(length, i, edits)
+        tag = mix((length * (edits + 1) + i).astype(np.uint64), 31 + 100 * edits)
+        low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
+        for move in range(low, high + 1):
+            own = np.flatnonzero((length >= least) & (length < most) & (at + move >= 0) & (at + move + n <= size))
+            start = (begin + at + move)[own]
+            stop = start + n[own]
+            if places is not None:
+                start, stop = places[start], places[stop]
+            yield mix(span_hashes(sums, start, stop) ^ tag[own], 32), own, start, stop, move != 0
+
+
+class _Lines:
+    """Different lines of a block, or what is left of some lines, with the keys of their segments (role 0) and probes (role 1).
+
+    A key is a bucket in the upper half and 31 bits, beside them a bit for the role.
+    """
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, whole: bool, buckets: int):
+        self.data, self.begin, self.size, self.whole, self.buckets = data, begin, size, whole, buckets
+        self.sums = prefix_hashes(data)
+        heads = (data & 0xC0) != 0x80 if whole else None
+        before = np.append(0, np.cumsum(heads, dtype=np.int64)) if whole else None
+        self.units = (before[begin], before[begin + size] - before[begin], np.append(np.flatnonzero(heads), len(data))) if whole else (begin, size, None)
+
+    def _key(self, h: np.ndarray) -> np.ndarray:
+        return (((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64) << 32) | (h & np.uint64(0xFFFFFFFE)).astype(np.int64)
+
+    def _left(self, own: np.ndarray, start: np.ndarray, stop: np.ndarray) -> _Lines:
+        """What is left of lines without the bytes from start to stop."""
+        end = self.begin[own] + self.size[own]
+        left = [self.data[a:b] for x in zip(self.begin[own], start, stop, end, strict=True) for a, b in ((x[0], x[1]), (x[2], x[3]))]
+        size = self.size[own] - (stop - start)
+        return _Lines(np.concatenate(left) if left else self.data[:0], np.cumsum(size) - size, size, self.whole, self.buckets)
+
+    def keys(self, tiers: list[tuple[int, int, int]], known: np.ndarray | None = None, level: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Key, line and role of segments and probes.
+
+        ``known`` are sorted keys that something else meets, the lowest bit set
+        where they are hot.  With a level, keys at that level under hot ones;
+        without, the known keys of all levels that are not hot.
+        """
+        for tier in tiers:
+            for shorter in range(tier[0] + 1):
+                for h, own, start, stop, moved in _cuts(self.sums, *self.units[:2], tier, shorter, self.units[2]):
+                    yield from self._below(h, own, start, stop, int(shorter > 0 or moved), (tier, shorter), known, level, 0)
+
+    def _below(self, h, own, start, stop, role, of, known, level, depth) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        key = self._key(h)
+        if level == depth:
+            yield key, own, role
+            return
+        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+        if not len(known) or not len(key):
+            return
+        met, hot = known[at] == key, np.zeros(len(key), bool)
+        after = np.minimum(at + 1, len(known) - 1)
+        hot = (known[at] == key + 1) | ((known[after] == key + 1) & met)
+        if level is None and (met & ~hot).any():
+            yield key[met & ~hot], own[met & ~hot], role
+        if not hot.any():
+            return
+        left, parent = self._left(own[hot], start[hot], stop[hot]), h[hot]
+        (edits, _, _), shorter = of
+        for sub, lines, a, b, moved in _cuts(left.sums, *left.units[:2], (edits, 0, 1 << 62), shorter if role else 0, left.units[2]):
+            found = left._below(mix(sub ^ parent[lines], 33), lines, a, b, 1 if role else int(moved), of, known, level, depth + 1)
+            yield from ((k, own[hot][x], r) for k, x, r in found)
 
 
 def _long_lines(block: Block, least: int) -> tuple[np.ndarray, ...]:
-    """Prefix sums of the block, and of its lines of ``least`` bytes or more: number in the document, start, size, document, hash."""
+    """Of the lines of ``least`` bytes or more: number in the document, start, size, document, hash."""
     _, _, begin, stop, doc = lines_of(block)
     number = np.arange(len(doc)) - np.searchsorted(doc, doc)
     own = stop - begin >= least
     sums = prefix_hashes(block.data)
-    return sums, number[own], begin[own], (stop - begin)[own], doc[own], span_hashes(sums, begin[own], stop[own])
+    return number[own], begin[own], (stop - begin)[own], doc[own], span_hashes(sums, begin[own], stop[own])
+
 
+_DEALT = "bucket int, lines array<long>, docs array<long>, numbers array<int>, parts array<int>, keys array<int>, tags array<int>, key_parts array<int>"
+_DEALT_NAMES = [x.split()[0] for x in _DEALT.split(", ")]
 
-_DEALT = "bucket int, lines array<long>, docs array<long>, numbers array<int>, parts array<int>, keys array<int>, key_parts array<int>"
+
+def _first_of_each(line: np.ndarray, id_: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The first place of each different line."""
+    o = np.lexsort((number, id_, line))
+    return o[starts_of(line[o])]
+
+
+def _dealt_keys(found: list[tuple[np.ndarray, np.ndarray, int]], line: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_DEALT`` with keys, the lines' tags and parts, one for each bucket."""
+    keys = np.concatenate([k | role for k, _, role in found])
+    own = np.concatenate([x for _, x, _ in found])
+    bucket = keys >> 32
+    o = np.argsort(bucket.astype(np.uint16) if len(bucket) and int(bucket.max()) < 1 << 16 else bucket, kind="stable")
+    bucket, keys, own = bucket[o].astype(np.int32), keys[o].astype(np.uint32).view(np.int32), own[o]
+    row_at = starts_of(bucket)
+    cuts, none, no_int = np.append(row_at, len(bucket)), pa.nulls(len(row_at), pa.list_(pa.int64())), pa.nulls(len(row_at), pa.list_(pa.int32()))
+    tags = line.view(np.uint64).astype(np.uint32).view(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[row_at]), none, none, no_int, no_int, lists(keys, cuts, pa.int32()), lists(tags[own], cuts, pa.int32()), lists(part[own], cuts, pa.int32())], _DEALT_NAMES)
 
 
 def _deal(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: int, parts: int):
@@ -115,7 +194,7 @@ def _deal(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: i
             ids = ids_of(batch.column(0))
             own_part = part_of(ids, parts)
             for block in text_blocks(batch.column(1)):
-                sums, number, begin, size, doc, line = _long_lines(block, least)
+                number, begin, size, doc, line = _long_lines(block, least)
                 if not len(line):
                     continue
                 id_, part = ids[block.rows][doc], own_part[block.rows][doc]
@@ -125,18 +204,9 @@ def _deal(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: i
                 head, bucket = head[np.argsort(bucket, kind="stable")], np.sort(bucket)
                 row_at = starts_of(bucket)
                 cuts, none = np.append(row_at, len(bucket)), pa.nulls(len(row_at), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[row_at]), lists(line[head].view(np.int64), cuts, pa.int64()), lists(id_[head], cuts, pa.int64()), lists(number[head], cuts, pa.int32()), lists(part[head], cuts, pa.int32()), none, none], [x.split()[0] for x in _DEALT.split(", ")])
-                o = np.lexsort((number, id_, line))
-                once = o[starts_of(line[o])]
-                units = _units(block, begin[once], size[once], whole)
-                found = [((h & ~np.uint64(1)) | np.uint64(role), part[once][own]) for h, own, role in _keys(sums, *units[:2], tiers, units[2])]
-                keys, part = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-                o = np.lexsort((part, bucket))
-                bucket, keys, part = bucket[o], keys[o].astype(np.uint32).view(np.int32), part[o]
-                row_at = starts_of(bucket)
-                cuts, none, no_int = np.append(row_at, len(bucket)), pa.nulls(len(row_at), pa.list_(pa.int64())), pa.nulls(len(row_at), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[row_at]), none, none, no_int, no_int, lists(keys, cuts, pa.int32()), lists(part, cuts, pa.int32())], [x.split()[0] for x in _DEALT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[row_at]), lists(line[head].view(np.int64), cuts, pa.int64()), lists(id_[head], cuts, pa.int64()), lists(number[head], cuts, pa.int32()), lists(part[head], cuts, pa.int32()), none, none, none], _DEALT_NAMES)
+                once = _first_of_each(line, id_, number)
+                yield _dealt_keys(list(_Lines(block.data, begin[once], size[once], whole, buckets).keys(tiers, level=0)), line[once], part[once])
 
     return run
 
@@ -155,8 +225,8 @@ def _told(part: np.ndarray, columns: dict[str, tuple[np.ndarray, pa.DataType]])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reducer: first places of lines that stand in several parts, and keys of segments that something else meets."""
-    bucket, columns = 0, [[] for _ in range(6)]
+    """Reducer: first places of lines that stand in several parts, and keys of segments that a different line meets."""
+    bucket, columns = 0, [[] for _ in range(7)]
     for batch in batches:
         if batch.num_rows:
             bucket = batch.column(0)[0].as_py()
@@ -164,7 +234,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 to.append(column.flatten().to_numpy())
     if not columns[0]:
         return
-    line, doc, number, part, key, key_part = (np.concatenate(x) for x in columns)
+    line, doc, number, part, key, tag, key_part = (np.concatenate(x) for x in columns)
     columns.clear()
     if len(line):
         o = np.lexsort((number, doc, line))
@@ -180,13 +250,23 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(head):
             yield _told(part[head], {"lines": line[head], "docs": doc[head], "numbers": number[head]})
     if len(key):
-        x = np.sort((key.view(np.uint32).astype(np.uint64) << np.uint64(32)) | key_part.astype(np.uint64))
-        own = x >> np.uint64(33)
-        head = starts_of(own)
+        # The segment without its role, with its place, sorts as a plain value and dismisses most that stand alone.
+        x = np.sort(((key.view(np.uint32) >> np.uint32(1)).astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64))
+        head = starts_of(x >> np.uint64(32))
         times = np.diff(np.append(head, len(x)))
-        indexed = ((x >> np.uint64(32)) & np.uint64(1))[head] == 0
-        x = x[np.repeat((times > 1) & indexed, times)]
-        key, part = (np.int64(bucket) << 32) | ((x >> np.uint64(33)) << np.uint64(1)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        at = (x[np.repeat(times > 1, times)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        own, tag, role, part = key[at].view(np.uint32) >> np.uint32(1), tag[at], key[at] & 1, key_part[at]
+        o = np.lexsort((tag, own))
+        own, tag, role, part = own[o], tag[o], role[o], part[o]
+        if not len(own):
+            return
+        head = starts_of(own)
+        times = np.diff(np.append(head, len(own)))
+        new = np.zeros(len(own), np.int64)
+        new[starts_of(own, tag)] = 1
+        different, indexed = np.add.reduceat(new, head), np.minimum.reduceat(role, head) == 0
+        wanted, hot = np.repeat((different > 1) & indexed, times), np.repeat(different > HOT, times)
+        key, part = ((np.int64(bucket) << 32) | (own.astype(np.int64) << 1) | hot)[wanted], part[wanted].astype(np.int64)
         o = np.lexsort((key, part))
         key, part = key[o], part[o]
         head = starts_of(part, key)
@@ -216,39 +296,58 @@ def _later(line: np.ndarray, doc: np.ndarray, number: np.ndarray, told: tuple[np
     return (known[at] == line) & ((docs[at] < doc) | ((docs[at] == doc) & (numbers[at] < number)))
 
 
-_SENT = "bucket int, keys array<int>, roles binary, lines array<long>, docs array<long>, numbers array<int>, part int, sizes array<int>, bytes binary"
-_SENT_TYPE = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.int32())), ("roles", pa.binary()), ("lines", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32())), ("part", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bytes", pa.binary())])
+def _first_lines(docs: pa.Table, told: pa.Table, least: int) -> Iterator[tuple[Block, np.ndarray, ...]]:
+    """Blocks of one part with the lines that stand in their first place of all: id, number, begin, size, hash."""
+    firsts, ids, before = _first_places(told), ids_of(column_of(docs, "__id")), np.empty(0, np.int64)
+    for block in text_blocks(column_of(docs, "__text")):
+        number, begin, size, doc, line = _long_lines(block, least)
+        line, id_ = line.view(np.int64), ids[block.rows][doc]
+        once = _first_of_each(line, id_, number)
+        once = once[~_later(line[once], id_[once], number[once], firsts) & ~np.isin(line[once], before)]
+        before = np.concatenate([before, line[once]])
+        if len(once):
+            yield block, id_[once], number[once], begin[once], size[once], line[once]
+
+
+def _known_keys(told: pa.Table) -> np.ndarray:
+    return np.unique(_column(told, "keys"))
+
+
+def _deal_hot(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: int, level: int):
+    """One part: keys of what is left of lines without their hot segments, by bucket."""
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        known, out, schema = _known_keys(told), [], pa.schema([(n, pa.int32() if t == "int" else pa.list_(pa.int32() if "int" in t else pa.int64())) for n, t in (x.split() for x in _DEALT.split(", "))])
+        if docs.num_rows and (known & 1).any():
+            part = column_of(docs, "part")[0].as_py()
+            for block, _, _, begin, size, line in _first_lines(docs, told, least):
+                found = list(_Lines(block.data, begin, size, whole, buckets).keys(tiers, known, level))
+                if found:
+                    out.append(_dealt_keys(found, line, np.full(len(line), part, np.int32)))
+        return pa.Table.from_batches(out, schema)
+
+    return run
+
+
+_SENT = "key long, role int, doc long, number int, line long, part int, text binary"
 
 
 def _send(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: int):
     """One part: the bytes of lines in their first places, for each of their keys that something else meets."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        wanted = np.unique(_column(told, "keys"))
-        if not docs.num_rows or not len(wanted):
-            return _SENT_TYPE.empty_table()
-        firsts, part, out = _first_places(told), column_of(docs, "part")[0].as_py(), []
-        ids, before = ids_of(column_of(docs, "__id")), np.empty(0, np.int64)
-        for block in text_blocks(column_of(docs, "__text")):
-            sums, number, begin, size, doc, line = _long_lines(block, least)
-            line, id_ = line.view(np.int64), ids[block.rows][doc]
-            o = np.lexsort((number, id_, line))
-            once = o[starts_of(line[o])]
-            once = once[~_later(line[once], id_[once], number[once], firsts) & ~np.isin(line[once], before)]
-            before = np.concatenate([before, line[once]])
-            units = _units(block, begin[once], size[once], whole)
-            for h, own, role in _keys(sums, *units[:2], tiers, units[2]):
-                to = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                key = (h & np.uint64(0xFFFFFFFE)).astype(np.int64)
-                hit = np.isin((to << 32) | key, wanted)
-                out += [(int(b), k, role, int(line[i]), int(id_[i]), int(number[i]), block.data[begin[i] : begin[i] + size[i]].tobytes()) for b, k, i in zip(to[hit], key[hit].astype(np.uint32).view(np.int32), once[own[hit]], strict=True)]
-        out.sort(key=lambda x: x[0])
-        cuts = np.append(starts_of(np.array([x[0] for x in out])), len(out))
-        rows = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            x = out[a:b]
-            rows.append({"bucket": x[0][0], "keys": [y[1] for y in x], "roles": bytes(y[2] for y in x), "lines": [y[3] for y in x], "docs": [y[4] for y in x], "numbers": [y[5] for y in x], "part": part, "sizes": [len(y[6]) for y in x], "bytes": b"".join(y[6] for y in x)})
-        return pa.Table.from_pylist(rows, _SENT_TYPE)
+        known = _known_keys(told)
+        columns: list[list] = [[] for _ in range(7)]
+        if docs.num_rows and len(known):
+            part = column_of(docs, "part")[0].as_py()
+            for block, id_, number, begin, size, line in _first_lines(docs, told, least):
+                for key, own, role in _Lines(block.data, begin, size, whole, buckets).keys(tiers, known):
+                    texts = [block.data[a : a + n].tobytes() for a, n in zip(begin[own], size[own], strict=True)]
+                    for to, x in zip(columns, (key, np.full(len(own), role), id_[own], number[own], line[own], np.full(len(own), part), texts), strict=True):
+                        to.append(x)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        flat = [[y for x in column for y in x] if kind == pa.binary() else np.concatenate(column) if column else [] for column, kind in zip(columns, kinds, strict=True)]
+        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(flat, kinds, strict=True)], [x.split()[0] for x in _SENT.split(", ")])
 
     return run
 
@@ -320,35 +419,37 @@ def alike(a: bytes | str, b: bytes | str, tiers: list[tuple[int, int, int]]) ->
 
 
 def _near(tiers: list[tuple[int, int, int]], whole: bool):
-    """Reducer: of the lines that share a key, which are near an earlier one, and that one's place."""
+    """Which lines are near an earlier one of their key, and that one's place; rows come sorted by key, document and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, list[tuple]] = {}
+        at, earlier, done, found = None, [], set(), []
         for batch in batches:
-            for row in batch.to_pylist():
-                at = 0
-                for key, role, line, doc, number, size in zip(row["keys"], row["roles"], row["lines"], row["docs"], row["numbers"], row["sizes"], strict=True):
-                    text = row["bytes"][at : at + size]
-                    groups.setdefault(key, []).append((doc, number, line, role, text if not whole or text.isascii() else text.decode("utf-8", "replace"), row["part"]))
-                    at += size
-        done: dict[int, tuple] = {}
-        for group in groups.values():
-            group.sort(key=lambda x: x[:4])
-            earlier: list[tuple] = []
-            for doc, number, line, role, text, part in group:
+            for key, role, doc, number, line, part, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != at:
+                    at, earlier = key, []
+                if whole and not text.isascii():
+                    text = text.decode("utf-8", "replace")
                 if line not in done:
                     for d, n, other, r, known in earlier:
                         if (role == 0 or r == 0) and other != line and (d, n) < (doc, number) and alike(known, text, tiers):
-                            done[line] = (part, line, d, n)
+                            done.add(line)
+                            found.append((part, line, d, n))
                             break
                 earlier.append((doc, number, line, role, text))
-        if done:
-            part, line, doc, number = (np.array(x, np.int64) for x in zip(*sorted(done.values()), strict=True))
-            yield _told(part, {"lines": line, "docs": doc, "numbers": number})
+            if len(found) > 1 << 16:
+                yield _told_near(found)
+                found = []
+        if found:
+            yield _told_near(found)
 
     return run
 
 
+def _told_near(found: list[tuple]) -> pa.RecordBatch:
+    part, line, doc, number = (np.array(x, np.int64) for x in zip(*sorted(found), strict=True))
+    return _told(part, {"lines": line, "docs": doc, "numbers": number})
+
+
 def _cut(least: int, with_text: bool, carry: str | None):
     """Drop the lines of one part's documents for which an earlier place is known."""
 
@@ -356,7 +457,7 @@ def _cut(least: int, with_text: bool, carry: str | None):
         ids, texts = ids_of(column_of(docs, "__id")), column_of(docs, "__text")
         found = []
         for block in text_blocks(texts):
-            _, number, _, _, doc, line = _long_lines(block, least)
+            number, _, _, doc, line = _long_lines(block, least)
             found.append((line.view(np.int64), ids[block.rows][doc], number))
         line, doc, number = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
         told_line, told_doc, told_number = (_column(told, c) for c in ("lines", "docs", "numbers"))
@@ -408,16 +509,24 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     A null text is one empty line, as an empty one is.  Rows with the same id
     are one place in the order: equal lines at equal places don't remove each
-    other.  Rows without an id are left out.
+    other.  Rows without an id are such a place too, after all others.  Lines
+    and texts may have any length.
     """
     own = plain_texts(docs, id_col, text_col, carry)
-    buckets, parts = partitions_of(docs.sparkSession), parts_of(docs.sparkSession)
-    texts, tiers = dealt_texts(own), tiers_of(edits, least, whole)
+    buckets, parts = deal_of(own)
+    texts, tiers = dealt_texts(own, parts), tiers_of(edits, least, whole)
     least = 1 if whole else least
     dealt = own.select("__id", "__text").mapInArrow(_deal(tiers, least, whole, buckets, parts), _DEALT).repartitionById(buckets, F.col("bucket"))
-    told = dealt.mapInArrow(_met, _TOLD)
-    sent = texts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_send(tiers, least, whole, buckets), _SENT).repartitionById(buckets, F.col("bucket"))
-    near = sent.mapInArrow(_near(tiers, whole), _TOLD)
+    told = kept(dealt.mapInArrow(_met, _TOLD))
+    plain = texts.select("part", "__id", "__text")
+    for level in range(1, LEVELS + 1):
+        if told.where(F.exists("keys", lambda k: k.bitwiseAND(1) == 1)).isEmpty():
+            break
+        again = plain.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_deal_hot(tiers, least, whole, buckets, level), _DEALT).repartitionById(buckets, F.col("bucket"))
+        more = again.mapInArrow(_met, _TOLD)
+        told = kept(told.union(more if level < LEVELS else more.withColumn("keys", F.transform("keys", lambda k: k.bitwiseAND(-2)))))
+    sent = plain.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_send(tiers, least, whole, buckets), _SENT)
+    near = sent.repartition(buckets, "key").sortWithinPartitions("key", "doc", "number", "line", "role").mapInArrow(_near(tiers, whole), _TOLD)
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     out = "__id long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + (f", {carry} {kinds[carry]}" if carry else "")
     return texts.groupBy("part").cogroup(told.union(near).groupBy("part")).applyInArrow(_cut(least, with_text, carry), out).withColumnRenamed("__id", id_col)

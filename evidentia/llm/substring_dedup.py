@@ -11,9 +11,9 @@ Scale.  All windows are shuffled once, as packed arrays of eight bytes a window
 before the shuffle: of the documents in a block that share it only the one with
 the smallest id is sent, the others are already known to repeat it.  Findings are packed by part of the documents
 and meet the texts in a cogroup.  A bucket
-holds about 1/partitions of the windows; the bucket number adds its own bits to
-the 64 of the hash, so the chance that any window meets a false partner stays
-below 10^-12 at any size if partitions grow with the data.
+holds about 1/partitions of the windows; the bucket number, of a hash of its
+own, adds its bits to the 64.  With a bucket for each 128 MB of text no false
+partner is expected below some 10^12 windows, and a few tens of them at 10^13.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, column_of, dealt_texts, ids_of, lists, part_of, partitions_of, parts_of, pieces, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, word_windows, words_of
+from .blocks import Block, column_of, deal_of, dealt_texts, hashes_of, ids_of, lists, part_of, pieces, plain_texts, starts_of, text_blocks, word_windows, words_of
 
 WIDTH = 13
 _PACKED = "bucket int, ids array<long>, counts array<int>, hashes array<long>, hit boolean"
@@ -36,7 +36,7 @@ _PACKED = "bucket int, ids array<long>, counts array<int>, hashes array<long>, h
 def _block_windows(block: Block, width: int, both: bool = False) -> tuple[np.ndarray, ...]:
     """Hash, document and first word (counted from the document's first) of each window; the second hash if asked."""
     words = words_of(block)
-    hashes = span_hashes(prefix_hashes(block.data), words.starts, words.ends)
+    hashes = hashes_of(block.data, words.starts, words.ends)
     found, at = word_windows(hashes, words.first, width)
     doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))[at]
     return (found, doc, at - words.first[doc]) + ((word_windows(hashes, words.first, width, 1)[0],) if both else ())
@@ -155,15 +155,14 @@ def _meet(parts: int):
     return run
 
 
-def repeated_windows(own: DataFrame, width: int) -> DataFrame:
+def repeated_windows(own: DataFrame, width: int, buckets: int, parts: int) -> DataFrame:
     """The hashes of the windows that also start in a document with a smaller id, by document.
 
     Takes the rows of ``plain_texts``.  A row holds findings of one ``part`` of
     the documents: ``ids``, how many hashes each has (``counts``), ``hashes``.
     """
-    buckets = partitions_of(own.sparkSession)
     dealt = own.mapInArrow(_deal(width, buckets), _PACKED).repartitionById(buckets, F.col("bucket"))
-    return dealt.mapInArrow(_meet(parts_of(own.sparkSession)), "part int, ids array<long>, counts array<int>, hashes array<long>")
+    return dealt.mapInArrow(_meet(parts), "part int, ids array<long>, counts array<int>, hashes array<long>")
 
 
 def _cut(width: int, with_text: bool):
@@ -222,10 +221,12 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null or empty texts and texts of fewer words than ``width`` lose nothing.
     Rows with the same id are one document for the comparison and never remove
-    each other's words; each is returned.  Rows without an id are left out.
+    each other's words; each is returned.  So are rows without an id, which
+    come after all others.  A text of any length is one document.
     Other columns are ignored, whatever their names.
     """
     own = plain_texts(docs, id_col, text_col)
     out = "__id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + ", kept_text string" * with_text
-    found = repeated_windows(own, width)
-    return dealt_texts(own).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width, with_text), out).withColumnRenamed("__id", id_col)
+    buckets, parts = deal_of(own)
+    found = repeated_windows(own, width, buckets, parts)
+    return dealt_texts(own, parts).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width, with_text), out).withColumnRenamed("__id", id_col)

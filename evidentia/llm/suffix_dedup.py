@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, column_of, dealt_texts, ids_of, lists, mix, part_of, partitions_of, parts_of, plain_texts, powers, prefix_hashes, span_hashes, starts_of, text_blocks
+from .blocks import Block, column_of, deal_of, dealt_texts, ids_of, lists, mix, part_of, plain_texts, powers, prefix_hashes, starts_of, text_blocks
 
 LENGTH, GRAM = 200, 32
 #: Bytes of one document that are looked at together; longer ones are cut into such pieces, which overlap by a string.
@@ -154,7 +154,8 @@ def _common(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _text_hashes(block: Block) -> np.ndarray:
-    return span_hashes(prefix_hashes(block.data), block.offsets[:-1], block.offsets[1:]).view(np.int64)
+    """A hash of each document, whatever its length, without sums over its bytes."""
+    return np.array([int.from_bytes(hashlib.blake2b(block.data[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)], np.int64)
 
 
 _RUN = "bucket int, part int, refs array<long>, places array<long>, ends array<long>, shared binary, sizes binary, tails binary, left_sizes binary, lefts binary, known binary"
@@ -399,12 +400,12 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     asked, ``kept``, the remaining bytes.
 
     Null, empty and short texts lose nothing.  Repeated rows, with the same id
-    or not, are documents of their own and repeat each other.  Rows without an
-    id are left out.  Other columns are ignored, whatever their names.
+    or not, are documents of their own and repeat each other; so are rows without
+    an id.  Texts of any length are looked at in pieces.  Other columns are ignored, whatever their names.
     """
     own = plain_texts(docs, id_col, text_col)
-    buckets, parts = partitions_of(docs.sparkSession), parts_of(docs.sparkSession)
-    texts = dealt_texts(own)
+    buckets, parts = deal_of(own)
+    texts = dealt_texts(own, parts)
     grams = own.mapInArrow(_deal(buckets, parts), "bucket int, parts array<int>, grams array<int>").repartitionById(buckets, F.col("bucket"))
     repeated = grams.mapInArrow(_repeated, "part int, keys array<long>")
     runs = texts.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_sorted_runs(buckets), _RUN).repartitionById(buckets, F.col("bucket"))

@@ -74,7 +74,30 @@ def test_edges(spark):
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     line = "x" * 50
     df = spark.createDataFrame([(None, line), (1, f"{line}\n{line}y\nshort\nshort"), (2, f" {line} ")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in line_dedup(df).collect()) == [(1, 1, f"{line}\nshort\nshort"), (2, 1, "")]
+    assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in line_dedup(df.where("doc_id > 0")).collect()) == [(1, 1, f"{line}\nshort\nshort"), (2, 1, "")]
+
+
+def test_rows_without_an_id_come_last(spark):
+    line = "x" * 50
+    df = spark.createDataFrame([(None, line), (1, line), (None, "y" * 50), (None, "y" * 50)], "doc_id long, text string")
+    got = [(r.doc_id, r.n_removed) for r in line_dedup(df).collect()]
+    assert sorted(got, key=str) == [(1, 0), (None, 0), (None, 0), (None, 1)]
+
+
+def test_hot_segments(spark):
+    """Thousands of lines with a common beginning, and some that also share the end, of which a few are near others."""
+    r = random.Random(4)
+    some = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    head, tail = "2024-05-06 ERROR no answer from host ", " in time, trying once more"
+    rows = [(i, head + some(30)) for i in range(3000)] + [(i, head + some(12) + tail) for i in range(3000, 4500)]
+    near = r.sample(rows, 40)
+    rows += [(5000 + k, edited(r, t, r.randrange(3))) for k, (_, t) in enumerate(near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for whole in (False, True):
+        got = {x.doc_id for x in line_dedup(df, with_text=False, whole=whole).where("n_removed = 1").collect()}
+        assert got >= {i for i, _ in rows if i >= 5000}
+        texts = dict(rows)
+        assert all(any(j < i and distance(texts[j], texts[i]) <= 2 for j, t in rows if t[-8:] == texts[i][-8:] or t[37:45] == texts[i][37:45]) for i in got if i < 5000)
 
 
 def test_within_characters():

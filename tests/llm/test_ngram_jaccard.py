@@ -71,4 +71,21 @@ def test_late_links_find_what_the_rounds_miss(spark, monkeypatch):
 def test_edges(spark):
     assert ngram_jaccard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b"), (1, "A B"), (2, None)], "doc_id long, text string")
-    assert sorted(map(tuple, ngram_jaccard(df).collect())) == [(1, 1, 1), (2, 0, 2), (3, 1, 1), (3, 1, 1)]
+    assert sorted(map(tuple, ngram_jaccard(df).collect()), key=str) == [(1, 1, 1), (2, 0, 2), (3, 1, 1), (3, 1, 1), (None, 1, 1)]
+    alone = spark.createDataFrame([(None, "a b c"), (7, "d e f"), (None, "")], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_jaccard(alone).collect()), key=str) == [(7, 1, 7), (None, 0, None), (None, 1, None)]
+
+
+def test_hot_tokens_are_dealt_by_block(spark):
+    """A passage that all documents hold, and documents that link beside it."""
+    r = random.Random(8)
+    some = lambda n: [f"{r.randrange(10**6)}" for _ in range(n)]
+    passage, rows = some(30), []
+    for i in range(300):
+        own = some(r.choice([2, 20, 200]))
+        rows.append((i, " ".join(own + passage)))
+        if i % 5 == 0:
+            own[len(own) // 2] = "other"
+            rows.append((1000 + i, " ".join(own + passage)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_jaccard(df).collect())) == brute(rows)

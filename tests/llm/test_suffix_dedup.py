@@ -78,4 +78,4 @@ def test_edges(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = "".join(map(str, range(200)))
     df = spark.createDataFrame([(None, text), (1, text)], "doc_id long, text string")
-    assert [r.n_removed for r in suffix_dedup(df).collect()] == [0]
+    assert [r.n_removed for r in suffix_dedup(df).collect()] == [490, 490]
