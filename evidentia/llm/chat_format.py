@@ -40,12 +40,14 @@ def format_conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col:
     Turns stand in order of ``turn`` (nulls first), then of role and text, so
     that tied and repeated rows have one order; all are kept.  A null role or
     text is an empty one.  ``loss_spans`` (``start``, ``size`` in code points)
-    cover the texts of the role ``learned`` and no control string.  Rows
-    without a conversation id form one conversation.  Other columns are
-    ignored, whatever their names.
+    cover the texts of the role ``learned`` and no control string.  Each row
+    without a conversation id is a conversation of its own.  A conversation may
+    be as long as a string can be.  Other columns are ignored, whatever their
+    names.
     """
-    rows = turns.select(F.col(id_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("turn"))
-    sorted_turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(id_col).alias("conv"), alone.alias("alone"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("turn"))
+    sorted_turns = rows.groupBy("conv", "alone").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
     def marked(ts: Column) -> Column:
         def one(x: Column, i: Column) -> Column:

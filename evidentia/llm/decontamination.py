@@ -3,22 +3,30 @@
 Items are scored by BM25, each item's impacts being divided by what the item
 would score against itself, so that one threshold serves all.  The inverted
 index has items in blocks of ``BLOCK`` with each term's largest impact in a
-block.  Every window of every text is a query.  As in block-max WAND the terms
-that no item can reach the threshold without come first: an item's frequent
-terms, as long as they sum up to less than ``TAIL``, have no posting in the
-list that drives the search.  For each query the block maxima of its driving
-terms are summed; blocks that with the rest could reach the threshold are
-opened and their items scored in full, all that reach it are retrieved, and the
-shares of word trigrams of question and answer that the passage holds decide.
-
-Scale.  Texts are read once and not exchanged.  The index is built by Spark, in
-batches of at most ``BATCH_ITEMS`` items and about ``BATCH_CHARS`` characters
-(one item if that is longer), each of which is sent to the tasks and meets all
-texts; this bounds what is broadcast, whatever the number of items.
+block and in all.  Every window of every text is a query, its width that of the
+items' class of length.  An item's frequent terms, as long as they sum up to
+less than ``TAIL``, have no posting in the lists that drive the search, since
+without others they reach no threshold.
+
+Block-max WAND.  A window goes on only if the largest impacts of all its lists
+can reach the threshold.  Its lists are then walked in order of their current
+block: the pivot is the first block at which the largest impacts of the lists so
+far can reach it, lists before it skip to it, and if the maxima in that very
+block can reach it too, the block is opened.  Items of opened blocks are scored
+in full, all that reach the threshold are retrieved, and the shares of word
+trigrams of question and answer that the passage holds decide.
+
+Scale.  Texts are not exchanged.  The index is built by Spark, in slices of at
+most about ``SLICE_ITEMS`` items and ``SLICE_TERMS`` terms of one class, each by
+one task, and written.  Tasks get about ``LOAD_BYTES`` of slices at a time and
+read all texts with them; that bounds what is broadcast and held, and the texts
+are read once for each such load (one for any usual set of benchmarks).
 """
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,21 +35,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_LETTER, Block, ids_of, kept, mix, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, words_of
+from .blocks import NO_ID, NO_LETTER, Block, hashes_of, ids_of, kept, mix, plain_texts, starts_of, text_blocks, words_of
 
 #: Share of its score against itself that an item needs, and shares of question and answer trigrams.
 THRESHOLD, OVERLAP = 0.5, 0.5
 #: Impact of frequent terms that don't drive the search, and items in a block of the index.
 TAIL, BLOCK = 0.25, 16
-#: Bounds of a batch of items.
-BATCH_ITEMS, BATCH_CHARS = 20_000, 16 << 20
+#: Bounds of a slice of the index, and of the slices that tasks hold at once; least width of a window's step.
+SLICE_ITEMS, SLICE_TERMS, LOAD_BYTES, LEAST_WIDTH = 20_000, 2 << 20, 64 << 20, 16
 _K1, _B = 1.2, 0.75
+#: What sums of the same numbers in another order may differ by.
+_SLACK = 1e-9
+
+
+def plain_words(text):
+    """A text in lower case with a space for every sign beyond ASCII that is no letter, mark or digit (quotes, dashes, wide spaces)."""
+    return F.regexp_replace(F.lower(text), r"[^\x00-\x7F\p{L}\p{M}\p{N}]+", " ")
 
 
 def term_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of letters and digits, and where each document's begin (with the end)."""
     words = words_of(block, NO_LETTER)
-    return span_hashes(prefix_hashes(block.data), words.starts, words.ends), words.first
+    return hashes_of(block.data, words.starts, words.ends), words.first
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +84,7 @@ def question_and_answer(text):
 
 @dataclass
 class Index:
-    """One batch of items: terms (sorted hashes) with postings (item number, impact), and the driving postings by block."""
+    """One slice of items: terms (sorted hashes) with postings (item number, impact), the driving postings by block, and each driving list's largest impact."""
 
     ids: np.ndarray
     terms: np.ndarray
@@ -79,6 +94,7 @@ class Index:
     block_cuts: np.ndarray
     blocks: np.ndarray
     block_most: np.ndarray
+    most: np.ndarray
     tails: np.ndarray
     width: int
     grams: list[tuple[tuple[int, np.ndarray], ...]]
@@ -100,7 +116,7 @@ def _side(terms: list[int]) -> tuple[int, np.ndarray]:
     return n, _runs(np.array(terms, np.int64).view(np.uint64), n)
 
 
-def build_index(rows: list, n_items: int, mean: float, longest: int, tail: float) -> Index:
+def build_index(rows: list, n_items: int, mean: float, width: int, tail: float) -> Index:
     """``rows``: item id, question terms, answer terms, and for each different term of the item how many items have it."""
     ids = np.array([r["item"] for r in rows], np.int64)
     item, term, impact = [], [], []
@@ -134,7 +150,37 @@ def build_index(rows: list, n_items: int, mean: float, longest: int, tail: float
     most = np.maximum.reduceat(impact[d], np.searchsorted(d, at)) if len(d) else np.empty(0)
     block_tails = np.maximum.reduceat(tails, np.arange(0, len(tails), BLOCK))
     grams = [(_side(r["question"]), _side(r["answer"])) for r in rows]
-    return Index(ids, term[head], np.append(head, len(term)), item, impact, np.searchsorted(n[at], np.arange(len(head) + 1)), block[at], most, block_tails, max(longest, 16), grams)
+    block_cuts = np.searchsorted(n[at], np.arange(len(head) + 1))
+    list_most = np.zeros(len(head))
+    np.maximum.at(list_most, n[at], most)
+    return Index(ids, term[head], np.append(head, len(term)), item, impact, block_cuts, block[at], most, list_most, block_tails, width, grams)
+
+
+def wand(index: Index, terms: np.ndarray, threshold: float) -> list[int]:
+    """The blocks that a window with these driving terms opens, in order."""
+    top = float(index.tails.max())
+    lists = [[int(index.block_cuts[t]), int(index.block_cuts[t + 1]), float(index.most[t])] for t in terms.tolist()]
+    blocks, most, opened = index.blocks, index.block_most, []
+    while True:
+        lists = sorted((x for x in lists if x[0] < x[1]), key=lambda x: blocks[x[0]])
+        reach, pivot = top, -1
+        for x in lists:
+            reach += x[2]
+            if reach >= threshold - _SLACK:
+                pivot = int(blocks[x[0]])
+                break
+        if pivot < 0:
+            return opened
+        if blocks[lists[0][0]] < pivot:
+            for x in lists:
+                if blocks[x[0]] < pivot:
+                    x[0] = bisect_left(blocks, pivot, x[0], x[1])
+            continue
+        own = [x for x in lists if blocks[x[0]] == pivot]
+        if sum(float(most[x[0]]) for x in own) + float(index.tails[pivot]) >= threshold:
+            opened.append(pivot)
+        for x in own:
+            x[0] += 1
 
 
 class _Finder:
@@ -167,13 +213,12 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[order][head], np.add.reduceat(values[order], head) if len(head) else values[:0]
 
 
-def search_block(block: Block, index: Index, finder: _Finder, threshold: float) -> Iterator[tuple[int, int, float, float, float]]:
+def search_block(terms: np.ndarray, first: np.ndarray, index: Index, finder: _Finder, threshold: float) -> Iterator[tuple[int, int, float, float, float]]:
     """Document in the block, item number, best score and best overlaps of each pair that some window retrieves.
 
-    Windows are twice as wide as the longest item and begin at each multiple of
+    Windows are twice as wide as the items' class and begin at each multiple of
     its width, so that any stretch of that length lies within one of them.
     """
-    terms, first = term_hashes(block)
     at, n = finder(terms)
     doc = np.searchsorted(first, at, "right") - 1
     place = (at - first[doc]) // index.width
@@ -185,18 +230,22 @@ def search_block(block: Block, index: Index, finder: _Finder, threshold: float)
     o = np.lexsort((own, query))
     o = o[starts_of(query[o], own[o])]
     query, own = query[o], own[o]
-    row, posting = _spread(own, index.block_cuts)
-    n_blocks = len(index.tails)
-    keys, bound = _summed(query[row] * n_blocks + index.blocks[posting], index.block_most[posting])
-    keys = keys[bound + index.tails[keys % n_blocks] >= threshold]
+    head = starts_of(query)
+    if not len(head):
+        return
+    reach = np.add.reduceat(index.most[own], head) + index.tails.max()
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for q in np.unique(keys // n_blocks):
-        d, p = divmod(int(q), stride)
+    ends = np.append(head[1:], len(query))
+    for k in np.flatnonzero(reach >= threshold - _SLACK):
+        opened = wand(index, own[head[k] : ends[k]], threshold)
+        if not opened:
+            continue
+        d, p = divmod(int(query[head[k]]), stride)
         a, b = first[d] + p * index.width, min(first[d] + (p + 2) * index.width, first[d + 1])
         mine = np.unique(n[np.searchsorted(at, a) : np.searchsorted(at, b)])
         _, posting = _spread(mine, index.cuts)
-        opened = np.isin(index.items[posting] // BLOCK, keys[np.searchsorted(keys, q * n_blocks) : np.searchsorted(keys, (q + 1) * n_blocks)] % n_blocks)
-        items, scores = _summed(index.items[posting][opened], index.impacts[posting][opened])
+        posting = posting[np.isin(index.items[posting] // BLOCK, opened)]
+        items, scores = _summed(index.items[posting], index.impacts[posting])
         found = scores >= threshold
         if not found.any():
             continue
@@ -210,60 +259,86 @@ def search_block(block: Block, index: Index, finder: _Finder, threshold: float)
         yield d, i, *x
 
 
-def _search(index: Index, threshold: float, overlap: float):
+def _search(slices: list[bytes], threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _Finder(index.terms)
+        indexes = [pickle.loads(x) for x in slices]
+        finders = [_Finder(x.terms) for x in indexes]
         for batch in batches:
             ids = ids_of(batch.column(0))
             for block in text_blocks(batch.column(1), 1 << 20):
-                rows = [(int(ids[block.rows][d]), int(index.ids[i]), s, q, a) for d, i, s, q, a in search_block(block, index, finder, threshold) if q >= overlap and a >= overlap]
+                terms, first = term_hashes(block)
+                rows = [(int(ids[block.rows][d]), int(index.ids[i]), s, q, a) for index, finder in zip(indexes, finders, strict=True) for d, i, s, q, a in search_block(terms, first, index, finder, threshold) if q >= overlap and a >= overlap]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows, strict=True)], ["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
     return run
 
 
-def item_batches(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", answer_col: str | None = None, tail: float = TAIL) -> Iterator[Index]:
-    """The index of the items, batch by batch.  BM25 counts items and lengths over all of them."""
-    whole = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    question, answer = (whole, F.lower(F.coalesce(F.col(answer_col).cast("string"), F.lit("")))) if answer_col else question_and_answer(whole)
-    table = items.select(F.col(item_col).cast("long").alias("item"), question.alias("question"), answer.alias("answer")).where("item is not null")
+def _built(n_items: int, mean: float, tail: float):
+    """One slice of the index from its items."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        items = sorted(rows.to_pylist(), key=lambda r: (r["item"], r["row"]))
+        index = pickle.dumps(build_index(items, n_items, mean, items[0]["width"], tail), 5)
+        return pa.table({"width": pa.array([items[0]["width"]], pa.int32()), "slice": pa.array([items[0]["slice"]], pa.int32()), "index": pa.array([index], pa.binary())})
+
+    return run
+
+
+def item_index(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", answer_col: str | None = None, tail: float = TAIL) -> DataFrame | None:
+    """The written index of the items, a row for each slice (``width``, ``slice``, ``index``).  BM25 counts items and lengths over all of them."""
+    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    question, answer = (whole, F.coalesce(F.col(answer_col).cast("string"), F.lit(""))) if answer_col else question_and_answer(whole)
+    table = items.select(F.col(item_col).cast("long").alias("item"), plain_words(question).alias("question"), plain_words(answer).alias("answer")).where("item is not null")
     table = table.mapInArrow(_item_terms, "item long, question array<long>, answer array<long>").where(F.size("question") + F.size("answer") > 0)
-    table = kept(table.withColumn("row", F.xxhash64("item", "question", "answer")))
     size = F.size("question") + F.size("answer")
-    about = table.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean"), F.sum(size).alias("terms"), F.max(size).alias("longest")).first()
+    width = F.greatest(F.lit(LEAST_WIDTH), F.pow(F.lit(2), F.length(F.bin(size - 1)))).cast("int")  # the power of two from the size on
+    table = kept(table.withColumns({"row": F.xxhash64("item", "question", "answer"), "width": width}))
+    about = table.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean")).first()
     if not about["n"]:
-        return
-    batches = max(-(-about["n"] // BATCH_ITEMS), -(-about["terms"] * 8 // BATCH_CHARS))
+        return None
+    most = F.greatest(F.ceil(F.count(F.lit(1)) / SLICE_ITEMS), F.ceil(F.sum(size) / SLICE_TERMS))
+    slices = table.groupBy("width").agg(most.cast("long").alias("slices"))  # a row for each class of length
     entries = table.select("row", F.explode(F.array_distinct(F.concat("question", "answer"))).alias("term"))
     counts = entries.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     known = entries.join(counts, "term").groupBy("row").agg(F.collect_list(F.struct("term", "n")).alias("x"))
     full = table.dropDuplicates(["row"]).join(known.select("row", F.col("x.term").alias("terms"), F.col("x.n").alias("counts")), "row")
-    full = kept(full.withColumn("batch", F.pmod(F.col("row"), F.lit(batches))))
-    for k in range(batches):
-        if rows := full.where(F.col("batch") == k).orderBy("item", "row").collect():
-            yield build_index(rows, about["n"], about["mean"], about["longest"], tail)
+    full = full.join(slices, "width").withColumn("slice", F.pmod(F.col("row"), F.col("slices")).cast("int")).drop("slices")
+    return kept(full.groupBy("width", "slice").applyInArrow(_built(about["n"], about["mean"], tail), "width int, slice int, index binary"))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """Pairs of a document and an item that a passage of it holds: ids, ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``.
 
-    Texts are lower-cased; terms are runs of letters and digits.  An item is held if some window scores at least ``threshold`` of the item's
-    score against itself and has at least ``overlap`` of the word trigrams of
-    both question and answer (a side of fewer words is one run).  Without
-    ``answer_col`` the last sentence of an item is its answer.
+    Texts are lower-cased; terms are runs of letters, marks and digits of any
+    script.  An item is held if some window scores at least ``threshold`` of the
+    item's score against itself and has at least ``overlap`` of the word
+    trigrams of both question and answer (a side of fewer words is one run).
+    Without ``answer_col`` the last sentence of an item is its answer.
 
     Null and empty texts hold nothing; items without a word, or an id, are held
-    nowhere.  Repeated items and rows are found once for each pair of ids.
-    Rows without an id are left out.  Other columns are ignored, whatever their names.
+    nowhere.  Repeated items and rows are found once for each pair of ids, and
+    rows without an id as one document.  Texts and items may have any length.
+    Other columns are ignored, whatever their names.
     """
-    own = plain_texts(docs, id_col, text_col).withColumn("__text", F.lower("__text"))
+    own = plain_texts(docs, id_col, text_col).withColumn("__text", plain_words(F.col("__text")))
     schema = "id long, item_id long, score double, question_overlap double, answer_overlap double"
+    index = item_index(items, item_col=item_col, text_col=item_text_col, answer_col=answer_col, tail=min(TAIL, threshold / 2))
+    if index is None:
+        return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    sizes = index.select("width", "slice", F.octet_length("index").alias("n")).orderBy("width", "slice").collect()  # a row for each 20,000 items
+    loads, full = [[]], 0
+    for r in sizes:
+        if loads[-1] and full + r["n"] > LOAD_BYTES:
+            loads.append([])
+            full = 0
+        loads[-1].append((r["width"], r["slice"]))
+        full += r["n"]
     found = None
-    for index in item_batches(items, item_col=item_col, text_col=item_text_col, answer_col=answer_col, tail=min(TAIL, threshold / 2)):
-        part = own.mapInArrow(_search(index, threshold, overlap), schema)
+    for load in loads:
+        asked = F.struct("width", "slice").isin([F.struct(F.lit(w), F.lit(k)) for w, k in load])
+        part = own.mapInArrow(_search([bytes(r["index"]) for r in index.where(asked).collect()], threshold, overlap), schema)
+        part = part if len(loads) == 1 else kept(part)
         found = part if found is None else found.union(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], schema)
     best = found.groupBy("id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
-    return best.withColumnRenamed("id", id_col)
+    return best.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), "item_id", "score", "question_overlap", "answer_overlap")

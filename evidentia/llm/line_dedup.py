@@ -19,10 +19,11 @@ lines share is not compared as one group: what is left of its lines is cut into
 segments again, and only lines that share one of those too meet.  This is done
 ``LEVELS`` times, which leaves lines that agree in nearly all of their text.
 
-Scale.  Texts are exchanged once or, with hot segments, once more for each
-level; copies of a line once for each block that holds them.  Groups are sorted
-by Spark and pass a task one by one.  Lines that still share a segment after the
-last level are compared in pairs, until one is known to be near an earlier line.
+Scale.  Texts are exchanged twice, to send lines and to cut them, copies of a
+line once for each block that holds them, and lines with hot segments once for
+each level.  Groups are sorted by Spark and pass a task one by one.  Lines that
+still share a segment after the last level are compared in pairs, until one is
+known to be near an earlier line.
 """
 
 from __future__ import annotations
@@ -98,60 +99,32 @@ def _cuts(sums: np.ndarray, begin: np.ndarray, size: np.ndarray, tier: tuple[int
 
 
 class _Lines:
-    """Different lines of a block, or what is left of some lines, with the keys of their segments (role 0) and probes (role 1).
+    """Lines of a block, or what is left of lines, with sums for their hashes and their places in bytes or characters."""
 
-    A key is a bucket in the upper half and 31 bits, beside them a bit for the role.
-    """
-
-    def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, whole: bool, buckets: int):
-        self.data, self.begin, self.size, self.whole, self.buckets = data, begin, size, whole, buckets
+    def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, whole: bool):
+        self.data, self.begin, self.size = data, begin, size
         self.sums = prefix_hashes(data)
         heads = (data & 0xC0) != 0x80 if whole else None
         before = np.append(0, np.cumsum(heads, dtype=np.int64)) if whole else None
         self.units = (before[begin], before[begin + size] - before[begin], np.append(np.flatnonzero(heads), len(data))) if whole else (begin, size, None)
 
-    def _key(self, h: np.ndarray) -> np.ndarray:
-        return (((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64) << 32) | (h & np.uint64(0xFFFFFFFE)).astype(np.int64)
-
-    def _left(self, own: np.ndarray, start: np.ndarray, stop: np.ndarray) -> _Lines:
-        """What is left of lines without the bytes from start to stop."""
-        end = self.begin[own] + self.size[own]
-        left = [self.data[a:b] for x in zip(self.begin[own], start, stop, end, strict=True) for a, b in ((x[0], x[1]), (x[2], x[3]))]
-        size = self.size[own] - (stop - start)
-        return _Lines(np.concatenate(left) if left else self.data[:0], np.cumsum(size) - size, size, self.whole, self.buckets)
+    def cuts(self, tier: tuple[int, int, int], shorter: int) -> Iterator[tuple[np.ndarray, ...]]:
+        return _cuts(self.sums, *self.units[:2], tier, shorter, self.units[2])
 
-    def keys(self, tiers: list[tuple[int, int, int]], known: np.ndarray | None = None, level: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """Key, line and role of segments and probes.
-
-        ``known`` are sorted keys that something else meets, the lowest bit set
-        where they are hot.  With a level, keys at that level under hot ones;
-        without, the known keys of all levels that are not hot.
-        """
-        for tier in tiers:
+    def keys(self, tiers: list[tuple[int, int, int]], buckets: int) -> Iterator[tuple]:
+        """Key (a bucket in the upper half and 31 bits), line and role of segments (0) and probes (1), then start and stop, tier and difference in length."""
+        for k, tier in enumerate(tiers):
             for shorter in range(tier[0] + 1):
-                for h, own, start, stop, moved in _cuts(self.sums, *self.units[:2], tier, shorter, self.units[2]):
-                    yield from self._below(h, own, start, stop, int(shorter > 0 or moved), (tier, shorter), known, level, 0)
+                for h, own, start, stop, moved in self.cuts(tier, shorter):
+                    key = (((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) << 32) | (h & np.uint64(0xFFFFFFFE)).astype(np.int64)
+                    yield key, own, int(shorter > 0 or moved), start, stop, k, shorter
 
-    def _below(self, h, own, start, stop, role, of, known, level, depth) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        key = self._key(h)
-        if level == depth:
-            yield key, own, role
-            return
-        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-        if not len(known) or not len(key):
-            return
-        met, hot = known[at] == key, np.zeros(len(key), bool)
-        after = np.minimum(at + 1, len(known) - 1)
-        hot = (known[at] == key + 1) | ((known[after] == key + 1) & met)
-        if level is None and (met & ~hot).any():
-            yield key[met & ~hot], own[met & ~hot], role
-        if not hot.any():
-            return
-        left, parent = self._left(own[hot], start[hot], stop[hot]), h[hot]
-        (edits, _, _), shorter = of
-        for sub, lines, a, b, moved in _cuts(left.sums, *left.units[:2], (edits, 0, 1 << 62), shorter if role else 0, left.units[2]):
-            found = left._below(mix(sub ^ parent[lines], 33), lines, a, b, 1 if role else int(moved), of, known, level, depth + 1)
-            yield from ((k, own[hot][x], r) for k, x, r in found)
+    def text(self, i: int) -> bytes:
+        return self.data[self.begin[i] : self.begin[i] + self.size[i]].tobytes()
+
+    def left(self, i: int, start: int, stop: int) -> bytes:
+        """What is left of a line without the bytes from start to stop."""
+        return self.data[self.begin[i] : start].tobytes() + self.data[stop : self.begin[i] + self.size[i]].tobytes()
 
 
 def _long_lines(block: Block, least: int) -> tuple[np.ndarray, ...]:
@@ -173,10 +146,10 @@ def _first_of_each(line: np.ndarray, id_: np.ndarray, number: np.ndarray) -> np.
     return o[starts_of(line[o])]
 
 
-def _dealt_keys(found: list[tuple[np.ndarray, np.ndarray, int]], line: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+def _dealt_keys(found: list[tuple], line: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
     """Rows of ``_DEALT`` with keys, the lines' tags and parts, one for each bucket."""
-    keys = np.concatenate([k | role for k, _, role in found])
-    own = np.concatenate([x for _, x, _ in found])
+    keys = np.concatenate([x[0] | x[2] for x in found])
+    own = np.concatenate([x[1] for x in found])
     bucket = keys >> 32
     o = np.argsort(bucket.astype(np.uint16) if len(bucket) and int(bucket.max()) < 1 << 16 else bucket, kind="stable")
     bucket, keys, own = bucket[o].astype(np.int32), keys[o].astype(np.uint32).view(np.int32), own[o]
@@ -206,7 +179,7 @@ def _deal(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: i
                 cuts, none = np.append(row_at, len(bucket)), pa.nulls(len(row_at), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[row_at]), lists(line[head].view(np.int64), cuts, pa.int64()), lists(id_[head], cuts, pa.int64()), lists(number[head], cuts, pa.int32()), lists(part[head], cuts, pa.int32()), none, none, none], _DEALT_NAMES)
                 once = _first_of_each(line, id_, number)
-                yield _dealt_keys(list(_Lines(block.data, begin[once], size[once], whole, buckets).keys(tiers, level=0)), line[once], part[once])
+                yield _dealt_keys(list(_Lines(block.data, begin[once], size[once], whole).keys(tiers, buckets)), line[once], part[once])
 
     return run
 
@@ -309,47 +282,59 @@ def _first_lines(docs: pa.Table, told: pa.Table, least: int) -> Iterator[tuple[B
             yield block, id_[once], number[once], begin[once], size[once], line[once]
 
 
-def _known_keys(told: pa.Table) -> np.ndarray:
-    return np.unique(_column(told, "keys"))
+_SENT = "key long, role int, doc long, number int, line long, part int, text binary, rest binary, tier int, shorter int"
+_SENT_TYPE = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in _SENT.split(", "))])
 
 
-def _deal_hot(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: int, level: int):
-    """One part: keys of what is left of lines without their hot segments, by bucket."""
+def _send(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: int):
+    """One part: the bytes of lines in their first places, for each of their keys that something else meets; where that is hot also what is left."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        known, out, schema = _known_keys(told), [], pa.schema([(n, pa.int32() if t == "int" else pa.list_(pa.int32() if "int" in t else pa.int64())) for n, t in (x.split() for x in _DEALT.split(", "))])
-        if docs.num_rows and (known & 1).any():
+        known = np.unique(_column(told, "keys"))
+        keys, hot = known & ~np.int64(1), (known & 1) == 1
+        rows: list[tuple] = []
+        if docs.num_rows and len(known):
             part = column_of(docs, "part")[0].as_py()
-            for block, _, _, begin, size, line in _first_lines(docs, told, least):
-                found = list(_Lines(block.data, begin, size, whole, buckets).keys(tiers, known, level))
-                if found:
-                    out.append(_dealt_keys(found, line, np.full(len(line), part, np.int32)))
-        return pa.Table.from_batches(out, schema)
+            for block, id_, number, begin, size, line in _first_lines(docs, told, least):
+                lines = _Lines(block.data, begin, size, whole)
+                for key, own, role, start, stop, tier, shorter in lines.keys(tiers, buckets):
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    for j in np.flatnonzero(keys[at] == key).tolist():
+                        i = int(own[j])
+                        rows.append((int(key[j]), role, int(id_[i]), int(number[i]), int(line[i]), part, lines.text(i), lines.left(i, start[j], stop[j]) if hot[at[j]] else None, tier, shorter))
+        return pa.table({f.name: pa.array([x[k] for x in rows], f.type) for k, f in enumerate(_SENT_TYPE)})
 
     return run
 
 
-_SENT = "key long, role int, doc long, number int, line long, part int, text binary"
+def _again(tiers: list[tuple[int, int, int]], whole: bool):
+    """Lines with a hot key, by the segments and probes of what is left of them; the key holds both segments."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            kinds = np.stack([column_of(rows, c).to_numpy() for c in ("tier", "shorter", "role")], axis=1)
+            for tier, shorter, role in np.unique(kinds, axis=0).tolist() if len(kinds) else []:
+                own = rows.filter(pa.array((kinds == (tier, shorter, role)).all(axis=1)))
+                rest = own.column("rest").to_pylist()
+                size = np.array([len(x) for x in rest], np.int64)
+                lines = _Lines(np.frombuffer(b"".join(rest), np.uint8), np.cumsum(size) - size, size, whole)
+                parent = column_of(own, "key").to_numpy().view(np.uint64)
+                for h, who, start, stop, moved in lines.cuts((tiers[tier][0], 0, 1 << 62), shorter if role else 0):
+                    out = own.take(pa.array(who))
+                    for name, x in (("key", mix(h ^ parent[who], 33).view(np.int64)), ("role", np.full(len(who), role or int(moved), np.int32)), ("rest", [lines.left(i, a, b) for i, a, b in zip(who.tolist(), start, stop, strict=True)])):
+                        out = out.set_column(out.column_names.index(name), name, pa.array(x, _SENT_TYPE.field(name).type))
+                    yield from out.combine_chunks().to_batches()
 
-def _send(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: int):
-    """One part: the bytes of lines in their first places, for each of their keys that something else meets."""
+    return run
 
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        known = _known_keys(told)
-        columns: list[list] = [[] for _ in range(7)]
-        if docs.num_rows and len(known):
-            part = column_of(docs, "part")[0].as_py()
-            for block, id_, number, begin, size, line in _first_lines(docs, told, least):
-                for key, own, role in _Lines(block.data, begin, size, whole, buckets).keys(tiers, known):
-                    texts = [block.data[a : a + n].tobytes() for a, n in zip(begin[own], size[own], strict=True)]
-                    for to, x in zip(columns, (key, np.full(len(own), role), id_[own], number[own], line[own], np.full(len(own), part), texts), strict=True):
-                        to.append(x)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-        flat = [[y for x in column for y in x] if kind == pa.binary() else np.concatenate(column) if column else [] for column, kind in zip(columns, kinds, strict=True)]
-        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(flat, kinds, strict=True)], [x.split()[0] for x in _SENT.split(", ")])
 
-    return run
+def _cut_anew(hot: DataFrame, tiers: list[tuple[int, int, int]], whole: bool) -> DataFrame:
+    """Rows of hot lines that share two segments with a different line; ``hot`` says whether too many share them."""
+    again = hot.mapInArrow(_again(tiers, whole), _SENT)
+    keys = again.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min("role").alias("role"), F.count(F.lit(1)).alias("times"))
+    keys = keys.where("low != high and role = 0").select("key", (F.col("times") > HOT).alias("hot"))
+    return kept(again.join(keys, "key"))
 
 
 _BITS = 64
@@ -424,7 +409,7 @@ def _near(tiers: list[tuple[int, int, int]], whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, earlier, done, found = None, [], set(), []
         for batch in batches:
-            for key, role, doc, number, line, part, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for key, role, doc, number, line, part, text in zip(*[c.to_pylist() for c in batch.columns[:7]], strict=True):
                 if key != at:
                     at, earlier = key, []
                 if whole and not text.isascii():
@@ -482,7 +467,7 @@ def _cut(least: int, with_text: bool, carry: str | None):
                 removed.append(int(counts[i]))
                 digests.append(hashlib.sha256(left).hexdigest())
                 if with_text:
-                    kept.append(left.decode("utf-8", "replace"))
+                    kept.append(left.decode("utf-8", "replace") if texts[block.rows.start + i].is_valid else None)
         columns = {"__id": docs.column("__id"), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if with_text:
             columns["kept_text"] = pa.array(kept, pa.string())
@@ -507,7 +492,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     the id, ``n_lines``, ``n_removed``, ``kept_sha256`` (of the text left), if
     asked ``kept_text``, and under the name ``carry`` a struct of the row's other columns.
 
-    A null text is one empty line, as an empty one is.  Rows with the same id
+    A null text is one empty line, as an empty one is, and stays null.  Rows with the same id
     are one place in the order: equal lines at equal places don't remove each
     other.  Rows without an id are such a place too, after all others.  Lines
     and texts may have any length.
@@ -518,15 +503,14 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     least = 1 if whole else least
     dealt = own.select("__id", "__text").mapInArrow(_deal(tiers, least, whole, buckets, parts), _DEALT).repartitionById(buckets, F.col("bucket"))
     told = kept(dealt.mapInArrow(_met, _TOLD))
-    plain = texts.select("part", "__id", "__text")
-    for level in range(1, LEVELS + 1):
-        if told.where(F.exists("keys", lambda k: k.bitwiseAND(1) == 1)).isEmpty():
+    sent = kept(texts.select("part", "__id", "__text").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_send(tiers, least, whole, buckets), _SENT))
+    meeting, hot = sent.where("rest is null"), sent.where("rest is not null")
+    for level in range(LEVELS):
+        if hot.isEmpty():
             break
-        again = plain.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_deal_hot(tiers, least, whole, buckets, level), _DEALT).repartitionById(buckets, F.col("bucket"))
-        more = again.mapInArrow(_met, _TOLD)
-        told = kept(told.union(more if level < LEVELS else more.withColumn("keys", F.transform("keys", lambda k: k.bitwiseAND(-2)))))
-    sent = plain.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_send(tiers, least, whole, buckets), _SENT)
-    near = sent.repartition(buckets, "key").sortWithinPartitions("key", "doc", "number", "line", "role").mapInArrow(_near(tiers, whole), _TOLD)
+        met = _cut_anew(hot, tiers, whole)
+        meeting, hot = meeting.union((met if level == LEVELS - 1 else met.where("not hot")).drop("hot")), met.where("hot").drop("hot")
+    near = meeting.drop("rest", "tier", "shorter").repartition(buckets, "key").sortWithinPartitions("key", "doc", "number", "line", "role").mapInArrow(_near(tiers, whole), _TOLD)
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     out = "__id long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + (f", {carry} {kinds[carry]}" if carry else "")
     return texts.groupBy("part").cogroup(told.union(near).groupBy("part")).applyInArrow(_cut(least, with_text, carry), out).withColumnRenamed("__id", id_col)

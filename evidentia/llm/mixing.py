@@ -12,7 +12,8 @@ The training order is a range sort of all uses by position.
 Scale.  One aggregation by source; positions within a source come from sums of
 4096 slices of the digest's range and a window inside each slice, so that a
 source with a third of all rows is spread over 4096 groups.  The water level is
-found by windows over the table of sources, one row for each.
+found by windows over the table of sources, one row for each, in one task: it
+is for sources by name, up to millions, and not for one source a document.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A null or empty text has size 0 and is never taken.  A null source is a
     source, the last.  Rows with the same id, or without one, are ordered by
-    size and share or split what their place yields.  Other columns are
-    ignored, whatever their names.
+    size and share or split what their place yields.  A text of any length is
+    one row.  Other columns are ignored, whatever their names.
     """
     source = F.col(source_col).cast("string")
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
@@ -88,7 +89,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def moment(k):
         used = (F.col("start") + k * F.col("source_size")) / F.greatest(quota, F.lit(1))
-        return F.round(2 * used / (line + F.sqrt(F.greatest(line * line - 4 * F.col("bend") * used, F.lit(0.0)))), 6)
+        return 2 * used / (line + F.sqrt(F.greatest(line * line - 4 * F.col("bend") * used, F.lit(0.0))))
 
     placed = placed.withColumn("taken", taken.cast("long"))
     uses = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")

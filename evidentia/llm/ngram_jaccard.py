@@ -100,7 +100,8 @@ def _sizes(width: int):
         for batch in batches:
             for block in text_blocks(batch.column(1)):
                 tokens, begin = shingle_sets(block, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.rows.start, len(begin) - 1), pa.array(np.diff(begin), pa.int64()), pa.array(_set_ids(tokens, begin))], ["id", "n", "sid"])
+                same = [batch.column(k).slice(block.rows.start, len(begin) - 1) for k in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([same[0], pa.array(np.diff(begin), pa.int64()), pa.array(_set_ids(tokens, begin)), *same[1:]], ["id", "n", "sid", "carried"][: 2 + len(same)])
 
     return run
 
@@ -197,7 +198,7 @@ def _shared(parts: int):
             known, index = np.unique(sids, return_inverse=True)
             size = np.zeros(len(known), np.int32)
             size[index] = sizes
-            tokens, who = tokens.view(np.uint64), np.repeat(index, counts)
+            tokens, who = tokens.view(np.uint64), np.repeat(index.astype(np.int32), counts)
             if kind == _SETS_OF_HOT:
                 yield _told(_key(_LAST, tokens), who, known, size, parts)
                 continue
@@ -314,13 +315,15 @@ def _late_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return compared.where(overlap * 100 >= (F.col("nq") + F.col("ns") - overlap) * percent).select(F.col("q").alias("a"), F.col("s").alias("b"))
 
 
-def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, carry: str | None = None) -> DataFrame:
     """Components of documents under links of at least ``percent`` % Jaccard similarity of their shingle sets.
 
     A-Z are lower-cased; words are runs of characters other than space and
     U+0009-U+000D; a set holds the distinct runs of ``width`` words of the whole
     text, or the whole sequence of a shorter one.  Returns for each row its id,
-    ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+    ``n_shingles`` and ``component_id``, the smallest id reachable by links; with
+    ``carry`` also ``component_key``, a number of the component's own, and the
+    column of that name.
 
     Null, empty and blank texts have an empty set and link with nothing.  Rows
     with the same id are compared like others.  Rows without an id are linked
@@ -329,7 +332,8 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     own = plain_texts(docs, id_col, text_col)
     buckets, parts = deal_of(own)
-    sized = kept(own.mapInArrow(_sizes(width), "id long, n long, sid long"))
+    more = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), carry) if carry else own
+    sized = kept(more.mapInArrow(_sizes(width), "id long, n long, sid long" + (f", carried {more.schema[2].dataType.simpleString()}" if carry else "")))
     dealt = own.mapInArrow(_deal(width, buckets), _DEALT).repartitionById(buckets, F.col("bucket"))
     shared = dealt.mapInArrow(_shared(parts), _DEALT.replace("bucket int, kind", "part"))
     heads = [f"h{k}" for k in range(ROUNDS)]
@@ -346,6 +350,6 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     roots = components(links.union(late)) if not late.isEmpty() else roots
     of_set = sized.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     of_set = of_set.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = of_set.join(of_set.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
+    named = of_set.join(of_set.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id", "root")
     alone = F.when(F.col("n") == 0, F.col("id"))
-    return sized.join(named, "sid", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(alone, "component_id").alias("component_id"))
+    return sized.join(named, "sid", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(alone, "component_id").alias("component_id"), *([F.col("root").alias("component_key"), F.col("carried").alias(carry)] if carry else []))

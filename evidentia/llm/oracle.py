@@ -43,9 +43,9 @@ _ESCAPE = rf"regexp_replace({{x}}, '([<\[])(\\*)({_CONTROL})', '\1\\\2\3', 'g')"
 
 CHAT_FORMAT = f"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-marked AS (SELECT *, row_number() OVER o AS i, lag(role) OVER o AS before FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 0, 1, 'assistant', '</s>[INST] ok [/INST]')),
+marked AS (SELECT *, row_number() OVER o AS i, lag(role) OVER o AS before FROM turns WINDOW o AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)),
 sized AS (
   SELECT *, length({_ESCAPE.format(x="text")}) + CASE
     WHEN before = role THEN length('<|next|>')
@@ -53,7 +53,7 @@ sized AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """
 
 MIXING = """
@@ -127,38 +127,47 @@ def _quality_rules() -> str:
 
     names = list(q.STATISTICS)
     both = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
+    factors = ", ".join([f"m_{a}" for a in names] + [f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)])
 
-    def factored(source: str, grown: float) -> str:
+    def factored(source: str, grown: float, by: str) -> str:
         out = [f"s_{a}::DOUBLE / n::DOUBLE / {q.GRID} AS m_{a}" for a in names]
-        for i, a in enumerate(names):
-            for j, b in enumerate(names[: i + 1]):
+        for j, b in enumerate(names):
+            for i, a in list(enumerate(names))[j:]:
                 cov = f"((s_{b}_{a}::DOUBLE / n::DOUBLE / {q.GRID} / {q.GRID} - m_{a} * m_{b}) * {grown}::DOUBLE)"
                 if i == j:
                     cov = f"(greatest({cov}, 0.0::DOUBLE) + {q.STATISTICS[a] ** 2!r}::DOUBLE)"
                 for k in range(j):
                     cov = f"({cov} - l_{i}_{k} * l_{j}_{k})"
                 out.append(f"sqrt(greatest({cov}, 1e-6::DOUBLE)) AS l_{i}_{i}" if i == j else f"{cov} / l_{j}_{j} AS l_{i}_{j}")
-        return f"SELECT grp, {', '.join(out)} FROM ({source})"
+        spread = " + ".join(f"ln(l_{i}_{i})" for i in range(len(names)))
+        return f"SELECT {by}, {', '.join(out)}, round({spread}, 6) AS spread FROM ({source})"
 
-    def far(cells: str, estimate: str, how: str = "JOIN") -> str:
+    def far(cells: str, estimate: str, how: str = "JOIN", more: str = "") -> str:
         out = []
         for i, a in enumerate(names):
             z = f"({a}::DOUBLE / {q.GRID} - m_{a})"
             for j in range(i):
                 z = f"({z} - l_{i}_{j} * z_{j})"
             out.append(f"{z} / l_{i}_{i} AS z_{i}")
-        return f"SELECT c.*, {', '.join(out)}, {' + '.join(f'z_{i} * z_{i}' for i in range(len(names)))} AS d2 FROM {cells} c {how} {estimate} USING (grp)"
+        return f"SELECT c.*{more}, {', '.join(out)}, {' + '.join(f'z_{i} * z_{i}' for i in range(len(names)))} AS d2 FROM {cells} c {how} {estimate} USING (grp)"
 
     def rank(source: str, by: str, value: str, share: float) -> str:
         return f"SELECT {by}, {value} FROM (SELECT {by}, {value}, row_number() OVER (PARTITION BY {by} ORDER BY {value}) AS r, count(*) OVER (PARTITION BY {by}) AS k FROM {source}) WHERE r = ceil(k * {share})"
 
     moments = "count(*) AS n, " + ", ".join([f"sum({a}) AS s_{a}" for a in names] + [f"sum({a} * {b}) AS s_{b}_{a}" for a, b in both])
-    start = ", ".join([f"max(median) FILTER (name = '{a}') AS s_{a}, max(apart) FILTER (name = '{a}') AS d_{a}" for a in names])
-    squares = ", ".join(f"s_{a}::DOUBLE * s_{b}" + (f" + d_{a} * d_{a} * {1.4826**2!r}::DOUBLE" if a == b else "") + f" AS s_{b}_{a}" for a, b in both)
-    cell = lambda v: f"least(greatest(round(({v}) * {q.GRID}), {-q.CELLS / 2}), {q.CELLS / 2})::BIGINT"
+    begun = ", ".join([f"max(median) FILTER (name = '{a}') AS c_{a}, max(apart) FILTER (name = '{a}') AS d_{a}" for a in names])
+    scale = {a: f"greatest(d_{a} * 1.4826::DOUBLE, {float(q.STATISTICS[a] * q.GRID)!r}::DOUBLE)" for a in names}
+    around = ", ".join(f"c_{a}::DOUBLE AS s_{a}" for a in names)
+    plain = ", ".join(f"c_{a}::DOUBLE * c_{b}" + (f" + d_{a} * d_{a} * {1.4826**2!r}::DOUBLE" if a == b else "") + f" AS s_{b}_{a}" for a, b in both)
+    shaped = ", ".join(f"c_{a}::DOUBLE * c_{b} + u_{b}_{a}::DOUBLE / k / {q._SIGN**2 / q._P!r}::DOUBLE * {scale[a]} * {scale[b]} AS s_{b}_{a}" for a, b in both)
+    whole = ", ".join([f"s_{a}::DOUBLE AS s_{a}" for a in names] + [f"s_{b}_{a}::DOUBLE AS s_{b}_{a}" for a, b in both])
+    signs = ", ".join(f"CASE WHEN zz > 0 THEN round(z_{a} / zz * {q._SIGN})::BIGINT ELSE 0 END AS {a}" for a in names)
+    apart = ", ".join(f"({a} - c_{a}) / {scale[a]} AS z_{a}" for a in names)
+    sums = ", ".join(f"sum({a} * {b}) AS u_{b}_{a}" for a, b in both)
+    cell = lambda v: f"round(({v}) * {q.GRID})::BIGINT"
     steps = "".join(
-        f"""far{k} AS (SELECT *, least(floor(sqrt(d2) * {q._FINE}), {q.CELLS}) AS bin FROM ({far("cells", f"est{k}")})),
-est{k + 1} AS ({factored(f"SELECT grp, {moments} FROM far{k} JOIN ({rank(f'far{k}', 'grp', 'bin', q.SHARE)}) e USING (grp) WHERE far{k}.bin <= e.bin GROUP BY grp", q._GROWN)}),
+        f"""far{k} AS MATERIALIZED (SELECT *, least(floor(sqrt(d2) * {q._FINE}), {q.CELLS}) AS bin FROM ({far("cells", f"est{k}", more=", start")})),
+est{k + 1} AS MATERIALIZED ({factored(f"SELECT grp, start, {moments} FROM far{k} JOIN ({rank(f'far{k}', 'grp, start', 'bin', q.SHARE)}) e USING (grp, start) WHERE far{k}.bin <= e.bin GROUP BY grp, start", q._GROWN, "grp, start")}),
 """
         for k in range(q.STEPS)
     )
@@ -174,20 +183,26 @@ lined AS (SELECT doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM worded),
 counted AS (SELECT * EXCLUDE (ls), len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM lined LEFT JOIN repeats USING (doc_id)),
-judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+judged AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   {cell("ln(1 + n_words)")} AS size, {cell("ln((word_chars + 1) / greatest(n_words, 1))")} AS word, {cell("ln((n_symbols + 1) / (greatest(n_words, 1) + 20))")} AS symbols,
   {cell("5 * n_dup_lines / greatest(n_lines, 1)")} AS lines, {cell("5 * n_repeat_words / greatest(n_words, 1)")} AS repeats FROM counted),
 sizes AS (SELECT lang, source, count(*) AS k FROM judged WHERE NOT base_failed GROUP BY 1, 2),
-groups AS (SELECT lang, source, CASE WHEN k >= {q.LEAST} THEN lang || '/' || source
+grouped AS (SELECT lang, source, k, CASE WHEN k >= {q.LEAST} THEN lang || '/' || source
   WHEN sum(k) FILTER (k < {q.LEAST}) OVER (PARTITION BY lang) >= {q.LEAST} THEN lang || '//' ELSE '///' END AS grp FROM sizes),
-placed_cells AS (SELECT grp, {", ".join(names)} FROM judged JOIN groups USING (lang, source) WHERE NOT base_failed),
-cells AS (SELECT * FROM placed_cells WHERE grp IN (SELECT grp FROM placed_cells GROUP BY 1 HAVING count(*) >= {q.LEAST})),
+totals AS (SELECT grp, sum(k) AS k FROM grouped GROUP BY 1),
+groups AS (SELECT lang, source, CASE WHEN grp = '///' AND (SELECT k FROM totals WHERE grp = '///') < {q.LEAST} THEN (SELECT grp FROM totals ORDER BY k DESC, grp DESC LIMIT 1) ELSE grp END AS grp FROM grouped),
+cells AS MATERIALIZED (SELECT grp, {", ".join(names)} FROM judged JOIN groups USING (lang, source) WHERE NOT base_failed),
 long AS (SELECT grp, name, cell FROM cells UNPIVOT (cell FOR name IN ({", ".join(names)}))),
-medians AS ({rank("long", "grp, name", "cell", 0.5)}),
+medians AS MATERIALIZED ({rank("long", "grp, name", "cell", 0.5)}),
 spreads AS ({rank("(SELECT l.grp, l.name, abs(l.cell - m.cell) AS apart FROM long l JOIN medians m ON l.grp = m.grp AND l.name = m.name)", "grp, name", "apart", 0.5)}),
-begun AS (SELECT grp, 1 AS n, {start} FROM (SELECT m.grp, m.name, cell AS median, apart FROM medians m JOIN spreads s ON m.grp = s.grp AND m.name = s.name) GROUP BY grp),
-est0 AS ({factored(f"SELECT *, {squares} FROM begun", 1.0)}),
-{steps}last_est AS ({factored(f"SELECT grp, {moments} FROM ({far('cells', f'est{q.STEPS}')}) WHERE d2 <= {q._NEAR} GROUP BY grp", 1.0)}),
+begun AS MATERIALIZED (SELECT grp, {begun} FROM (SELECT m.grp, m.name, cell AS median, apart FROM medians m JOIN spreads s ON m.grp = s.grp AND m.name = s.name) GROUP BY grp),
+signs AS (SELECT grp, {signs} FROM (SELECT *, sqrt({" + ".join(f"z_{a} * z_{a}" for a in names)}) AS zz FROM (SELECT grp, {apart} FROM cells JOIN begun USING (grp)))),
+shape AS (SELECT grp, count(*)::DOUBLE AS k, {sums} FROM signs GROUP BY grp),
+est0 AS MATERIALIZED ({factored(f"""SELECT grp, '1 medians' AS start, 1 AS n, {around}, {plain} FROM begun
+  UNION ALL SELECT grp, '2 all', n, {whole} FROM (SELECT grp, {moments} FROM cells GROUP BY grp)
+  UNION ALL SELECT grp, '3 signs', 1, {around}, {shaped} FROM begun JOIN shape USING (grp)""", 1.0, "grp, start")}),
+{steps}best AS MATERIALIZED (SELECT grp, {factors} FROM est{q.STEPS} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY spread, start) = 1),
+last_est AS MATERIALIZED ({factored(f"SELECT grp, {moments} FROM ({far('cells', 'best')}) WHERE d2 <= {q._NEAR} GROUP BY grp", 1.0, "grp")}),
 whole AS (SELECT * FROM judged LEFT JOIN groups USING (lang, source))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   CASE WHEN NOT base_failed THEN round(d2, 3) END AS distance, NOT base_failed AND NOT coalesce(d2 > {q.CUTOFF}, false) AS kept

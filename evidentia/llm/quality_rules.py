@@ -2,10 +2,14 @@
 
 A document fails the base rules or is a robust multivariate outlier.  Five
 transformed statistics of each text that passes the base rules are compared
-with minimum-covariance-determinant estimates of its language and source: from
-medians and absolute deviations a few concentration steps follow, each taking
-mean and covariance of the ``SHARE`` of documents nearest by Mahalanobis
-distance, and one reweighting step.  Rejected are documents beyond ``CUTOFF``.
+with minimum-covariance-determinant estimates of its language and source.  Each
+estimate begins from three places: medians and absolute deviations, the moments
+of all documents, and medians with the covariance of spatial signs.  From each,
+concentration steps follow, all groups and starts in one pass, which take mean
+and covariance of the ``SHARE`` of documents nearest by Mahalanobis distance,
+until nothing changes (or ``STEPS`` are done).  The start with the smallest
+determinant is kept, and one reweighting step ends it.  Rejected are documents
+beyond ``CUTOFF``.
 
 Statistics are rounded to a grid and summed as whole numbers, and quantiles are
 counted on grids, so that reruns agree bit for bit however rows are dealt out.
@@ -13,10 +17,10 @@ counted on grids, so that reruns agree bit for bit however rows are dealt out.
 Scale.  Texts are read once, in one pass without a shuffle; what follows works
 on a narrow table of five numbers a document.  Every aggregation has a partial
 one before its shuffle, and no group is gathered: medians and the share's
-radius come from counts of grid cells, at most ``CELLS`` a group and statistic.
-Groups of fewer than ``LEAST`` documents are judged with their language's other
-small groups, or with all such; where those are too few as well nothing is
-rejected.
+radius come from counts of grid cells, whose number is bounded by the range of
+a logarithm.  Groups of fewer than ``LEAST`` documents are judged with their
+language's other small groups, or with all such, and where those are too few
+with the largest group.
 """
 
 from __future__ import annotations
@@ -28,15 +32,15 @@ from .blocks import kept
 from .expressions import let, words
 
 WINDOW = 8
-#: Share of a group in each estimate, concentration steps, smallest group.
-SHARE, STEPS, LEAST = 0.75, 3, 60
+#: Share of a group in each estimate, most concentration steps, smallest group that is judged by itself.
+SHARE, STEPS, LEAST = 0.75, 10, 60
 #: Squared Mahalanobis distance beyond which a document is rejected; of 10^7 normal vectors it would reject about one or two.
 CUTOFF = 40.0
 #: Chi-squared of five degrees: what makes the share's covariance that of all, and the limit of the reweighting step.
 _GROWN, _NEAR = 1.41, 12.83
-#: Grid of a statistic (cells a unit), number of cells of a statistic or distance, and cells a unit of distance.
-GRID, CELLS, _FINE = 256, 8192, 64
-#: Least standard deviation of each statistic, in its own unit, so that one which hardly varies doesn't decide alone.
+#: Grid of a statistic (cells a unit), number of cells of a distance, cells a unit of distance, and of a sign.
+GRID, CELLS, _FINE, _SIGN = 256, 8192, 64, 1024
+#: Standard deviation of each statistic that is added to its estimate, in its own unit, so that one which hardly varies doesn't decide alone.
 STATISTICS = {"size": 0.5, "word": 0.05, "symbols": 0.35, "lines": 0.5, "repeats": 0.4}
 _P = len(STATISTICS)
 
@@ -93,7 +97,7 @@ def _cells(n_words: str = "n_words") -> dict[str, Column]:
         "lines": 5 * F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
         "repeats": 5 * F.col("n_repeat_words") / at_least,
     }
-    return {k: F.least(F.greatest(F.round(v * GRID), F.lit(-CELLS / 2)), F.lit(CELLS / 2)).cast("long") for k, v in values.items()}
+    return {k: F.round(v * GRID).cast("long") for k, v in values.items()}
 
 
 def _rank_cell(cells: DataFrame, share: float, by: list[str], cell: str, n: str) -> DataFrame:
@@ -103,69 +107,97 @@ def _rank_cell(cells: DataFrame, share: float, by: list[str], cell: str, n: str)
     return cells.select(*by, cell, so_far.alias("so_far"), total.alias("total")).where(F.col("so_far") >= F.ceil(F.col("total") * share)).groupBy(*by).agg(F.min(cell).alias(cell))
 
 
-def _factored(moments: DataFrame, grown: float) -> DataFrame:
-    """Group, means and the Cholesky factor of the covariance (in units, with the least deviations) from integer sums."""
-    names = list(STATISTICS)
+_NAMES = list(STATISTICS)
+_PAIRS = [(a, b) for i, a in enumerate(_NAMES) for b in _NAMES[: i + 1]]
+_SUMS = [f"s_{a}" for a in _NAMES] + [f"s_{b}_{a}" for a, b in _PAIRS]
+_FACTORS = [f"m_{a}" for a in _NAMES] + [f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)]
+
+
+def _factored(moments: DataFrame, grown: float, by: list[str]) -> DataFrame:
+    """Means, the Cholesky factor of the covariance (in units, with the added deviations) from sums, and the logarithm of its determinant."""
     n = F.col("n").cast("double")
-    out = moments
-    for i, a in enumerate(names):
-        out = out.withColumn(f"m_{a}", F.col(f"s_{a}") / n / GRID)
-    for i, a in enumerate(names):
-        for b in names[: i + 1]:
+    out = moments.withColumns({f"m_{a}": F.col(f"s_{a}") / n / GRID for a in _NAMES})
+    for j, b in enumerate(_NAMES):
+        column = {}
+        for i, a in list(enumerate(_NAMES))[j:]:
             cov = (F.col(f"s_{b}_{a}") / n / GRID / GRID - F.col(f"m_{a}") * F.col(f"m_{b}")) * grown
-            if a == b:
+            if i == j:
                 cov = F.greatest(cov, F.lit(0.0)) + STATISTICS[a] ** 2
-            done = [F.col(f"l_{i}_{k}") * F.col(f"l_{names.index(b)}_{k}") for k in range(names.index(b))]
-            for x in done:
-                cov = cov - x
-            j = names.index(b)
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(cov, F.lit(1e-6))) if i == j else cov / F.col(f"l_{j}_{j}"))
-    return out.select("group", *[f"m_{a}" for a in names], *[f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)])
-
-
-def _distances(cells: DataFrame, estimate: DataFrame) -> DataFrame:
-    """``d2``, the squared Mahalanobis distance of each row to its group's estimate; null without one."""
-    out = cells.join(estimate, "group", "left")
-    for i, a in enumerate(STATISTICS):
+            for k in range(j):
+                cov = cov - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+            column[i] = cov
+        own = F.sqrt(F.greatest(column.pop(j), F.lit(1e-6)))
+        out = out.withColumns({f"l_{j}_{j}": own} | {f"l_{i}_{j}": cov / own for i, cov in column.items()})
+    spread = sum((F.log(f"l_{i}_{i}") for i in range(1, _P)), F.log("l_0_0"))
+    return out.select(*by, *_FACTORS, F.round(spread, 6).alias("spread"), F.xxhash64("n", *_SUMS).alias("state"))
+
+
+def _distances(cells: DataFrame, estimate: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """``d2``, the squared Mahalanobis distance of each row to its group's estimates; null without one."""
+    out = cells.join(estimate.select("group", *more, *_FACTORS), "group", "left")
+    for i, a in enumerate(_NAMES):
         z = F.col(a) / GRID - F.col(f"m_{a}")
         for j in range(i):
             z = z - F.col(f"l_{i}_{j}") * F.col(f"z_{j}")
         out = out.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
     d2 = sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, _P)), F.col("z_0") * F.col("z_0"))
-    return out.select(*cells.columns, d2.alias("d2"))
+    return out.select(*cells.columns, *more, d2.alias("d2"))
+
+
+def _moments(cells: DataFrame, by: list[str]) -> DataFrame:
+    sums = [F.sum(a).alias(f"s_{a}") for a in _NAMES] + [F.sum(F.col(a) * F.col(b)).alias(f"s_{b}_{a}") for a, b in _PAIRS]
+    return cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-def _moments(cells: DataFrame) -> DataFrame:
-    names = list(STATISTICS)
-    sums = [F.sum(a).alias(f"s_{a}") for a in names] + [F.sum(F.col(a) * F.col(b)).alias(f"s_{b}_{a}") for i, a in enumerate(names) for b in names[: i + 1]]
-    return cells.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *sums)
+def _nearest(far: DataFrame, share: float) -> DataFrame:
+    """Moments of the share of each group and start with the smallest ``d2``: sums of bins first, then of the bins up to the share's edge."""
+    bins = _moments(far.withColumn("bin", F.least(F.floor(F.sqrt("d2") * _FINE), F.lit(CELLS))), ["group", "start", "bin"])
+    whole = Window.partitionBy("group", "start")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = bins.select("*", before.alias("before"), F.sum("n").over(whole).alias("total")).where(F.col("before") < F.ceil(F.col("total") * share))
+    return some.groupBy("group", "start").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)])
 
 
-def _start(cells: DataFrame) -> DataFrame:
-    """Medians and the squares of scaled median absolute deviations, as moments of independent statistics."""
-    names = list(STATISTICS)
-    long = cells.select("group", F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.col(a).alias("cell")) for a in names])).alias("x")).select("group", "x.name", "x.cell")
+def _medians(cells: DataFrame) -> DataFrame:
+    """Median (``m_``) and median absolute deviation (``d_``) of each group's statistics, in cells."""
+    long = cells.select("group", F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.col(a).alias("cell")) for a in _NAMES])).alias("x")).select("group", "x.name", "x.cell")
     counted = kept(long.groupBy("group", "name", "cell").count())
     medians = _rank_cell(counted, 0.5, ["group", "name"], "cell", "count").withColumnRenamed("cell", "median")
     apart = counted.join(medians, ["group", "name"]).select("group", "name", "median", F.abs(F.col("cell") - F.col("median")).alias("apart"), "count")
     spread = _rank_cell(apart.groupBy("group", "name", "apart").agg(F.sum("count").alias("count")), 0.5, ["group", "name"], "apart", "count")
-    both = medians.join(spread, ["group", "name"]).groupBy("group").agg(*[F.max(F.when(F.col("name") == a, F.col("median"))).alias(f"s_{a}") for a in names], *[F.max(F.when(F.col("name") == a, F.col("apart"))).alias(f"d_{a}") for a in names])
-    out = both.withColumn("n", F.lit(1))
-    for i, a in enumerate(names):
-        for b in names[: i + 1]:
-            own = F.col(f"d_{a}") * F.col(f"d_{a}") * 1.4826**2 if a == b else F.lit(0.0)
-            out = out.withColumn(f"s_{b}_{a}", F.col(f"s_{a}") * F.col(f"s_{b}") + own)
-    return _factored(out, 1.0)
+    both = medians.join(spread, ["group", "name"])
+    return both.groupBy("group").agg(*[F.max(F.when(F.col("name") == a, F.col(c))).alias(f"{k}_{a}") for k, c in (("m", "median"), ("d", "apart")) for a in _NAMES])
+
+
+def _starts(cells: DataFrame) -> DataFrame:
+    """Three estimates of each group to begin from."""
+    medians = kept(_medians(cells))
+    around = {f"s_{a}": F.col(f"m_{a}").cast("double") for a in _NAMES}
+    product = lambda a, b: F.col(f"m_{a}") * F.col(f"m_{b}").cast("double")
+    plain = {f"s_{b}_{a}": product(a, b) + (F.col(f"d_{a}") * F.col(f"d_{a}") * 1.4826**2 if a == b else F.lit(0.0)) for a, b in _PAIRS}
+    first = medians.select("group", F.lit("1 medians").alias("start"), F.lit(1).cast("long").alias("n"), *[v.alias(k) for k, v in (around | plain).items()])
+    second = _moments(cells, ["group"]).select("group", F.lit("2 all").alias("start"), "n", *[F.col(c).cast("double").alias(c) for c in _SUMS])
+    scale = {a: F.greatest(F.col(f"d_{a}") * 1.4826, F.lit(float(STATISTICS[a] * GRID))) for a in _NAMES}
+    apart = cells.join(medians, "group").withColumns({f"z_{a}": (F.col(a) - F.col(f"m_{a}")) / scale[a] for a in _NAMES})
+    size = F.sqrt(sum((F.col(f"z_{a}") * F.col(f"z_{a}") for a in _NAMES[1:]), F.col(f"z_{_NAMES[0]}") * F.col(f"z_{_NAMES[0]}")))
+    signs = apart.withColumn("size_z", size).select("group", *[F.when(F.col("size_z") > 0, F.round(F.col(f"z_{a}") / F.col("size_z") * _SIGN).cast("long")).otherwise(F.lit(0)).alias(a) for a in _NAMES])
+    shape = _moments(signs, ["group"]).select("group", F.col("n").alias("of"), *[F.col(f"s_{b}_{a}").alias(f"u_{b}_{a}") for a, b in _PAIRS])
+    shaped = {f"s_{b}_{a}": product(a, b) + F.col(f"u_{b}_{a}") / F.col("of").cast("double") / (_SIGN * _SIGN / _P) * scale[a] * scale[b] for a, b in _PAIRS}
+    third = medians.join(shape, "group").select("group", F.lit("3 signs").alias("start"), F.lit(1).cast("long").alias("n"), *[v.alias(k) for k, v in (around | shaped).items()])
+    return _factored(first.union(second).union(third), 1.0, ["group", "start"])
 
 
 def robust_estimates(cells: DataFrame) -> DataFrame:
-    """Reweighted minimum-covariance-determinant estimates of each group of at least ``LEAST`` rows."""
-    estimate = kept(_start(cells))
+    """Reweighted minimum-covariance-determinant estimates of each group."""
+    estimate, state = kept(_starts(cells)), None
     for _ in range(STEPS):
-        far = _distances(cells, estimate).withColumn("bin", F.least(F.floor(F.sqrt("d2") * _FINE), F.lit(CELLS)))
-        edge = kept(_rank_cell(far.groupBy("group", "bin").count(), SHARE, ["group"], "bin", "count").withColumnRenamed("bin", "edge"))
-        estimate = kept(_factored(_moments(far.join(edge, "group").where("bin <= edge")), _GROWN))
-    return kept(_factored(_moments(_distances(cells, estimate).where(F.col("d2") <= _NEAR)), 1.0))
+        estimate = kept(_factored(_nearest(_distances(cells, estimate, ["start"]), SHARE), _GROWN, ["group", "start"]))
+        now = estimate.agg(F.count(F.lit(1)), F.sum(F.xxhash64("group", "start", "state").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    best = estimate.groupBy("group").agg(F.min_by(F.struct(*_FACTORS), F.struct("spread", "start")).alias("x")).select("group", "x.*")
+    return kept(_factored(_moments(_distances(cells, kept(best)).where(F.col("d2") <= _NEAR), ["group"]), 1.0, ["group"]))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -174,10 +206,10 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Counts: ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``.  The base rules reject fewer than 20 words, or over 30 %
     of words in repeated windows; null and empty texts fail.  ``distance`` (the
-    squared Mahalanobis distance) is null where the base rules reject or no
-    estimate could be made.  Null languages and sources are groups like others.
-    Repeated rows are judged each.  Other columns are ignored, whatever their
-    names.
+    squared Mahalanobis distance) is null where the base rules reject.  Null
+    languages and sources are groups like others.  Repeated rows are judged
+    each, rows without an id too.  A text of any length is one row.  Other
+    columns are ignored, whatever their names.
     """
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (lang_col, source_col))
     counted = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), source.alias("source"), text_statistics(F.col(text_col)).alias("t"))
@@ -185,12 +217,16 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counted = kept(counted.withColumn("base_failed", failed).withColumns(_cells()))
     sizes = counted.where("not base_failed").groupBy("lang", "source").count()
-    small = F.sum(F.when(F.col("count") < LEAST, F.col("count"))).over(Window.partitionBy("lang"))
-    group = F.when(F.col("count") >= LEAST, F.concat("lang", F.lit("/"), "source")).when(small >= LEAST, F.concat("lang", F.lit("//"))).otherwise("///")
-    groups = kept(sizes.select("lang", "source", group.alias("group")))
-    cells = counted.where("not base_failed").join(groups, ["lang", "source"]).select("group", *STATISTICS)
-    enough = kept(cells.groupBy("group").count().where(F.col("count") >= LEAST).select("group"))
-    estimates = robust_estimates(kept(cells.join(enough, "group", "left_semi")))
+    little = F.col("count") < LEAST
+    of_lang = F.sum(F.when(little, F.col("count"))).over(Window.partitionBy("lang"))
+    group = F.when(~little, F.concat("lang", F.lit("/"), "source")).when(of_lang >= LEAST, F.concat("lang", F.lit("//"))).otherwise("///")
+    grouped = kept(sizes.select("lang", "source", group.alias("group"), "count"))
+    totals = grouped.groupBy("group").agg(F.sum("count").alias("count"))
+    largest = totals.agg(F.max_by("group", F.struct("count", "group")).alias("largest"), F.max(F.when(F.col("group") == "///", F.col("count"))).alias("rest"))
+    own = F.when((F.col("group") == "///") & (F.col("rest") < LEAST), F.col("largest")).otherwise(F.col("group"))
+    groups = kept(grouped.join(largest, F.lit(True)).select("lang", "source", own.alias("group")))  # with a single row
+    cells = kept(counted.where("not base_failed").join(groups, ["lang", "source"]).select("group", *STATISTICS))
+    estimates = robust_estimates(cells)
     judged = _distances(counted.join(groups, ["lang", "source"], "left"), estimates)
     distance = F.when(~F.col("base_failed"), F.col("d2"))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round(distance, 3).alias("distance"), (~F.col("base_failed") & ~F.coalesce(distance > cutoff, F.lit(False))).alias("kept"))

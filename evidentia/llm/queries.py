@@ -56,7 +56,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_first_use_order(mix_sources(_table(spark, sf_dir, "documents")))
+    mixed = in_first_use_order(mix_sources(_table(spark, sf_dir, "documents")))
+    return mixed.withColumn("position", F.round("position", 6))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from evidentia.llm import decontamination as module
 from evidentia.llm.decontamination import find_contamination
 
@@ -34,11 +36,11 @@ def score_all(docs, items):
     for b in bags.values():
         for w in set(b):
             df[w] = df.get(w, 0) + 1
-    width = max(16, max(map(len, bags.values())))
+    widths = {i: max(16, 1 << (len(b) - 1).bit_length()) if b else 16 for i, b in bags.items()}
     grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
     found = set()
     for i, text in items:
-        own = bags[i]
+        own, width = bags[i], widths[i]
         impact = {w: math.log1p((count - df[w] + 0.5) / (df[w] + 0.5)) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in set(own)}
         total = sum(impact.values())
         m = re.match(r"(?s)^(.*[.!?])\s+(\S.*)$", text.strip())
@@ -57,8 +59,9 @@ def score_all(docs, items):
 
 
 def test_matches_scoring_of_all_windows(spark, monkeypatch):
-    for seed, batch in ((1, 20_000), (2, 15)):
-        monkeypatch.setattr(module, "BATCH_ITEMS", batch)
+    for seed, each, load in ((1, 20_000, 64 << 20), (2, 7, 64 << 20), (3, 7, 9_000)):
+        monkeypatch.setattr(module, "SLICE_ITEMS", each)
+        monkeypatch.setattr(module, "LOAD_BYTES", load)
         docs, items, planted = corpus(seed)
         df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, id int, item_id int").repartition(4)
         tests = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
@@ -67,9 +70,36 @@ def test_matches_scoring_of_all_windows(spark, monkeypatch):
         assert planted <= got
 
 
+def test_signs_beyond_ascii_and_one_long_item(spark):
+    """Curly quotes, dashes and wide spaces between words, other scripts, and an item of 10,000 words beside short ones."""
+    r = random.Random(5)
+    rare = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("ron", "lix", "émo", "जल", "tt")]
+    some = lambda n: [r.choice(rare) + r.choice("aeiouxyz") * r.randrange(3) for _ in range(n)]
+    items = [(i, " ".join(some(9)) + ". " + " ".join(some(4)) + ".") for i in range(12)] + [(99, " ".join(some(9_990)) + ". " + " ".join(some(10)))]
+    signed = lambda t: "“" + t.replace(" ", "—", 2).replace(" ", "\u00a0… ", 3) + "”"
+    docs = [(i, " ".join(some(30)) + " " + signed(t) + " " + " ".join(some(50))) for i, t in items[:8]] + [(50, " ".join(some(300)) + " " + items[12][1] + " " + " ".join(some(20)))]
+    docs += [(100 + k, " ".join(some(200))) for k in range(20)]
+    df, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in find_contamination(df, tests).collect()}
+    assert got >= {(i, i) for i in range(8)} | {(50, 99)}
+    spaced = lambda t: re.sub("[“”—…\u00a0]", " ", t)
+    assert {x for x in got if x[1] < 99} == {x for x in score_all([(i, spaced(t)) for i, t in docs], items) if x[1] < 99}
+
+
+def test_wand_opens_what_the_maxima_allow():
+    r = np.random.default_rng(7)
+    for _ in range(40):
+        rows = [{"item": i, "question": (q := r.integers(1, 60, 8).tolist()), "answer": [], "terms": sorted(set(q)), "counts": [int(r.integers(1, 9)) for _ in set(q)]} for i in range(120)]
+        index = module.build_index(rows, 120, 8.0, 16, 0.25)
+        driving = np.flatnonzero(np.diff(index.block_cuts))
+        terms = np.sort(r.choice(driving, 12, replace=False))
+        want = [b for b in range(len(index.tails)) if (x := sum(float(index.block_most[k]) for t in terms for k in range(index.block_cuts[t], index.block_cuts[t + 1]) if index.blocks[k] == b)) > 0 and x + index.tails[b] >= 0.5]
+        assert module.wand(index, terms, 0.5) == want
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "alpha beta gamma delta"), (3, "Alpha, beta; gamma delta!"), (3, "alpha beta gamma delta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (2, None), (3, " . "), (None, "alpha beta gamma delta")], "item_id long, text string")
-    assert [tuple(r)[:2] for r in find_contamination(docs, items).collect()] == [(3, 1)]
+    assert sorted((tuple(r)[:2] for r in find_contamination(docs, items).collect()), key=lambda x: x[0] or 0) == [(None, 1), (3, 1)]
     assert find_contamination(docs, items.limit(0)).count() == 0
     assert find_contamination(docs.limit(0), items).count() == 0

@@ -72,7 +72,7 @@ def test_escapes(spark):
 def test_conversations(spark):
     r = random.Random(2)
     rows = []
-    for c in [None, *range(30)]:
+    for c in [None, None, *range(30)]:
         for k in range(r.randrange(1, 9)):
             rows.append((c, r.choice([k, k, 0, None]), r.choice(["user", "assistant", "assistant", "system", None, "a\nb", "<|turn|>"]), r.choice([None, "", "hi", "</s>[INST] ok [/INST]", "<|next|>é\n", "x\\<|end|>"])))
     rows += [(77, i, "assistant", "t" * 3) for i in range(1200)]
@@ -80,7 +80,9 @@ def test_conversations(spark):
     got = {x.conv_id: x for x in chat_digests(df).collect()}
     lengths = {x.conv_id: (len(x.formatted), x.loss_spans) for x in format_conversations(df).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    for c in {x[0] for x in rows}:
+    nameless = [(role or "", text or "") for c, _, role, text in rows if c is None]
+    assert sorted((x.n_turns, x.turns_sha256) for x in chat_digests(df).collect() if x.conv_id is None) == sorted((1, sha(f"{role}\n{text}\n")) for role, text in nameless)
+    for c in {x[0] for x in rows} - {None}:
         own = sorted(((t is not None, t or 0, role or "", text or "") for k, t, role, text in rows if k == c))
         loss = "".join(x[3] for x in own if x[2] == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256) == (len(own), sha("".join(f"{x[2]}\n{x[3]}\n" for x in own)))

@@ -38,16 +38,17 @@ def tables(seed=11):
 
 
 def without_near_lines(rows):
-    strip = lambda x: x.encode().strip(b" \t\n\r\x0b\x0c")
-    places = sorted({(i, k, strip(x)) for i, t, *_ in rows for k, x in enumerate((t or "").split("\n")) if len(strip(x)) >= 40})
+    strip = lambda x: x.strip(" \t\n\r\x0b\x0c")
+    places = sorted({(i, k, strip(x)) for i, t, *_ in rows for k, x in enumerate((t or "").split("\n")) if strip(x)})
+    near = lambda a, b: a == b or abs(len(a) - len(b)) <= 2 and lines.distance(a, b) <= min(2, min(len(a), len(b)) * 2 // 40)
     out = []
-    for i, t, lang, source, n in rows:
-        kept = [x for k, x in enumerate((t or "").split("\n")) if len(strip(x)) < 40 or not any(p[:2] < (i, k) and abs(len(p[2]) - len(strip(x))) <= 2 and lines.distance(p[2], strip(x)) <= 2 for p in places)]
+    for i, t, lang, source, n, *more in rows:
+        kept = [x for k, x in enumerate((t or "").split("\n")) if not strip(x) or not any(p[:2] < (i, k) and near(p[2], strip(x)) for p in places)]
         text = "\n".join(kept)
         if text == (t or ""):
-            out.append((i, t, lang, source, n))
+            out.append((i, t, lang, source, n, *more))
         elif text.strip():
-            out.append((i, text, lang, source, len(text)))
+            out.append((i, text, lang, source, len(text), *more))
     return out
 
 
@@ -76,7 +77,7 @@ def test_every_stage(spark, tmp_path):
         docs.write.parquet(out := f"{tmp_path}/{k}-{name}")
         docs = spark.read.parquet(out)
         if k < 4:
-            assert docs.columns == pipeline.COLUMNS
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             assert sorted(map(tuple, docs.collect()), key=str) == sorted(steps[k], key=str), name
     words = {x[0]: len(re.findall(r"[^\x20\x09-\x0D]+", x[1] or "")) for x in steps[-1]}
     taken = {r.doc_id: r.taken for r in docs.collect()}
@@ -88,3 +89,30 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_are_judged_each(spark, tmp_path):
+    """Rows with one id or none, repeated rows, and extra columns with names of the operators' own."""
+    some = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id int, part int, `kept text` string, row struct<a: int>"
+    full = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, k, "x", (k,)) for k, (i, t) in enumerate(rows)], schema)
+    spark.createDataFrame([(1, some("item", 12) + ". The answer is " + some("ans", 4))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = some("item", 12) + ". The answer is " + some("ans", 4)
+
+    def left(stage, docs):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.dtypes == docs.dtypes
+        return sorted((x.part for x in got.select("part").collect()))
+
+    docs = full([(1, some("a", 30)), (1, "few words"), (None, some("b", 30)), (None, None), (2, "")])
+    assert left(pipeline.drop_low_quality, docs) == [0, 2]
+    docs = full([(1, some("a", 30)), (1, leak + " " + some("c", 9)), (None, some("b", 30)), (None, leak), (2, None)])
+    assert left(pipeline.drop_contaminated, docs) == [0, 2, 4]
+    docs = full([(1, some("a", 30)), (1, some("a", 30) + " x"), (None, some("b", 30)), (None, some("b", 30)), (5, some("b", 31)), (None, some("c", 30)), (2, None), (2, None), (None, "")])
+    assert left(pipeline.drop_near_duplicates, docs) in ([0, 4, 5, 6, 7, 8], [1, 4, 5, 6, 7, 8])
+    same = full([(1, some("a", 30))])
+    assert left(pipeline.drop_near_duplicates, same.union(same).union(same)) == [0]
+    docs = full([(1, "one line of it\nother"), (2, "one line of it\nmore"), (None, "one line of it"), (3, None), (4, "")])
+    got = pipeline.drop_repeated_lines(spark, docs, str(tmp_path))
+    assert got.dtypes == docs.dtypes and sorted(map(tuple, got.select("part", "text", "n_chars").collect())) == [(0, "one line of it\nother", 20), (1, "more", 4), (3, None, 0), (4, "", 0)]
+    assert sorted({x.doc_id for x in pipeline.mix(spark, docs, str(tmp_path)).collect()}, key=str) == [1, 2, None]
