@@ -130,26 +130,30 @@ def _quality_rules() -> str:
     factors = ", ".join([f"m_{a}" for a in names] + [f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)])
 
     def factored(source: str, grown: float, by: str) -> str:
-        out = [f"s_{a}::DOUBLE / n::DOUBLE / {q.GRID} AS m_{a}" for a in names]
+        sql = f"SELECT *, {', '.join(f's_{a}::DOUBLE / n::DOUBLE / {q.GRID} AS m_{a}' for a in names)} FROM ({source})"
         for j, b in enumerate(names):
+            covs = []
             for i, a in list(enumerate(names))[j:]:
                 cov = f"((s_{b}_{a}::DOUBLE / n::DOUBLE / {q.GRID} / {q.GRID} - m_{a} * m_{b}) * {grown}::DOUBLE)"
                 if i == j:
                     cov = f"(greatest({cov}, 0.0::DOUBLE) + {q.STATISTICS[a] ** 2!r}::DOUBLE)"
                 for k in range(j):
                     cov = f"({cov} - l_{i}_{k} * l_{j}_{k})"
-                out.append(f"sqrt(greatest({cov}, 1e-6::DOUBLE)) AS l_{i}_{i}" if i == j else f"{cov} / l_{j}_{j} AS l_{i}_{j}")
+                covs.append((i, cov))
+            sql = f"SELECT *, sqrt(greatest({covs[0][1]}, 1e-6::DOUBLE)) AS l_{j}_{j} FROM ({sql})"
+            if covs[1:]:
+                sql = f"SELECT *, {', '.join(f'{cov} / l_{j}_{j} AS l_{i}_{j}' for i, cov in covs[1:])} FROM ({sql})"
         spread = " + ".join(f"ln(l_{i}_{i})" for i in range(len(names)))
-        return f"SELECT {by}, {', '.join(out)}, round({spread}, 6) AS spread FROM ({source})"
+        return f"SELECT {by}, {factors}, round({spread}, 6) AS spread FROM ({sql})"
 
     def far(cells: str, estimate: str, how: str = "JOIN", more: str = "") -> str:
-        out = []
+        sql = f"SELECT c.*{more}, {factors} FROM {cells} c {how} {estimate} USING (grp)"
         for i, a in enumerate(names):
             z = f"({a}::DOUBLE / {q.GRID} - m_{a})"
             for j in range(i):
                 z = f"({z} - l_{i}_{j} * z_{j})"
-            out.append(f"{z} / l_{i}_{i} AS z_{i}")
-        return f"SELECT c.*{more}, {', '.join(out)}, {' + '.join(f'z_{i} * z_{i}' for i in range(len(names)))} AS d2 FROM {cells} c {how} {estimate} USING (grp)"
+            sql = f"SELECT *, {z} / l_{i}_{i} AS z_{i} FROM ({sql})"
+        return f"SELECT * EXCLUDE ({factors}), {' + '.join(f'z_{i} * z_{i}' for i in range(len(names)))} AS d2 FROM ({sql})"
 
     def rank(source: str, by: str, value: str, share: float) -> str:
         return f"SELECT {by}, {value} FROM (SELECT {by}, {value}, row_number() OVER (PARTITION BY {by} ORDER BY {value}) AS r, count(*) OVER (PARTITION BY {by}) AS k FROM {source}) WHERE r = ceil(k * {share})"
