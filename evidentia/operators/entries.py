@@ -9,6 +9,8 @@ from ..functions.bind import let
 from ..functions.names import strip
 from ..plans.star import best_first
 from ..schema import MARKER
+from ..session import scratch
+from ..sources.sinks import write_stage
 
 FIELDS = [f.name for f in MARKER.fields]
 
@@ -65,13 +67,16 @@ def unprocessed(todo: DataFrame, done: DataFrame, key: str, limit: int | None =
 
 
 def batches(df: DataFrame, key: str, size: int = 50) -> DataFrame:
-    """Rows with the number of their batch.
+    """Rows with the number of their batch, in the order of a key; rows with equal keys in any order.
 
-    Numbers come from the sizes of sorted partitions, so that no task sees all rows.
+    The sorted rows are written once, each with its partition and its place in
+    it, and both the sizes of partitions and the rows are read from there: a
+    second evaluation could draw other bounds.  No task sees all rows.
     """
     spread = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i"))
+    spread = write_stage(spread, scratch(df.sparkSession), "sorted")
     counts = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("__least"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    before = counts.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row for each partition
     return spread.join(before, "__p").withColumn("batch", F.floor((F.col("__before") + F.col("__i") - F.col("__least")) / size)).drop("__p", "__i", "__least", "__before")
 
 

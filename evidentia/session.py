@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,17 @@ def local_session(cores: str | int = 8, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, in the place that spark.checkpoint.dir names; a local session without it gets one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="evidentia-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make the package importable on executors, once for each Spark context.
 
