@@ -4,23 +4,99 @@ from __future__ import annotations
 
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
+# Names, types and order of columns, which files and tables have.
+MARKER = StructType(
+    [
+        StructField("cell_type", StringType()),
+        StructField("cell_subtype", StringType()),
+        StructField("marker", StringType()),
+        StructField("tissue", StringType()),
+        StructField("disease", StringType()),
+    ]
+)
+USAGE = StructType(
+    [
+        StructField("prompt_tokens", IntegerType()),
+        StructField("completion_tokens", IntegerType()),
+        StructField("total_tokens", IntegerType()),
+    ]
+)
+PROCESSED = StructType(
+    [
+        StructField("pmcid", StringType()),
+        StructField("pmid", StringType()),
+        StructField("title", StringType()),
+        StructField("journal", StringType()),
+        StructField("year", IntegerType()),
+        StructField("abstract", StringType()),
+        StructField("results", StringType()),
+        StructField("methods", StringType()),
+        StructField("tables_md", StringType()),
+        StructField("clean_text", StringType()),
+        StructField("char_count", IntegerType()),
+        StructField("estimated_tokens", IntegerType()),
+    ]
+)
+EXTRACTED = StructType(
+    [
+        StructField("pmcid", StringType()),
+        StructField("pmid", StringType()),
+        StructField("title", StringType()),
+        StructField("markers", ArrayType(MARKER)),
+        StructField("raw_marker_count", IntegerType()),
+        StructField("valid_marker_count", IntegerType()),
+        StructField("model", StringType()),
+        StructField("usage", USAGE),
+        StructField("extracted_at", StringType()),
+        StructField("validated", BooleanType()),
+        StructField("original_model", StringType()),
+    ]
+)
+NOMENCLATURE = StructType(
+    [
+        StructField("symbol", StringType()),
+        StructField("status", StringType()),
+        StructField("alias_symbol", StringType()),
+        StructField("prev_symbol", StringType()),
+    ]
+)
 
-def _struct(spec: str) -> StructType:
-    kinds = {"s": StringType(), "i": IntegerType(), "l": LongType(), "t": TimestampType(), "b": BooleanType()}
-    return StructType([StructField(name, kinds[kind]) for name, kind in (x.split(":") for x in spec.split())])
-
-
-MARKER = _struct("cell_type:s cell_subtype:s marker:s tissue:s disease:s")
-USAGE = _struct("prompt_tokens:i completion_tokens:i total_tokens:i")
-PROCESSED = _struct("pmcid:s pmid:s title:s journal:s year:i abstract:s results:s methods:s tables_md:s clean_text:s char_count:i estimated_tokens:i")
-EXTRACTED = StructType([*_struct("pmcid:s pmid:s title:s").fields, StructField("markers", ArrayType(MARKER)), *_struct("raw_marker_count:i valid_marker_count:i model:s").fields, StructField("usage", USAGE), *_struct("extracted_at:s validated:b original_model:s").fields])
-NOMENCLATURE = _struct("symbol:s status:s alias_symbol:s prev_symbol:s")
-
-PAPERS = _struct("id:l pmid:s pmcid:s title:s journal:s pub_year:i fetched_at:t")
-CELL_TYPES = TISSUES = DISEASES = _struct("id:l name:s")
-CELL_SUBTYPES = _struct("id:l name:s cell_type_id:l")
-MARKERS = _struct("id:l symbol:s name:s citation_count:l")
-ENTRIES = _struct("id:l cell_type_id:l cell_subtype_id:l marker_id:l tissue_id:l disease_id:l paper_id:l marker_status:s created_at:t")
+PAPERS = StructType(
+    [
+        StructField("id", LongType()),
+        StructField("pmid", StringType()),
+        StructField("pmcid", StringType()),
+        StructField("title", StringType()),
+        StructField("journal", StringType()),
+        StructField("pub_year", IntegerType()),
+        StructField("fetched_at", TimestampType()),
+    ]
+)
+CELL_TYPES = StructType([StructField("id", LongType()), StructField("name", StringType())])
+TISSUES = StructType([StructField("id", LongType()), StructField("name", StringType())])
+DISEASES = StructType([StructField("id", LongType()), StructField("name", StringType())])
+CELL_SUBTYPES = StructType([StructField("id", LongType()), StructField("name", StringType()), StructField("cell_type_id", LongType())])
+MARKERS = StructType(
+    [
+        StructField("id", LongType()),
+        StructField("symbol", StringType()),
+        StructField("name", StringType()),
+        StructField("citation_count", LongType()),
+    ]
+)
+ENTRIES = StructType(
+    [
+        StructField("id", LongType()),
+        StructField("cell_type_id", LongType()),
+        StructField("cell_subtype_id", LongType()),
+        StructField("marker_id", LongType()),
+        StructField("tissue_id", LongType()),
+        StructField("disease_id", LongType()),
+        StructField("paper_id", LongType()),
+        StructField("marker_status", StringType()),
+        StructField("created_at", TimestampType()),
+    ]
+)
 #: The six keys that make an entry unique, nulls being equal.
 ENTRY_KEYS = ["cell_type_id", "cell_subtype_id", "marker_id", "tissue_id", "disease_id", "paper_id"]
 #: The columns of a listed entry.
