@@ -451,8 +451,9 @@ def props_json(spark, sf_dir):
 
 @_query("gene_counts_by_paper", f"{_ENTRIES} SELECT pmcid, count(*) FILTER (tissue = 'A') AS a, count(*) FILTER (tissue = 'R') AS r, count(*) FILTER (tissue IS NULL) AS none FROM e GROUP BY 1")
 def gene_counts_by_paper(spark, sf_dir):
-    rows = _entry_rows(spark, sf_dir)
-    return rows.groupBy("pmcid").agg(F.count_if(F.col("tissue") == "A").alias("a"), F.count_if(F.col("tissue") == "R").alias("r"), F.count_if(F.col("tissue").isNull()).alias("none"))
+    status = F.when(F.col("tissue") == "A", genes.CORRECTED).when(F.col("tissue") == "R", genes.AMBIGUOUS).when(F.col("tissue").isNull(), genes.UNKNOWN)
+    counts = genes.validation_counts(_entry_rows(spark, sf_dir).withColumn("marker_status", status))
+    return counts.withColumnsRenamed({genes.CORRECTED: "a", genes.AMBIGUOUS: "r", genes.UNKNOWN: "none"})
 
 
 @_query("best_per_group", "SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
@@ -466,3 +467,6 @@ def parsed_pages(spark, sf_dir):
     from .sources.jats import parse_articles
 
     return parse_articles(_table(spark, sf_dir, "pages").select(F.col("html").alias("xml")))
+
+
+from . import catalog_rules  # noqa: E402, F401 - registers its queries

@@ -59,15 +59,20 @@ def compared(original: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def summary(reports: DataFrame) -> DataFrame:
-    """Means over papers of their rounded metrics, and which papers have a low F1."""
+    """Means over papers of their rounded metrics, and how many papers have a low F1."""
     metrics = ["precision", "recall", "f1", "gene_precision", "gene_recall"]
     return reports.agg(
         F.count(F.lit(1)).alias("papers"),
         *[F.bround(F.avg(m), 4).alias(f"avg_{m}") for m in metrics],
-        F.array_sort(F.collect_list(F.when(F.col("f1") < LOW_F1, F.struct("pmcid", "f1")))).alias("low_quality_papers"),
+        F.count_if(F.col("f1") < LOW_F1).alias("low_quality"),
     )
 
 
+def low_quality_papers(reports: DataFrame) -> DataFrame:
+    """Papers with a low F1, the worst first."""
+    return reports.where(F.col("f1") < LOW_F1).select("pmcid", "f1").orderBy("f1", "pmcid")
+
+
 def replaced(documents: DataFrame, reference: DataFrame) -> DataFrame:
     """Documents with the markers of the reference where there are any; ``original_markers`` keeps what they had."""
     ref = reference.select("pmcid", F.col("markers").alias("__new"), F.col("model").alias("__model"))

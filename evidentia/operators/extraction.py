@@ -13,11 +13,14 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions.documents import prompt
-from .entries import gathered, parsed
+from ..session import scratch
+from ..sources.sinks import write_stage
+from .entries import gathered, parsed, unreadable
 
 AT_ONCE, TRIES, WAIT = 5, 3, 2.0
 
@@ -56,6 +59,37 @@ def extracted(replies: DataFrame) -> DataFrame:
     return docs.select("pmcid", "pmid", "title", "markers", "raw_marker_count", F.size("markers").alias("valid_marker_count"), "model", "usage", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("extracted_at"))
 
 
+def validation_run(documents: DataFrame, model: Callable[[str], tuple[str, dict]], folder: str, *, name: str = "model", wait: float = WAIT) -> dict[str, int]:
+    """Ask the model about the documents that ``folder`` has no reply for yet, and write its replies and its failures.
+
+    A run that broke off, or had failures, goes on with what is left; a document
+    that is answered now is no failure any more.  Returns numbers of documents
+    asked, answered and failed.
+    """
+    spark, folder = documents.sparkSession, folder.rstrip("/")
+
+    def known(table: str, columns: str) -> DataFrame:
+        try:
+            return spark.read.schema(columns).parquet(f"{folder}/{table}")
+        except AnalysisException:
+            return spark.createDataFrame([], columns)
+
+    left = documents.join(pending(documents, known("replies", "pmcid string")), "pmcid", "left_semi")
+    asked = write_stage(ask(left, model, name=name, wait=wait), scratch(spark), "asked")
+    bad = unreadable(asked).select("pmcid")
+    asked.join(bad, "pmcid", "left_anti").write.mode("append").parquet(f"{folder}/replies")
+    bad.withColumn("failed_at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/failures")
+    n, failed = asked.count(), bad.count()
+    return {"asked": n, "answered": n - failed, "failed": failed}
+
+
+def failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that failed and have no reply since, with when they failed last."""
+    folder = folder.rstrip("/")
+    failed = spark.read.parquet(f"{folder}/failures").groupBy("pmcid").agg(F.max("failed_at").alias("failed_at"))
+    return failed.join(spark.read.parquet(f"{folder}/replies").select("pmcid"), "pmcid", "left_anti")
+
+
 def pending(candidates: DataFrame, validated: DataFrame) -> DataFrame:
     """Papers that still have to be validated."""
     return candidates.select("pmcid").distinct().join(validated.select("pmcid"), "pmcid", "left_anti")

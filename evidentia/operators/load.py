@@ -26,6 +26,16 @@ def _added(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if old is None else old.unionByName(new.join(old.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
 
+def _blank(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")) == ""
+
+
+def unfit(entries: DataFrame) -> DataFrame:
+    """Entries that can't be loaded, with the ``reason``."""
+    reason = F.coalesce(*[F.when(_blank(c), F.lit(f"no {name}")) for c, name in (("pmcid", "paper"), ("cell_type", "cell type"), ("marker", "marker"))])
+    return entries.withColumn("reason", reason).where("reason is not null")
+
+
 def load(entries: DataFrame, papers: DataFrame, existing: Star | None = None) -> Star:
     """The star with the entries of papers (``pmcid``, five fields, optional ``marker_status``) added.
 
@@ -33,7 +43,7 @@ def load(entries: DataFrame, papers: DataFrame, existing: Star | None = None) ->
     Entries are unique by their six keys, nulls being equal.  Citation counts
     of markers are counted anew.
     """
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    blank = _blank
     rows = entries.where(~blank("pmcid") & ~blank("cell_type") & ~blank("marker"))
     status = F.coalesce("marker_status", F.lit("approved")) if "marker_status" in entries.columns else F.lit("approved")
     keyed = rows.withColumns({"marker_status": status, "cell_subtype": F.when(~blank("cell_subtype"), F.col("cell_subtype"))}).withColumns(

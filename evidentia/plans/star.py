@@ -121,7 +121,8 @@ class Star:
                 df = df.where(F.col(name).ilike(f"%{text}%"))
         counts = df.groupBy("marker_id", "marker").agg(F.count_distinct("paper_id").alias("citation_count"), F.count_distinct("cell_type_id").alias("cell_type_count"))
         top = counts.orderBy(F.desc("citation_count"), "marker").limit(_within(limit, 1, MOST_RANKED, "limit"))
-        lists = self.lists_of_markers().select("marker_id", "cell_types", "tissues", "diseases")
+        own = self.entries.join(top.select("marker_id"), "marker_id", "left_semi")
+        lists = Star(**{**self.__dict__, "entries": own}).lists_of_markers().select("marker_id", "cell_types", "tissues", "diseases")
         return top.join(lists, "marker_id").drop("marker_id").orderBy(F.desc("citation_count"), "marker")
 
     def detail(self, symbol: str) -> DataFrame:

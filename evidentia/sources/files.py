@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from ..schema import NOMENCLATURE
 
@@ -27,6 +30,16 @@ def nomenclature(spark: SparkSession, path: str) -> DataFrame:
     return table.select([F.col(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in names if c != "status" or c in table.columns])
 
 
+def cached_nomenclature(spark: SparkSession, path: str, download: Callable[[], str]) -> DataFrame:
+    """The nomenclature of a folder; the table's text is downloaded and written there only where it isn't yet."""
+    try:
+        return nomenclature(spark, path)
+    except AnalysisException:
+        lines = download().splitlines()  # some 15 MB
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+        return nomenclature(spark, path)
+
+
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """Ids that were fetched before."""
     return spark.read.text(path).select(F.trim("value").alias("pmcid")).where("pmcid != ''").distinct()

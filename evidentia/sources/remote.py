@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from .jats import first_id, split_set
+from .sinks import append_raw
 
 PAGE, BATCH, RATE, TRIES, WAIT = 500, 50, 10.0, 3, 2.0
 
@@ -42,6 +44,34 @@ def search_ids(spark: SparkSession, total: int, page_of: Callable[[int, int], li
     return spark.range(0, total, page, tasks).withColumnRenamed("id", "start").mapInPandas(read, "pmcid string")
 
 
+def search(spark: SparkSession, count: Callable[[], int], page_of: Callable[[int, int], list[str] | None], **how) -> DataFrame:
+    """Ids of a search: its number of hits is asked for first, then its pages.  A count that can't be had is an error."""
+    total = patiently(count, wait=how.get("wait", WAIT))
+    if total is None:
+        raise ConnectionError("the number of hits can't be had")
+    return search_ids(spark, int(total), page_of, **how)
+
+
+def download(ids: DataFrame, fetch: Callable[[list[str]], str], raw: str, *, limit: int = 0, **how) -> DataFrame:
+    """Fetch the articles that the raw table in ``raw`` lacks, at most ``limit`` (0: all) by id, add them, and return the ids still missing.
+
+    The raw table is the ledger: a download that broke off goes on where it was.
+    """
+    wanted = ids.select("pmcid").distinct()
+    left = missing(wanted, fetched(ids.sparkSession, raw))
+    got = fetch_articles(left.orderBy("pmcid").limit(limit) if limit else left, fetch, **how)
+    append_raw(got, raw)
+    return missing(wanted, fetched(ids.sparkSession, raw))
+
+
+def fetched(spark: SparkSession, raw: str) -> DataFrame:
+    """Ids of the raw table; none where it isn't there yet."""
+    try:
+        return spark.read.schema("pmcid string, xml string").parquet(raw).select("pmcid")
+    except AnalysisException:
+        return spark.createDataFrame([], "pmcid string")
+
+
 def fetch_articles(ids: DataFrame, fetch: Callable[[list[str]], str], *, batch: int = BATCH, tasks: int = 1, rate: float = RATE, wait: float = WAIT) -> DataFrame:
     """``pmcid``, ``xml`` of the articles that the transport returns for batches of ids."""
 

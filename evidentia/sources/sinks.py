@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 from xml.sax.saxutils import escape
 
@@ -36,13 +37,17 @@ def append_raw(articles: DataFrame, path: str) -> None:
     articles.write.mode("append").parquet(path)
 
 
+#: Rows of a ranking that is saved, which is what its question gives at most, and column widths of its workbook in characters.
+MOST_RANKED, RANKING_WIDTHS = 10_000, (28, 14, 10)
+
+
 def write_ranking_csv(ranking: DataFrame, path: str) -> int:
-    """A ranking as the client saves it, on the driver's disk: with a byte order mark, and quotes only around a cell type with a comma."""
+    """A ranking as the client saves it, on the driver's disk, at most ``MOST_RANKED`` rows: with a byte order mark, and quotes only around a cell type with a comma."""
     n = 0
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w", encoding="utf-8-sig", newline="") as out:
         out.write(",".join(ranking.columns) + "\n")
-        for row in ranking.toLocalIterator():
+        for row in ranking.limit(MOST_RANKED).toLocalIterator():
             values = ["" if v is None else str(v) for v in row]
             out.write(",".join(f'"{v}"' if name == "cell_type" and "," in v else v for name, v in zip(ranking.columns, values, strict=True)) + "\n")
             n += 1
@@ -56,8 +61,8 @@ _PARTS = {
 }
 
 
-def write_xlsx(df: DataFrame, path: str, sheet: str = "Markers", cap: int = 50_000) -> int:
-    """A workbook of one sheet on the driver's disk, at most ``cap`` rows, which pass the driver one partition at a time."""
+def write_xlsx(df: DataFrame, path: str, sheet: str = "Markers", cap: int = 50_000, widths: Sequence[int] = ()) -> int:
+    """A workbook of one sheet on the driver's disk, at most ``cap`` rows, which pass the driver one partition at a time; ``widths`` of the first columns in characters."""
     def line(values) -> str:
         return "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for v in values) + "</row>"
 
@@ -68,7 +73,10 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Markers", cap: int = 50_0
             book.writestr(name, f'<?xml version="1.0" encoding="UTF-8"?>{text}')
         book.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
         with book.open("xl/worksheets/sheet1.xml", "w") as out:
-            out.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+            out.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">')
+            if widths:
+                out.write(("<cols>" + "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(widths, 1)) + "</cols>").encode())
+            out.write(b"<sheetData>")
             out.write(line(df.columns).encode())
             for row in df.limit(cap).toLocalIterator():
                 out.write(line(row).encode())

@@ -36,7 +36,8 @@ def test_comparison(spark):
     assert (x.original, x.reference, x.matched, x.precision, x.recall, x.f1, x.gene_precision, x.gene_recall) == (3, 2, 1, 0.3333, 0.5, 0.4, 0.3333, 0.5)
     assert (x.tissue_agreement, x.disease_agreement) == (0.0, 1.0) and len(x.only_in_original) == 2 and x.only_in_reference[0].marker == "NKG7"
     s = compare.summary(compare.compared(o, r)).first()
-    assert s.papers == 1 and s.avg_f1 == 0.4 and s.low_quality_papers[0].pmcid == "1"
+    assert s.papers == 1 and s.avg_f1 == 0.4 and s.low_quality == 1
+    assert [tuple(x) for x in compare.low_quality_papers(compare.compared(o, r)).collect()] == [("1", 0.4)]
 
 
 def replies():
