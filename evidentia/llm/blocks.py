@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, NullType
+from pyspark.sql.types import IntegerType, IntegralType, NullType, StructField, StructType
 
 BLOCK_BYTES = 2 << 20
 #: Bytes of text that hashes are computed over at once; a longer text is hashed piece by piece.
@@ -294,8 +294,7 @@ def dealt_texts(own: DataFrame, parts: int) -> DataFrame:
     A plan that cogroups by ``part`` several times exchanges the texts once
     (equal exchanges are reused within a query).
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInArrow(_with_part(parts), f"part int, {fields}")
+    return own.mapInArrow(_with_part(parts), StructType([StructField("part", IntegerType()), *own.schema.fields]))
 
 
 def column_of(table: pa.Table, name: str) -> pa.Array:

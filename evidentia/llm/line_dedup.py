@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .blocks import Block, column_of, deal_of, dealt_texts, ids_of, kept, lists, mix, part_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks
 
@@ -511,6 +512,5 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         met = _cut_anew(hot, tiers, whole)
         meeting, hot = meeting.union((met if level == LEVELS - 1 else met.where("not hot")).drop("hot")), met.where("hot").drop("hot")
     near = meeting.drop("rest", "tier", "shorter").repartition(buckets, "key").sortWithinPartitions("key", "doc", "number", "line", "role").mapInArrow(_near(tiers, whole), _TOLD)
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
-    out = "__id long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + (f", {carry} {kinds[carry]}" if carry else "")
+    out = StructType([StructField("__id", LongType()), StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), *([StructField("kept_text", StringType())] if with_text else []), *([own.schema[carry]] if carry else [])])
     return texts.groupBy("part").cogroup(told.union(near).groupBy("part")).applyInArrow(_cut(least, with_text, carry), out).withColumnRenamed("__id", id_col)

@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .blocks import LOWER, Block, column_of, deal_of, hashes_of, kept, lists, mix, part_of, plain_texts, starts_of, text_blocks, word_windows, words_of
 from .components import components
@@ -333,7 +334,7 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     own = plain_texts(docs, id_col, text_col)
     buckets, parts = deal_of(own)
     more = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), carry) if carry else own
-    sized = kept(more.mapInArrow(_sizes(width), "id long, n long, sid long" + (f", carried {more.schema[2].dataType.simpleString()}" if carry else "")))
+    sized = kept(more.mapInArrow(_sizes(width), StructType([*[StructField(c, LongType()) for c in ("id", "n", "sid")], *([StructField("carried", more.schema[2].dataType)] if carry else [])])))
     dealt = own.mapInArrow(_deal(width, buckets), _DEALT).repartitionById(buckets, F.col("bucket"))
     shared = dealt.mapInArrow(_shared(parts), _DEALT.replace("bucket int, kind", "part"))
     heads = [f"h{k}" for k in range(ROUNDS)]

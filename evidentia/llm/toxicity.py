@@ -12,11 +12,15 @@ least ``MIN_TOXIC`` toxic documents of a bounded sample of labelled documents
 are kept, down to the count at which there would be more than ``MAX_FEATURES``.  A text's evidence is the
 largest lower confidence limit of the share of toxic documents among those with
 a feature of it, so that a feature seen a few times proves little; its score is
-the share of toxic documents in the sample at that evidence, made to rise with it.
+the share of toxic documents in the sample at that evidence, made to rise with
+it.  For these shares a document's evidence comes from the other ``FOLDS`` - 1
+parts of the sample (copies of a text are in one part), so that features which
+only this document has don't prove what they were made from.
 
 Scale.  One pass over the texts counts characters, one scores; neither
 exchanges a text.  Labels are sampled to ``TRAIN_ROWS`` rows before they are
-joined, so what is broadcast and fitted is bounded by these parameters.
+joined, and ``MAX_FEATURES`` bounds the scorer, so what is broadcast and fitted
+is bounded by these parameters; what is scored is every whole text.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_LETTER, Block, kept, mix, partitions_of, plain_texts, prefix_hashes, span_hashes, starts_of, text_blocks, words_of
+from .blocks import NO_LETTER, Block, hashes_of, kept, mix, partitions_of, plain_texts, starts_of, text_blocks, words_of
 
 #: Labelled documents that the scorer is fitted on, toxic documents a feature needs, features kept.
 TRAIN_ROWS, MIN_TOXIC, MAX_FEATURES = 40_000, 5, 1 << 18
@@ -38,6 +42,8 @@ TRAIN_ROWS, MIN_TOXIC, MAX_FEATURES = 40_000, 5, 1 << 18
 LIMIT = 0.3
 #: Steps of evidence for which shares are counted.
 STEPS = 100
+#: Parts of the sample, each judged by the others.
+FOLDS = 4
 #: Lengths in bytes of the beginnings of words that are features beside the words.
 BEGINNINGS = (4, 5, 6)
 #: Classes of characters in the model: 0 for what is no letter, 1-26 for a-z, the others for all other letters.
@@ -291,23 +297,23 @@ class _Finder:
 def _hashed(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes of the words, and of their beginnings, with the document of each."""
     words = words_of(block, NO_LETTER)
-    sums = prefix_hashes(block.data)
     doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    yield span_hashes(sums, words.starts, words.ends), doc
+    yield hashes_of(block.data, words.starts, words.ends), doc
     for n in BEGINNINGS:
         own = words.ends - words.starts >= n
-        yield mix(span_hashes(sums, words.starts[own], words.starts[own] + n), 50 + n), doc[own]
+        yield mix(hashes_of(block.data, words.starts[own], words.starts[own] + n), 50 + n), doc[own]
 
 
-def _features(blocks: tuple[Block, ...], finder: _Finder | None) -> np.ndarray:
-    """Features of each document in any of the blocks, every one once for a document; of the wanted ones if a finder is given."""
+def _features(blocks: tuple[Block, ...], finder: _Finder | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each document in any of the blocks, every one once for a document, and the document; of the wanted ones if a finder is given."""
     parts = []
     for found, doc in (x for block in blocks for x in _hashed(block)):
         own = slice(None) if finder is None else finder(found)[0]
         parts.append((found[own], doc[own]))
     found, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
     o = np.lexsort((found, docs))
-    return found[o][starts_of(docs[o], found[o])]
+    o = o[starts_of(docs[o], found[o])]
+    return found[o], docs[o]
 
 
 def _restored(batches: Iterator[pa.RecordBatch], decoder: Decoder, column: int) -> Iterator[tuple[pa.RecordBatch, tuple[Block, Block]]]:
@@ -317,13 +323,16 @@ def _restored(batches: Iterator[pa.RecordBatch], decoder: Decoder, column: int)
 
 
 def _count(model: np.ndarray, wanted: np.ndarray | None):
-    """Number of documents with each feature; of the wanted ones if they are given."""
+    """Number of documents of each fold with each feature; of the wanted ones if they are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = None if wanted is None else _Finder(wanted)
-        for _, blocks in _restored(batches, Decoder(model), 0):
-            found, n = np.unique(_features(blocks, finder), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["feature", "n"])
+        for rows, blocks in _restored(batches, Decoder(model), 0):
+            features, docs = _features(blocks, finder)
+            folds = rows.column(1).to_numpy()[docs]
+            for fold in np.unique(folds):
+                found, n = np.unique(features[folds == fold], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), fold, np.int32)), pa.array(n, pa.int64())], ["feature", "fold", "n"])
 
     return run
 
@@ -332,12 +341,19 @@ def fit(texts: DataFrame, labels: DataFrame, model: np.ndarray, *, train_rows: i
     """A scorer fitted on labels ``id``, ``toxic``."""
     sample = labels.where("id is not null and toxic is not null").orderBy(F.xxhash64("id"), "id", "toxic").limit(train_rows)
     sample = kept(sample.withColumnRenamed("id", "__id"))
-    rows = kept(texts.join(F.broadcast(sample), "__id").select(F.lower("__text").alias("text"), "toxic").repartition(partitions_of(texts.sparkSession)))
-    toxic, clean = rows.where("toxic > 0").select("text"), rows.where("toxic <= 0").select("text")
+    rows = texts.join(F.broadcast(sample), "__id").select(F.lower("__text").alias("text"), "toxic")
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+    rows = kept(rows.withColumn("fold", fold).repartition(partitions_of(texts.sparkSession)))
+    toxic, clean = rows.where("toxic > 0").select("text", "fold"), rows.where("toxic <= 0").select("text", "fold")
     n = {r["t"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = (n.get(True, 0) + 1) / (sum(n.values()) + 20)
-    schema = "feature long, n long"
-    counted = kept(toxic.mapInArrow(_count(model, None), schema).groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TOXIC))
+
+    def count(texts: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+        each = texts.mapInArrow(_count(model, wanted), "feature long, fold int, n long").groupBy("feature")
+        return each.agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)])
+
+    parts = lambda table: np.stack([table.column(c).to_numpy().astype(float) for c in ("n", *[f"n{k}" for k in range(FOLDS)])])
+    counted = kept(count(toxic, None).where(F.col("n") >= MIN_TOXIC))
     least, total = 0, 0
     for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("features")).orderBy(F.desc("n")).collect():  # a row for each count up to TRAIN_ROWS
         total += r["features"]
@@ -347,15 +363,16 @@ def fit(texts: DataFrame, labels: DataFrame, model: np.ndarray, *, train_rows: i
     counted = counted.where(F.col("n") >= (least or train_rows + 1)).toArrow()
     features = counted.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(features)
-    features, a = features[order], counted.column("n").to_numpy()[order].astype(float)
-    others = clean.mapInArrow(_count(model, features), schema).groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    b = np.zeros(len(features))
-    b[np.searchsorted(features, others.column("feature").to_numpy().view(np.uint64))] = others.column("n").to_numpy()
+    features, a = features[order], parts(counted)[:, order]
+    others = count(clean, features).toArrow()
+    b = np.zeros_like(a)
+    b[:, np.searchsorted(features, others.column("feature").to_numpy().view(np.uint64))] = parts(others)
+    a[1:], b[1:] = a[0] - a[1:], b[0] - b[1:]  # of all documents, then of all but each fold's
     p = (a + 10 * share) / (a + b + 10)
     limits = p - 3 * np.sqrt(p * (1 - p) / (a + b + 10))
-    useful = limits > share
-    scorer = Scorer(model, features[useful], limits[useful])
-    judged = rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(_judge(scorer), "toxic int, evidence double")
+    useful = limits[0] > share
+    scorer = Scorer(model, features[useful], limits[0][useful])
+    judged = rows.select("text", "fold", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(_judge(scorer, limits[1:][:, useful]), "toxic int, evidence double")
     counts = np.zeros((STEPS + 1, 2))
     for r in judged.groupBy("toxic", F.floor(F.col("evidence") * STEPS).cast("int").alias("step")).count().collect():
         counts[r["step"], r["toxic"]] = r["count"]
@@ -381,12 +398,13 @@ class Scorer:
         self.model, self.features, self.limits = model, features, limits
         self.shares = np.linspace(0, 1, STEPS + 1)
 
-    def evidence(self, blocks: tuple[Block, ...]) -> np.ndarray:
+    def evidence(self, blocks: tuple[Block, ...], limits: np.ndarray | None = None, fold: np.ndarray | None = None) -> np.ndarray:
+        """The largest limit of each document's features; with ``limits``, a row for each fold, that of its fold."""
         best = np.zeros(len(blocks[0].offsets) - 1)
         finder = _Finder(self.features)
         for found, doc in (x for block in blocks for x in _hashed(block)):
             at, k = finder(found)
-            np.maximum.at(best, doc[at], self.limits[k])
+            np.maximum.at(best, doc[at], self.limits[k] if limits is None else limits[fold[doc[at]], k])
         return np.clip(best, 0, 1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -394,10 +412,10 @@ class Scorer:
         return 0.99 * self.shares[np.floor(evidence * STEPS).astype(np.int64)] + 0.01 * evidence
 
 
-def _judge(scorer: Scorer):
+def _judge(scorer: Scorer, limits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, blocks in _restored(batches, Decoder(scorer.model), 0):
-            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(scorer.evidence(blocks))], ["toxic", "evidence"])
+            yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(scorer.evidence(blocks, limits, rows.column(1).to_numpy()))], ["toxic", "evidence"])
 
     return run
 
@@ -415,15 +433,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     Labels of the fold whose crc32 of the id is 2 modulo 4 are held out.  The
     score depends on the text alone.  Null and empty texts have the score of a
-    text without a telling word, below ``limit``.  Repeated labels count each
-    as often as they stand; labels without a document, an id or a value are
-    ignored.  Without toxic labels all scores are alike.  Rows without an id
-    are left out.  Other columns are ignored, whatever their names.
+    text without a telling word, below ``limit``.  Equal texts have equal scores,
+    and of readings that are equally likely the decoder takes the first.
+    Repeated labels count each as often as they stand; labels without a
+    document, an id or a value are ignored.  Without toxic labels all scores are
+    alike.  Rows without an id are scored, and not held out.  Texts may have any
+    length.  Other columns are ignored, whatever their names.
     """
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2
     own = plain_texts(docs, id_col, text_col)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("toxic")).where(~fold("id"))
     model = character_model(own)
     scorer = fit(own, known, model, train_rows=train_rows)
-    scored = own.select("__id", F.lower("__text").alias("__text"), fold("__id").alias("held_out")).mapInArrow(_score(scorer), "__id long, held_out boolean, score double")
+    scored = own.select("__id", F.lower("__text").alias("__text"), F.coalesce(fold("__id"), F.lit(False)).alias("held_out")).mapInArrow(_score(scorer), "__id long, held_out boolean, score double")
     return scored.select(F.col("__id").alias(id_col), "held_out", "score", (F.col("score") >= limit).cast("int").alias("predicted"))

@@ -31,11 +31,11 @@ def test_held_out_accuracy(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows + hidden + [rows[0], (None, "x")]], "doc_id long, text string, score double").repartition(4)
     marks = spark.createDataFrame([*labels, (None, 1, 1), (77777, 0, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
     got = score_toxicity(docs, marks).collect()
-    assert len(got) == len(rows) + len(hidden) + 1
+    assert len(got) == len(rows) + len(hidden) + 2 and sum(r.doc_id is None for r in got) == 1
     by_id = {r.doc_id: r for r in got}
     truth = {i: t for i, _, t in labels}
     held = [r for r in got if r.held_out and r.doc_id in truth]
-    assert len(held) > 150 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert len(held) > 150 and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert [by_id[5000 + k].predicted for k in range(7)] == [1, 1, 1, 1, 0, 0, 0]
@@ -95,3 +95,26 @@ def test_words_after_marks_are_features(spark):
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     by_id = {r.doc_id: r.predicted for r in score_toxicity(docs, marks).collect()}
     assert [by_id[5000 + k] for k in range(6)] == [1, 1, 1, 1, 1, 0]
+
+
+def test_decoder_finds_the_best_of_all_paths(spark):
+    """Against every path through the lattice of short tokens."""
+    import itertools
+
+    decoder = Decoder(character_model(spark.createDataFrame([(" ".join(["scoundrel", "hate", "total", "letter", "bliss", "été"] * 5),)], "__text string")))
+    classes = lambda text: [ord(c) - 96 if "a" <= c <= "z" else 0 if ord(c) < 0xC0 else None for c in text]
+
+    def score(path):
+        at, total = [0, 0], sum(cost for _, cost in path)
+        for c in classes("".join(x for x, _ in path)) + [0]:
+            total += decoder.model[at[-2]][at[-1]][c]
+            at.append(c)
+        return total
+
+    r = np.random.default_rng(11)
+    tokens = ["h4te", "t0tal", "b1i55", "l.e.t", "sc0und", "haaate", "t+t", "$(8", "a-b.c", "l e  t", "!1|"] + ["".join(r.choice(list("aehlt04$.-! "), 5)).strip() or "a" for _ in range(60)]
+    for token in tokens:
+        paths = list(itertools.product(*Decoder.lattice(token)))
+        best = max(map(score, paths))
+        found = decoder.decode(token)
+        assert any("".join(x for x, _ in p) == found and abs(score(p) - best) < 1e-9 for p in paths), token
