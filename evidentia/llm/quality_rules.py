@@ -114,39 +114,36 @@ _FACTORS = [f"m_{a}" for a in _NAMES] + [f"l_{i}_{j}" for i in range(_P) for j i
 
 
 def _factored(moments: DataFrame, grown: float, by: list[str]) -> DataFrame:
-    """Means, the Cholesky factor of the covariance (in units, with the added deviations) from sums, and the logarithm of its determinant."""
-    n = F.col("n").cast("double")
-    out = moments.withColumns({f"m_{a}": F.col(f"s_{a}") / n / GRID for a in _NAMES})
+    """Means, the Cholesky factor of the covariance (in units, with the added deviations) from sums, and the logarithm of its determinant.
+
+    Each line of the select may name the ones before it.
+    """
+    out = [f"s_{a} / cast(n as double) / {GRID} as m_{a}" for a in _NAMES]
     for j, b in enumerate(_NAMES):
-        column = {}
         for i, a in list(enumerate(_NAMES))[j:]:
-            cov = (F.col(f"s_{b}_{a}") / n / GRID / GRID - F.col(f"m_{a}") * F.col(f"m_{b}")) * grown
+            cov = f"(s_{b}_{a} / cast(n as double) / {GRID} / {GRID} - m_{a} * m_{b}) * {grown!r}D"
             if i == j:
-                cov = F.greatest(cov, F.lit(0.0)) + STATISTICS[a] ** 2
+                cov = f"greatest({cov}, 0.0D) + {STATISTICS[a] ** 2!r}D"
             for k in range(j):
-                cov = cov - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            column[i] = cov
-        own = F.sqrt(F.greatest(column.pop(j), F.lit(1e-6)))
-        out = out.withColumns({f"l_{j}_{j}": own} | {f"l_{i}_{j}": cov / own for i, cov in column.items()})
-    spread = sum((F.log(f"l_{i}_{i}") for i in range(1, _P)), F.log("l_0_0"))
-    return out.select(*by, *_FACTORS, F.round(spread, 6).alias("spread"), F.xxhash64("n", *_SUMS).alias("state"))
+                cov = f"{cov} - l_{i}_{k} * l_{j}_{k}"
+            out.append(f"sqrt(greatest({cov}, 1e-6D)) as l_{i}_{i}" if i == j else f"({cov}) / l_{j}_{j} as l_{i}_{j}")
+    spread = " + ".join(f"ln(l_{i}_{i})" for i in range(_P))
+    return moments.selectExpr(*by, *out, f"round({spread}, 6) as spread", f"xxhash64(n, {', '.join(_SUMS)}) as state")
 
 
 def _distances(cells: DataFrame, estimate: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
     """``d2``, the squared Mahalanobis distance of each row to its group's estimates; null without one."""
-    out = cells.join(estimate.select("group", *more, *_FACTORS), "group", "left")
+    out = []
     for i, a in enumerate(_NAMES):
-        z = F.col(a) / GRID - F.col(f"m_{a}")
-        for j in range(i):
-            z = z - F.col(f"l_{i}_{j}") * F.col(f"z_{j}")
-        out = out.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
-    d2 = sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, _P)), F.col("z_0") * F.col("z_0"))
-    return out.select(*cells.columns, *more, d2.alias("d2"))
+        z = " - ".join([f"{a} / {GRID} - m_{a}", *[f"l_{i}_{j} * z_{j}" for j in range(i)]])
+        out.append(f"({z}) / l_{i}_{i} as z_{i}")
+    d2 = " + ".join(f"z_{i} * z_{i}" for i in range(_P))
+    return cells.join(estimate.select("group", *more, *_FACTORS), "group", "left").selectExpr(*cells.columns, *more, *out, f"{d2} as d2").select(*cells.columns, *more, "d2")
 
 
 def _moments(cells: DataFrame, by: list[str]) -> DataFrame:
-    sums = [F.sum(a).alias(f"s_{a}") for a in _NAMES] + [F.sum(F.col(a) * F.col(b)).alias(f"s_{b}_{a}") for a, b in _PAIRS]
-    return cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
+    sums = [f"sum({a}) as s_{a}" for a in _NAMES] + [f"sum({a} * {b}) as s_{b}_{a}" for a, b in _PAIRS]
+    return cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *map(F.expr, sums))
 
 
 def _nearest(far: DataFrame, share: float) -> DataFrame:
