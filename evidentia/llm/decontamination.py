@@ -26,7 +26,6 @@ are read once for each such load (one for any usual set of benchmarks).
 from __future__ import annotations
 
 import pickle
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -156,31 +155,51 @@ def build_index(rows: list, n_items: int, mean: float, width: int, tail: float)
     return Index(ids, term[head], np.append(head, len(term)), item, impact, block_cuts, block[at], most, list_most, block_tails, width, grams)
 
 
-def wand(index: Index, terms: np.ndarray, threshold: float) -> list[int]:
-    """The blocks that a window with these driving terms opens, in order."""
-    top = float(index.tails.max())
-    lists = [[int(index.block_cuts[t]), int(index.block_cuts[t + 1]), float(index.most[t])] for t in terms.tolist()]
-    blocks, most, opened = index.blocks, index.block_most, []
-    while True:
-        lists = sorted((x for x in lists if x[0] < x[1]), key=lambda x: blocks[x[0]])
-        reach, pivot = top, -1
-        for x in lists:
-            reach += x[2]
-            if reach >= threshold - _SLACK:
-                pivot = int(blocks[x[0]])
+def wand(index: Index, query: np.ndarray, terms: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and the blocks that they open, from pairs of a query and a driving term; all queries move at once.
+
+    In each round a query's lists stand in order of their current block.  Its
+    pivot is the first block up to which the lists' largest impacts can reach
+    the threshold; a query without one is done.  Lists before the pivot skip to
+    it; where none is before, the block's own maxima decide whether it is
+    opened, and its lists go on by one.
+    """
+    least, n_blocks = threshold - _SLACK - float(index.tails.max()), len(index.tails)
+    places = np.repeat(np.arange(len(index.terms)), np.diff(index.block_cuts)) * n_blocks + index.blocks  # sorted
+    at, end = index.block_cuts[terms], index.block_cuts[terms + 1]
+    opened = [(query[:0], index.blocks[:0])]
+    while len(query):
+        own = at < end
+        query, terms, at, end = query[own], terms[own], at[own], end[own]
+        if not len(query):
+            break
+        order = np.lexsort((index.blocks[at], query))
+        query, terms, at, end = query[order], terms[order], at[order], end[order]
+        head = starts_of(query)
+        size = np.diff(np.append(head, len(query)))
+        row = np.repeat(np.arange(len(head)), size)
+        total = np.cumsum(index.most[terms])
+        total -= np.repeat(total[head] - index.most[terms[head]], size)
+        reached = np.flatnonzero(total >= least)
+        first = reached[starts_of(row[reached])] if len(reached) else reached
+        pivot = np.full(len(head), -1)
+        pivot[row[first]] = index.blocks[at[first]]
+        own = pivot[row] >= 0
+        if not own.all():
+            query, terms, at, end, row = query[own], terms[own], at[own], end[own], row[own]
+            if not len(query):
                 break
-        if pivot < 0:
-            return opened
-        if blocks[lists[0][0]] < pivot:
-            for x in lists:
-                if blocks[x[0]] < pivot:
-                    x[0] = bisect_left(blocks, pivot, x[0], x[1])
-            continue
-        own = [x for x in lists if blocks[x[0]] == pivot]
-        if sum(float(most[x[0]]) for x in own) + float(index.tails[pivot]) >= threshold:
-            opened.append(pivot)
-        for x in own:
-            x[0] += 1
+            row = np.cumsum(np.append(False, query[1:] != query[:-1]))
+            pivot, head = pivot[pivot >= 0], starts_of(query)
+        there = index.blocks[at] == pivot[row]
+        ready = index.blocks[at[head]] == pivot
+        bound = np.add.reduceat(np.where(there, index.block_most[at], 0.0), head) + index.tails[pivot]
+        yes = ready & (bound >= threshold - _SLACK)
+        opened.append((query[head[yes]], pivot[yes]))
+        skips = index.blocks[at] < pivot[row]
+        at[skips] = np.searchsorted(places, terms[skips] * n_blocks + pivot[row[skips]])
+        at[there & ready[row]] += 1
+    return tuple(np.concatenate(x) for x in zip(*opened, strict=True))
 
 
 class _Finder:
@@ -233,25 +252,34 @@ def search_block(terms: np.ndarray, first: np.ndarray, index: Index, finder: _Fi
     head = starts_of(query)
     if not len(head):
         return
-    reach = np.add.reduceat(index.most[own], head) + index.tails.max()
+    reach = np.repeat(np.add.reduceat(index.most[own], head) + index.tails.max() >= threshold - _SLACK, np.diff(np.append(head, len(query))))
+    n_blocks = len(index.tails)
+    opened = np.sort(np.add(*(x * f for x, f in zip(wand(index, query[reach], own[reach], threshold), (n_blocks, 1), strict=True))))
+    if not len(opened):
+        return
+    # All terms of the items in windows that open a block, each once for a window; their postings in these blocks are summed.
+    asked = np.unique(opened // n_blocks)
+    query, own = doc * stride + place, n
+    query, own = np.concatenate([query, query[place > 0] - 1]), np.concatenate([own, own[place > 0]])
+    some = asked[np.minimum(np.searchsorted(asked, query), len(asked) - 1)] == query
+    query, own = query[some], own[some]
+    o = np.lexsort((own, query))
+    o = o[starts_of(query[o], own[o])]
+    query, own = query[o], own[o]
+    row, posting = _spread(own, index.cuts)
+    keys = query[row] * n_blocks + index.items[posting] // BLOCK
+    some = opened[np.minimum(np.searchsorted(opened, keys), len(opened) - 1)] == keys
+    row, posting = row[some], posting[some]
+    keys, scores = _summed(query[row] * len(index.ids) + index.items[posting], index.impacts[posting])
+    keys, scores = keys[scores >= threshold], scores[scores >= threshold]
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    ends = np.append(head[1:], len(query))
-    for k in np.flatnonzero(reach >= threshold - _SLACK):
-        opened = wand(index, own[head[k] : ends[k]], threshold)
-        if not opened:
-            continue
-        d, p = divmod(int(query[head[k]]), stride)
+    for q in np.unique(keys // len(index.ids)):
+        found = keys // len(index.ids) == q
+        d, p = divmod(int(q), stride)
         a, b = first[d] + p * index.width, min(first[d] + (p + 2) * index.width, first[d + 1])
-        mine = np.unique(n[np.searchsorted(at, a) : np.searchsorted(at, b)])
-        _, posting = _spread(mine, index.cuts)
-        posting = posting[np.isin(index.items[posting] // BLOCK, opened)]
-        items, scores = _summed(index.items[posting], index.impacts[posting])
-        found = scores >= threshold
-        if not found.any():
-            continue
         near = terms[max(a - 2, first[d]) : min(b + 2, first[d + 1])]
         held = [_runs(near, k) for k in range(4)]
-        for i, score in zip(items[found].tolist(), scores[found].tolist(), strict=True):
+        for i, score in zip((keys[found] % len(index.ids)).tolist(), scores[found].tolist(), strict=True):
             shares = [float(np.isin(g, held[k]).mean()) if k else 1.0 for k, g in index.grams[i]]
             old = best.get((d, i), (0.0, 0.0, 0.0))
             best[d, i] = max(old, (score, *shares), key=lambda x: (min(x[1:]), x[0]))

@@ -88,13 +88,18 @@ def test_signs_beyond_ascii_and_one_long_item(spark):
 
 def test_wand_opens_what_the_maxima_allow():
     r = np.random.default_rng(7)
-    for _ in range(40):
+    for _ in range(25):
         rows = [{"item": i, "question": (q := r.integers(1, 60, 8).tolist()), "answer": [], "terms": sorted(set(q)), "counts": [int(r.integers(1, 9)) for _ in set(q)]} for i in range(120)]
         index = module.build_index(rows, 120, 8.0, 16, 0.25)
         driving = np.flatnonzero(np.diff(index.block_cuts))
-        terms = np.sort(r.choice(driving, 12, replace=False))
-        want = [b for b in range(len(index.tails)) if (x := sum(float(index.block_most[k]) for t in terms for k in range(index.block_cuts[t], index.block_cuts[t + 1]) if index.blocks[k] == b)) > 0 and x + index.tails[b] >= 0.5]
-        assert module.wand(index, terms, 0.5) == want
+        queries = [np.sort(r.choice(driving, k, replace=False)) for k in (1, 3, 8, 12, 20)]
+        want = []
+        for q, terms in enumerate(queries):
+            for b in range(len(index.tails)):
+                x = sum(float(index.block_most[k]) for t in terms for k in range(index.block_cuts[t], index.block_cuts[t + 1]) if index.blocks[k] == b)
+                want += [(q, b)] * bool(x > 0 and x + index.tails[b] >= 0.5)
+        found = module.wand(index, np.repeat(np.arange(5), [len(x) for x in queries]), np.concatenate(queries), 0.5)
+        assert sorted(zip(*(x.tolist() for x in found), strict=True)) == want
 
 
 def test_edges(spark):
