@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import documents as texts
 from .functions import names
 from .operators import compare, entries, genes, hierarchy
+from .operators.load import load
 from .plans import views
 from .plans.star import Filters, Star, best_first
 
@@ -279,12 +280,22 @@ def dedup_first_wins(spark, sf_dir):
     return entries.first_entries(_entry_rows(spark, sf_dir)).drop("l_shipdate")
 
 
-@_query("null_safe_dedup", f"{_ENTRIES} SELECT DISTINCT a.cell_type, a.cell_subtype, a.tissue FROM e a WHERE a.l_shipdate >= TIMESTAMP '2000-01-01' AND a.marker = 'Brand#11' AND NOT EXISTS (SELECT 1 FROM e b WHERE b.l_shipdate < TIMESTAMP '1996-01-01' AND b.marker = 'Brand#11' AND a.cell_type = b.cell_type AND a.cell_subtype IS NOT DISTINCT FROM b.cell_subtype AND a.tissue IS NOT DISTINCT FROM b.tissue)")
+@_query("null_safe_dedup", f"{_ENTRIES}, old AS (SELECT DISTINCT pmcid, cell_type, cell_subtype, marker, tissue, disease FROM e WHERE l_shipdate < TIMESTAMP '1998-07-01'), new AS (SELECT DISTINCT pmcid, cell_type, cell_subtype, marker, tissue, disease FROM e WHERE l_shipdate >= TIMESTAMP '1998-07-01') SELECT n.cell_type, n.cell_subtype, n.tissue, count(*) AS added FROM new n LEFT JOIN old o ON n.pmcid = o.pmcid AND n.cell_type = o.cell_type AND n.cell_subtype IS NOT DISTINCT FROM o.cell_subtype AND n.marker = o.marker AND n.tissue IS NOT DISTINCT FROM o.tissue AND n.disease IS NOT DISTINCT FROM o.disease WHERE o.pmcid IS NULL GROUP BY ALL")
 def null_safe_dedup(spark, sf_dir):
-    rows = _entry_rows(spark, sf_dir).where("marker = 'Brand#11'")
-    keys = ["cell_type", "cell_subtype", "tissue"]
-    new, old = rows.where("l_shipdate >= timestamp'2000-01-01'").select(keys).dropDuplicates(), rows.where("l_shipdate < timestamp'1996-01-01'").select([F.col(k).alias(f"o_{k}") for k in keys])
-    return new.join(old, F.col("cell_type").eqNullSafe(F.col("o_cell_type")) & F.col("cell_subtype").eqNullSafe(F.col("o_cell_subtype")) & F.col("tissue").eqNullSafe(F.col("o_tissue")), "left_anti")
+    """What a second load adds to the star of a first; nulls are equal in the six keys."""
+    old, new = _halves(spark, sf_dir)
+    papers = old.union(new).select("pmcid", F.lit(None).cast("string").alias("pmid"), F.lit("t").alias("title")).distinct()
+    first = load(old, papers)
+    second = load(new, papers, first)
+    added = second.entries.join(first.entries.select("id"), "id", "left_anti")
+    named = Star(**{**second.__dict__, "entries": added}).joined(["cell_type", "cell_subtype", "tissue"])
+    return named.groupBy("cell_type", "cell_subtype", "tissue").agg(F.count(F.lit(1)).alias("added"))
+
+
+def _halves(spark, sf_dir):
+    """All entries, before a date and from it on."""
+    rows = _entry_rows(spark, sf_dir)
+    return rows.where("l_shipdate < timestamp'1998-07-01'"), rows.where("l_shipdate >= timestamp'1998-07-01'")
 
 
 _PAIRS = f"""{_ENTRIES}, pairs AS (SELECT cell_type, cell_subtype, count(*) AS n, min((pmcid, pos)) AS first FROM e WHERE cell_subtype IS NOT NULL AND cell_type <> cell_subtype GROUP BY 1, 2)"""
@@ -295,15 +306,15 @@ def parent_child_mode(spark, sf_dir):
     return hierarchy.main_parents(_entry_rows(spark, sf_dir))
 
 
-@_query("hierarchy_fixed", f"{_PAIRS}, s AS (SELECT * REPLACE (CASE WHEN marker < 'Brand#3' THEN cell_subtype ELSE cell_type END AS cell_type, CASE WHEN marker < 'Brand#3' THEN cell_subtype ELSE cell_subtype END AS cell_subtype) FROM e WHERE cell_subtype IS NOT NULL), sp AS (SELECT cell_type, cell_subtype, count(*) AS n, min((pmcid, pos)) AS first FROM s WHERE cell_type <> cell_subtype GROUP BY 1, 2), best AS (SELECT cell_subtype AS child, cell_type AS parent FROM sp QUALIFY row_number() OVER (PARTITION BY cell_subtype ORDER BY n DESC, first) = 1), fixed AS (SELECT CASE WHEN cell_type = cell_subtype AND cell_type NOT IN (SELECT cell_type FROM sp) AND parent IS NOT NULL THEN parent ELSE cell_type END AS t, CASE WHEN cell_type = cell_subtype AND NOT (cell_type NOT IN (SELECT cell_type FROM sp) AND parent IS NOT NULL) THEN NULL ELSE cell_subtype END AS u FROM s LEFT JOIN best ON child = cell_type) SELECT t AS cell_type, u AS cell_subtype, count(*) AS n FROM fixed GROUP BY 1, 2")
+@_query("hierarchy_fixed", f"{_PAIRS}, s AS (SELECT * REPLACE (CASE WHEN marker < 'Brand#3' AND cell_subtype IS NOT NULL THEN cell_subtype ELSE cell_type END AS cell_type) FROM e), sp AS (SELECT cell_type, cell_subtype, count(*) AS n, min((pmcid, pos)) AS first FROM s WHERE cell_type <> cell_subtype GROUP BY 1, 2), best AS (SELECT cell_subtype AS child, cell_type AS parent FROM sp QUALIFY row_number() OVER (PARTITION BY cell_subtype ORDER BY n DESC, first) = 1), fixed AS (SELECT CASE WHEN cell_type = cell_subtype AND cell_type NOT IN (SELECT cell_type FROM sp) AND parent IS NOT NULL THEN parent ELSE cell_type END AS t, CASE WHEN cell_type = cell_subtype AND NOT (cell_type NOT IN (SELECT cell_type FROM sp) AND parent IS NOT NULL) THEN NULL ELSE cell_subtype END AS u FROM s LEFT JOIN best ON child = cell_type) SELECT t AS cell_type, u AS cell_subtype, count(*) AS n FROM fixed GROUP BY 1, 2")
 def hierarchy_fixed(spark, sf_dir):
-    rows = _entry_rows(spark, sf_dir).where("cell_subtype is not null").withColumn("cell_type", F.when(F.col("marker") < "Brand#3", F.col("cell_subtype")).otherwise(F.col("cell_type")))
+    rows = _entry_rows(spark, sf_dir).withColumn("cell_type", F.when((F.col("marker") < "Brand#3") & F.col("cell_subtype").isNotNull(), F.col("cell_subtype")).otherwise(F.col("cell_type")))
     return hierarchy.resolved(rows).groupBy("cell_type", "cell_subtype").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SIDES = f"""{_ENTRIES}, k AS (SELECT *, lower(cell_type) AS ct, upper(marker) AS g FROM e),
-o AS (SELECT * FROM k WHERE l_shipdate < TIMESTAMP '1995-07-01' QUALIFY row_number() OVER (PARTITION BY pmcid, ct, g ORDER BY pos) = 1),
-r AS (SELECT * FROM k WHERE l_shipdate >= TIMESTAMP '2001-06-01' QUALIFY row_number() OVER (PARTITION BY pmcid, ct, g ORDER BY pos) = 1),
+o AS (SELECT * FROM k WHERE l_shipdate < TIMESTAMP '1998-07-01' QUALIFY row_number() OVER (PARTITION BY pmcid, ct, g ORDER BY pos) = 1),
+r AS (SELECT * FROM k WHERE l_shipdate >= TIMESTAMP '1998-07-01' QUALIFY row_number() OVER (PARTITION BY pmcid, ct, g ORDER BY pos) = 1),
 b AS (SELECT coalesce(o.pmcid, r.pmcid) AS pmcid, o.g AS og, r.g AS rg, coalesce(o.tissue, '') = coalesce(r.tissue, '') AS ts, o.disease = r.disease AS ds, coalesce(lower(o.cell_subtype), '') = coalesce(lower(r.cell_subtype), '') AS ss FROM o FULL JOIN r ON o.pmcid = r.pmcid AND o.ct = r.ct AND o.g = r.g),
 s AS (SELECT pmcid, count(og) AS original, count(rg) AS reference, count(*) FILTER (og IS NOT NULL AND rg IS NOT NULL) AS matched, count(*) FILTER (og IS NOT NULL AND rg IS NOT NULL AND ts) AS t, count(*) FILTER (og IS NOT NULL AND rg IS NOT NULL AND ds) AS d, count(*) FILTER (og IS NOT NULL AND rg IS NOT NULL AND ss) AS u, count(DISTINCT og) AS go, count(DISTINCT rg) AS gr FROM b GROUP BY 1),
 j AS (SELECT pmcid, count(*) AS shared FROM (SELECT pmcid, og FROM b WHERE og IS NOT NULL INTERSECT SELECT pmcid, rg FROM b WHERE rg IS NOT NULL) GROUP BY 1)"""
@@ -318,48 +329,16 @@ j AS (SELECT pmcid, count(*) AS shared FROM (SELECT pmcid, og FROM b WHERE og IS
 FROM s LEFT JOIN j USING (pmcid)""",
 )
 def key_overlap(spark, sf_dir):
-    rows = _entry_rows(spark, sf_dir)
-    return compare.compared(rows.where("l_shipdate < timestamp'1995-07-01'"), rows.where("l_shipdate >= timestamp'2001-06-01'")).drop("only_in_original", "only_in_reference")
+    return compare.compared(*_halves(spark, sf_dir)).drop("only_in_original", "only_in_reference")
 
 
 @_query("key_difference", f"{_SIDES} SELECT DISTINCT pmcid, ct, g FROM o EXCEPT SELECT DISTINCT pmcid, ct, g FROM r")
 def key_difference(spark, sf_dir):
-    rows = _entry_rows(spark, sf_dir)
-    keys = lambda df: df.select("pmcid", F.lower("cell_type").alias("ct"), F.upper("marker").alias("g")).distinct()
-    return keys(rows.where("l_shipdate < timestamp'1995-07-01'")).join(keys(rows.where("l_shipdate >= timestamp'2001-06-01'")), ["pmcid", "ct", "g"], "left_anti")
-
-
-_HALVES = _SIDES.replace("TIMESTAMP '1995-07-01'", "TIMESTAMP '1998-07-01'").replace("TIMESTAMP '2001-06-01'", "TIMESTAMP '1998-07-01'")
-
-
-def _halves(spark, sf_dir):
-    """All entries, before a date and from it on."""
-    rows = _entry_rows(spark, sf_dir)
-    return rows.where("l_shipdate < timestamp'1998-07-01'"), rows.where("l_shipdate >= timestamp'1998-07-01'")
-
-
-@_query("key_overlap_whole", ORACLE_SQL["key_overlap"].replace(_SIDES, _HALVES))
-def key_overlap_whole(spark, sf_dir):
-    return compare.compared(*_halves(spark, sf_dir)).drop("only_in_original", "only_in_reference")
-
-
-@_query("key_difference_whole", ORACLE_SQL["key_difference"].replace(_SIDES, _HALVES))
-def key_difference_whole(spark, sf_dir):
-    old, new = (df.select("pmcid", F.lower("cell_type").alias("ct"), F.upper("marker").alias("g")).distinct() for df in _halves(spark, sf_dir))
+    """Keys of all entries before a date that none from it on has, by the operator's own comparison of keys."""
+    old, new = (compare.keyed(df).select("pmcid", F.col("key.cell_type").alias("ct"), F.col("key.marker").alias("g")) for df in _halves(spark, sf_dir))
     return old.join(new, ["pmcid", "ct", "g"], "left_anti")
 
 
-@_query("null_safe_dedup_whole", f"{_ENTRIES} SELECT marker, cell_type, cell_subtype, tissue, disease FROM e WHERE l_shipdate >= TIMESTAMP '1998-07-01' EXCEPT SELECT marker, cell_type, cell_subtype, tissue, disease FROM e WHERE l_shipdate < TIMESTAMP '1998-07-01'")
-def null_safe_dedup_whole(spark, sf_dir):
-    keys = ["marker", "cell_type", "cell_subtype", "tissue", "disease"]
-    old, new = _halves(spark, sf_dir)
-    old = old.select([F.col(k).alias(f"o_{k}") for k in keys])
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"o_{k}"))
-    return new.select(keys).dropDuplicates().join(old, same, "left_anti")
-
-
 @_query(
     "gene_standard",
     """WITH a AS (SELECT DISTINCT p_brand AS symbol, upper(p_brand) AS key FROM part WHERE p_size > 25), x AS (SELECT DISTINCT p_brand AS symbol, upper(unnest(string_split(p_type || '|' || p_name, '|'))) AS key FROM part WHERE p_size > 25),
@@ -424,22 +403,11 @@ def one_line_texts(spark, sf_dir):
 
 @_query(
     "assembled_texts",
-    """WITH p AS (SELECT doc_id, '[Abstract]' || chr(10) || lang AS a, '[Results]' || chr(10) || text AS r, '[Methods]' || chr(10) || source AS m FROM documents WHERE text <> ''),
-c AS (SELECT *, 2000 - length(a) AS l1 FROM p), d AS (SELECT *, CASE WHEN length(r) <= l1 THEN l1 - length(r) ELSE 0 END AS l2, CASE WHEN length(r) <= l1 THEN r ELSE substr(r, 1, l1) || ' ...' END AS r2 FROM c)
-SELECT doc_id, md5(trim(a || chr(10) || chr(10) || r2 || CASE WHEN l2 > 200 THEN chr(10) || chr(10) || CASE WHEN length(m) <= l2 THEN m ELSE substr(m, 1, l2) || ' ...' END ELSE '' END, ' ' || chr(10) || chr(9))) AS digest FROM d""",
-)
-def assembled_texts(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("text != ''")
-    return docs.select("doc_id", F.md5(texts.assembled(F.col("lang"), F.lit(""), F.col("text"), F.col("source"), budget=2000).cast("binary")).alias("digest"))
-
-
-@_query(
-    "assembled_texts_whole",
     """WITH p AS (SELECT doc_id, CASE WHEN lang <> '' THEN '[Abstract]' || chr(10) || lang END AS a, CASE WHEN text <> '' THEN '[Results]' || chr(10) || text END AS r, CASE WHEN source <> '' THEN '[Methods]' || chr(10) || source END AS m FROM documents),
 c AS (SELECT *, 40000 - coalesce(length(a), 0) AS l1 FROM p), d AS (SELECT *, CASE WHEN r IS NULL THEN l1 WHEN length(r) <= l1 THEN l1 - length(r) ELSE 0 END AS l2, CASE WHEN length(r) <= l1 THEN r ELSE substr(r, 1, l1) || ' ...' END AS r2 FROM c)
 SELECT doc_id, md5(trim(concat_ws(chr(10) || chr(10), a, r2, CASE WHEN l2 > 200 THEN CASE WHEN length(m) <= l2 THEN m ELSE substr(m, 1, l2) || ' ...' END END), ' ' || chr(10) || chr(9))) AS digest FROM d""",
 )
-def assembled_texts_whole(spark, sf_dir):
+def assembled_texts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(texts.assembled(F.col("lang"), F.lit(""), F.col("text"), F.col("source")).cast("binary")).alias("digest"))
 
 

@@ -16,10 +16,10 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def _keyed(entries: DataFrame) -> DataFrame:
+def keyed(entries: DataFrame) -> DataFrame:
     """The first entry of each paper and strict key (``pmcid``, ``pos`` give the order)."""
-    keyed = entries.withColumn("key", strict_key(F.col("cell_type"), F.col("marker"))).where("key is not null")
-    return best_first(["pmcid", "key"], ["pos"], keyed).withColumn("gene", F.col("key.marker"))
+    rows = entries.withColumn("key", strict_key(F.col("cell_type"), F.col("marker"))).where("key is not null")
+    return best_first(["pmcid", "key"], ["pos"], rows).withColumn("gene", F.col("key.marker"))
 
 
 def compared(original: DataFrame, reference: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def compared(original: DataFrame, reference: DataFrame) -> DataFrame:
     """
     text = lambda c: F.lower(F.coalesce(strip(F.col(c)), F.lit("")))
     fields = ["tissue", "disease", "cell_subtype"]
-    side = lambda df, s: _keyed(df).select("pmcid", "key", "gene", *[text(f).alias(f"{f}_{s}") for f in fields], F.lit(True).alias(s))
+    side = lambda df, s: keyed(df).select("pmcid", "key", "gene", *[text(f).alias(f"{f}_{s}") for f in fields], F.lit(True).alias(s))
     both = side(original, "o").join(side(reference, "r").drop("gene").withColumn("gene_r", F.col("key.marker")), ["pmcid", "key"], "full")
     o, r = F.coalesce("o", F.lit(False)), F.coalesce("r", F.lit(False))
     said = F.struct(F.col("key.cell_type").alias("cell_type"), F.col("key.marker").alias("marker"))
