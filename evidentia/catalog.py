@@ -28,8 +28,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def driver_star(spark: SparkSession, sf_dir: str) -> Star:
-    """The star over the driver's tables; citation counts are counted from its entries."""
+def driver_star(spark: SparkSession, sf_dir: str, cited: bool = False) -> Star:
+    """The star over the driver's tables; where a question needs citation counts they are counted from its entries."""
     t = {n: _table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "part", "supplier", "nation")}
     sold = t["lineitem"].join(t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"), "l_orderkey")
     sold = sold.join(t["customer"].select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment"), "o_custkey")
@@ -53,7 +53,7 @@ def driver_star(spark: SparkSession, sf_dir: str) -> Star:
         papers=t["orders"].select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("pmid"), F.concat(F.lit("PMC"), "o_orderkey").alias("pmcid")),
         order=KEY,
     )
-    return Star(**{**star.__dict__, "markers": star.refreshed_markers()})
+    return Star(**{**star.__dict__, "markers": star.refreshed_markers()}) if cited else star
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ _BUBBLE = "(SELECT cell_type, marker, count(DISTINCT l_orderkey) AS count FROM e
 
 @_query("search_page", f"{_STAR} SELECT {_LISTED} FROM entries WHERE {_WHERE} ORDER BY citation_count DESC, marker, cell_type, {_KEY} LIMIT 20 OFFSET 20")
 def search_page(spark, sf_dir):
-    return driver_star(spark, sf_dir).search(_ASKED, page=2)
+    return driver_star(spark, sf_dir, cited=True).search(_ASKED, page=2)
 
 
 @_query("search_total", f"{_STAR} SELECT count(*) AS total FROM entries WHERE {_WHERE}")
@@ -110,7 +110,7 @@ def search_total(spark, sf_dir):
 
 @_query("search_unfiltered", f"{_STAR} SELECT {_LISTED} FROM entries ORDER BY citation_count DESC, marker, cell_type, {_KEY} LIMIT 200")
 def search_unfiltered(spark, sf_dir):
-    return driver_star(spark, sf_dir).search(page_size=200)
+    return driver_star(spark, sf_dir, cited=True).search(page_size=200)
 
 
 @_query(
@@ -135,7 +135,7 @@ def _symbol(spark: SparkSession, sf_dir: str) -> str:
   coalesce(string_agg(DISTINCT disease, '|' ORDER BY disease), '') AS diseases FROM entries WHERE l_partkey = 7 GROUP BY 1, 2""",
 )
 def marker_detail(spark, sf_dir):
-    return _flat(driver_star(spark, sf_dir).detail(_symbol(spark, sf_dir)))
+    return _flat(driver_star(spark, sf_dir, cited=True).detail(_symbol(spark, sf_dir)))
 
 
 @_query("marker_detail_entries", f"{_STAR} SELECT {_LISTED} FROM entries WHERE l_partkey = 7 ORDER BY cell_type, pmcid, {_KEY} LIMIT 10 OFFSET 10")
@@ -261,12 +261,12 @@ def export_rows(spark, sf_dir):
 
 @_query("citation_refresh", f"{_STAR} SELECT id, symbol, citation_count FROM markers")
 def citation_refresh(spark, sf_dir):
-    return driver_star(spark, sf_dir).markers.select("id", "symbol", "citation_count")
+    return driver_star(spark, sf_dir, cited=True).markers.select("id", "symbol", "citation_count")
 
 
 @_query("cited_markers", f"{_STAR} SELECT count(*) AS n FROM markers WHERE citation_count > 0")
 def cited_markers(spark, sf_dir):
-    return driver_star(spark, sf_dir).markers.where("citation_count > 0").agg(F.count(F.lit(1)).alias("n"))
+    return driver_star(spark, sf_dir, cited=True).markers.where("citation_count > 0").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ENTRIES = """WITH e AS (SELECT c_mktsegment AS pmcid, lpad(l_orderkey::VARCHAR, 9, '0') || '-' || lpad(l_partkey::VARCHAR, 9, '0') || '-' || lpad(l_suppkey::VARCHAR, 9, '0') || '-' || lpad(l_linenumber::VARCHAR, 9, '0') AS pos,

@@ -357,7 +357,7 @@ def search_answer(spark, sf_dir):
     """A page's JSON, read back."""
     fields = ", ".join(f"{c}: string" for c in ("marker", "cell_type", "cell_subtype", "tissue", "disease", "pmid", "pmcid", "marker_status"))
     read = F.from_json("json", f"total bigint, page int, page_size int, results array<struct<{fields}>>")
-    done = responses.search_response(driver_star(spark, sf_dir), page=2).select(read.alias("x")).select("x.total", "x.page", "x.page_size", F.posexplode("x.results").alias("place", "r"))
+    done = responses.search_response(driver_star(spark, sf_dir, cited=True), page=2).select(read.alias("x")).select("x.total", "x.page", "x.page_size", F.posexplode("x.results").alias("place", "r"))
     return done.select("total", "page", "page_size", F.col("place").cast("long").alias("place"), "r.marker", "r.cell_type", "r.tissue", "r.pmcid")
 
 

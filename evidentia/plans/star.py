@@ -80,11 +80,13 @@ class Star:
 
         return reduce(add, names, self.entries)
 
-    def listed(self) -> DataFrame:
-        """Every entry with its eight listed columns, the marker's citation count and the key."""
+    def listed(self, cited: bool = False) -> DataFrame:
+        """Every entry with its eight listed columns, the key, and if asked the marker's citation count."""
         papers = self.papers.select(F.col("id").alias("paper_id"), "pmid", "pmcid")
-        cited = self.markers.select(F.col("id").alias("marker_id"), "citation_count")
-        return self.joined(["marker", *FIELDS]).join(papers, "paper_id").join(cited, "marker_id").select(*LISTED, "citation_count", *self.order)
+        rows = self.joined(["marker", *FIELDS]).join(papers, "paper_id")
+        if cited:
+            rows = rows.join(self.markers.select(F.col("id").alias("marker_id"), "citation_count"), "marker_id")
+        return rows.select(*LISTED, *(["citation_count"] if cited else []), *self.order)
 
     def filtered(self, filters: Filters, also: Sequence[str] = ()) -> DataFrame:
         """Entries that pass, joined with no more dimensions than the filters and ``also`` need."""
@@ -96,7 +98,7 @@ class Star:
         """One page of entries, by citation count, marker and cell type."""
         size = _within(page_size, 1, MOST_PER_PAGE, "page_size")
         skip = (_within(page, 1, 1 << 30, "page") - 1) * size
-        found = reduce(lambda d, c: d.where(c), filters.conditions().values(), self.listed())
+        found = reduce(lambda d, c: d.where(c), filters.conditions().values(), self.listed(cited=True))
         return found.orderBy(F.desc("citation_count"), "marker", "cell_type", *self.order).offset(skip).limit(size).select(LISTED)
 
     def total(self, filters: Filters = Filters(), hint: int = 0) -> DataFrame:
