@@ -121,6 +121,22 @@ SELECT s.doc_id, n AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(k, 0) AS n_
 FROM sized s JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
 """
 
+#: Edits are of characters: those beyond ASCII are written as ASCII signs that no line has, so that a distance of bytes is one of characters.
+LINE_DEDUP = r"""
+WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+placed AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM lines),
+used AS (SELECT DISTINCT unnest(regexp_extract_all(t, '(?s).')) AS c FROM placed),
+signs AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM used WHERE unicode(c) >= 128),
+free AS (SELECT chr(x::INT) AS b, row_number() OVER (ORDER BY x) AS k FROM range(1, 128) r(x) WHERE chr(x::INT) NOT IN (SELECT c FROM used)),
+one_byte AS (SELECT coalesce(string_agg(c, '' ORDER BY k), '') AS f, coalesce(string_agg(b, '' ORDER BY k), '') AS g FROM signs LEFT JOIN free USING (k)),
+texts AS MATERIALIZED (SELECT t, length(t) AS n, translate(t, any_value(f), any_value(g)) AS m, min((doc_id, i)) AS first FROM placed, one_byte WHERE t <> '' GROUP BY t),
+near AS (SELECT a.t, min(b.first) AS first FROM texts a JOIN texts b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND b.first < a.first
+  AND abs(a.n - b.n) <= least(2, least(a.n, b.n) * 2 // 40) AND least(a.n, b.n) >= 20 AND levenshtein(a.m, b.m) <= least(2, least(a.n, b.n) * 2 // 40) GROUP BY a.t),
+firsts AS (SELECT t, least(texts.first, coalesce(near.first, texts.first)) AS first FROM texts LEFT JOIN near USING (t)),
+judged AS (SELECT doc_id, i, line, t <> '' AND first < (doc_id, i) AS gone FROM placed LEFT JOIN firsts USING (t))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256 FROM judged GROUP BY doc_id
+"""
+
 
 def _quality_rules() -> str:
     from . import quality_rules as q

@@ -86,6 +86,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_suffix_dedup": oracle.SUFFIX_DEDUP,
     "op4_secret_scan": oracle.SECRET_SCAN,
     "op5_quality_rules": oracle.QUALITY_RULES,
+    "op6_line_dedup": oracle.LINE_DEDUP,
     "op7_chat_format": oracle.CHAT_FORMAT,
     "op8_mixing": oracle.MIXING,
     "op10_substring_dedup": oracle.SUBSTRING_DEDUP,
