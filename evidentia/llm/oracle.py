@@ -121,6 +121,29 @@ SELECT s.doc_id, n AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(k, 0) AS n_
 FROM sized s JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
 """
 
+DECONTAMINATION = r"""
+WITH items AS (SELECT DISTINCT item_id, trim(text, ' ') AS x FROM benchmark WHERE item_id IS NOT NULL),
+cut AS (SELECT item_id, x, regexp_extract(x, '(?s)^(.*[.!?])\s+(\S.*)$', 1) AS q, regexp_extract(x, '(?s)^(.*[.!?])\s+(\S.*)$', 2) AS a, list_filter(string_split_regex(x, '\s+'), lambda w: w <> '') AS ws FROM items),
+sides AS (SELECT item_id, CASE WHEN q <> '' THEN q ELSE array_to_string(ws[1:ceil(len(ws) * 2 / 3)::INT], ' ') END AS q, CASE WHEN q <> '' THEN a ELSE array_to_string(ws[ceil(len(ws) * 2 / 3)::INT + 1:], ' ') END AS a FROM cut),
+worded AS (SELECT item_id, regexp_extract_all(lower(q), '[\p{L}\p{M}\p{N}]+') AS q, regexp_extract_all(lower(a), '[\p{L}\p{M}\p{N}]+') AS a FROM sides),
+bags AS (SELECT item_id, q, a, list_concat(q, a) AS w, len(q) + len(a) AS n, greatest(16, CASE WHEN len(q) + len(a) > 1 THEN (2 ** ceil(log2(len(q) + len(a))))::BIGINT ELSE 1 END) AS width FROM worded WHERE len(q) + len(a) > 0),
+terms AS (SELECT item_id, width, n, term, count(*) AS tf FROM (SELECT item_id, width, n, unnest(w) AS term FROM bags) GROUP BY ALL),
+known AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
+weights AS (SELECT item_id, width, term, ln(1 + ((SELECT count(*) FROM bags) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / greatest((SELECT avg(n) FROM bags), 1))) AS x FROM terms JOIN known USING (term)),
+impacts AS MATERIALIZED (SELECT item_id, width, term, x / sum(x) OVER (PARTITION BY item_id) AS x FROM weights),
+places AS MATERIALIZED (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL)),
+hits AS (SELECT DISTINCT doc_id, item_id, width, p // width - back AS k, term, x FROM places JOIN impacts USING (term), (VALUES (0), (1)) b(back) WHERE p // width - back >= 0),
+found AS MATERIALIZED (SELECT doc_id, item_id, width, k, sum(x) AS score FROM hits GROUP BY ALL HAVING sum(x) >= 0.5),
+grams AS (SELECT DISTINCT item_id, side, least(3, len(w)) AS size, unnest(list_transform(range(1, len(w) - least(3, len(w)) + 2), lambda i: array_to_string(w[i:i + least(3, len(w)) - 1], ' '))) AS g
+  FROM (SELECT item_id, 'q' AS side, q AS w FROM bags UNION ALL SELECT item_id, 'a', a FROM bags) WHERE len(w) > 0),
+near AS (SELECT f.doc_id, f.item_id, f.k, list(term ORDER BY p) AS w FROM found f JOIN places l ON l.doc_id = f.doc_id AND p >= f.k * f.width - 2 AND p < (f.k + 2) * f.width + 2 GROUP BY ALL),
+held AS (SELECT DISTINCT doc_id, item_id, k, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS g FROM near, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size),
+shares AS (SELECT f.doc_id, f.item_id, f.k, g.side, count(h.g)::DOUBLE / count(*) AS share FROM found f JOIN grams g USING (item_id) LEFT JOIN held h ON h.doc_id = f.doc_id AND h.item_id = f.item_id AND h.k = f.k AND h.size = g.size AND h.g = g.g GROUP BY ALL),
+judged AS (SELECT f.doc_id, f.item_id, score, coalesce(max(share) FILTER (side = 'q'), 1.0) AS q, coalesce(max(share) FILTER (side = 'a'), 1.0) AS a FROM found f LEFT JOIN shares s ON s.doc_id = f.doc_id AND s.item_id = f.item_id AND s.k = f.k GROUP BY f.doc_id, f.item_id, f.k, score),
+best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY least(q, a) DESC, score DESC) = 1)
+SELECT doc_id, item_id, round(score, 6) AS score, q AS question_overlap, a AS answer_overlap FROM best WHERE q >= 0.5 AND a >= 0.5
+"""
+
 #: Edits are of characters: those beyond ASCII are written as ASCII signs that no line has, so that a distance of bytes is one of characters.
 LINE_DEDUP = r"""
 WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),

@@ -33,7 +33,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": oracle.NGRAM_JACCARD,
     "op2_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op3_decontamination": oracle.DECONTAMINATION,
     "op4_secret_scan": oracle.SECRET_SCAN,
     "op5_quality_rules": oracle.QUALITY_RULES,
     "op6_line_dedup": oracle.LINE_DEDUP,
