@@ -13,10 +13,11 @@ from .catalog import _ENTRIES, _STAR, _entry_rows, _flat, _query, _table, driver
 from .functions import documents as texts
 from .functions import names
 from .functions.vocabulary import PARENTS
-from .operators import compare, entries, genes
+from .operators import compare, entries, extraction, genes
 from .operators.load import load, unfit
 from .plans import responses
 from .plans.star import Star
+from .sources import remote
 from .sources.jats import parse_articles
 
 # Names as papers write them, and what must come out.
@@ -367,3 +368,63 @@ def detail_lists(spark, sf_dir):
     symbol = _table(spark, sf_dir, "part").where("p_partkey = 7").select(F.concat_ws(" ", "p_name", "p_partkey")).first()[0]
     read = F.from_json("json", "symbol string, cell_types array<string>, total_entries bigint")
     return _flat(responses.detail_response(driver_star(spark, sf_dir), symbol).select(read.alias("x")).select("x.*"))
+
+
+def _some_articles(wanted: list[str]) -> str:
+    """A transport that has no article for every seventh id."""
+    article = '<article><front><article-meta><article-id pub-id-type="pmid">1</article-id><article-id pub-id-type="pmcid">PMC{0}</article-id></article-meta></front></article>'
+    return "<set>" + "".join(article.format(i) for i in wanted if int(i) % 7 != 3) + "</set>"
+
+
+def _page_of_ids(start: int, size: int) -> list[str]:
+    """Ids of a search that has any number of hits, the third page of which is never answered."""
+    if start == 2 * size:
+        raise ConnectionError(start)
+    return [str(i) for i in range(start, start + size)]
+
+
+def _ids(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pmcid"))
+
+
+@_query("fetched_articles", "SELECT doc_id::VARCHAR AS pmcid FROM documents WHERE doc_id % 7 <> 3")
+def fetched_articles(spark, sf_dir):
+    return remote.fetch_articles(_ids(spark, sf_dir), _some_articles, rate=1e6, wait=0.0).select("pmcid")
+
+
+@_query("missing_articles", "SELECT doc_id::VARCHAR AS pmcid FROM documents WHERE doc_id % 7 = 3")
+def missing_articles(spark, sf_dir):
+    ids = _ids(spark, sf_dir)
+    return remote.missing(ids, remote.fetch_articles(ids, _some_articles, rate=1e6, wait=0.0))
+
+
+@_query("searched_ids", "SELECT n::VARCHAR AS pmcid FROM (SELECT row_number() OVER () - 1 AS n FROM orders) WHERE n < (SELECT count(*) FROM orders) // 10 * 10 AND n NOT BETWEEN 20 AND 29 UNION ALL SELECT n::VARCHAR FROM range((SELECT count(*) // 10 * 10 FROM orders), (SELECT ceil(count(*) / 10)::BIGINT * 10 FROM orders)) r(n)")
+def searched_ids(spark, sf_dir):
+    """A search with as many hits as there are orders, in pages of ten."""
+    return remote.search(spark, _table(spark, sf_dir, "orders").count, _page_of_ids, page=10, rate=1e6, wait=0.0)
+
+
+@_query("pending_papers", "SELECT DISTINCT o_orderkey::VARCHAR AS pmcid FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
+def pending_papers(spark, sf_dir):
+    papers = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pmcid"))
+    return extraction.pending(papers, _table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").cast("string").alias("pmcid")))
+
+
+@_query("cache_keys", """SELECT p_partkey, md5('[{"key":"cell_type","value":["' || p_type || '"]},{"key":"tissue","value":["' || p_brand || '","x"]}]') AS key FROM part""")
+def cache_keys(spark, sf_dir):
+    """Filters in any order of their fields have one key."""
+    asked = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("tissue"), F.array("p_brand", F.lit("x")), F.lit("cell_type"), F.array("p_type")))
+    return _table(spark, sf_dir, "part").select("p_partkey", texts.cache_key(asked.otherwise(F.create_map(F.lit("cell_type"), F.array("p_type"), F.lit("tissue"), F.array("p_brand", F.lit("x"))))).alias("key"))
+
+
+@_query(
+    "initial_answer",
+    f"""{_STAR} SELECT (SELECT string_agg(n_name, '|' ORDER BY n_name) FROM nation) AS cell_types, (SELECT string_agg(s_name, '|' ORDER BY s_name) FROM supplier WHERE s_acctbal > 0) AS tissues, (SELECT count(*) FROM entries) AS total,
+  (SELECT string_agg(cell_type || '+' || marker || '+' || count, '|' ORDER BY count DESC, cell_type, marker) FROM (SELECT cell_type, marker, count(DISTINCT l_orderkey) AS count FROM entries GROUP BY 1, 2 ORDER BY count DESC, cell_type, marker LIMIT 2000)) AS bubble""",
+)
+def initial_answer(spark, sf_dir):
+    """What a search view starts with, read back from its JSON."""
+    read = F.from_json("json", "filters struct<cell_types: array<string>, tissues: array<string>>, search struct<total: bigint>, bubble array<struct<cell_type: string, marker: string, count: bigint>>")
+    x = responses.initial_response(driver_star(spark, sf_dir, cited=True)).select(read.alias("x"))
+    points = F.array_join(F.transform("x.bubble", lambda p: F.concat_ws("+", p["cell_type"], p["marker"], p["count"])), "|")
+    return x.select(F.array_join("x.filters.cell_types", "|").alias("cell_types"), F.array_join("x.filters.tissues", "|").alias("tissues"), F.col("x.search.total").alias("total"), points.alias("bubble"))
