@@ -34,6 +34,8 @@ from .expressions import let, words
 WINDOW = 8
 #: Share of a group in each estimate, most concentration steps, smallest group that is judged by itself.
 SHARE, STEPS, LEAST = 0.75, 10, 60
+#: Rows in a partition of the statistics, which each step reads.
+EACH = 1 << 17
 #: Squared Mahalanobis distance beyond which a document is rejected; of 10^7 normal vectors it would reject about one or two.
 CUTOFF = 40.0
 #: Chi-squared of five degrees: what makes the share's covariance that of all, and the limit of the reweighting step.
@@ -222,7 +224,9 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     largest = totals.agg(F.max_by("group", F.struct("count", "group")).alias("largest"), F.max(F.when(F.col("group") == "///", F.col("count"))).alias("rest"))
     own = F.when((F.col("group") == "///") & (F.col("rest") < LEAST), F.col("largest")).otherwise(F.col("group"))
     groups = kept(grouped.join(largest, F.lit(True)).select("lang", "source", own.alias("group")))  # with a single row
-    cells = kept(counted.where("not base_failed").join(groups, ["lang", "source"]).select("group", *STATISTICS))
+    cells = counted.where("not base_failed").join(groups, ["lang", "source"]).select("group", *STATISTICS)
+    rows = grouped.agg(F.sum("count")).first()[0] or 0
+    cells = kept(cells.coalesce(-(-rows // EACH) or 1))
     estimates = robust_estimates(cells)
     judged = _distances(counted.join(groups, ["lang", "source"], "left"), estimates)
     distance = F.when(~F.col("base_failed"), F.col("d2"))
