@@ -138,11 +138,20 @@ def character_model(texts: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+class _Classes(dict):
+    """Class of a character, looked up once."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = int(_class_of(np.array([ord(c)], np.uint32))[0])
+        return self[c]
+
+
 class Decoder:
     """Viterbi decoding of character lattices under a character model."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
+        self.model = model.reshape(-1, _CLASSES).tolist()  # by the last two classes, then the next
+        self._classes = _Classes()
         self._known = lru_cache(1 << 16)(self._decode)
 
     @staticmethod
@@ -175,20 +184,22 @@ class Decoder:
         return self._known(token) if len(token) <= _REMEMBERED else self._decode(token)
 
     def _decode(self, token: str) -> str:
-        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        model, classes = self.model, self._classes
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the last two classes
         for options in self.lattice(token):
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (score, text) in paths.items():
-                for letters, cost in options:
-                    x, y, s = a, b, score + cost
-                    for c in letters:
-                        z = ord(c) - 96 if "a" <= c <= "z" else int(_class_of(np.array([ord(c)], np.uint32))[0])
-                        s += self.model[x][y][z]
-                        x, y = y, z
-                    if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = (s, (text, letters))
+            read = [(letters, cost, [classes[c] for c in letters]) for letters, cost in options]
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, text) in paths.items():
+                for letters, cost, numbers in read:
+                    x, s = state, score + cost
+                    for z in numbers:
+                        s += model[x][z]
+                        x = x % _CLASSES * _CLASSES + z
+                    old = after.get(x)
+                    if old is None or s > old[0]:
+                        after[x] = (s, (text, letters))
             paths = after
-        text = max(((score + self.model[a][b][0], text) for (a, b), (score, text) in paths.items()), key=lambda x: x[0])[1]
+        text = max(((score + model[state][0], text) for state, (score, text) in paths.items()), key=lambda x: x[0])[1]
         out = []
         while text is not None:
             text, letters = text

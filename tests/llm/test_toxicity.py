@@ -107,7 +107,7 @@ def test_decoder_finds_the_best_of_all_paths(spark):
     def score(path):
         at, total = [0, 0], sum(cost for _, cost in path)
         for c in classes("".join(x for x, _ in path)) + [0]:
-            total += decoder.model[at[-2]][at[-1]][c]
+            total += decoder.model[at[-2] * 64 + at[-1]][c]
             at.append(c)
         return total
 
