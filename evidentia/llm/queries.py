@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .chat_format import chat_digests
 from .decontamination import find_contamination
+from .fill_in_middle import fill_in_middle_digests
 from .line_dedup import line_dedup
 from .mixing import in_first_use_order, mix_sources
 from .ngram_jaccard import ngram_jaccard
@@ -68,6 +69,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -91,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_format": oracle.CHAT_FORMAT,
     "op8_mixing": oracle.MIXING,
     "op10_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op11_fill_in_middle": oracle.FILL_IN_MIDDLE,
 }
