@@ -202,7 +202,7 @@ def wand(index: Index, query: np.ndarray, terms: np.ndarray, threshold: float) -
     return tuple(np.concatenate(x) for x in zip(*opened, strict=True))
 
 
-class _Finder:
+class TermFinder:
     """Terms of the index by hash, by a table of the hashes' low bits that is right at once for most."""
 
     def __init__(self, terms: np.ndarray):
@@ -219,7 +219,7 @@ class _Finder:
         return at[own], n[own]
 
 
-def _spread(n: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spread(n: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows that each stand for a slice of another table: the row and the place of each element of the slices."""
     size = cuts[n + 1] - cuts[n]
     row = np.repeat(np.arange(len(n)), size)
@@ -232,7 +232,7 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[order][head], np.add.reduceat(values[order], head) if len(head) else values[:0]
 
 
-def search_block(terms: np.ndarray, first: np.ndarray, index: Index, finder: _Finder, threshold: float) -> Iterator[tuple[int, int, float, float, float]]:
+def search_block(terms: np.ndarray, first: np.ndarray, index: Index, finder: TermFinder, threshold: float) -> Iterator[tuple[int, int, float, float, float]]:
     """Document in the block, item number, best score and best overlaps of each pair that some window retrieves.
 
     Windows are twice as wide as the items' class and begin at each multiple of
@@ -266,7 +266,7 @@ def search_block(terms: np.ndarray, first: np.ndarray, index: Index, finder: _Fi
     o = np.lexsort((own, query))
     o = o[starts_of(query[o], own[o])]
     query, own = query[o], own[o]
-    row, posting = _spread(own, index.cuts)
+    row, posting = spread(own, index.cuts)
     keys = query[row] * n_blocks + index.items[posting] // BLOCK
     some = opened[np.minimum(np.searchsorted(opened, keys), len(opened) - 1)] == keys
     row, posting = row[some], posting[some]
@@ -290,7 +290,7 @@ def search_block(terms: np.ndarray, first: np.ndarray, index: Index, finder: _Fi
 def _search(slices: list[bytes], threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = [pickle.loads(x) for x in slices]
-        finders = [_Finder(x.terms) for x in indexes]
+        finders = [TermFinder(x.terms) for x in indexes]
         for batch in batches:
             ids = ids_of(batch.column(0))
             for block in text_blocks(batch.column(1), 1 << 20):

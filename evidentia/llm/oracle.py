@@ -265,3 +265,19 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CA
   sha256(text) AS restored_sha256
 FROM cut
 """
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+WITH worded AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+docs AS MATERIALIZED (SELECT doc_id, w, len(w) AS n FROM worded WHERE len(w) > 0),
+totals AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nt FROM docs),
+occurring AS (SELECT doc_id, n, unnest(w) AS term FROM docs),
+postings AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM occurring GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term),
+impacts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // nt))) AS impact FROM postings JOIN weights USING (term), totals),
+scores AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM impacts JOIN asked USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""

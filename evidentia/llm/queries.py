@@ -11,6 +11,7 @@ from . import oracle
 from .chat_format import chat_digests
 from .decontamination import find_contamination
 from .fill_in_middle import fill_in_middle_digests
+from .lexical_search import ranked_search
 from .line_dedup import line_dedup
 from .mixing import in_first_use_order, mix_sources
 from .ngram_jaccard import ngram_jaccard
@@ -73,6 +74,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +104,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_mixing": oracle.MIXING,
     "op10_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op11_fill_in_middle": oracle.FILL_IN_MIDDLE,
+    "op12_lexical_search": oracle.LEXICAL_SEARCH,
 }
