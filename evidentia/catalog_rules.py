@@ -6,6 +6,8 @@ reach every rule; the SQL has what must come out of each.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ from .functions import names
 from .functions.vocabulary import PARENTS
 from .operators import compare, entries, extraction, genes
 from .operators.load import load, unfit
-from .plans import responses
+from .plans import responses, store
 from .plans.star import Star
+from .session import scratch
 from .sources import remote
 from .sources.jats import parse_articles
+from .streaming.ingest import stream_into_star
 
 # Names as papers write them, and what must come out.
 CELL_TYPES = [
@@ -224,6 +228,40 @@ def loaded_twice(spark, sf_dir):
     return n.join(cited, "marker_id").drop("marker_id")
 
 
+def _by_marker(star: Star) -> DataFrame:
+    """Entries and citations of each marker, as the star counts them."""
+    n = star.entries.groupBy(F.col("marker_id").alias("id")).agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("cell_type_id").alias("cell_types"))
+    return star.markers.join(n, "id", "left").select(F.col("symbol").alias("marker"), "citation_count", "entries", "cell_types")
+
+
+_BY_MARKER = "SELECT marker, count(DISTINCT pmcid) AS citation_count, count(*) AS entries, count(DISTINCT cell_type) AS cell_types FROM d GROUP BY 1"
+
+
+@_query("loaded_concurrently", f"{_LOADED} {_BY_MARKER}")
+def loaded_concurrently(spark, sf_dir):
+    """Two overlapping parts of all entries, loaded into one folder by two threads at the same time; counts of citations are raised, not counted anew."""
+    folder = f"{scratch(spark)}/star"
+    rows = _entry_rows(spark, sf_dir).withColumn("marker", F.when(F.col("marker") != "Brand#11", F.col("marker")))
+    papers = rows.select("pmcid", F.lit(None).cast("string").alias("pmid"), F.lit("t").alias("title")).distinct()
+    parts = [rows.where("l_shipdate < timestamp'1998-07-01'"), rows.where("l_shipdate >= timestamp'1996-01-01'")]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda part: store.add_to_star(part, papers, folder), parts))
+    return _by_marker(store.read_star(spark, folder))
+
+
+@_query("loaded_from_stream", f"{_LOADED} {_BY_MARKER}")
+def loaded_from_stream(spark, sf_dir):
+    """All entries as a stream into a star, one file a batch, twice: the batches of the second run have the numbers of the first and add nothing."""
+    base = scratch(spark)
+    rows = _entry_rows(spark, sf_dir).withColumn("marker", F.when(F.col("marker") != "Brand#11", F.col("marker")))
+    rows = rows.select("pmcid", F.lit(None).cast("string").alias("pmid"), F.lit("t").alias("title"), *entries.FIELDS)
+    rows.repartition(3).write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    for checkpoint in ("first", "again"):
+        stream_into_star(arriving, f"{base}/star", f"{base}/{checkpoint}").awaitTermination()
+    return _by_marker(store.read_star(spark, f"{base}/star"))
+
+
 @_query("loaded_dimensions", f"{_LOADED} SELECT (SELECT count(DISTINCT pmcid) FROM d) AS total_papers, (SELECT count(DISTINCT marker) FROM d) AS total_markers, (SELECT count(DISTINCT cell_type) FROM d) AS total_cell_types, (SELECT count(DISTINCT disease) FROM d) AS total_diseases, (SELECT count(DISTINCT tissue) FROM d) AS total_tissues, (SELECT count(*) FROM d) AS total_entries")
 def loaded_dimensions(spark, sf_dir):
     return _loaded(spark, sf_dir).overview()

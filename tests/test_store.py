@@ -1,11 +1,17 @@
 import json
+import threading
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.functions import col
 
 from evidentia.config import Settings
 from evidentia.operators import entries, extraction
 from evidentia.plans import responses, store
 from evidentia.sources import files, remote, sinks
+from evidentia.streaming import ingest
 
 ROWS = "pmcid string, cell_type string, cell_subtype string, marker string, tissue string, disease string"
 
@@ -116,3 +122,123 @@ def test_ranking_workbook_has_widths(spark, tmp_path):
     sinks.write_xlsx(spark.createDataFrame([("a", "b", 1)], "`Cell Type` string, Marker string, Citations int"), f"{tmp_path}/r.xlsx", widths=sinks.RANKING_WIDTHS)
     sheet = zipfile.ZipFile(f"{tmp_path}/r.xlsx").read("xl/worksheets/sheet1.xml").decode()
     assert '<col min="1" max="1" width="28" customWidth="1"/>' in sheet and sheet.index("<cols>") < sheet.index("<sheetData>")
+
+
+def _rows(spark, pairs):
+    """Entries of (paper, marker), and their papers."""
+    rows = [(p, "T cell", None, m, None, "Normal") for p, m in pairs]
+    return spark.createDataFrame(rows, ROWS), spark.createDataFrame([(p, "1", p) for p in sorted({p for p, _ in pairs}, key=str)], "pmcid string, pmid string, title string")
+
+
+def _shown(star):
+    named = star.entries.join(star.papers.select(col("id").alias("paper_id"), "pmcid"), "paper_id").join(star.markers.select(col("id").alias("marker_id"), "symbol"), "marker_id")
+    return sorted((r.pmcid, r.symbol) for r in named.collect()), {r.symbol: r.citation_count for r in star.markers.collect()}
+
+
+def _counts(pairs):
+    return {m: len({p for p, x in pairs if x == m}) for m in {m for _, m in pairs}}
+
+
+def _bytes(folder):
+    return sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+
+
+def test_a_load_writes_what_is_new(spark, tmp_path):
+    folder = f"{tmp_path}/star"
+    many = [(f"P{i % 3000}", f"M{i % 997}") for i in range(30_000)]
+    few = [(f"P{i}", f"M{i % 10}") for i in range(2990, 3050)]
+    store.add_to_star(*_rows(spark, many), folder)
+    first = _bytes(f"{folder}/data")
+    store.add_to_star(*_rows(spark, few), folder)
+    assert _bytes(f"{folder}/data") - first < first / 10
+    star = store.read_star(spark, folder)
+    shown = _shown(star)
+    assert shown == (sorted({*many, *few}), _counts({*many, *few}))
+    assert {r.id: r.citation_count for r in star.refreshed_markers().collect()} == {r.id: r.citation_count for r in star.markers.collect()}
+    raised = spark.read.parquet(*[f"{folder}/data/{x}" for x in store.version_of(spark, folder).folders["counts"][1:]])
+    new = {m for p, m in few if (p, m) not in set(many)}
+    assert raised.count() == len(new) < 997
+    assert _shown(store.read_star(spark, folder, 1)) == (sorted(set(many)), _counts(set(many)))
+    assert store.read_star(spark, folder, 9) is None
+
+
+def test_nothing_new_is_written_as_nothing(spark, tmp_path):
+    folder = f"{tmp_path}/star"
+    for _ in range(2):
+        store.add_to_star(*_rows(spark, [("P1", "A")]), folder)
+    one, two = (store.version_of(spark, folder, k) for k in (1, 2))
+    assert one.folders == two.folders
+
+
+def test_two_writers(spark, tmp_path):
+    """Both begin from the same version; the second takes from its rows what the first has added."""
+    folder = f"{tmp_path}/star"
+    store.add_to_star(*_rows(spark, [("P0", "A")]), folder)
+    both = threading.Barrier(2, timeout=120)
+    halves = [[("P1", "A"), ("P2", "B"), ("P3", "C")], [("P1", "A"), ("P1", "B"), ("P4", "C"), ("P0", "A")]]
+
+    def write(pairs):
+        return store.add_to_star(*_rows(spark, pairs), folder, between=lambda k: both.wait() if k == 0 else None)
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(write, halves)) == [2, 3]
+    pairs = {("P0", "A"), *halves[0], *halves[1]}
+    assert _shown(store.read_star(spark, folder)) == (sorted(pairs), _counts(pairs))
+
+
+def test_compact_and_expire(spark, tmp_path):
+    folder = f"{tmp_path}/star"
+    loads = [[("P1", "A"), ("P2", "B")], [("P2", "A")], [("P9", "C")]]
+    for pairs in loads:
+        store.add_to_star(*_rows(spark, pairs), folder)
+    store._write({"markers": store.read_star(spark, folder).markers}, folder, "broken-off")
+    want = sorted(p for x in loads for p in x)
+    assert store.compact(spark, folder) == 4
+    assert {len(x) for x in store.version_of(spark, folder).folders.values()} == {1}
+    assert _shown(store.read_star(spark, folder)) == (want, _counts(want))
+    assert store.expire(spark, folder, keep=1, hours=1) == 0 and store.versions(spark, folder).count() == 1
+    assert store.expire(spark, folder, keep=1, hours=0) == 4
+    assert _shown(store.read_star(spark, folder)) == (want, _counts(want))
+    store.add_to_star(*_rows(spark, [("P1", "A"), ("P7", "A")]), folder)
+    assert _shown(store.read_star(spark, folder))[1] == {"A": 3, "B": 1, "C": 1}
+
+
+def test_two_names_with_one_key_stop_a_load(spark, tmp_path, monkeypatch):
+    from evidentia.operators import load as loading
+
+    monkeypatch.setattr(loading, "_key", lambda *parts: F.length(parts[0]).cast("long"))
+    with pytest.raises(Exception, match="two names have the key"):
+        store.add_to_star(*_rows(spark, [("P1", "A"), ("P1", "B")]), f"{tmp_path}/star")
+    assert store.read_star(spark, f"{tmp_path}/star") is None
+    store.add_to_star(*_rows(spark, [("P1", "A")]), f"{tmp_path}/star")
+    with pytest.raises(Exception, match="another name for the key"):
+        store.add_to_star(*_rows(spark, [("P1", "B")]), f"{tmp_path}/star")
+
+
+def test_stream_into_star_exactly_once(spark, tmp_path, monkeypatch):
+    folder, mark, source = (f"{tmp_path}/{x}" for x in ("star", "mark", "in"))
+    schema = ROWS + ", pmid string, title string"
+    put = lambda pairs: _rows(spark, pairs)[0].selectExpr("*", "'1' as pmid", "pmcid as title").coalesce(1).write.mode("append").json(source)
+
+    def run():
+        ingest.stream_into_star(spark.readStream.schema(schema).json(source), folder, mark).awaitTermination(120)
+
+    put([("P1", "A"), (None, "A")])
+    run()
+    real = store._publish
+    for stop_after in (False, True):
+        put([("P2" if stop_after else "P3", "A"), (None, "B")])
+
+        def stopped(*args, after=stop_after):
+            if after:
+                real(*args)
+            raise RuntimeError("stopped")
+
+        monkeypatch.setattr(store, "_publish", stopped)
+        with pytest.raises(Exception, match="stopped"):
+            run()
+        monkeypatch.setattr(store, "_publish", real)
+        run()
+    assert _shown(store.read_star(spark, folder)) == ([("P1", "A"), ("P2", "A"), ("P3", "A")], {"A": 3})
+    assert store.version_of(spark, folder).batches == {"entries": 2} and store.versions(spark, folder).count() == 3
+    assert spark.read.parquet(f"{folder}/quarantine").count() == 3
