@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.documents import strict_key
 from ..functions.names import strip
-from ..plans.star import best_first
+from ..plans.star import best_first, least_first
 
 LOW_F1, SAMPLE = 0.5, 10
 
@@ -19,7 +19,14 @@ def _ratio(a: Column, b: Column) -> Column:
 def keyed(entries: DataFrame) -> DataFrame:
     """The first entry of each paper and strict key (``pmcid``, ``pos`` give the order)."""
     rows = entries.withColumn("key", strict_key(F.col("cell_type"), F.col("marker"))).where("key is not null")
-    return best_first(["pmcid", "key"], ["pos"], rows).withColumn("gene", F.col("key.marker"))
+    return least_first(["pmcid", "key"], ["pos"], rows).withColumn("gene", F.col("key.marker"))
+
+
+def _first_keys(rows: DataFrame, name: str) -> DataFrame:
+    """The first ``SAMPLE`` keys of each paper in their order, as a list; only these are gathered."""
+    first = best_first(["pmcid"], ["key.cell_type", "key.marker"], rows.select("pmcid", "key"), SAMPLE)
+    said = F.struct(F.col("key.cell_type").alias("cell_type"), F.col("key.marker").alias("marker"))
+    return first.groupBy("pmcid").agg(F.array_sort(F.collect_list(said)).alias(name))
 
 
 def compared(original: DataFrame, reference: DataFrame) -> DataFrame:
@@ -30,25 +37,19 @@ def compared(original: DataFrame, reference: DataFrame) -> DataFrame:
     """
     text = lambda c: F.lower(F.coalesce(strip(F.col(c)), F.lit("")))
     fields = ["tissue", "disease", "cell_subtype"]
-    side = lambda df, s: keyed(df).select("pmcid", "key", "gene", *[text(f).alias(f"{f}_{s}") for f in fields], F.lit(True).alias(s))
-    both = side(original, "o").join(side(reference, "r").drop("gene").withColumn("gene_r", F.col("key.marker")), ["pmcid", "key"], "full")
+    side = lambda df, s: keyed(df).select("pmcid", "key", *[text(f).alias(f"{f}_{s}") for f in fields], F.lit(True).alias(s))
+    both = side(original, "o").join(side(reference, "r"), ["pmcid", "key"], "full")
     o, r = F.coalesce("o", F.lit(False)), F.coalesce("r", F.lit(False))
-    said = F.struct(F.col("key.cell_type").alias("cell_type"), F.col("key.marker").alias("marker"))
-    first = lambda c: F.slice(F.array_sort(F.collect_set(F.when(c, said))), 1, SAMPLE)
-    sums = both.groupBy("pmcid").agg(
-        F.count_if(o).alias("original"),
-        F.count_if(r).alias("reference"),
-        F.count_if(o & r).alias("matched"),
-        F.collect_set(F.when(o, F.col("key.marker"))).alias("go"),
-        F.collect_set(F.when(r, F.col("key.marker"))).alias("gr"),
-        *[F.count_if(o & r & (F.col(f"{f}_o") == F.col(f"{f}_r"))).alias(f"same_{f}") for f in fields],
-        first(o & ~r).alias("only_in_original"),
-        first(~o & r).alias("only_in_reference"),
-    )
+    both = both.select("pmcid", "key", o.alias("o"), r.alias("r"), *[(o & r & (F.col(f"{f}_o") == F.col(f"{f}_r"))).alias(f"same_{f}") for f in fields])
+    counted = {"original": F.col("o"), "reference": F.col("r"), "matched": F.col("o") & F.col("r"), **{f"same_{f}": F.col(f"same_{f}") for f in fields}}
+    genes = both.groupBy("pmcid", F.col("key.marker").alias("gene")).agg(*[F.count_if(c).alias(name) for name, c in counted.items()])
+    has_o, has_r = F.col("original") > 0, F.col("reference") > 0
+    sums = genes.groupBy("pmcid").agg(*[F.sum(name).alias(name) for name in counted], F.count_if(has_o).alias("go"), F.count_if(has_r).alias("gr"), F.count_if(has_o & has_r).alias("shared"))
+    for name, only in (("only_in_original", F.col("o") & ~F.col("r")), ("only_in_reference", ~F.col("o") & F.col("r"))):
+        sums = sums.join(_first_keys(both.where(only), name), "pmcid", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<cell_type:string,marker:string>>")))
     round4 = lambda c: F.bround(c, 4)
     p, q = _ratio(F.col("matched"), F.col("original")), _ratio(F.col("matched"), F.col("reference"))
-    shared = F.size(F.array_intersect("go", "gr"))
-    gp, gq = _ratio(shared, F.size("go")), _ratio(shared, F.size("gr"))
+    gp, gq = _ratio(F.col("shared"), F.col("go")), _ratio(F.col("shared"), F.col("gr"))
     return sums.select(
         "pmcid", "original", "reference", "matched",
         round4(p).alias("precision"), round4(q).alias("recall"), round4(_ratio(2 * p * q, p + q)).alias("f1"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import let
 from ..functions.names import strip
-from ..plans.star import best_first
+from ..plans.star import least_first
 from ..schema import MARKER
 from ..session import scratch
 from ..sources.sinks import write_stage
@@ -50,8 +50,8 @@ def gathered(entries: DataFrame) -> DataFrame:
 
 
 def first_entries(entries: DataFrame, keys=tuple(FIELDS), paper: str = "pmcid", order=("pos",)) -> DataFrame:
-    """The first entry of a paper with the same keys; nulls are equal."""
-    return best_first([paper, *keys], list(order), entries)
+    """The first entry of a paper with the same keys; nulls are equal.  ``order`` names columns; equal ones are followed by the others."""
+    return least_first([paper, *keys], list(order), entries)
 
 
 def sampled(df: DataFrame, key: str, share: float = 0.05, seed: int = 0) -> DataFrame:

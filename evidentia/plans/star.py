@@ -61,8 +61,8 @@ class Star:
     papers: DataFrame
     order: tuple[str, ...] = ("id",)
 
-    def _dim(self, name: str) -> tuple[DataFrame, str, str]:
-        """A dimension as (key, label), with the join that keeps every entry it must keep."""
+    def _dim(self, name: str, *more: str) -> tuple[DataFrame, str, str]:
+        """A dimension as (key, label) and further columns, with the join that keeps every entry it must keep."""
         table, label, how = {
             "marker": (self.markers, "symbol", "inner"),
             "cell_type": (self.cell_types, "name", "inner"),
@@ -70,12 +70,12 @@ class Star:
             "tissue": (self.tissues, "name", "left"),
             "disease": (self.diseases, "name", "left"),
         }[name]
-        return table.select(F.col("id").alias(f"{name}_id"), F.col(label).alias(name)), f"{name}_id", how
+        return table.select(F.col("id").alias(f"{name}_id"), F.col(label).alias(name), *more), f"{name}_id", how
 
-    def joined(self, names: Sequence[str], inner: Sequence[str] = ()) -> DataFrame:
-        """Entries with the named dimensions; those in ``inner`` keep only entries that have one."""
+    def joined(self, names: Sequence[str], inner: Sequence[str] = (), cited: bool = False) -> DataFrame:
+        """Entries with the named dimensions; those in ``inner`` keep only entries that have one.  ``cited``: markers with their citation counts."""
         def add(df: DataFrame, name: str) -> DataFrame:
-            dim, key, how = self._dim(name)
+            dim, key, how = self._dim(name, *(["citation_count"] if cited and name == "marker" else []))
             return df.join(dim, key, "inner" if name in inner else how)
 
         return reduce(add, names, self.entries)
@@ -83,9 +83,7 @@ class Star:
     def listed(self, cited: bool = False) -> DataFrame:
         """Every entry with its eight listed columns, the key, and if asked the marker's citation count."""
         papers = self.papers.select(F.col("id").alias("paper_id"), "pmid", "pmcid")
-        rows = self.joined(["marker", *FIELDS]).join(papers, "paper_id")
-        if cited:
-            rows = rows.join(self.markers.select(F.col("id").alias("marker_id"), "citation_count"), "marker_id")
+        rows = self.joined(["marker", *FIELDS], cited=cited).join(papers, "paper_id")
         return rows.select(*LISTED, *(["citation_count"] if cited else []), *self.order)
 
     def filtered(self, filters: Filters, also: Sequence[str] = ()) -> DataFrame:
@@ -171,9 +169,27 @@ class Star:
         if not any(getattr(filters, f) for f in FIELDS):
             tables = {"cell_type": self.cell_types, "cell_subtype": self.cell_subtypes, "tissue": self.tissues, "disease": self.diseases}
             parts = [t.select(F.lit(f).alias("field"), F.col("name").alias("value")) for f, t in tables.items()]
-        else:
-            parts = [self.filtered(filters.but(f).but("marker"), [f]).where(F.col(f).isNotNull()).select(F.lit(f).alias("field"), F.col(f).alias("value")).distinct() for f in FIELDS]
-        return reduce(DataFrame.union, parts).orderBy("field", "value")
+            return reduce(DataFrame.union, parts).orderBy("field", "value")
+        return self._choices(filters).orderBy("field", "value")
+
+    def _choices(self, filters: Filters) -> DataFrame:
+        """Fields and values of the entries that pass all filters but the field's own.
+
+        One pass: entries count once for each combination of the four keys, each
+        combination gets a bit for every filter that it fails, and a field takes
+        the combinations that fail none but perhaps its own.
+        """
+        combinations = self.entries.select([f"{f}_id" for f in FIELDS]).distinct()
+        named = combinations
+        for f in FIELDS:
+            dim, key, _ = self._dim(f)
+            named = named.join(dim, key, "left")
+        asked = filters.but("marker").conditions()
+        fails = [F.when(F.coalesce(asked[f], F.lit(False)), 0).otherwise(1 << k) if f in asked else F.lit(0) for k, f in enumerate(FIELDS)]
+        masked = named.withColumn("fails", reduce(lambda a, b: a + b, fails)).where(F.bit_count("fails") <= 1)
+        open_to = lambda k: F.col("fails").bitwiseAND(F.lit(((1 << len(FIELDS)) - 1) ^ (1 << k))) == 0
+        choices = [F.when(open_to(k) & F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))) for k, f in enumerate(FIELDS)]
+        return masked.select(F.explode(F.array_compact(F.array(*choices))).alias("c")).select("c.*").distinct()
 
     def bubble(self, filters: Filters = Filters(), limit: int = 200) -> DataFrame:
         """Pairs of cell type and marker by distinct papers."""
@@ -203,3 +219,15 @@ def best_first(keys: Sequence[str], order: Sequence[Column | str], df: DataFrame
     """The first k rows of each group."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+
+def least_first(keys: Sequence[str], order: Sequence[str], df: DataFrame) -> DataFrame:
+    """The first row of each group by columns in rising order, nulls first; rows that agree in these by the others.
+
+    Groups are combined before they are exchanged, unlike ``best_first``, which
+    takes over where a column has no order.
+    """
+    rest = [*order, *[c for c in df.columns if c not in {*keys, *order}]]
+    if any("map<" in kind or kind == "variant" for _, kind in df.select(*rest).dtypes):
+        return best_first(keys, order, df)
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__least")).select(*keys, "__least.*").select(df.columns)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.documents import assembled, estimated_tokens
+from ..functions.documents import MOST_TOKENS, PER_TOKEN, assembled, estimated_tokens
 
 MOST_ROWS = 50
 # Elements without text of their own, elements that end a line, section names.
@@ -112,7 +112,7 @@ def _rows(table: ElementTree.Element) -> list[list[str]]:
     return [r for r in rows if r]
 
 
-def markdown(wrap: ElementTree.Element) -> str:
+def markdown(wrap: ElementTree.Element, most: int = MOST_ROWS) -> str:
     """A table with its label and caption; rows have the width of the first."""
     table = wrap.find(".//table")
     rows = _rows(table) if table is not None else []
@@ -121,10 +121,10 @@ def markdown(wrap: ElementTree.Element) -> str:
     caption = text_of(wrap.find(".//caption"))
     title = (text_of(wrap.find("label")) + (f": {caption}" if caption else "")).rstrip()
     width, line = len(rows[0]), lambda cells: f"| {' | '.join(cells)} |"
-    shown = [line((r + [""] * width)[:width]) for r in rows[: MOST_ROWS + 1]]
+    shown = [line((r + [""] * width)[:width]) for r in rows[: most + 1]]
     out = [f"**{title}**", shown[0], line(["---"] * width), *shown[1:]]
-    if len(rows) > MOST_ROWS + 1:
-        out.append(f"| *(truncated — >{MOST_ROWS} rows)* |")
+    if len(rows) > most + 1:
+        out.append(f"| *(truncated — >{most} rows)* |")
     return "\n".join(out)
 
 
@@ -148,7 +148,7 @@ def _year(root: ElementTree.Element) -> int | None:
     return None
 
 
-def article(xml: str | bytes | None) -> dict | None:
+def article(xml: str | bytes | None, table_rows: int = MOST_ROWS) -> dict | None:
     """Ids (the last of each kind), title, journal, year, sections and tables of an article."""
     root = tree_of(xml)
     if root is None:
@@ -168,24 +168,27 @@ def article(xml: str | bytes | None) -> dict | None:
         "abstract": text_of(root.find(".//abstract")),
         "results": _sections(body, RESULTS),
         "methods": _sections(body, METHODS),
-        "tables_md": "\n\n".join(t for t in map(markdown, root.iterfind(".//table-wrap")) if t),
+        "tables_md": "\n\n".join(t for t in (markdown(w, table_rows) for w in root.iterfind(".//table-wrap")) if t),
     }
 
 
 _PARSED = "pmcid string, pmid string, title string, journal string, year int, abstract string, results string, methods string, tables_md string"
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [r for r in map(article, batch["xml"]) if r is not None]
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in _PARSED.split(", ")])
-        yield out.assign(year=out["year"].astype("Int32"))
+def _parse(table_rows: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [r for x in batch["xml"] if (r := article(x, table_rows)) is not None]
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _PARSED.split(", ")])
+            yield out.assign(year=out["year"].astype("Int32"))
 
+    return run
 
-def parse_articles(raw: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """Processed documents of a column of XML (text or bytes)."""
-    parsed = raw.select(F.col(xml_col).alias("xml")).mapInPandas(_parse, _PARSED)
-    whole = parsed.withColumn("clean_text", assembled(F.col("abstract"), F.col("tables_md"), F.col("results"), F.col("methods")))
+
+def parse_articles(raw: DataFrame, xml_col: str = "xml", *, text_tokens: int = MOST_TOKENS, table_rows: int = MOST_ROWS) -> DataFrame:
+    """Processed documents of a column of XML (text or bytes): texts of at most so many tokens, tables of at most so many rows."""
+    parsed = raw.select(F.col(xml_col).alias("xml")).mapInPandas(_parse(table_rows), _PARSED)
+    whole = parsed.withColumn("clean_text", assembled(F.col("abstract"), F.col("tables_md"), F.col("results"), F.col("methods"), text_tokens * PER_TOKEN))
     return whole.withColumns({"char_count": F.length("clean_text"), "estimated_tokens": estimated_tokens(F.col("clean_text"))})
 
 

@@ -32,8 +32,9 @@ def patiently(call: Callable, *args, tries: int = TRIES, wait: float = WAIT):
     return None
 
 
-def search_ids(spark: SparkSession, total: int, page_of: Callable[[int, int], list[str] | None], *, page: int = PAGE, tasks: int = 1, rate: float = RATE, wait: float = WAIT) -> DataFrame:
-    """Ids of a search with ``total`` hits; a page that fails every time is left out."""
+def search_ids(spark: SparkSession, total: int, page_of: Callable[[int, int], list[str] | None], *, page: int = PAGE, tasks: int = 0, rate: float = RATE, wait: float = WAIT) -> DataFrame:
+    """Ids of a search with ``total`` hits; a page that fails every time is left out.  ``literature`` keeps such pages for another run."""
+    tasks = max(1, min(tasks or spark.sparkContext.defaultParallelism, -(-total // page)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -72,8 +73,13 @@ def fetched(spark: SparkSession, raw: str) -> DataFrame:
         return spark.createDataFrame([], "pmcid string")
 
 
-def fetch_articles(ids: DataFrame, fetch: Callable[[list[str]], str], *, batch: int = BATCH, tasks: int = 1, rate: float = RATE, wait: float = WAIT) -> DataFrame:
-    """``pmcid``, ``xml`` of the articles that the transport returns for batches of ids."""
+def fetch_articles(ids: DataFrame, fetch: Callable[[list[str]], str], *, batch: int = BATCH, tasks: int = 0, rate: float = RATE, wait: float = WAIT) -> DataFrame:
+    """``pmcid``, ``xml`` of the articles that the transport returns for batches of ids.
+
+    Batches are asked for in ``tasks`` tasks at once (0: as many as the session
+    has cores), which share the rate.
+    """
+    tasks = tasks or ids.sparkSession.sparkContext.defaultParallelism
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
