@@ -18,7 +18,10 @@ from .functions import names
 from .operators import compare, entries, genes, hierarchy
 from .operators.load import load
 from .plans import views
+from .plans.listing import Listing, NameIndex
 from .plans.star import Filters, Star, best_first
+from .schema import LISTED
+from .session import scratch
 
 KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
 _ASKED = Filters(cell_type=("NATION_0", "NATION_1", "NATION_2", "NATION_3", "NATION_7"), marker="a%1")
@@ -124,6 +127,28 @@ def marker_ranking(spark, sf_dir):
     return _flat(driver_star(spark, sf_dir).ranking(50, cell_type="a", tissue="1"))
 
 
+@_query("listed_page", f"{_STAR} SELECT {_LISTED} FROM entries ORDER BY citation_count DESC, marker, cell_type, {_KEY} LIMIT 20 OFFSET (SELECT count(*) // 40 * 20 FROM lineitem)")
+def listed_page(spark, sf_dir):
+    """The page in the middle of all entries, from a listing; it reads the file where it lies."""
+    listing = Listing.write(driver_star(spark, sf_dir, cited=True), scratch(spark))
+    return listing.page(listing.total // 40 + 1)
+
+
+@_query("listed_after", f"{_STAR} SELECT {_LISTED} FROM entries WHERE {_WHERE} ORDER BY citation_count DESC, marker, cell_type, {_KEY} LIMIT 40 OFFSET 100")
+def listed_after(spark, sf_dir):
+    """Pages one after the other, each after the last row of the one before."""
+    listing = Listing.write(driver_star(spark, sf_dir, cited=True), scratch(spark))
+    key = listing.after(None, _ASKED, 100).collect()[-1]
+    return listing.after(key, _ASKED, 40).select(LISTED)
+
+
+@_query("search_by_name_index", f"{_STAR} SELECT {_LISTED} FROM entries WHERE marker ILIKE '%olt%31%' AND cell_type IN ('NATION_0', 'NATION_1', 'NATION_2', 'NATION_3') ORDER BY citation_count DESC, marker, cell_type, {_KEY} LIMIT 200")
+def search_by_name_index(spark, sf_dir):
+    star = driver_star(spark, sf_dir, cited=True)
+    asked = Filters(cell_type=("NATION_0", "NATION_1", "NATION_2", "NATION_3"), marker="Olt%31")
+    return NameIndex.write(star, scratch(spark), ["marker"]).narrowed(star, {"marker": asked.marker}).search(asked, page_size=200)
+
+
 def _symbol(spark: SparkSession, sf_dir: str) -> str:
     return _table(spark, sf_dir, "part").where("p_partkey = 7").select(F.concat_ws(" ", "p_name", "p_partkey")).first()[0]
 

@@ -72,6 +72,13 @@ class Star:
         }[name]
         return table.select(F.col("id").alias(f"{name}_id"), F.col(label).alias(name), *more), f"{name}_id", how
 
+    def dimension(self, name: str) -> tuple[DataFrame, str]:
+        """The table of a field or of markers, and the column of its names."""
+        return getattr(self, f"{name}s"), "symbol" if name == "marker" else "name"
+
+    def with_dimension(self, name: str, table: DataFrame, entries: DataFrame) -> Star:
+        return Star(**{**self.__dict__, f"{name}s": table, "entries": entries})
+
     def joined(self, names: Sequence[str], inner: Sequence[str] = (), cited: bool = False) -> DataFrame:
         """Entries with the named dimensions; those in ``inner`` keep only entries that have one.  ``cited``: markers with their citation counts."""
         def add(df: DataFrame, name: str) -> DataFrame:
