@@ -204,10 +204,11 @@ class Star:
         pairs = df.groupBy("cell_type", "marker").agg(F.count_distinct("paper_id").alias("count"))
         return pairs.orderBy(F.desc("count"), "cell_type", "marker").limit(_within(limit, 10, 10_000, "limit"))
 
-    def export(self, filters: Filters = Filters(), cap: int = EXPORT_CAP) -> DataFrame:
-        """Entries in the order of markers, at most ``cap``, nulls as empty texts."""
+    def export(self, filters: Filters = Filters(), cap: int | None = EXPORT_CAP) -> DataFrame:
+        """Entries in the order of markers, at most ``cap`` (None: all, in as many sorted partitions as there are), nulls as empty texts."""
         found = reduce(lambda d, c: d.where(c), filters.conditions().values(), self.listed())
-        return found.orderBy("marker", *self.order).limit(cap).select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LISTED])
+        ordered = found.orderBy("marker", *self.order)
+        return (ordered if cap is None else ordered.limit(cap)).select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LISTED])
 
     def refreshed_markers(self) -> DataFrame:
         """Markers with their citation counts counted anew; those without entries keep theirs."""
