@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import re
 import zipfile
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import accumulate
 from pathlib import Path
@@ -47,8 +48,8 @@ def append_raw(articles: DataFrame, path: str) -> None:
 MOST_RANKED, RANKING_WIDTHS = 10_000, (28, 14, 10)
 
 
-#: Rows that a task encodes at a time, and about how many bytes of them the driver holds at a time.
-_PER_CHUNK, _HELD = 2_000, 16 << 20
+#: Bytes in a piece of a file (Parquet's reader takes some thousand at once), rows that are encoded at a time, and bytes that the driver holds at a time, all about.
+_PIECE, _ENCODED, _HELD = 16 << 10, 2_000, 16 << 20
 _CHUNKS = "part int, within long, rows long, ends array<long>, data binary"
 
 
@@ -68,13 +69,17 @@ def _chunked(df: DataFrame, lines: Callable[[list[tuple]], list[str]]) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
-            for a in range(0, batch.num_rows, _PER_CHUNK):
-                own = batch.slice(a, _PER_CHUNK)
+            for a in range(0, batch.num_rows, _ENCODED):
+                own = batch.slice(a, _ENCODED)
                 made = [x.encode() for x in lines(list(zip(*[c.to_pylist() for c in own.columns[1:]], strict=True)))]
-                ends = list(accumulate(map(len, made)))
-                columns = [own.column(0).slice(0, 1), pa.array([n]), pa.array([len(made)]), pa.array([ends], pa.list_(pa.int64())), pa.array([b"".join(made)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "within", "rows", "ends", "data"])
-                n += len(made)
+                rows = []
+                while made:
+                    ends = list(accumulate(map(len, made)))
+                    k = bisect_right(ends, _PIECE) or 1
+                    rows.append((n, k, ends[:k], b"".join(made[:k])))
+                    n, made = n + k, made[k:]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([own.column(0).take([0] * len(rows)), *[pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]], ["part", "within", "rows", "ends", "data"])
 
     texts = df.select(F.spark_partition_id().alias("__part"), *[F.col(f"`{c}`").cast("string") for c in df.columns])
     return write_stage(texts.mapInArrow(run, _CHUNKS), scratch(df.sparkSession), "chunks")
@@ -168,17 +173,20 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Markers", cap: int | None
             new.write(opening)
             return new
 
+        chunks = _chunked(df, _xml_lines)
         out = turned()
-        for ends, data in _joined(_chunked(df, _xml_lines), cap):
-            a, first = 0, 0
-            while a < len(ends):
-                if not room:
-                    out = turned()
-                b = min(len(ends), a + room)
-                out.write(data[first : ends[b - 1]])
-                n, room, first, a = n + b - a, room - (b - a), ends[b - 1], b
-        out.write(b"</sheetData></worksheet>")
-        out.close()
+        try:
+            for ends, data in _joined(chunks, cap):
+                a, first = 0, 0
+                while a < len(ends):
+                    if not room:
+                        out = turned()
+                    b = min(len(ends), a + room)
+                    out.write(data[first : ends[b - 1]])
+                    n, room, first, a = n + b - a, room - (b - a), ends[b - 1], b
+            out.write(b"</sheetData></worksheet>")
+        finally:
+            out.close()
         names = [sheet if k == 1 else f"{sheet} {k}" for k in range(1, sheets + 1)]
         book.writestr("[Content_Types].xml", _XML + _TYPES.format("".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{_SHEET_TYPE}"/>' for k in range(1, sheets + 1))))
         book.writestr("_rels/.rels", _XML + _RELATIONS.format(f'<Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/>'))
