@@ -13,23 +13,27 @@ the segment, where pairs are verified by a bit-parallel edit distance in a band
 around the diagonal, after common ends and counts of characters have dismissed
 most.
 
-Hot segments.  What is left of two lines without a segment that they share is
-within as many edits as they are.  So a segment that over ``HOT`` different
-lines share is not compared as one group: what is left of its lines is cut into
-segments again, and only lines that share one of those too meet.  This is done
-``LEVELS`` times, which leaves lines that agree in nearly all of their text.
+Hot segments.  Lines with a segment that over ``HOT`` different lines share
+(templates, whose lines differ in a number) are not compared in such a group.
+They are cut into ``FINER`` more segments than they may have edits, and two
+lines meet if all segments but one, or but two that both differ, stand in
+either.  Groups of such lines that are still hot are cut again, and now only
+what they don't share, which is two fifths of the text at most.  So the text
+shrinks until groups are small or no more than the edits are left of a line,
+when all lines of one length are near each other.
 
 Scale.  Texts are exchanged twice, to send lines and to cut them, copies of a
-line once for each block that holds them, and lines with hot segments once for
-each level.  Groups are sorted by Spark and pass a task one by one.  Lines that
-still share a segment after the last level are compared in pairs, until one is
-known to be near an earlier line.
+line once for each block that holds them, and lines with hot segments once more
+for each group that they meet another line in.  Hashes of the finer segments,
+95 for a line of two edits, are exchanged for lines with hot segments alone.
+Groups are sorted by Spark and pass a task one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,8 @@ from .blocks import Block, column_of, deal_of, dealt_texts, ids_of, kept, lists,
 
 #: Edits within which lines are the same, and the length from which on all of them are allowed.
 EDITS, LEAST = 2, 40
-#: Different lines with one segment that are compared with each other, and how often more of them are cut anew.
-HOT, LEVELS = 64, 2
+#: Different lines with one segment that are compared with each other, and how many segments more than edits lines of more such are cut into.
+HOT, FINER = 64, 3
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -123,10 +127,6 @@ class _Lines:
     def text(self, i: int) -> bytes:
         return self.data[self.begin[i] : self.begin[i] + self.size[i]].tobytes()
 
-    def left(self, i: int, start: int, stop: int) -> bytes:
-        """What is left of a line without the bytes from start to stop."""
-        return self.data[self.begin[i] : start].tobytes() + self.data[stop : self.begin[i] + self.size[i]].tobytes()
-
 
 def _long_lines(block: Block, least: int) -> tuple[np.ndarray, ...]:
     """Of the lines of ``least`` bytes or more: number in the document, start, size, document, hash."""
@@ -283,12 +283,12 @@ def _first_lines(docs: pa.Table, told: pa.Table, least: int) -> Iterator[tuple[B
             yield block, id_[once], number[once], begin[once], size[once], line[once]
 
 
-_SENT = "key long, role int, doc long, number int, line long, part int, text binary, rest binary, tier int, shorter int"
+_SENT = "key long, role int, doc long, number int, line long, part int, text binary, tier int"
 _SENT_TYPE = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in _SENT.split(", "))])
 
 
 def _send(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: int):
-    """One part: the bytes of lines in their first places, for each of their keys that something else meets; where that is hot also what is left."""
+    """One part: the bytes of lines in their first places, for each of their keys that something else meets; lines with hot keys once for each tier, without a key."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         known = np.unique(_column(told, "keys"))
@@ -297,45 +297,139 @@ def _send(tiers: list[tuple[int, int, int]], least: int, whole: bool, buckets: i
         if docs.num_rows and len(known):
             part = column_of(docs, "part")[0].as_py()
             for block, id_, number, begin, size, line in _first_lines(docs, told, least):
-                lines = _Lines(block.data, begin, size, whole)
-                for key, own, role, start, stop, tier, shorter in lines.keys(tiers, buckets):
+                lines, finer = _Lines(block.data, begin, size, whole), np.zeros((len(tiers), len(begin)), bool)
+                for key, own, role, _, _, tier, _ in lines.keys(tiers, buckets):
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    for j in np.flatnonzero(keys[at] == key).tolist():
+                    met = np.flatnonzero(keys[at] == key)
+                    finer[tier, own[met[hot[at[met]]]]] = True
+                    for j in met[~hot[at[met]]].tolist():
                         i = int(own[j])
-                        rows.append((int(key[j]), role, int(id_[i]), int(number[i]), int(line[i]), part, lines.text(i), lines.left(i, start[j], stop[j]) if hot[at[j]] else None, tier, shorter))
+                        rows.append((int(key[j]), role, int(id_[i]), int(number[i]), int(line[i]), part, lines.text(i), tier))
+                rows += [(None, 0, int(id_[i]), int(number[i]), int(line[i]), part, lines.text(i), tier) for tier, i in zip(*(x.tolist() for x in np.nonzero(finer)), strict=True)]
         return pa.table({f.name: pa.array([x[k] for x in rows], f.type) for k, f in enumerate(_SENT_TYPE)})
 
     return run
 
 
-def _again(tiers: list[tuple[int, int, int]], whole: bool):
-    """Lines with a hot key, by the segments and probes of what is left of them; the key holds both segments."""
+def drops(edits: int) -> list[tuple[int, int, int, int]]:
+    """What two lines within so many edits may differ in: segments i and j (the same, or both), how much longer the longer line is, and by how much what lies between is moved in it."""
+    last = edits + FINER
+    one = [(i, i, longer, longer) for i in range(last) for longer in range(edits + 1)]
+    if edits < 2:
+        return one
+    return one + [(i, j, longer, move) for i in range(last) for j in range(i + 1, last) for longer in range(edits + 1) for move in range(-edits, edits + 1) if abs(move) + abs(longer - move) <= edits]
+
+
+def _left_out(size, drop: tuple[int, int, int, int], edits: int) -> tuple:
+    """Where the two stretches begin and end that a line of this size (or sizes) may have for itself, one behind the other; the first is empty if there is one."""
+    i, j, longer, move = drop
+    a, n = segments(size - longer, i, edits + FINER - 1)
+    if i == j:
+        return a, a, a, a + n + longer
+    b, m = segments(size - longer, j, edits + FINER - 1)
+    return a, a + n + move, b + move, b + m + longer
+
+
+_DROPPED = "key long, group long, line long, rest long, role int, drop int, first long, second long"
+
+
+def _drop(tiers: list[tuple[int, int, int]], whole: bool):
+    """Keys of all but what is left out, for each way to leave something out, with hashes of what that is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, line, tier = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            texts = batch.column(3).to_pylist()
+            size, data = np.array([len(x) for x in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8)
+            lines = _Lines(data, np.cumsum(size) - size, size, whole)
+            begin, units, places = lines.units
+            at = lambda x: x if places is None else places[x]
+            hashed = lambda own, a, b: span_hashes(lines.sums, at(begin[own] + a), at(begin[own] + b))
+            rest = hashed(np.arange(len(units)), np.zeros(len(units), np.int64), units)
+            for k, (edits, _, _) in enumerate(tiers):
+                for n, drop in enumerate(drops(edits)):
+                    i, j, longer, move = drop
+                    a, b, c, d = _left_out(units, drop, edits)
+                    own = np.flatnonzero((tier == k) & (units - longer > edits) & (a <= b) & (c <= d))
+                    if not len(own):
+                        continue
+                    a, b, c, d = (x[own] for x in (a, b, c, d))
+                    tag = mix((units[own] - longer).astype(np.uint64) ^ np.uint64((i * 64 + j) * 8 + edits << 40), 51) ^ group[own].view(np.uint64)
+                    key = tag
+                    for lane, (x, y) in enumerate(((np.zeros(len(own), np.int64), a), (b, c), (d, units[own]))):
+                        key = mix(key ^ hashed(own, x, y), 52 + lane)
+                    what = [hashed(own, x, y).view(np.int64) for x, y in ((a, b), (c, d))]
+                    ints = [np.full(len(own), int(longer > 0 or (i != j and move != 0)), np.int32), np.full(len(own), n, np.int32), what[1] if i == j else what[0], what[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), group[own], line[own], rest[own].view(np.int64), *ints)], [x.split()[0] for x in _DROPPED.split(", ")])
+
+    return run
+
+
+def _stretches(rest: bytes, drop: tuple[int, int, int, int], edits: int, whole: bool) -> tuple[bytes, int]:
+    """The stretches that are left out, and how many characters (or bytes) they have."""
+    wide = whole and not rest.isascii()
+    places = [i for i, x in enumerate(rest) if x & 0xC0 != 0x80] + [len(rest)] if wide else range(len(rest) + 1)
+    a, b, c, d = (int(x) for x in _left_out(np.int64(len(places) - 1), drop, edits))
+    return rest[places[a] : places[b]] + rest[places[c] : places[d]], b - a + d - c
+
+
+_HOT = "group long, line long, tier int, doc long, number int, part int, text binary, rest binary, left int"
+
+
+def _leave(tiers: list[tuple[int, int, int]], whole: bool):
+    """Lines of hot groups with what they don't share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [drops(edits) for edits, _, _ in tiers]
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            kinds = np.stack([column_of(rows, c).to_numpy() for c in ("tier", "shorter", "role")], axis=1)
-            for tier, shorter, role in np.unique(kinds, axis=0).tolist() if len(kinds) else []:
-                own = rows.filter(pa.array((kinds == (tier, shorter, role)).all(axis=1)))
-                rest = own.column("rest").to_pylist()
-                size = np.array([len(x) for x in rest], np.int64)
-                lines = _Lines(np.frombuffer(b"".join(rest), np.uint8), np.cumsum(size) - size, size, whole)
-                parent = column_of(own, "key").to_numpy().view(np.uint64)
-                for h, who, start, stop, moved in lines.cuts((tiers[tier][0], 0, 1 << 62), shorter if role else 0):
-                    out = own.take(pa.array(who))
-                    for name, x in (("key", mix(h ^ parent[who], 33).view(np.int64)), ("role", np.full(len(who), role or int(moved), np.int32)), ("rest", [lines.left(i, a, b) for i, a, b in zip(who.tolist(), start, stop, strict=True)])):
-                        out = out.set_column(out.column_names.index(name), name, pa.array(x, _SENT_TYPE.field(name).type))
-                    yield from out.combine_chunks().to_batches()
+            tier, drop = batch.column(2).to_pylist(), batch.column(8).to_pylist()
+            found = [_stretches(x, every[t][n], tiers[t][0], whole) for x, t, n in zip(batch.column(7).to_pylist(), tier, drop, strict=True)]
+            rest, left = [x[0] for x in found], [x[1] for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(rest, pa.binary()), pa.array(left, pa.int32())], [x.split()[0] for x in _HOT.split(", ")])
 
     return run
 
 
-def _cut_anew(hot: DataFrame, tiers: list[tuple[int, int, int]], whole: bool) -> DataFrame:
-    """Rows of hot lines that share two segments with a different line; ``hot`` says whether too many share them."""
-    again = hot.mapInArrow(_again(tiers, whole), _SENT)
-    keys = again.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min("role").alias("role"), F.count(F.lit(1)).alias("times"))
-    keys = keys.where("low != high and role = 0").select("key", (F.col("times") > HOT).alias("hot"))
-    return kept(again.join(keys, "key"))
+_GROUPED = ["key", "role", "doc", "number", "line", "part", "text"]
+
+
+def _cut_finer(hot: DataFrame, tiers: list[tuple[int, int, int]], whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Groups of ``hot`` lines (each with its ``group`` and what is left of it there) that are to be compared, and the lines of groups that are hot again."""
+    keys = hot.select("group", "line", "tier", "rest").mapInArrow(_drop(tiers, whole), _DROPPED)
+    both = [F.min("line") != F.max("line"), F.min("role") == 0, F.min("first") != F.max("first"), F.min("second") != F.max("second")]
+    met = keys.groupBy("key").agg((both[0] & both[1] & both[2] & both[3]).alias("meets"), (F.count(F.lit(1)) > HOT).alias("hot")).where("meets").select("key", "hot")
+    found = keys.join(met, "key").select("key", "group", "line", F.col("rest").alias("hash"), "role", "drop", "hot")
+    own = hot.withColumn("hash", F.col("rest_hash")).drop("rest_hash", "left")
+    found = kept(found.join(own, ["group", "line", "hash"]))
+    again = found.where("hot").select(F.col("key").alias("group"), "line", "tier", "doc", "number", "part", "text", "rest", "drop")
+    return found.where("not hot").select(_GROUPED), again.mapInArrow(_leave(tiers, whole), _HOT).dropDuplicates(["group", "line", "tier", "rest"])
+
+
+def _finer(hot: DataFrame, tiers: list[tuple[int, int, int]], whole: bool) -> DataFrame:
+    """Groups to be compared of lines with hot segments: no more of them at once than ``HOT`` rows, or lines of which little is left."""
+    edits = F.element_at(F.array(*[F.lit(e) for e, _, _ in tiers]), F.col("tier") + 1)
+    rows = kept(hot.select(F.lit(0).cast("long").alias("group"), "line", "tier", "doc", "number", "part", "text", F.col("text").alias("rest"), F.lit(1 << 30).alias("left")).dropDuplicates(["line", "tier", "doc", "number"]))
+    groups = None
+    while not rows.isEmpty():
+        little = rows.where(F.col("left") <= 2 * edits).select(F.xxhash64("group", F.lit("left")).alias("key"), (F.col("left") > edits).cast("int").alias("role"), *_GROUPED[2:])
+        compared, rows = _cut_finer(_with_hash(rows.where(F.col("left") > edits), whole), tiers, whole)
+        rows = kept(rows)
+        groups = (compared if groups is None else groups.union(compared)).union(little)
+    return groups
+
+
+def _with_hash(rows: DataFrame, whole: bool) -> DataFrame:
+    """Rows with the hash of what is left, as ``_drop`` says it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.column(7).to_pylist()
+            size = np.array([len(x) for x in rest], np.int64)
+            sums = prefix_hashes(np.frombuffer(b"".join(rest), np.uint8))
+            stop = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(span_hashes(sums, stop - size, stop).view(np.int64))], [*batch.schema.names, "rest_hash"])
+
+    return rows.mapInArrow(run, f"{_HOT}, rest_hash long")
 
 
 _BITS = 64
@@ -405,23 +499,24 @@ def alike(a: bytes | str, b: bytes | str, tiers: list[tuple[int, int, int]]) ->
 
 
 def _near(tiers: list[tuple[int, int, int]], whole: bool):
-    """Which lines are near an earlier one of their key, and that one's place; rows come sorted by key, document and number."""
+    """Which lines are near an earlier one of their key, and that one's place; rows come sorted by key, document and number.  Lines of the same length are tried first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, earlier, done, found = None, [], set(), []
+        at, earlier, done, found = None, {}, set(), []
         for batch in batches:
             for key, role, doc, number, line, part, text in zip(*[c.to_pylist() for c in batch.columns[:7]], strict=True):
                 if key != at:
-                    at, earlier = key, []
+                    at, earlier = key, {}
                 if whole and not text.isascii():
                     text = text.decode("utf-8", "replace")
                 if line not in done:
-                    for d, n, other, r, known in earlier:
+                    same = earlier.get(len(text), ())
+                    for d, n, other, r, known in chain(same, *[x for size, x in earlier.items() if x is not same]):
                         if (role == 0 or r == 0) and other != line and (d, n) < (doc, number) and alike(known, text, tiers):
                             done.add(line)
                             found.append((part, line, d, n))
                             break
-                earlier.append((doc, number, line, role, text))
+                earlier.setdefault(len(text), []).append((doc, number, line, role, text))
             if len(found) > 1 << 16:
                 yield _told_near(found)
                 found = []
@@ -505,12 +600,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     dealt = own.select("__id", "__text").mapInArrow(_deal(tiers, least, whole, buckets, parts), _DEALT).repartitionById(buckets, F.col("bucket"))
     told = kept(dealt.mapInArrow(_met, _TOLD))
     sent = kept(texts.select("part", "__id", "__text").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_send(tiers, least, whole, buckets), _SENT))
-    meeting, hot = sent.where("rest is null"), sent.where("rest is not null")
-    for level in range(LEVELS):
-        if hot.isEmpty():
-            break
-        met = _cut_anew(hot, tiers, whole)
-        meeting, hot = meeting.union((met if level == LEVELS - 1 else met.where("not hot")).drop("hot")), met.where("hot").drop("hot")
-    near = meeting.drop("rest", "tier", "shorter").repartition(buckets, "key").sortWithinPartitions("key", "doc", "number", "line", "role").mapInArrow(_near(tiers, whole), _TOLD)
+    meeting, hot = sent.where("key is not null").select(_GROUPED), sent.where("key is null")
+    if not hot.isEmpty():
+        meeting = meeting.union(_finer(hot, tiers, whole))
+    near = meeting.repartition(buckets, "key").sortWithinPartitions("key", "doc", "number", "line", "role").mapInArrow(_near(tiers, whole), _TOLD)
     out = StructType([StructField("__id", LongType()), StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), *([StructField("kept_text", StringType())] if with_text else []), *([own.schema[carry]] if carry else [])])
     return texts.groupBy("part").cogroup(told.union(near).groupBy("part")).applyInArrow(_cut(least, with_text, carry), out).withColumnRenamed("__id", id_col)

@@ -1,9 +1,12 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from evidentia.llm import line_dedup as ld
 from evidentia.llm.line_dedup import line_dedup, within
 
 
@@ -134,3 +137,65 @@ def test_query_removes_short_copies(spark, tmp_path):
 
     spark.createDataFrame([(1, "All rights reserved."), (2, "All rights reserved.\nother")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted((x.doc_id, x.n_removed) for x in op6_line_dedup(spark, str(tmp_path)).collect()) == [(1, 0), (2, 1)]
+
+
+def test_drops_find_all_near_pairs(monkeypatch):
+    """Two strings within the edits share a key of what they don't have for themselves, the shorter as an index."""
+    r = random.Random(11)
+    tiers = [(1, 0, 1 << 62), (2, 0, 1 << 62)]
+    for _ in range(150):
+        size, tier = r.randrange(4, 40), r.randrange(2)
+        a = "".join(r.choice("abé") for _ in range(size))
+        b = list(a)
+        for _ in range(tiers[tier][0]):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = r.choice(["", "x", "a"])
+        texts = sorted({a, "".join(b)}, key=len)
+        if len(texts) < 2 or not within(*texts, tiers[tier][0]) or len(texts[0]) <= tiers[tier][0]:
+            continue
+        batch = pa.RecordBatch.from_arrays([pa.array([7, 7]), pa.array([0, 1]), pa.array([tier] * 2, pa.int32()), pa.array([t.encode() for t in texts])], ["group", "line", "tier", "rest"])
+        rows = [x for out in ld._drop(tiers, True)(iter([batch])) for x in out.to_pylist()]
+        keys = [{(x["key"]) for x in rows if x["line"] == k and (k or x["role"] == 0)} for k in (0, 1)]
+        assert keys[0] & keys[1], texts
+        for x in rows:
+            left, n = ld._stretches(texts[x["line"]].encode(), ld.drops(tiers[tier][0])[x["drop"]], tiers[tier][0], True)
+            assert n == len(left.decode()) < len(texts[x["line"]])
+
+
+def template(n, seed=1, wide=False):
+    """Lines of one template of 200 characters with an id, a few of them with other edits."""
+    r = random.Random(seed)
+    head, tail = "2024-01-01 INFO worker accepted the request with identifier ", " and passed it on to the next stage of processing without any further delay; see the manual for details, please"
+    if wide:
+        head, tail = head.replace("e", "é"), tail.replace("a", "ä")
+    rows = []
+    for i in range(n):
+        line = head + f"{r.randrange(10**16):016d}" + tail
+        if i % 10 == 3:
+            line = rows[r.randrange(len(rows))]
+            for _ in range(r.randrange(1, 4)):
+                at = r.randrange(len(line))
+                line = line[:at] + r.choice(["", "#", "7"]) + line[at + r.randrange(2) :]
+        rows.append(line)
+    return rows
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_lines_of_one_template(spark, wide):
+    lines = template(500, wide=wide)
+    lines += [f"{x}{i % 7}" for i, x in enumerate(lines[:30])] + ["short line number %04d of a list" % i for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    tiers = ld.tiers_of(ld.EDITS, ld.LEAST, True)
+    want = {i for i, x in enumerate(lines) if any(x == y or ld.alike(y, x, tiers) for y in lines[:i])}
+    got = {r.doc_id for r in line_dedup(df, whole=True, with_text=False).where("n_removed > 0").collect()}
+    assert got == want and len(want) > 40
+
+
+def test_lines_that_differ_in_little(spark):
+    """All but a few characters are the same in hundreds of lines, so that groups stay hot to the end."""
+    lines = [f"the same beginning of a line that is long enough, then {a}{b}{c}{d}" for a in "abcdef" for b in "0123" for c in "xyz" for d in ["", "q", "rs"]]
+    random.Random(3).shuffle(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    tiers = ld.tiers_of(ld.EDITS, ld.LEAST, True)
+    want = {i for i, x in enumerate(lines) if any(ld.alike(y, x, tiers) for y in lines[:i])}
+    assert {r.doc_id for r in line_dedup(df, whole=True, with_text=False).where("n_removed > 0").collect()} == want
