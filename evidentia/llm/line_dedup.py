@@ -18,9 +18,10 @@ Hot segments.  Lines with a segment that over ``HOT`` different lines share
 They are cut into ``FINER`` more segments than they may have edits, and two
 lines meet if all segments but one, or but two that both differ, stand in
 either.  Groups of such lines that are still hot are cut again, and now only
-what they don't share, which is two fifths of the text at most.  So the text
-shrinks until groups are small or no more than the edits are left of a line,
-when all lines of one length are near each other.
+what they don't share: a fifth of the text, or two fifths, of which either has
+one edit and so one of them is enough to find a pair by.  So the text shrinks
+until groups are small or no more than the edits are left of a line, when all
+lines of one length are near each other.
 
 Scale.  Texts are exchanged twice, to send lines and to cut them, copies of a
 line once for each block that holds them, and lines with hot segments once more
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -330,106 +332,140 @@ def _left_out(size, drop: tuple[int, int, int, int], edits: int) -> tuple:
     return a, a + n + move, b + move, b + m + longer
 
 
-_DROPPED = "key long, group long, line long, rest long, role int, drop int, first long, second long"
+_HOT = "group long, line long, tier int, doc long, number int, part int, text binary, x binary, y binary, edits int, left int, own long"
+_HOT_NAMES = [c.split()[0] for c in _HOT.split(", ")]
+_DROPPED = "key long, own long, role int, drop int, first long, second long"
 
 
-def _drop(tiers: list[tuple[int, int, int]], whole: bool):
-    """Keys of all but what is left out, for each way to leave something out, with hashes of what that is."""
+def _hashes(texts: list[bytes]) -> np.ndarray:
+    size = np.array([len(x) for x in texts], np.int64)
+    stop = np.cumsum(size)
+    return span_hashes(prefix_hashes(np.frombuffer(b"".join(texts), np.uint8)), stop - size, stop)
+
+
+def _hot_rows(same: list[pa.Array], group: np.ndarray, x: list[bytes], y: list[bytes | None], edits: np.ndarray, left: list[int]) -> pa.RecordBatch:
+    """Rows of ``_HOT``; ``same``: its columns from line to text.  ``own`` tells a line's rows in a group apart."""
+    own = mix(_hashes(x) ^ group.view(np.uint64), 61) ^ mix(_hashes([b"" if t is None else b"y" + t for t in y]) ^ same[0].to_numpy(zero_copy_only=False).view(np.uint64), 62)
+    columns = [pa.array(group), *same, pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(edits.astype(np.int32)), pa.array(left, pa.int32()), pa.array(own.view(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, _HOT_NAMES)
+
+
+def _begun(tiers: list[tuple[int, int, int]], whole: bool):
+    """Lines with hot segments, all of them in one group for each number of edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed_in = np.array([edits for edits, _, _ in tiers])
         for batch in batches:
-            group, line, tier = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            texts = batch.column(3).to_pylist()
+            text, tier = batch.column(5).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            yield _hot_rows(batch.columns, tier.astype(np.int64), text, [None] * len(text), allowed_in[tier], [len(t.decode("utf-8", "replace")) if whole else len(t) for t in text])
+
+    return run
+
+
+def _drop(most: int, whole: bool):
+    """Keys of all but what is left out, for each way to leave something out of ``x``, with hashes of what that is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, allowed_in, row = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            texts = batch.column(1).to_pylist()
             size, data = np.array([len(x) for x in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8)
             lines = _Lines(data, np.cumsum(size) - size, size, whole)
             begin, units, places = lines.units
             at = lambda x: x if places is None else places[x]
             hashed = lambda own, a, b: span_hashes(lines.sums, at(begin[own] + a), at(begin[own] + b))
-            rest = hashed(np.arange(len(units)), np.zeros(len(units), np.int64), units)
-            for k, (edits, _, _) in enumerate(tiers):
+            for edits in range(1, most + 1):
                 for n, drop in enumerate(drops(edits)):
                     i, j, longer, move = drop
                     a, b, c, d = _left_out(units, drop, edits)
-                    own = np.flatnonzero((tier == k) & (units - longer > edits) & (a <= b) & (c <= d))
+                    own = np.flatnonzero((allowed_in == edits) & (units - longer > edits) & (a <= b) & (c <= d))
                     if not len(own):
                         continue
                     a, b, c, d = (x[own] for x in (a, b, c, d))
-                    tag = mix((units[own] - longer).astype(np.uint64) ^ np.uint64((i * 64 + j) * 8 + edits << 40), 51) ^ group[own].view(np.uint64)
-                    key = tag
+                    key = mix((units[own] - longer).astype(np.uint64) ^ np.uint64((i * 64 + j) * 8 + edits << 40), 51) ^ group[own].view(np.uint64)
                     for lane, (x, y) in enumerate(((np.zeros(len(own), np.int64), a), (b, c), (d, units[own]))):
                         key = mix(key ^ hashed(own, x, y), 52 + lane)
                     what = [hashed(own, x, y).view(np.int64) for x, y in ((a, b), (c, d))]
-                    ints = [np.full(len(own), int(longer > 0 or (i != j and move != 0)), np.int32), np.full(len(own), n, np.int32), what[1] if i == j else what[0], what[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), group[own], line[own], rest[own].view(np.int64), *ints)], [x.split()[0] for x in _DROPPED.split(", ")])
+                    ints = [np.full(len(own), int(longer > 0 or (i != j and move != 0)), np.int32), np.full(len(own), n, np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), row[own], *ints, what[1] if i == j else what[0], what[1])], [x.split()[0] for x in _DROPPED.split(", ")])
 
     return run
 
 
-def _stretches(rest: bytes, drop: tuple[int, int, int, int], edits: int, whole: bool) -> tuple[bytes, int]:
-    """The stretches that are left out, and how many characters (or bytes) they have."""
-    wide = whole and not rest.isascii()
-    places = [i for i, x in enumerate(rest) if x & 0xC0 != 0x80] + [len(rest)] if wide else range(len(rest) + 1)
+def _stretches(text: bytes, drop: tuple[int, int, int, int], edits: int, whole: bool) -> tuple[tuple[bytes, int], tuple[bytes, int]]:
+    """The two stretches that are left out, each with how many characters (or bytes) it has."""
+    wide = whole and not text.isascii()
+    places = [i for i, x in enumerate(text) if x & 0xC0 != 0x80] + [len(text)] if wide else range(len(text) + 1)
     a, b, c, d = (int(x) for x in _left_out(np.int64(len(places) - 1), drop, edits))
-    return rest[places[a] : places[b]] + rest[places[c] : places[d]], b - a + d - c
-
-
-_HOT = "group long, line long, tier int, doc long, number int, part int, text binary, rest binary, left int"
+    return (text[places[a] : places[b]], b - a), (text[places[c] : places[d]], d - c)
 
 
-def _leave(tiers: list[tuple[int, int, int]], whole: bool):
-    """Lines of hot groups with what they don't share."""
+def _leave(most: int, whole: bool):
+    """Lines of hot groups with what they don't share: one stretch with the same edits, or two with one edit each, first that of which the group has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [drops(edits) for edits, _, _ in tiers]
+        every = {edits: drops(edits) for edits in range(1, most + 1)}
         for batch in batches:
-            tier, drop = batch.column(2).to_pylist(), batch.column(8).to_pylist()
-            found = [_stretches(x, every[t][n], tiers[t][0], whole) for x, t, n in zip(batch.column(7).to_pylist(), tier, drop, strict=True)]
-            rest, left = [x[0] for x in found], [x[1] for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(rest, pa.binary()), pa.array(left, pa.int32())], [x.split()[0] for x in _HOT.split(", ")])
+            group, allowed_in = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 9))
+            x, y, left, edits = [], [], [], allowed_in.copy()
+            for k, (text, rest, e, n, swap) in enumerate(zip(*[batch.column(c).to_pylist() for c in (7, 8, 9, 10, 11)], strict=True)):
+                drop = every[e][n]
+                one, two = _stretches(text, drop, e, whole)
+                if drop[0] == drop[1]:
+                    two, other = rest, two
+                else:
+                    edits[k] = 1
+                    other, two = (two, one[0]) if swap else (one, two[0])
+                x.append(other[0])
+                left.append(other[1])
+                y.append(two)
+            yield _hot_rows(batch.columns[1:7], group, x, y, edits, left)
 
     return run
 
 
 _GROUPED = ["key", "role", "doc", "number", "line", "part", "text"]
+_SAME = ["line", "tier", "doc", "number", "part", "text"]
 
 
-def _cut_finer(hot: DataFrame, tiers: list[tuple[int, int, int]], whole: bool) -> tuple[DataFrame, DataFrame]:
-    """Groups of ``hot`` lines (each with its ``group`` and what is left of it there) that are to be compared, and the lines of groups that are hot again."""
-    keys = hot.select("group", "line", "tier", "rest").mapInArrow(_drop(tiers, whole), _DROPPED)
-    both = [F.min("line") != F.max("line"), F.min("role") == 0, F.min("first") != F.max("first"), F.min("second") != F.max("second")]
-    met = keys.groupBy("key").agg((both[0] & both[1] & both[2] & both[3]).alias("meets"), (F.count(F.lit(1)) > HOT).alias("hot")).where("meets").select("key", "hot")
-    found = keys.join(met, "key").select("key", "group", "line", F.col("rest").alias("hash"), "role", "drop", "hot")
-    own = hot.withColumn("hash", F.col("rest_hash")).drop("rest_hash", "left")
-    found = kept(found.join(own, ["group", "line", "hash"]))
-    again = found.where("hot").select(F.col("key").alias("group"), "line", "tier", "doc", "number", "part", "text", "rest", "drop")
-    return found.where("not hot").select(_GROUPED), again.mapInArrow(_leave(tiers, whole), _HOT).dropDuplicates(["group", "line", "tier", "rest"])
-
+def _second(whole: bool):
+    """Lines that differ in next to nothing of their first stretch, by their second."""
 
-def _finer(hot: DataFrame, tiers: list[tuple[int, int, int]], whole: bool) -> DataFrame:
-    """Groups to be compared of lines with hot segments: no more of them at once than ``HOT`` rows, or lines of which little is left."""
-    edits = F.element_at(F.array(*[F.lit(e) for e, _, _ in tiers]), F.col("tier") + 1)
-    rows = kept(hot.select(F.lit(0).cast("long").alias("group"), "line", "tier", "doc", "number", "part", "text", F.col("text").alias("rest"), F.lit(1 << 30).alias("left")).dropDuplicates(["line", "tier", "doc", "number"]))
-    groups = None
-    while not rows.isEmpty():
-        little = rows.where(F.col("left") <= 2 * edits).select(F.xxhash64("group", F.lit("left")).alias("key"), (F.col("left") > edits).cast("int").alias("role"), *_GROUPED[2:])
-        compared, rows = _cut_finer(_with_hash(rows.where(F.col("left") > edits), whole), tiers, whole)
-        rows = kept(rows)
-        groups = (compared if groups is None else groups.union(compared)).union(little)
-    return groups
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(8).to_pylist()
+            group = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), 63).view(np.int64)
+            yield _hot_rows(batch.columns[1:7], group, y, [None] * len(y), np.ones(len(y)), [len(t.decode("utf-8", "replace")) if whole else len(t) for t in y])
 
+    return run
 
-def _with_hash(rows: DataFrame, whole: bool) -> DataFrame:
-    """Rows with the hash of what is left, as ``_drop`` says it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = batch.column(7).to_pylist()
-            size = np.array([len(x) for x in rest], np.int64)
-            sums = prefix_hashes(np.frombuffer(b"".join(rest), np.uint8))
-            stop = np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(span_hashes(sums, stop - size, stop).view(np.int64))], [*batch.schema.names, "rest_hash"])
+def _finer(hot: DataFrame, tiers: list[tuple[int, int, int]], whole: bool) -> DataFrame:
+    """Groups to be compared of lines with hot segments: no more of them at once than ``HOT`` rows, or lines of which little is left.
 
-    return rows.mapInArrow(run, f"{_HOT}, rest_hash long")
+    A line is in one group with all others first.  In each round the lines of a
+    group get the keys of what they may share; lines that meet are compared, or
+    where too many meet go on, in the group of their key, with what is left.
+    """
+    most = max(edits for edits, _, _ in tiers)
+    rows = kept(hot.select(_SAME).dropDuplicates(["line", "tier", "doc", "number"]).mapInArrow(_begun(tiers, whole), _HOT))
+    groups = []
+    while not rows.isEmpty():
+        little = F.col("left") <= 2 * F.col("edits")
+        last = F.xxhash64("group", F.lit("left")).alias("key"), (F.col("left") > F.col("edits")).cast("int").alias("role")
+        groups.append(rows.where(little & F.col("y").isNull()).select(*last, *_GROUPED[2:]))
+        turned = rows.where(little & F.col("y").isNotNull()).mapInArrow(_second(whole), _HOT)
+        own = rows.where(F.col("left") > F.col("edits"))
+        keys = own.select("group", "x", "edits", "own").mapInArrow(_drop(most, whole), _DROPPED)
+        meets = [F.min("own") != F.max("own"), F.min("role") == 0, F.min("first") != F.max("first"), F.min("second") != F.max("second")]
+        met = keys.groupBy("key").agg((meets[0] & meets[1] & meets[2] & meets[3]).alias("meets"), (F.count(F.lit(1)) > HOT).alias("hot")).where("meets").select("key", "hot")
+        found = kept(keys.join(met, "key").join(own.drop("group", "left"), "own"))
+        groups.append(found.where("not hot").select(_GROUPED))
+        again = found.where("hot")
+        swap = again.groupBy("key").agg((F.approx_count_distinct("second") > F.approx_count_distinct("first")).alias("swap"))
+        again = again.join(swap, "key").select(F.col("key").alias("group"), *_SAME, "x", "y", "edits", "drop", "swap")
+        rows = kept(again.mapInArrow(_leave(most, whole), _HOT).union(turned).dropDuplicates(["own"]))
+    return reduce(DataFrame.union, groups)
 
 
 _BITS = 64

@@ -153,13 +153,14 @@ def test_drops_find_all_near_pairs(monkeypatch):
         texts = sorted({a, "".join(b)}, key=len)
         if len(texts) < 2 or not within(*texts, tiers[tier][0]) or len(texts[0]) <= tiers[tier][0]:
             continue
-        batch = pa.RecordBatch.from_arrays([pa.array([7, 7]), pa.array([0, 1]), pa.array([tier] * 2, pa.int32()), pa.array([t.encode() for t in texts])], ["group", "line", "tier", "rest"])
-        rows = [x for out in ld._drop(tiers, True)(iter([batch])) for x in out.to_pylist()]
-        keys = [{(x["key"]) for x in rows if x["line"] == k and (k or x["role"] == 0)} for k in (0, 1)]
+        edits = tiers[tier][0]
+        batch = pa.RecordBatch.from_arrays([pa.array([7, 7]), pa.array([t.encode() for t in texts]), pa.array([edits] * 2, pa.int32()), pa.array([0, 1])], ["group", "x", "edits", "own"])
+        rows = [x for out in ld._drop(2, True)(iter([batch])) for x in out.to_pylist()]
+        keys = [{x["key"] for x in rows if x["own"] == k and (k or x["role"] == 0)} for k in (0, 1)]
         assert keys[0] & keys[1], texts
         for x in rows:
-            left, n = ld._stretches(texts[x["line"]].encode(), ld.drops(tiers[tier][0])[x["drop"]], tiers[tier][0], True)
-            assert n == len(left.decode()) < len(texts[x["line"]])
+            left = ld._stretches(texts[x["own"]].encode(), ld.drops(edits)[x["drop"]], edits, True)
+            assert [n for _, n in left] == [len(t.decode()) for t, _ in left] and sum(n for _, n in left) < len(texts[x["own"]])
 
 
 def template(n, seed=1, wide=False):
