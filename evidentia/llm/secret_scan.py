@@ -2,26 +2,27 @@
 
 A Boolean query over trigrams is derived from the syntax tree of each rule's
 pattern: conjunctions of trigrams, one of which any text with a match holds.
-The trigram index is kept by document, beside the text that it leads to: a
-document's postings are looked up for one trigram of a conjunction after the
-other and intersected as long as none is missing, and the rules whose query is
-met are its candidates.  The pattern itself runs on the candidates alone; rules
-without a mandatory trigram run on all texts.
-
-Scale.  One pass over the texts and no shuffle.  Postings by trigram would name
-documents whose texts lie elsewhere, and meeting them again exchanges all texts
-(1.1 times the input, and 120 of 160 CPU seconds for the postings, where this
-takes about a quarter).
+
+The inverted index has, for each of these trigrams and each block of about
+``BLOCK`` documents, the sorted keys of the block's documents that hold it.  The
+lists of a conjunction's trigrams are intersected block by block, and documents
+of any conjunction of a rule are its candidates.  The pattern itself runs on the
+candidates alone; rules without a mandatory trigram run on all texts.
+
+Scale.  A text's trigrams are found in one pass of one pattern, and only keys of
+documents that hold any are exchanged.  A list is as long as a block at most,
+however common its trigram.  Candidates then meet their texts by key: where they
+are few Spark sends them to the texts, else the texts are exchanged once.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 import re._constants as sre
 import re._parser as parser
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,8 @@ RULES = (
     Rule("maps_key", r"AIza[0-9A-Za-z_-]+", 0, 39),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
+#: Documents in a block of the index, about.
+BLOCK = 4096
 #: Strings that stand for a sub-pattern are listed up to this number; beyond it the sub-pattern is taken as any text.
 _LISTED = 12
 
@@ -115,10 +118,47 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted(set(queries[-1]), key=sorted) if all(queries[-1]) else []
 
 
-def candidate(low: Column, query: Sequence[frozenset[str]]) -> Column:
-    """Whether a text in lower case meets a trigram query: the text's postings of each conjunction are intersected while none is missing."""
-    every = lambda grams: reduce(lambda a, b: a & b, [F.contains(low, F.lit(g)) for g in sorted(grams)])
-    return reduce(lambda a, b: a | b, [every(grams) for grams in query])
+def gram_pattern(grams: Sequence[str]) -> str:
+    """A pattern that finds each of some strings wherever it begins, also within another; strings with a common beginning share it."""
+
+    def tree(rest: Sequence[str]) -> str:
+        if rest == [""]:
+            return ""
+        options = [re.escape(c) + tree(sorted({x[1:] for x in rest if x[0] == c})) for c in sorted({x[0] for x in rest})]
+        return options[0] if len(options) == 1 else f"(?:{'|'.join(options)})"
+
+    return f"(?=({tree(sorted(set(grams)))}))"
+
+
+def _key(id_: str | Column, text: str | Column) -> Column:
+    """What a row is known by; rows that agree in id and text have one key."""
+    return F.struct(F.xxhash64(id_, text).alias("a"), F.xxhash64(F.lit(1), id_, text).alias("b"))
+
+
+def trigram_index(texts: DataFrame, grams: Sequence[str], blocks: int) -> DataFrame:
+    """``block``, ``gram``, ``keys``: the documents (``key``, ``text``) of a block that hold a trigram, sorted."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(gram_pattern(grams)), F.lit(1)))
+    postings = texts.select("key", F.explode(held).alias("gram"))
+    return postings.groupBy(F.pmod("key.a", F.lit(blocks)).alias("block"), "gram").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+
+
+def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
+    """``key``, ``kinds``: the rules for which a document meets a conjunction of trigrams."""
+    terms = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("conjunction"), F.lit(len(grams)).alias("size"), F.lit(g).alias("gram")) for kind, query in queries.items() for n, grams in enumerate(query) for g in sorted(grams)])
+    asked = index.select("block", "gram", "keys", F.explode(F.filter(terms, lambda t: t["gram"] == F.col("gram"))).alias("t"))
+    lists = asked.groupBy("block", "t.kind", "t.conjunction", "t.size").agg(F.collect_list("keys").alias("lists")).where(F.size("lists") == F.col("size"))
+    both = F.aggregate(F.slice("lists", 2, F.size("lists")), F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
+    return lists.select("kind", F.explode(both).alias("key")).groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+
+
+def secret_candidates(docs: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The candidates of the rules that have a trigram query: ``key``, ``kinds``."""
+    queries = {rule.kind: query for rule in rules if (query := trigram_query(rule.pattern))}
+    grams = sorted({g for query in queries.values() for part in query for g in part})
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", _key("id", "text"))
+    if not grams:
+        return texts.select("key", F.array().cast("array<string>").alias("kinds")).limit(0)
+    return candidates(trigram_index(texts.select("key", "text"), grams, -(-docs.count() // BLOCK) or 1), queries)
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -152,14 +192,13 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
-    asked = [(kind, query) for kind, query in queries.items() if query]
-    kinds = let(F.lower("text"), lambda low: F.array_compact(F.array(*[F.when(candidate(low, query), F.lit(kind)) for kind, query in asked]))) if asked else F.array().cast("array<string>")
-    texts = texts.withColumn("kinds", kinds)
+    if any(queries.values()):
+        texts = texts.withColumn("key", _key("id", "text")).join(secret_candidates(docs, rules, id_col=id_col, text_col=text_col), "key", "left")
     found = []
     for order, rule in enumerate(rules):
         # A character class repeated without bound: asking for its least length at once gives the same matches.
         quick = F.rlike("text", F.lit(rule.pattern[:-1] + f"{{{rule.least},}}")) if rule.group == 0 and rule.pattern.endswith("]+") else F.rlike("text", F.lit(rule.pattern))
-        possible = F.array_contains("kinds", rule.kind) if queries[rule.kind] else quick
+        possible = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) if queries[rule.kind] else quick
         found.append(F.when(possible, _spans(F.col("text"), rule, order)).otherwise(F.array().cast(_NONE)))
     return texts.select(F.col("id").alias(id_col), F.array_sort(F.concat(*found)).alias("found"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from evidentia.llm.chat_format import RESERVED, chat_digests, escape, format_conversations, unescape
 from evidentia.llm.expressions import running_sums
 from evidentia.llm.mixing import in_training_order, mix_sources
-from evidentia.llm.secret_scan import RULES, scan_secrets, secret_digests, trigram_query
+from evidentia.llm import secret_scan
+from evidentia.llm.secret_scan import RULES, Rule, gram_pattern, scan_secrets, secret_candidates, secret_digests, trigram_query
 
 
 def test_running_sums(spark):
@@ -51,6 +52,29 @@ def test_secrets(spark):
     assert scan_secrets(df.limit(0)).count() == 0
 
 
+def test_trigrams_found_wherever_they_begin():
+    grams = ["ass", "sss", "sec", "a.b", "ssw"]
+    found = lambda text: {m[1] for m in re.finditer(gram_pattern(grams), text)}
+    for text in ("", "passsw", "a.bsec", "axb", "ssss"):
+        assert found(text) == {g for g in grams if g in text}
+
+
+def test_only_candidates_are_verified(spark, monkeypatch):
+    """Candidates are the documents that hold all trigrams of a conjunction, found by intersected lists of small blocks."""
+    monkeypatch.setattr(secret_scan, "BLOCK", 7)
+    rows = [*secret_texts(), *[(10_000 + i, f"plain text number {i} with a pass and a token or a key") for i in range(300)], (3, secret_texts()[3][1]), (None, "token=abcdefgh1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counted = {}
+    for r in secret_candidates(df).select(F.explode("kinds").alias("kind")).groupBy("kind").count().collect():
+        counted[r.kind] = r["count"]
+    for rule in RULES:
+        query = trigram_query(rule.pattern)
+        want = {(i, t or "") for i, t in rows if any(all(g in (t or "").lower() for g in part) for part in query)}
+        assert counted.get(rule.kind, 0) == len(want) < len(rows)
+        assert len(want) >= len({(i, t) for i, t in rows if query and t and re.search(rule.pattern, t)})
+    assert secret_candidates(df, [Rule("any", "[0-9]+")]).count() == 0
+
+
 def test_trigram_queries_are_mandatory():
     texts = [t or "" for _, t in secret_texts()]
     for rule in RULES:
