@@ -175,6 +175,26 @@ def parsed_articles(spark, sf_dir):
     return done.withColumns({c: F.md5(F.col(c).cast("binary")) for c in ("abstract", "results", "clean_text")}).withColumn("year", F.col("year").cast("int"))
 
 
+@_query(
+    "parsed_damaged_articles",
+    """WITH p AS (SELECT doc_id, coalesce(lang, '') AS lang, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,' || chr(10) || ']', ' ', 'g') AS t FROM documents)
+SELECT (1000 + doc_id)::VARCHAR AS pmcid, trim('T ' || CASE WHEN doc_id % 3 = 2 THEN '& ' ELSE '' END || lang) AS title, (2001 + doc_id % 20)::INT AS year,
+  md5(trim(regexp_replace(t, '[ ' || chr(10) || ']+', ' ', 'g'))) AS abstract, trim('Results r' || doc_id || CASE WHEN doc_id % 3 = 1 THEN ' and more' ELSE '' END) AS results FROM p""",
+)
+def parsed_damaged_articles(spark, sf_dir):
+    """Documents as articles whose names have a prefix, whose elements are not closed, or with signs that XML doesn't allow."""
+    kind = F.col("doc_id") % 3
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), _PLAIN, " ")
+    prefix = F.when(kind == 0, "j:").otherwise("")
+    parts = [
+        '<{p}article xmlns:j="urn:j"><{p}front><{p}article-meta><{p}article-id pub-id-type="pmcid">PMC', F.col("doc_id") + 1000, "</{p}article-id><{p}article-title>T ", F.when(kind == 2, "& ").otherwise(""), F.coalesce("lang", F.lit("")),
+        '</{p}article-title><{p}pub-date pub-type="epub"><{p}year>', F.col("doc_id") % 20 + 2001, "</{p}year></{p}pub-date><{p}abstract><{p}p>", plain, F.when(kind == 1, "").otherwise(F.concat(F.lit("</"), prefix, F.lit("p>"))),
+        '</{p}abstract></{p}article-meta></{p}front><{p}body><{p}sec sec-type="results"><{p}title>Results</{p}title><{p}p>r', F.col("doc_id"), F.when(kind == 1, "<italic> and more").otherwise(""), "</{p}p></{p}sec></{p}body></{p}article>",
+    ]
+    xml = F.concat(*[F.replace(F.lit(x), F.lit("{p}"), prefix) if isinstance(x, str) else x.cast("string") for x in parts])
+    return parse_articles(_table(spark, sf_dir, "documents").select(xml.alias("xml"))).select("pmcid", "title", "year", F.md5(F.col("abstract").cast("binary")).alias("abstract"), "results")
+
+
 # Replies of a model, and the entries (place, cell type, subtype, marker, tissue, disease) that they hold; no list: the reply can't be read.
 REPLIES = [
     ('{"markers": [{"cell_type": " T cell ", "marker": "CD3D", "tissue": 5, "disease": ""}, "text", {"cell_type": "B cell"}, {"cell_type": "B cell", "marker": "  "}, {"cell_type": "NK", "marker": 7}, null, {"cell_type": null, "marker": "X"}]}', [(0, "T cell", None, "CD3D", None, None), (3, "B cell", None, None, None, None), (4, "NK", None, None, None, None)]),

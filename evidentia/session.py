@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -27,15 +28,34 @@ def local_session(cores: str | int = 8, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_made: list[str] = []
+
+
+def _delete_made() -> None:
+    """Delete the folders of ``scratch`` at the end of the program, if its Spark is still there."""
+    spark = SparkSession.getActiveSession() if _made else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in _made:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(_delete_made)
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, in the place that spark.checkpoint.dir names; a local session without it gets one."""
+    """A new folder that driver and executors share, in the place that spark.checkpoint.dir names; a local session without it gets one.
+
+    Results may read it as long as the program runs; it is deleted at its end.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def ship(spark: SparkSession) -> SparkSession:
