@@ -9,8 +9,7 @@ bounds the memory of a task whatever the size of its partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, IntegralType, NullType, StructField, StructType
 
+from ..session import scratch
+
 BLOCK_BYTES = 2 << 20
 #: Bytes of text that hashes are computed over at once; a longer text is hashed piece by piece.
 PIECE_BYTES = 4 << 20
@@ -201,49 +202,40 @@ def lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values, kind))
 
 
-_made: list[str] = []
+class _Made(threading.local):
+    """Tables that this thread has kept and not forgotten, so that threads can't delete each other's."""
 
+    def __init__(self):
+        self.paths: list[str] = []
 
-def shared_path(spark: SparkSession) -> str:
-    """A new folder in the shared place that the session names in spark.checkpoint.dir.
 
-    Where a local session lacks the setting (tests, one machine) a temporary
-    folder is made once and set.  A cluster's session must have it, because
-    other machines don't see this one's folders.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="evidentia-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+_made = _Made()
 
 
 def kept(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage.
 
     Unlike a cached table it outlives the executors that made it.  It stays
-    until ``forget`` is called.
+    until ``forget`` is called or the program ends.
     """
-    path = shared_path(df.sparkSession)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    _made.append(path)
+    _made.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def kept_so_far() -> int:
-    """How many tables this process has kept and not forgotten."""
-    return len(_made)
+    """How many tables this thread has kept and not forgotten."""
+    return len(_made.paths)
 
 
 def forget(spark: SparkSession, since: int = 0, spare: int = 0) -> None:
-    """Delete kept tables, but for the first ``since`` and the last ``spare``; nothing that is still to be computed may read them."""
-    stop = len(_made) - spare
-    for path in _made[since:stop]:
+    """Delete tables that this thread has kept, but for the first ``since`` and the last ``spare``; nothing that is still to be computed may read them."""
+    stop = len(_made.paths) - spare
+    for path in _made.paths[since:stop]:
         path = spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[since:stop]
+    del _made.paths[since:stop]
 
 
 def partitions_of(spark: SparkSession) -> int:

@@ -1,4 +1,6 @@
+import threading
 import tracemalloc
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -47,3 +49,20 @@ def test_kept_tables_are_forgotten(spark):
     assert blocks.kept_so_far() == before + 1 and second.count() == 5
     with pytest.raises(Exception):
         first.count()
+
+
+def test_threads_forget_their_own_tables(spark):
+    """Two threads that keep and forget by turns leave each other's tables."""
+    turn = threading.Barrier(2, timeout=60)
+
+    def work(n):
+        before = blocks.kept_so_far()
+        first = blocks.kept(spark.range(n))
+        turn.wait()
+        second = blocks.kept(first.where("id > 0"))
+        blocks.forget(spark, before, 1)
+        turn.wait()
+        return second.count(), blocks.kept_so_far() - before
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(work, (5, 9))) == [(4, 1), (8, 1)]
