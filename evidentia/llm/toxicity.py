@@ -9,7 +9,7 @@ texts (by class of letter) and has the size of its alphabet.
 Scorer.  Words and beginnings of words, of the text as given and of what was
 decoded in it, are features.  Those that occur in at
 least ``MIN_TOXIC`` toxic documents of a bounded sample of labelled documents
-are kept, down to the count at which there would be more than ``MAX_FEATURES``.  A text's evidence is the
+are kept.  A text's evidence is the
 largest lower confidence limit of the share of toxic documents among those with
 a feature of it, so that a feature seen a few times proves little; its score is
 the share of toxic documents in the sample at that evidence, made to rise with
@@ -19,8 +19,8 @@ only this document has don't prove what they were made from.
 
 Scale.  One pass over the texts counts characters, one scores; neither
 exchanges a text.  Labels are sampled to ``TRAIN_ROWS`` rows before they are
-joined, and ``MAX_FEATURES`` bounds the scorer, so what is broadcast and fitted
-is bounded by these parameters; what is scored is every whole text.
+joined, which bounds what is fitted and, as a feature needs some of its toxic
+documents, what is broadcast; what is scored is every whole text.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .blocks import NO_LETTER, Block, hashes_of, kept, mix, partitions_of, plain_texts, starts_of, text_blocks, words_of
 
-#: Labelled documents that the scorer is fitted on, toxic documents a feature needs, features kept.
-TRAIN_ROWS, MIN_TOXIC, MAX_FEATURES = 40_000, 5, 1 << 18
+#: Labelled documents that the scorer is fitted on, and toxic documents a feature needs.
+TRAIN_ROWS, MIN_TOXIC = 40_000, 5
 #: Score from which a text is called toxic.
 LIMIT = 0.3
 #: Steps of evidence for which shares are counted.
@@ -53,8 +53,8 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 #: Log probabilities that a letter is written by a sign that looks like it, that a mark is put between letters, that a repeated
 #: letter was meant once, and that a mark, white space, two or more white space, or a sign that looks like a letter is meant itself.
 _SIGN, _MARK, _ONCE, _BREAK, _SPACE, _SPACES, _ITSELF = -1.5, -0.7, -0.3, -1.5, -1.5, -0.2, -3.0
-#: Letters set apart that make a phrase, and marks that may stand between two of them beside white space.
-_APART, _BETWEEN = 4, 2
+#: Letters set apart that make a phrase, marks that may stand between two of them beside white space, and signs that make a word without a letter.
+_APART, _BETWEEN, _ALONE = 3, 2, 3
 #: Tokens up to this length are decoded once and remembered; longer ones are decoded each time.
 _REMEMBERED = 64
 _OUTER = ".,;:?!*_-~\"'`()[]{}<>|&%#+=/\\"
@@ -156,9 +156,9 @@ class Decoder:
 
     @staticmethod
     def lattice(token: str) -> list[list[tuple[str, float]]]:
-        """For each sign its readings: letters (or none) and their log probability."""
+        """For each sign its readings: letters (or none, in a token that has letters) and their log probability."""
         out: list[list[tuple[str, float]]] = []
-        i = 0
+        i, lettered = 0, any(c.isalpha() for c in token)
         while i < len(token):
             c, n = token[i], 1
             if c.isalpha():
@@ -171,7 +171,7 @@ class Decoder:
                 options = [("", _MARK), (" ", _SPACE if n == 1 else _SPACES)]
             elif c in LOOKS:
                 options = [(x, _SIGN) for x in LOOKS[c]]
-                if not c.isdigit():
+                if lettered and not c.isdigit():
                     options.append(("", _MARK))
                 options.append((c, _ITSELF))
             else:
@@ -207,11 +207,16 @@ class Decoder:
         return "".join(reversed(out))
 
     def readings(self, token: str) -> list[str]:
-        """A token (or phrase of letters set apart) as it was meant, marks around it left; then with signs around it that look like letters read too."""
-        out = []
+        """A token (or phrase of letters set apart) as it was meant, marks around it left; then with signs around it that look like letters read too.
+
+        Signs without a letter, and three letters set apart, may well be meant
+        as they stand; this is their first reading.
+        """
+        letters = sum(c.isalpha() for c in token)
+        out = [token] if not letters or letters <= _APART and len(token.split()) > 1 else []
         for outer in (_OUTER, _OUTER_MARKS):
             core = token.strip(outer)
-            if not core or core.isalpha() and not _TRIPLE.search(core) or not any(c.isalpha() for c in core):
+            if not core or core.isalpha() and not _TRIPLE.search(core) or not any(c.isalpha() or c in LOOKS for c in core):
                 new = token
             else:
                 at = token.index(core)
@@ -223,17 +228,18 @@ class Decoder:
     def changes(self, block: Block) -> list[tuple[int, int, list[str]]]:
         """Start, end and readings of suspicious tokens and phrases of a block of lower-case texts, in order and apart.
 
-        Suspicious are tokens with a letter and a sign that looks like one, with
-        a mark before a letter or with a letter three times in a row, and four
-        letters (or signs for them) or more in a row that only white space and
-        up to two marks set apart.
+        Suspicious are tokens with a letter and a sign that looks like one, of
+        three such signs or more, with a mark before a letter or with a letter
+        three times in a row, and three letters (or signs for them) or more in a
+        row that only white space and up to two marks set apart.
         """
         d, words = block.data, words_of(block)
         if not len(words.starts):
             return []
         letter, sign = _LETTERS[d], _signs(d)
         letters, signs = _totals(letter), _totals(sign)
-        own = (signs[words.ends] > signs[words.starts]) & (letters[words.ends] > letters[words.starts])
+        looks = signs[words.ends] - signs[words.starts]
+        own = (looks > 0) & (letters[words.ends] > letters[words.starts]) | (looks >= _ALONE)
         places = np.concatenate([np.flatnonzero(_MARKS[d[:-1]] & letter[1:]), _thrice(d, letter)])
         at = np.searchsorted(words.starts, places, "right") - 1
         own[at[at >= 0]] = True
@@ -365,13 +371,7 @@ def fit(texts: DataFrame, labels: DataFrame, model: np.ndarray, *, train_rows: i
 
     parts = lambda table: np.stack([table.column(c).to_numpy().astype(float) for c in ("n", *[f"n{k}" for k in range(FOLDS)])])
     counted = kept(count(toxic, None).where(F.col("n") >= MIN_TOXIC))
-    least, total = 0, 0
-    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("features")).orderBy(F.desc("n")).collect():  # a row for each count up to TRAIN_ROWS
-        total += r["features"]
-        if total > MAX_FEATURES:
-            break
-        least = r["n"]
-    counted = counted.where(F.col("n") >= (least or train_rows + 1)).toArrow()
+    counted = counted.toArrow()  # a row for each feature of MIN_TOXIC documents of the sample
     features = counted.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(features)
     features, a = features[order], parts(counted)[:, order]

@@ -58,6 +58,18 @@ def test_decoder(spark):
     assert got[:3] == ["scoundrel scoundrel total letter apple", "", given[2]] and got[3].endswith("scoundrel") and got[4:] == ["a b c", "letter"]
 
 
+def test_short_phrases_and_signs_alone(spark):
+    """Three letters set apart and words of signs alone are decoded beside what they are."""
+    decoder = Decoder(character_model(spark.createDataFrame([(" ".join(["ass", "fag", "mass", "flag"] * 9),)], "__text string")))
+    given = ["an a s s here", "f a g", "x 455 y", "@$$", "in 12 or 3 b", "a b"]
+    block = next(text_blocks(pa.array(given)))
+    _, pieces = decoder.both(block)
+    got = [pieces.doc_bytes(i).decode().split("\n") for i in range(len(given))]
+    assert "ass" in " ".join(got[0]).split() and "fag" in got[1] and "ass" in got[2] and "ass" in got[3] and got[4:] == [[""], [""]]
+    done = decoder.restore(block)
+    assert [done.doc_bytes(i).decode() for i in (1, 2, 3)] == given[1:4]
+
+
 def test_rising_shares():
     got = rising_shares(np.array([[10, 0], [0, 0], [2, 2], [3, 1], [0, 9]]), 0.2)
     assert len(got) == 5 and (np.diff(got) >= 0).all() and got[0] < 0.1 and got[-1] > 0.8
