@@ -54,10 +54,29 @@ def first_entries(entries: DataFrame, keys=tuple(FIELDS), paper: str = "pmcid",
     return least_first([paper, *keys], list(order), entries)
 
 
+#: Hexadecimal digits of a row's digest by which a sample is cut: at most 65,536 groups.
+_DIGITS = 4
+
+
 def sampled(df: DataFrame, key: str, share: float = 0.05, seed: int = 0) -> DataFrame:
-    """Exactly ``max(1, int(n * share))`` rows, the same in each run."""
-    n = df.count()
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(max(1, int(n * share)) if n else 0)
+    """Exactly ``max(1, int(n * share))`` rows, the same in each run, in the order of their digests.
+
+    Rows are counted by the beginnings of their digests.  All rows of the groups
+    before the one in which the sample ends are in it, and only of that group
+    the first rows are looked for; no task sees the whole sample.
+    """
+    rows = df.withColumn("__digest", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
+    group = F.substring("__digest", 1, _DIGITS)
+    sizes = sorted(rows.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each group
+    wanted = max(1, int(sum(s["n"] for s in sizes) * share))
+    before, last = 0, ""
+    for s in sizes:
+        last = s["g"]
+        if before + s["n"] >= wanted:
+            break
+        before += s["n"]
+    edge = rows.where(group == last).orderBy("__digest", key).limit(wanted - before if sizes else 0)
+    return rows.where(group < last).union(edge).orderBy("__digest", key).drop("__digest")
 
 
 def unprocessed(todo: DataFrame, done: DataFrame, key: str, limit: int | None = None) -> DataFrame:

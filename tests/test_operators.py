@@ -154,3 +154,17 @@ def test_articles_to_star(spark, tmp_path):
 
 def test_unreadable_replies(spark):
     assert sorted(r.pmcid for r in entries.unreadable(spark.createDataFrame(replies(), "pmcid string, reply string")).collect()) == ["2", "4"]
+
+
+def test_sample_is_cut_in_one_group_of_digests(spark):
+    import hashlib
+    import re
+
+    ids = spark.range(5000).selectExpr("id", "'x' as more").repartition(7)
+    for share in (0.0, 0.3, 1.0):
+        found = entries.sampled(ids, "id", share, seed=3)
+        want = sorted(range(5000), key=lambda i: (hashlib.md5(f"3|{i}".encode()).hexdigest(), i))[: max(1, int(5000 * share))]
+        assert [r.id for r in found.collect()] == want and found.columns == ["id", "more"]
+        assert all(int(n) < 10 for n in re.findall(r"limit=(\d+)", found._jdf.queryExecution().executedPlan().toString()))
+    same = spark.range(50).selectExpr("cast(null as long) as id")
+    assert entries.sampled(same, "id", 0.5).count() == 25
