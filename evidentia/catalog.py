@@ -19,7 +19,7 @@ from .operators import compare, entries, genes, hierarchy
 from .operators.load import load
 from .plans import views
 from .plans.listing import Listing, NameIndex
-from .plans.star import Filters, Star, best_first
+from .plans.star import Filters, Star, best_first, dealt
 from .schema import LISTED
 from .session import scratch
 
@@ -34,8 +34,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def driver_star(spark: SparkSession, sf_dir: str, cited: bool = False) -> Star:
     """The star over the driver's tables; where a question needs citation counts they are counted from its entries."""
     t = {n: _table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "part", "supplier", "nation")}
-    sold = t["lineitem"].join(t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"), "l_orderkey")
-    sold = sold.join(t["customer"].select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment"), "o_custkey")
+    buyers = t["customer"].select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
+    bought = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority").join(buyers, "o_custkey")
+    sold = dealt(t["lineitem"], t["lineitem"].count(), "l_orderkey").join(bought, "l_orderkey")
     rows = sold.select(
         *KEY,
         F.col("c_nationkey").alias("cell_type_id"),

@@ -42,6 +42,20 @@ class Filters:
         return asked
 
 
+#: Rows of a part into which entries are dealt, so that a task's memory doesn't grow with the table.
+PART_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """``n`` rows in parts of at most about ``PART_ROWS`` by keys, which Spark doesn't merge; as they are where few parts would do.
+
+    Fewer parts than the session's exchanges have would be dealt out once more by the next join.
+    """
+    parts = -(-n // PART_ROWS)
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(parts, least), *by) if parts > 8 else rows
+
+
 def _within(value: int, low: int, high: int, name: str) -> int:
     if not low <= value <= high:
         raise ValueError(f"{name} must be from {low} to {high}")

@@ -38,3 +38,17 @@ def test_least_first(spark):
     assert same(least_first(["k"], ["o"], df), best_first(["k"], ["o", "i"], df))
     with_map = df.withColumn("m", F.create_map("i", "x"))
     assert least_first(["k"], ["o", "i"], with_map).columns == with_map.columns and same(least_first(["k"], ["o", "i"], with_map), best_first(["k"], ["o", "i"], with_map))
+
+
+def test_entries_of_the_driver_are_dealt_by_rows(spark, monkeypatch):
+    from evidentia import catalog
+    from evidentia.plans import star
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    usual = sorted(catalog.QUERIES["bubble"](spark, sf).collect())
+    monkeypatch.setattr(star, "PART_ROWS", -(-rows // 37))
+    for name in ("bubble", "citation_refresh", "marker_ranking"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert ", 37), REPARTITION_BY_NUM" in plan
+    assert sorted(catalog.QUERIES["bubble"](spark, sf).collect()) == usual
