@@ -51,9 +51,9 @@ def driver_star(spark: SparkSession, sf_dir: str, cited: bool = False) -> Star:
         entries=rows,
         markers=t["part"].select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("symbol"), F.lit(0).cast("long").alias("citation_count")),
         cell_types=t["nation"].select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")),
-        cell_subtypes=t["customer"].select(F.struct("c_nationkey", "c_mktsegment").alias("id"), F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("cell_type_id")).distinct(),
+        cell_subtypes=F.broadcast(t["customer"].select(F.struct("c_nationkey", "c_mktsegment").alias("id"), F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("cell_type_id")).distinct()),  # a few for each nation
         tissues=t["supplier"].where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")),
-        diseases=t["orders"].where("o_orderpriority != '4-NOT SPECIFIED'").select(F.col("o_orderpriority").alias("id"), F.col("o_orderpriority").alias("name")).distinct(),
+        diseases=F.broadcast(t["orders"].where("o_orderpriority != '4-NOT SPECIFIED'").select(F.col("o_orderpriority").alias("id"), F.col("o_orderpriority").alias("name")).distinct()),  # a few priorities
         papers=t["orders"].select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("pmid"), F.concat(F.lit("PMC"), "o_orderkey").alias("pmcid")),
         order=KEY,
     )

@@ -104,7 +104,8 @@ class Star:
     def listed(self, cited: bool = False) -> DataFrame:
         """Every entry with its eight listed columns, the key, and if asked the marker's citation count."""
         papers = self.papers.select(F.col("id").alias("paper_id"), "pmid", "pmcid")
-        rows = self.joined(["marker", *FIELDS], cited=cited).join(papers, "paper_id")
+        cited_by = Star(**{**self.__dict__, "entries": self.entries.join(papers, "paper_id")})  # first, as entries often lie by paper
+        rows = cited_by.joined(["marker", *FIELDS], cited=cited)
         return rows.select(*LISTED, *(["citation_count"] if cited else []), *self.order)
 
     def filtered(self, filters: Filters, also: Sequence[str] = ()) -> DataFrame:
@@ -114,11 +115,18 @@ class Star:
         return reduce(lambda d, c: d.where(c), asked.values(), df)
 
     def search(self, filters: Filters = Filters(), page: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
-        """One page of entries, by citation count, marker and cell type."""
+        """One page of entries, by citation count, marker and cell type; what neither order nor filters need is joined to its rows alone."""
         size = _within(page_size, 1, MOST_PER_PAGE, "page_size")
         skip = (_within(page, 1, 1 << 30, "page") - 1) * size
-        found = reduce(lambda d, c: d.where(c), filters.conditions().values(), self.listed(cited=True))
-        return found.orderBy(F.desc("citation_count"), "marker", "cell_type", *self.order).offset(skip).limit(size).select(LISTED)
+        asked = filters.conditions()
+        with_paper = self.entries.join(self.papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
+        early = [f for f in FIELDS if f in asked or f == "cell_type"]
+        rows = Star(**{**self.__dict__, "entries": with_paper}).joined(["marker", *early], inner=[f for f in early if f in asked], cited=True)
+        by = [F.desc("citation_count"), "marker", "cell_type", *self.order]
+        page_rows = reduce(lambda d, c: d.where(c), asked.values(), rows).orderBy(*by).offset(skip).limit(size)
+        named = Star(**{**self.__dict__, "entries": page_rows})
+        papers = self.papers.select(F.col("id").alias("paper_id"), "pmid", "pmcid")
+        return named.joined([f for f in FIELDS if f not in early]).join(papers, "paper_id").orderBy(*by).select(LISTED)
 
     def total(self, filters: Filters = Filters(), hint: int = 0) -> DataFrame:
         """Number of entries that pass; a positive hint is taken for it."""

@@ -52,3 +52,19 @@ def test_entries_of_the_driver_are_dealt_by_rows(spark, monkeypatch):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert ", 37), REPARTITION_BY_NUM" in plan
     assert sorted(catalog.QUERIES["bubble"](spark, sf).collect()) == usual
+
+
+def test_page_is_ordered_before_it_is_named(spark):
+    star, _ = random_star(spark)
+    entries = star.entries.withColumns({"marker_id": F.col("id") % 7, "paper_id": F.col("id") % 5, "marker_status": F.lit("s")})
+    markers = spark.createDataFrame([(i, f"m{i}", i // 2) for i in range(6)], "id int, symbol string, citation_count long")
+    papers = spark.createDataFrame([(i, str(i), f"PMC{i}") for i in range(4)], "id int, pmid string, pmcid string")
+    star = Star(**{**star.__dict__, "entries": entries, "markers": markers, "papers": papers})
+    plan = star.search(page=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("GlobalLimit")].count("Join ") == 4  # subtypes, tissues, diseases, papers
+    every = star.listed(cited=True).orderBy(F.desc("citation_count"), "marker", "cell_type", *star.order)
+    asked = Filters(tissue=("ti1", "ti2"), marker="1")
+    some = every.where(F.col("tissue").isin("ti1", "ti2") & F.col("marker").ilike("%1%"))
+    for found, whole in ((star.search(page=3, page_size=30), every.offset(60).limit(30)), (star.search(asked, page_size=200), some.limit(200))):
+        got = [tuple(r) for r in found.collect()]
+        assert got and got == [tuple(r) for r in whole.select(found.columns).collect()]
