@@ -68,7 +68,9 @@ def _flat(df: DataFrame) -> DataFrame:
 def _entry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as entries of documents: ``pmcid``, ``pos`` and five fields with nulls and repeats."""
     t = {n: _table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "part", "nation")}
-    sold = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    buyers = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
+    bought = t["orders"].join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment", "n_name")  # before line items, which are the most rows
+    sold = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
     pos = F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 9, "0") for c in KEY[1:4]])
     return sold.select(F.col("c_mktsegment").alias("pmcid"), F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), pos).alias("pos"), F.col("n_name").alias("cell_type"), F.when(F.col("p_size") % 3 != 0, F.substring("p_type", 1, 8)).alias("cell_subtype"), F.col("p_brand").alias("marker"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("tissue"), F.col("l_linestatus").alias("disease"), "l_shipdate")
 

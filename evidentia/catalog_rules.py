@@ -22,6 +22,7 @@ from .plans.star import Star
 from .session import scratch
 from .sources import remote
 from .sources.jats import parse_articles
+from .sources.sinks import write_stage
 from .streaming.ingest import stream_into_star
 
 # Names as papers write them, and what must come out.
@@ -232,12 +233,23 @@ def gathered_entries(spark, sf_dir):
 _LOADED = f"{_ENTRIES}, d AS (SELECT DISTINCT pmcid, cell_type, cell_subtype, marker, tissue, disease FROM e WHERE marker <> 'Brand#11')"
 
 
-def _loaded(spark, sf_dir) -> Star:
-    """All entries, loaded in two overlapping parts; some have no marker."""
+def _unmarked(spark, sf_dir) -> DataFrame:
+    """All entries with what a load reads and their date; some have no marker."""
     rows = _entry_rows(spark, sf_dir).withColumn("marker", F.when(F.col("marker") != "Brand#11", F.col("marker")))
+    return rows.select("pmcid", *entries.FIELDS, "l_shipdate")
+
+
+def _two_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All entries in two overlapping parts, and their papers; the entries are written first, so that the tables are joined once for all loads."""
+    rows = write_stage(_unmarked(spark, sf_dir), scratch(spark), "arrived")
     papers = rows.select("pmcid", F.lit(None).cast("string").alias("pmid"), F.lit("t").alias("title")).distinct()
-    first = load(rows.where("l_shipdate < timestamp'1998-07-01'"), papers)
-    return load(rows.where("l_shipdate >= timestamp'1996-01-01'"), papers, first)
+    return rows.where("l_shipdate < timestamp'1998-07-01'"), rows.where("l_shipdate >= timestamp'1996-01-01'"), papers
+
+
+def _loaded(spark, sf_dir) -> Star:
+    """All entries, loaded in two overlapping parts; some have no marker."""
+    first, second, papers = _two_parts(spark, sf_dir)
+    return load(second, papers, load(first, papers))
 
 
 @_query("loaded_twice", f"{_LOADED} SELECT marker, count(*) AS entries, count(DISTINCT pmcid) AS citation_count, count(DISTINCT cell_type) AS cell_types, count(DISTINCT (cell_type, cell_subtype)) FILTER (cell_subtype IS NOT NULL) AS cell_subtypes, count(DISTINCT tissue) AS tissues FROM d GROUP BY 1")

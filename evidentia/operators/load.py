@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..plans.star import Star
 from ..schema import ENTRY_KEYS
+from ..session import scratch
+from .entries import FIELDS
 
 #: The natural key of each dimension's rows.
 NATURAL = {"markers": ("symbol",), "cell_types": ("name",), "cell_subtypes": ("name", "cell_type_id"), "tissues": ("name",), "diseases": ("name",), "papers": ("pmcid",)}
@@ -44,11 +46,16 @@ def unfit(entries: DataFrame) -> DataFrame:
     return judged(entries).where("reason is not null")
 
 
-def keyed_entries(entries: DataFrame) -> DataFrame:
-    """Entries that can be loaded with the keys of their parts; a blank subtype is none, a missing status approved."""
+def different(entries: DataFrame) -> DataFrame:
+    """Entries that can be loaded, each once by its paper, fields and status; a blank subtype is none, a missing status approved."""
     rows = entries.where(_reason().isNull())
     status = F.coalesce("marker_status", F.lit("approved")) if "marker_status" in entries.columns else F.lit("approved")
-    return rows.withColumns({"marker_status": status, "cell_subtype": F.when(~_blank("cell_subtype"), F.col("cell_subtype"))}).withColumns(
+    return rows.withColumns({"marker_status": status, "cell_subtype": F.when(~_blank("cell_subtype"), F.col("cell_subtype"))}).select("pmcid", *FIELDS, "marker_status").distinct()
+
+
+def keyed_entries(entries: DataFrame) -> DataFrame:
+    """Different entries with the keys of their parts."""
+    return entries.withColumns(
         {
             "cell_type_id": _key("cell_type"),
             "cell_subtype_id": _key("cell_subtype", "cell_type"),
@@ -113,9 +120,12 @@ def load(entries: DataFrame, papers: DataFrame, existing: Star | None = None) ->
 
     Papers without an id and entries without cell type or marker are left out.
     Entries are unique by their six keys, nulls being equal.  Citation counts
-    of markers are counted anew.
+    of markers are counted anew.  The different entries are written to a scratch
+    folder, so that the input is read once and not once for each table.
     """
-    parts = rows_of(keyed_entries(entries), papers)
+    spark, at, fit = entries.sparkSession, scratch(entries.sparkSession), different(entries)
+    fit.write.parquet(at)
+    parts = rows_of(keyed_entries(spark.read.schema(fit.schema).parquet(at)), papers)
     del parts["citations"]
     parts["markers"] = parts["markers"].withColumn("citation_count", F.lit(0).cast("long"))
     if existing is not None:

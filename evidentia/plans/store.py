@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.load import judged, keyed_entries, not_in, rows_of
+from ..operators.load import different, judged, keyed_entries, not_in, rows_of
 from ..sources.atomic import age_hours, create_once, delete, names_in, read_text
 from .star import Star
 
@@ -126,7 +126,7 @@ def star_of(spark: SparkSession, folder: str, version: Version) -> Star:
 
 def _empty(spark: SparkSession) -> dict[str, DataFrame]:
     none = spark.createDataFrame([], "pmcid string, cell_type string, cell_subtype string, marker string, tissue string, disease string")
-    rows = rows_of(keyed_entries(none), spark.createDataFrame([], "pmcid string, pmid string, title string"))
+    rows = rows_of(keyed_entries(different(none)), spark.createDataFrame([], "pmcid string, pmid string, title string"))
     return {name: spark.createDataFrame([], df.schema) for name, df in rows.items()} | {"counts": spark.createDataFrame([], _COUNTS)}
 
 
@@ -196,7 +196,7 @@ def add_to_star(entries: DataFrame, papers: DataFrame, folder: str, *, batch: tu
     bad = read.where("reason is not null")
     if not bad.isEmpty():
         bad.withColumn("set_aside_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{folder}/quarantine/load={load}")
-    version = _publish_rows(spark, folder, base, rows_of(keyed_entries(read.drop("reason")), papers), batch, tries, between)
+    version = _publish_rows(spark, folder, base, rows_of(keyed_entries(different(read)), papers), batch, tries, between)
     delete(spark, staged)
     return version
 

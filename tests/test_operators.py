@@ -168,3 +168,16 @@ def test_sample_is_cut_in_one_group_of_digests(spark):
         assert all(int(n) < 10 for n in re.findall(r"limit=(\d+)", found._jdf.queryExecution().executedPlan().toString()))
     same = spark.range(50).selectExpr("cast(null as long) as id")
     assert entries.sampled(same, "id", 0.5).count() == 25
+
+
+def test_a_load_reads_its_input_once(spark, tmp_path):
+    from evidentia import catalog_rules
+
+    fields = "pmcid string, cell_type string, cell_subtype string, marker string, tissue string, disease string"
+    spark.createDataFrame([("P1", "T cell", None, "CD3D", None, "Normal"), ("P2", "T cell", " ", "CD3D", None, "Normal")] * 50, fields).write.parquet(f"{tmp_path}/given")
+    papers = spark.createDataFrame([("P1", "1", "a"), ("P2", "2", "b")], "pmcid string, pmid string, title string")
+    star = load(spark.read.parquet(f"{tmp_path}/given"), papers)
+    assert (star.entries.count(), star.papers.count(), star.markers.first().citation_count) == (2, 2, 2)
+    twice = catalog_rules._loaded(spark, "/root/testdata/sf0.001")
+    read = [f for s in (star, twice) for df in (s.entries, s.markers, s.cell_types, s.cell_subtypes, s.tissues, s.diseases, s.papers) for f in df.inputFiles()]
+    assert read and not any("/given/" in f or "lineitem" in f for f in read)
