@@ -273,9 +273,7 @@ _BY_MARKER = "SELECT marker, count(DISTINCT pmcid) AS citation_count, count(*) A
 def loaded_concurrently(spark, sf_dir):
     """Two overlapping parts of all entries, loaded into one folder by two threads at the same time; counts of citations are raised, not counted anew."""
     folder = f"{scratch(spark)}/star"
-    rows = _entry_rows(spark, sf_dir).withColumn("marker", F.when(F.col("marker") != "Brand#11", F.col("marker")))
-    papers = rows.select("pmcid", F.lit(None).cast("string").alias("pmid"), F.lit("t").alias("title")).distinct()
-    parts = [rows.where("l_shipdate < timestamp'1998-07-01'"), rows.where("l_shipdate >= timestamp'1996-01-01'")]
+    *parts, papers = _two_parts(spark, sf_dir)
     with ThreadPoolExecutor(2) as pool:
         list(pool.map(lambda part: store.add_to_star(part, papers, folder), parts))
     return _by_marker(store.read_star(spark, folder))

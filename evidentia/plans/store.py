@@ -191,12 +191,15 @@ def add_to_star(entries: DataFrame, papers: DataFrame, folder: str, *, batch: tu
     load = f"{batch[0]}-{batch[1]}" if batch else uuid.uuid4().hex
     staged = f"{folder}/staged/{load}"
     read = judged(entries)
-    read.write.mode("overwrite").parquet(staged)  # so that tables and quarantine read the input once
-    read = spark.read.schema(read.schema).parquet(staged)
+    read.write.mode("overwrite").parquet(f"{staged}/read")  # so that tables and quarantine read the input once
+    read = spark.read.schema(read.schema).parquet(f"{staged}/read")
     bad = read.where("reason is not null")
     if not bad.isEmpty():
         bad.withColumn("set_aside_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{folder}/quarantine/load={load}")
-    version = _publish_rows(spark, folder, base, rows_of(keyed_entries(different(read)), papers), batch, tries, between)
+    fit = different(read)
+    fit.write.mode("overwrite").parquet(f"{staged}/different")  # which all tables are made of
+    rows = rows_of(keyed_entries(spark.read.schema(fit.schema).parquet(f"{staged}/different")), papers)
+    version = _publish_rows(spark, folder, base, rows, batch, tries, between)
     delete(spark, staged)
     return version
 

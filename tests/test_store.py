@@ -242,3 +242,11 @@ def test_stream_into_star_exactly_once(spark, tmp_path, monkeypatch):
     assert _shown(store.read_star(spark, folder)) == ([("P1", "A"), ("P2", "A"), ("P3", "A")], {"A": 3})
     assert store.version_of(spark, folder).batches == {"entries": 2} and store.versions(spark, folder).count() == 3
     assert spark.read.parquet(f"{folder}/quarantine").count() == 3
+
+
+def test_tables_of_a_load_are_made_of_different_entries(spark, tmp_path, monkeypatch):
+    rows, papers = given(spark)
+    monkeypatch.setattr(store, "delete", lambda *_: None)
+    store.add_to_star(rows.union(rows).union(rows), papers, f"{tmp_path}/star")
+    assert spark.read.parquet(f"{tmp_path}/star/staged/*/different").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/star/quarantine").count() == 6 and store.read_star(spark, f"{tmp_path}/star").entries.count() == 3
