@@ -18,7 +18,7 @@ from .functions.vocabulary import PARENTS
 from .operators import compare, entries, extraction, genes
 from .operators.load import load, unfit
 from .plans import responses, store
-from .plans.star import Star
+from .plans.star import PART_ROWS, Star
 from .session import scratch
 from .sources import remote
 from .sources.jats import parse_articles
@@ -281,12 +281,15 @@ def loaded_concurrently(spark, sf_dir):
 
 @_query("loaded_from_stream", f"{_LOADED} {_BY_MARKER}")
 def loaded_from_stream(spark, sf_dir):
-    """All entries as a stream into a star, one file a batch, twice: the batches of the second run have the numbers of the first and add nothing."""
+    """All entries as a stream into a star, in three batches, twice: the batches of the second run have the numbers of the first and add nothing.
+
+    A batch has as many files as its rows need, so that no task writes a third of the entries.
+    """
     base = scratch(spark)
-    rows = _entry_rows(spark, sf_dir).withColumn("marker", F.when(F.col("marker") != "Brand#11", F.col("marker")))
-    rows = rows.select("pmcid", F.lit(None).cast("string").alias("pmid"), F.lit("t").alias("title"), *entries.FIELDS)
-    rows.repartition(3).write.parquet(f"{base}/in")
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    rows = _unmarked(spark, sf_dir).select("pmcid", F.lit(None).cast("string").alias("pmid"), F.lit("t").alias("title"), *entries.FIELDS)
+    files = max(1, -(-_table(spark, sf_dir, "lineitem").count() // (3 * PART_ROWS)))
+    rows.repartition(3 * files).write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     for checkpoint in ("first", "again"):
         stream_into_star(arriving, f"{base}/star", f"{base}/{checkpoint}").awaitTermination()
     return _by_marker(store.read_star(spark, f"{base}/star"))

@@ -250,3 +250,15 @@ def test_tables_of_a_load_are_made_of_different_entries(spark, tmp_path, monkeyp
     store.add_to_star(rows.union(rows).union(rows), papers, f"{tmp_path}/star")
     assert spark.read.parquet(f"{tmp_path}/star/staged/*/different").count() == 3
     assert spark.read.parquet(f"{tmp_path}/star/quarantine").count() == 6 and store.read_star(spark, f"{tmp_path}/star").entries.count() == 3
+
+
+def test_batches_of_a_stream_have_files_by_rows(spark, tmp_path, monkeypatch):
+    from evidentia import catalog_rules
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    usual = sorted(catalog_rules.loaded_from_stream(spark, sf).collect())
+    monkeypatch.setattr(catalog_rules, "PART_ROWS", -(-rows // 12), raising=False)
+    monkeypatch.setattr(catalog_rules, "scratch", lambda _: str(tmp_path))
+    assert sorted(catalog_rules.loaded_from_stream(spark, sf).collect()) == usual
+    assert len(list(Path(tmp_path, "in").glob("*.parquet"))) == 12 and store.versions(spark, f"{tmp_path}/star").count() == 3
