@@ -68,3 +68,13 @@ def test_page_is_ordered_before_it_is_named(spark):
     for found, whole in ((star.search(page=3, page_size=30), every.offset(60).limit(30)), (star.search(asked, page_size=200), some.limit(200))):
         got = [tuple(r) for r in found.collect()]
         assert got and got == [tuple(r) for r in whole.select(found.columns).collect()]
+
+
+def test_first_view_is_made_of_dealt_entries(spark, monkeypatch):
+    from evidentia import catalog
+    from evidentia.plans import responses, star
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(star, "PART_ROWS", -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 37))
+    plan = responses.initial_response(catalog.driver_star(spark, sf, cited=True))._jdf.queryExecution().executedPlan().toString()
+    assert ", 37), REPARTITION_BY_NUM" in plan
