@@ -36,7 +36,8 @@ def driver_star(spark: SparkSession, sf_dir: str, cited: bool = False) -> Star:
     t = {n: _table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "part", "supplier", "nation")}
     buyers = t["customer"].select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
     bought = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority").join(buyers, "o_custkey")
-    sold = dealt(t["lineitem"], t["lineitem"].count(), "l_orderkey").join(bought, "l_orderkey")
+    size = t["lineitem"].count()
+    sold = dealt(t["lineitem"], size, "l_orderkey").join(bought, "l_orderkey")
     rows = sold.select(
         *KEY,
         F.col("c_nationkey").alias("cell_type_id"),
@@ -57,7 +58,7 @@ def driver_star(spark: SparkSession, sf_dir: str, cited: bool = False) -> Star:
         papers=t["orders"].select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("pmid"), F.concat(F.lit("PMC"), "o_orderkey").alias("pmcid")),
         order=KEY,
     )
-    return Star(**{**star.__dict__, "markers": star.refreshed_markers()}) if cited else star
+    return Star(**{**star.__dict__, "markers": star.refreshed_markers(), "size": size}) if cited else star
 
 
 def _flat(df: DataFrame) -> DataFrame:

@@ -64,7 +64,11 @@ def _within(value: int, low: int, high: int, name: str) -> int:
 
 @dataclass(frozen=True)
 class Star:
-    """The tables.  ``order``: the entries' key columns, which break ties."""
+    """The tables.  ``order``: the entries' key columns, which break ties.
+
+    ``size``: about how many entries there are, where markers are too many to be broadcast; 0 leaves parts to Spark,
+    which merges those of an exchange up to a size in bytes, however many rows and operators meet in one task then.
+    """
 
     entries: DataFrame
     markers: DataFrame
@@ -74,6 +78,7 @@ class Star:
     diseases: DataFrame
     papers: DataFrame
     order: tuple[str, ...] = ("id",)
+    size: int = 0
 
     def _dim(self, name: str, *more: str) -> tuple[DataFrame, str, str]:
         """A dimension as (key, label) and further columns, with the join that keeps every entry it must keep."""
@@ -97,7 +102,8 @@ class Star:
         """Entries with the named dimensions; those in ``inner`` keep only entries that have one.  ``cited``: markers with their citation counts."""
         def add(df: DataFrame, name: str) -> DataFrame:
             dim, key, how = self._dim(name, *(["citation_count"] if cited and name == "marker" else []))
-            return df.join(dim, key, "inner" if name in inner else how)
+            own = dealt(df, self.size, key) if name == "marker" else df
+            return own.join(dim, key, "inner" if name in inner else how)
 
         return reduce(add, names, self.entries)
 
@@ -151,7 +157,7 @@ class Star:
         counts = df.groupBy("marker_id", "marker").agg(F.count_distinct("paper_id").alias("citation_count"), F.count_distinct("cell_type_id").alias("cell_type_count"))
         top = counts.orderBy(F.desc("citation_count"), "marker").limit(_within(limit, 1, MOST_RANKED, "limit"))
         own = self.entries.join(top.select("marker_id"), "marker_id", "left_semi")
-        lists = Star(**{**self.__dict__, "entries": own}).lists_of_markers().select("marker_id", "cell_types", "tissues", "diseases")
+        lists = Star(**{**self.__dict__, "entries": own, "size": 0}).lists_of_markers().select("marker_id", "cell_types", "tissues", "diseases")
         return top.join(lists, "marker_id").drop("marker_id").orderBy(F.desc("citation_count"), "marker")
 
     def detail(self, symbol: str) -> DataFrame:
@@ -223,7 +229,8 @@ class Star:
     def bubble(self, filters: Filters = Filters(), limit: int = 200) -> DataFrame:
         """Pairs of cell type and marker by distinct papers."""
         df = self.filtered(filters.but("marker"), ["cell_type", "marker"])
-        pairs = df.groupBy("cell_type", "marker").agg(F.count_distinct("paper_id").alias("count"))
+        own = dealt(df.select("cell_type", "marker", "paper_id"), self.size, "cell_type", "marker", "paper_id")  # not by pairs alone, of which one may have many papers
+        pairs = own.groupBy("cell_type", "marker").agg(F.count_distinct("paper_id").alias("count"))
         return pairs.orderBy(F.desc("count"), "cell_type", "marker").limit(_within(limit, 10, 10_000, "limit"))
 
     def export(self, filters: Filters = Filters(), cap: int | None = EXPORT_CAP) -> DataFrame:

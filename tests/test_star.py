@@ -1,6 +1,7 @@
 """Facets in one pass and firsts of groups, against their plain definitions."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -78,3 +79,19 @@ def test_first_view_is_made_of_dealt_entries(spark, monkeypatch):
     monkeypatch.setattr(star, "PART_ROWS", -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 37))
     plan = responses.initial_response(catalog.driver_star(spark, sf, cited=True))._jdf.queryExecution().executedPlan().toString()
     assert ", 37), REPARTITION_BY_NUM" in plan
+
+
+def test_marker_joins_of_a_counted_star_are_dealt_by_rows(spark, monkeypatch):
+    """The first view is the same, and no exchange of entries by marker or by pair and paper is left for Spark to merge."""
+    from evidentia import catalog
+    from evidentia.plans import responses, star
+
+    sf = "/root/testdata/sf0.001"
+    before = responses.initial_response(catalog.driver_star(spark, sf, cited=True)).first().json
+    monkeypatch.setattr(star, "PART_ROWS", -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 37))
+    view = responses.initial_response(catalog.driver_star(spark, sf, cited=True))
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(marker_id#\w+, 37\), REPARTITION_BY_NUM", plan)
+    assert re.search(r"hashpartitioning\(cell_type#\w+, marker#\w+, paper_id#\w+, 37\), REPARTITION_BY_NUM", plan)
+    assert not re.search(r"hashpartitioning\(cell_type#\w+, marker#\w+, paper_id#\w+, \d+\), ENSURE_REQUIREMENTS", plan)
+    assert view.first().json == before
